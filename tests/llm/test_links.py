@@ -163,7 +163,7 @@ def hot_vectors():
 def recall_of(found, true):
     total = sum(t[0] for t in true.values())
     assert all(found[i][0] <= t[0] for i, t in true.items())
-    return sum(found[i][0] for i in true) / max(1, total)
+    return sum(found[i][0] for i in true) / total if total else 1.0
 
 
 def as_dict(frame):
