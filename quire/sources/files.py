@@ -64,7 +64,7 @@ def dataset_manifest(df: DataFrame, path: str = "path", content: str = "content"
     line = F.concat("path", F.lit(" "), "sha256")
     buckets = files.groupBy(F.left(F.sha2(F.col("path"), 256), F.lit(3)).alias("bucket")).agg(F.sha2(joined(F.collect_list(F.struct("path", line.alias("s"))), "s", "\n"), 256).alias("h"))
     whole = buckets.agg(F.left(F.sha2(joined(F.collect_list(F.struct("bucket", "h")), "h", "\n"), 256), F.lit(16)).alias("revision"))
-    return files.join(F.broadcast(whole), how="cross")
+    return files.withColumn("revision", whole.scalar())
 
 
 def verify_checksums(actual: DataFrame, expected: DataFrame) -> DataFrame:
