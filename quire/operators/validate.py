@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import joined, trimmed
 
-# Limits in bytes, patterns of credentials, and paths that must not be published.
+# Limits in bytes, patterns of credentials, paths that must not be published, characters beyond
+# Latin-1 that the standard font has, other names of tools, and the wording of rejections.
 MIB = 1024**2
 ARCHIVE = {"max_entries": 100_000, "max_item": 512 * MIB, "max_total": 2048 * MIB, "ratio": 1000, "ratio_floor": 64 * MIB}
 CREDENTIALS = {
@@ -206,6 +207,7 @@ def check_placements(placements: DataFrame, assets: DataFrame, docs: DataFrame)
     return placements.join(known, ["doc_id", "asset_id"], "left").join(docs.select("doc_id", "pages"), "doc_id", "left").select("doc_id", "ord", "asset_id", code.alias("error_code"))
 
 
+# Elements that go whole, remote and presentation attributes, and inline images that stay.
 BLOCKED = "base|canvas|embed|form|iframe|link|meta|noscript|object|script|style|template"
 REMOTE = ("action", "background", "formaction", "href", "ping", "poster", "srcset", "xlink:href")
 PRESENTATION = ("class", "contenteditable", "id", "style", "xml:base")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import joined
 from quire.operators import compare, forms, text, validate
 from quire.plans import fixtures as fx
 from quire.plans.registry import Query
