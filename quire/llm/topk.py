@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.tables import SAMPLE_SPACE, table
-from quire.llm.vectors import block, packed, rows_of, usable
+from quire.llm.vectors import block, packed, usable
 
 K, EVERY = 5, 50
 BLOCK_ROWS, GROUP_ROWS, CHUNK_QUERIES = 2048, 256, 4096
