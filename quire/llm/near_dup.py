@@ -3,14 +3,16 @@
 Each tree sends a document to the node of the minwise token that the tree's root picks. Nodes of a few
 documents are compared exhaustively. Larger ones compare each member with three leaders of the node, and branch: the
 node picks further minwise functions by its own path, and its members go on to the children that those give.
-Independent trees are repeated until the chance that a linked pair meets in none is negligible. Candidates
-that the sketches support are confirmed on full shingle sets, each at most once, and only as long as their
-documents aren't linked through others already.
+At most two candidates a document that the sketches support are confirmed on full shingle sets.
+
+The trees only join most groups early. What they leave is found exactly: a prefix filter over every set, its
+shingles in one global order, rarest first, gives all pairs between different components that can still be
+linked, and these are confirmed as well.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -21,21 +23,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.components import components
-from quire.llm.shingles import Sets, mix, plain, reduced, shingle_sets, slices
-from quire.llm.tables import table
+from quire.llm.shingles import VALUE_BITS, Sets, mix, plain, reduced, shingle_sets, slices
+from quire.llm.tables import bounded_sample, table
 from quire.shared import materialize
 
 FUNCTIONS = 64
 TREES = 24
 SMALL_NODE = 64
-DEPTH = 4
-SUPPORT = 32  # equal minwise tokens of FUNCTIONS that a candidate needs; a link has 48 in the mean, 3.5 deviation
+DEPTH = 2
+SUPPORT = 40  # equal minwise tokens of FUNCTIONS that a tree's candidate needs; a link has 48 in the mean, 3.5 deviation
 LEADERS = ("x", "y", "z")
 SURE = 50  # what most links reach, and few other pairs
 PERCENT = 75
 BROADCAST_IDS = 200_000
+SAMPLE_DOCS, COMMON_SHINGLES, LEVELS = 10_000, 500_000, 1023
+SMALL_GROUP, CELLS = 32, 1_000_000
 MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, minwise binary, sketch binary"
+SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, minwise binary, sketch binary, prefix binary"
 
 
 def signatures(sets: Sets) -> np.ndarray:
@@ -44,8 +48,46 @@ def signatures(sets: Sets) -> np.ndarray:
     return np.stack([reduced(np.minimum, ((spread * m) >> np.uint64(32)).astype(np.uint32), sets.bounds, 0) for m in MULTIPLIERS], 1)
 
 
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a bounded sample hold, ascending, and how common each is, 1 to LEVELS.
+
+    It only sets the order of the prefix filter, which is exact in any order that all documents share.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in slices(plain(batch["text"])):
+                values, counts = np.unique(shingle_sets(texts).values, return_counts=True)
+                yield pa.record_batch([pa.array(values.view(np.int64)), pa.array(counts)], ["value", "n"])
+
+    sample = bounded_sample(docs.select("doc_id", "text"), "doc_id", SAMPLE_DOCS)
+    counts = sample.mapInArrow(work, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).filter("n > 1")
+    found = counts.orderBy(F.desc("n"), "value").limit(COMMON_SHINGLES).toArrow()
+    values, n = found["value"].to_numpy(), found["n"].to_numpy()
+    order = np.argsort(values)
+    level = np.minimum(LEVELS, np.ceil(LEVELS * np.log(np.maximum(n, 1)) / np.log(2 * SAMPLE_DOCS))).astype(np.uint64)
+    return values[order].view(np.uint64), level[order]
+
+
+def prefixes(sets: Sets, common: np.ndarray, level: np.ndarray) -> pa.Array:
+    """The first shingles of each set in the global order, as ascending keys of the level and the shingle: all
+    at which a linked set can have the first shingle in common, which are n - ceil(PERCENT / 100 * n) + 1."""
+    keys, sizes = sets.values, sets.sizes()
+    if len(common) and len(keys):
+        at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
+        keys = (np.where(common[at] == keys, level[at], np.uint64(0)) << np.uint64(VALUE_BITS)) | keys
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        keys = keys[np.argsort((doc << 10) | (keys >> np.uint64(VALUE_BITS)).astype(np.int64), kind="stable")]
+    wanted = np.where(sizes > 0, sizes + (-PERCENT * sizes) // 100 + 1, 0)
+    place = np.arange(len(keys)) - np.repeat(sets.bounds[:-1], sizes)
+    keys = keys[place < np.repeat(wanted, sizes)]
+    bounds = np.concatenate([[0], np.cumsum(wanted * 8)]).astype("<i4").tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(keys.astype("<u8").tobytes())])
+
+
 def sign(docs: DataFrame) -> DataFrame:
-    """The set size, a 128-bit hash of the set, the minwise tokens and a byte of each, for every row."""
+    """The set size, a 128-bit hash of the set, the minwise tokens, a byte of each, and the prefix, for every row."""
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,8 +98,8 @@ def sign(docs: DataFrame) -> DataFrame:
                 hashes = [reduced(np.add, mix(sets.values + np.uint64(s)), sets.bounds, 0).view(np.int64) for s in (0x51ED27, 0xA5A5A5A5)]
                 sketch = (tokens >> np.uint32(3)).astype(np.uint8)
                 yield pa.record_batch(
-                    [batch["doc_id"].slice(at, len(texts)), pa.array(sets.sizes()), *map(pa.array, hashes), binary(tokens.astype("<u4")), binary(sketch)],
-                    ["doc_id", "n_shingles", "h1", "h2", "minwise", "sketch"],
+                    [batch["doc_id"].slice(at, len(texts)), pa.array(sets.sizes()), *map(pa.array, hashes), binary(tokens.astype("<u4")), binary(sketch), prefixes(sets, *sent.value)],
+                    ["doc_id", "n_shingles", "h1", "h2", "minwise", "sketch", "prefix"],
                 )
                 at += len(texts)
 
@@ -137,23 +179,19 @@ def nearest(x: np.ndarray, y: np.ndarray, agree: np.ndarray, ids: np.ndarray) ->
 def compare_small(rows: DataFrame) -> DataFrame:
     """a, b, agree: all members of each node are compared by size and sketch.
 
-    ``rows(node, doc_id, n_shingles, sketch)`` of nodes of about SMALL_NODE members: each member gives at most two
-    pairs (``nearest``). With a column ``component`` every supported pair between different components is given.
-    Rows stream sorted by node; the node that a batch ends in is carried into the next.
+    ``rows(node, doc_id, n_shingles, sketch)`` of nodes of at most SMALL_NODE members: each member gives at most
+    two pairs (``nearest``). Rows stream sorted by node; the node that a batch ends in is carried into the next.
     """
-    labelled = "component" in rows.columns
 
     def pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
         node, ids, sizes = (batch[c].to_numpy() for c in ("node", "doc_id", "n_shingles"))
         sketch = matrix(batch["sketch"], "u1", FUNCTIONS)
-        component = batch["component"].to_numpy() if labelled else None
         out, apart = [], 1
         while apart < len(node):
             at = np.flatnonzero(node[apart:] == node[:-apart])
             if not len(at):
                 break
             at = at[alike(sizes[at], sizes[at + apart])]
-            at = at[component[at] != component[at + apart]] if labelled else at
             for i in range(0, len(at), 100_000):
                 x = at[i : i + 100_000]
                 agree = (sketch[x] == sketch[x + apart]).sum(1)
@@ -161,27 +199,97 @@ def compare_small(rows: DataFrame) -> DataFrame:
                 out.append((x, x + apart, agree))
             apart += 1
         x, y, agree = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, dtype=np.int64),) * 3
-        if not labelled:
-            kept = nearest(x, y, agree, ids)
-            x, y, agree = x[kept], y[kept], agree[kept]
+        kept = nearest(x, y, agree, ids)
+        x, y, agree = x[kept], y[kept], agree[kept]
         a, b = ids[x], ids[y]
         return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree.astype(np.int32))], ["a", "b", "agree"])
 
+    return by_groups(rows, "node", pairs, "a long, b long, agree int")
+
+
+def by_groups(rows: DataFrame, key: str, answer: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """``answer`` of batches of ``rows`` sorted by ``key`` that hold whole groups of equal keys."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pa.RecordBatch | None = None
+        kept: list[pa.RecordBatch] = []
         for batch in batches:
             if not len(batch):
                 continue
-            if kept is not None:
-                batch = pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
-            node = batch["node"].to_numpy()
-            last = int(np.searchsorted(node, node[-1]))
-            yield pairs(batch.slice(0, last))
-            kept = batch.slice(last)
-        if kept is not None:
-            yield pairs(kept)
+            keys = batch[key].to_numpy()
+            if kept and keys[-1] == kept[0][key][0].as_py():
+                kept.append(batch)
+                continue
+            batch = pa.Table.from_batches([*kept, batch]).combine_chunks().to_batches()[0]
+            keys = batch[key].to_numpy()
+            last = int(np.searchsorted(keys, keys[-1]))
+            yield answer(batch.slice(0, last))
+            kept = [batch.slice(last)]
+        if kept:
+            yield answer(pa.Table.from_batches(kept).combine_chunks().to_batches()[0])
+
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(work, schema)
+
+
+def linkable(group: np.ndarray, ids: np.ndarray, sizes: np.ndarray, place: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (x, y) of all members of one group, of different components, that can still be linked: with the
+    group's shingle as the first in common, what follows it in the smaller rest must reach the overlap of a link."""
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, dtype=np.int64)
+    counts = np.diff(np.append(starts, len(group)))
+    # The smaller set of a link has its place within the first seventh; a group without such a member has no pair.
+    early = 2 * PERCENT * sizes <= (100 + PERCENT) * (sizes - place)
+    least, most = (f.reduceat(component, starts) if len(starts) else starts for f in (np.minimum, np.maximum))
+    good = (least < most) & (np.logical_or.reduceat(early, starts) if len(starts) else False)
+    found_x, found_y = [], []
+
+    def keep(x: np.ndarray, y: np.ndarray) -> None:
+        rest = np.minimum(sizes[x] - place[x], sizes[y] - place[y])
+        ok = ((100 + PERCENT) * rest >= PERCENT * (sizes[x] + sizes[y])) & (component[x] != component[y]) & alike(sizes[x], sizes[y])
+        found_x.append(x[ok])
+        found_y.append(y[ok])
+
+    small = np.repeat(good & (counts <= SMALL_GROUP), counts)
+    some = np.flatnonzero(small)
+    for step in range(1, SMALL_GROUP):
+        at = some[:-step][group[some[:-step]] == group[some[step:]]] if len(some) > step else some[:0]
+        if not len(at):
+            break
+        keep(at, at + step)
+    for g in np.flatnonzero(good & (counts > SMALL_GROUP)):
+        members = np.arange(starts[g], starts[g] + counts[g])
+        first = members[early[members]]
+        width = max(1, CELLS // len(members))
+        for i in range(0, len(first), width):
+            part = first[i : i + width]
+            x, y = np.repeat(part, len(members)), np.tile(members, len(part))
+            fresh = ~early[y] | (x < y)
+            keep(x[fresh], y[fresh])
+    return (np.concatenate(found_x), np.concatenate(found_y)) if found_x else (np.zeros(0, dtype=np.int64),) * 2
+
+
+def remaining(reps: DataFrame, groups: DataFrame) -> DataFrame:
+    """a, b: all pairs of ``reps`` that can be linked and that ``groups(node, component)`` leaves apart. Exact."""
+    labelled = reps.select("doc_id", "n_shingles", "prefix").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    labelled = labelled.withColumn("component", F.coalesce("component", "doc_id"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                rows = [np.frombuffer(p, dtype="<i8") for p in part["prefix"].to_pylist()]
+                lengths = np.array([len(r) for r in rows])
+                owner = np.repeat(np.arange(len(part)), lengths)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                columns = (part[c].to_numpy()[owner] for c in ("doc_id", "n_shingles", "component"))
+                yield pa.record_batch([pa.array(np.concatenate(rows)), *map(pa.array, columns), pa.array(place.astype(np.int32))], ["key", "doc_id", "n_shingles", "component", "place"])
+
+    def pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
+        key, ids, sizes, component, place = (batch[c].to_numpy() for c in ("key", "doc_id", "n_shingles", "component", "place"))
+        x, y = linkable(key, ids, sizes, place, component)
+        both = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1), axis=0)
+        return pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(work, "a long, b long, agree int")
+    rows = labelled.mapInArrow(spread, "key long, doc_id long, n_shingles long, component long, place int")
+    return by_groups(rows, "key", pairs, "a long, b long").distinct()
 
 
 @F.pandas_udf(T.IntegerType())
@@ -195,7 +303,7 @@ def grow(signed: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int =
     """The trees: node, doc_id of all small nodes, and a, b, agree of large nodes' members with their leaders.
 
     Documents that share a rare token meet in a small node of the first level, so there are many trees of it; of its
-    large nodes half, by a hash, branch on.
+    large nodes half, by a hash, branch on. What meets in no small node is left to ``remaining``.
     """
     leaves, stars, rows = [], [], roots(signed, trees)
     facts = signed.select("doc_id", "n_shingles", "sketch")
@@ -205,9 +313,6 @@ def grow(signed: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int =
         active = materialize(rows.join(nodes.select("node", "members", *[F.col(f"{k}.doc_id").alias(k) for k in LEADERS]), "node"), "nodes")
         many = active.filter(F.col("members") > small)
         leaves.append(active.filter(F.col("members") <= small).select("node", "doc_id"))
-        if level == depth:  # what stays together this long is dealt into blocks of a node's size
-            block = F.pmod(F.xxhash64("doc_id", "node"), F.ceil(2 * F.col("members") / small))
-            leaves.append(many.select(F.xxhash64("node", block).alias("node"), "doc_id"))
         leaders = many.select("node", *LEADERS).distinct()
         for k in LEADERS:
             leaders = leaders.join(facts.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")), k)
@@ -215,9 +320,9 @@ def grow(signed: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int =
         large = large.select("node", "doc_id", "n_shingles", "minwise", *LEADERS, *[f"n_{k}" for k in LEADERS], *[agreement("sketch", f"sketch_{k}").alias(f"agree_{k}") for k in LEADERS])
         large = materialize(large.withColumn("agree", F.greatest(*[f"agree_{k}" for k in LEADERS])), "large")
         sides = F.array(*[F.struct(F.col(k).alias("leader"), F.col(f"n_{k}").alias("leader_n"), F.col(f"agree_{k}").alias("with_leader")) for k in LEADERS])
-        near = (F.col("with_leader") >= SUPPORT) & (F.col("doc_id") != F.col("leader")) & (100 * F.least("n_shingles", "leader_n") >= PERCENT * F.greatest("n_shingles", "leader_n"))
-        met = large.select("doc_id", "n_shingles", F.explode(F.filter(sides, lambda s: s["with_leader"] >= SUPPORT)).alias("s")).select("doc_id", "n_shingles", "s.*")
-        stars.append(met.filter(near).select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"), F.col("with_leader").alias("agree")))
+        can = lambda s: (s["with_leader"] >= SUPPORT) & (F.col("doc_id") != s["leader"]) & (100 * F.least("n_shingles", s["leader_n"]) >= PERCENT * F.greatest("n_shingles", s["leader_n"]))
+        met = large.select("doc_id", F.explode(F.filter(sides, can)).alias("s")).select("doc_id", "s.*")
+        stars.append(met.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"), F.col("with_leader").alias("agree")))
         if level == depth or large.isEmpty():
             break
         rows = branches(large.filter(F.xxhash64("node") % 2 == 0) if level == 0 else large)
@@ -251,24 +356,18 @@ def texts_for(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def links_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Confirmed links that connect all that the trees connect: first at most two candidates for each document,
-    then, of every node, all supported pairs that still lie between different components."""
+    """Confirmed links that connect all that is linked: first at most two candidates of the trees for each
+    document, then all pairs that can be linked and still lie between different components."""
     leaves, stars = grow(reps)
     facts = reps.select("doc_id", "n_shingles", "sketch")
-    leaves = materialize(leaves.join(facts, "doc_id"), "leaves")
-    near = compare_small(leaves).union(stars)
+    near = compare_small(leaves.join(facts, "doc_id")).union(stars)
     both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
     order = (-F.xxhash64("b")).alias("o")
     best = both.groupBy("a").agg(F.max(F.struct("agree", order, "b")).alias("x"), F.max(F.struct((F.col("agree") >= SURE).alias("sure"), order, "b")).alias("y"))
     two = best.select("a", F.explode(F.array("x.b", "y.b")).alias("b"))
     first = materialize(two.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")
     linked = materialize(confirmed(first, texts_for(docs, first)), "linked")
-    groups = components(linked)
-    labelled = leaves.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
-    apart = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-    rest = compare_small(labelled).select("a", "b").union(apart.select("a", "b")).distinct().join(first, ["a", "b"], "left_anti")
-    rest = materialize(rest, "rest")
+    rest = materialize(remaining(reps, components(linked)).join(first, ["a", "b"], "left_anti"), "rest")
     return linked.union(materialize(confirmed(rest, texts_for(docs, rest)), "linked"))
 
 

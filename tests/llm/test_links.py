@@ -298,3 +298,25 @@ def test_op8_by_hand(spark):
         (13, "a.com", "/", None, "allow"),
     ]
     assert url_filter.judge_urls(pages.limit(0)).collect() == []
+
+
+def crowd_texts(size=1500, pairs=40):
+    """A passage fills 80 % of every text, so all are at 0.67 of each other; of some pairs the rest agrees too, at 0.76."""
+    rng = np.random.default_rng(23)
+    passage, texts = [f"p{i}" for i in range(164)], {}
+    for d in range(size):
+        texts[d] = " ".join(passage + [f"d{d}x{i}" for i in range(40)])
+    for k in range(pairs):
+        own = texts[k].split()
+        texts[size + k] = " ".join(own[:-27] + [f"e{k}x{i}" for i in range(27)])
+    order = rng.permutation(len(texts))
+    return {int(i): texts[d] for d, i in enumerate(order)}
+
+
+def test_op10_links_in_a_crowd_of_large_background(spark):
+    """Pairs just over the limit amid a crowd just under it, which no minwise token tells apart."""
+    texts = crowd_texts()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = near_dup.near_duplicates(docs).collect()
+    assert sum(not r["kept"] for r in rows) == 40
+    same_as_plain(rows, texts)
