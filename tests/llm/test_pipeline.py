@@ -69,3 +69,16 @@ def test_awkward_and_empty_tables(spark, sf_dir, no_documents):
     lengths = {r["doc_id"]: r["n"] for r in frames[-1].groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
     assert set(lengths) == {r["doc_id"] for r in frames[3].collect()} and np.min(list(lengths.values())) > 0
     assert BYTE and staged(spark, no_documents, sf_dir)[-1].collect() == []
+
+
+def test_null_and_repeated_ids(spark, no_documents):
+    """Each row is judged, compared and masked by its own text: two texts of one id, copies of one id, rows without one."""
+    first, second = "the key is password=abcdef12 and it opens the old door", "some quite different words come first here, then token: zyxwvu98 ends it"
+    rows = [(1, first), (1, second), (2, first), (2, first), (None, "rows without an id hold secret=qwerty77 as well, as this one does"), (None, first)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], no_documents.schema)
+    single = materialize(corpus_pipeline.drop_near_duplicates(spark, docs, ""), "single")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in single.collect()) == sorted([("1", first), ("1", second), ("None", rows[4][1])])
+    masked = [r["text"] for r in corpus_pipeline.mask_secrets(spark, docs, "").collect()]
+    assert sorted(masked) == sorted(corpus_pipeline.mask(t, ",".join(f"{k}:{a}:{b}" for k, a, b in plain_secrets(t))) for _, t in rows)
+    known = corpus_pipeline.identify_language(spark, docs.withColumn("doc_id", F.when(F.col("doc_id") == 1, 1)), "")
+    assert known.count() == len(rows)
