@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ OVERLAP, PROBES = 2, 3
 DEGREE, NEAREST, FAR, ALPHA = 24, 48, 16, 1.2
 STARTS, BEAM, SLACK = 48, 32, 0.1
 AUDITED, RECALL = 1024, 0.97
+FEW, BLOCK_ROWS = 8, 2048
 
 
 # --- one shard, in numpy -----------------------------------------------------------------------
@@ -193,23 +195,21 @@ def fit_clusters(reps: DataFrame, total: int) -> Clusters:
 
 
 def unit_rows(vectors: DataFrame) -> DataFrame:
-    """vec_id and the unit vector in doubles, of vectors with the table's most common length (the smallest
-    of equally common ones); the others, and zero vectors, are left out."""
+    """vec_id, length and the unit vector in doubles, of vectors of any length; zero vectors are left out."""
     valid = vectors.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    common = valid.groupBy(F.size("v").alias("length")).count().orderBy(F.desc("count"), "length").first()
-    valid = valid.filter(F.size("v") == (common["length"] if common else 0))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            rows = np.array(batch["v"].to_pylist(), dtype="<f8")
-            rows = rows / np.where(abs(rows).max(1, keepdims=True) > 0, abs(rows).max(1, keepdims=True), 1)
-            size = np.linalg.norm(rows, axis=1)
-            keep = np.flatnonzero(size > 0)
-            yield pa.record_batch([batch["vec_id"].take(pa.array(keep)), pa.array([r.tobytes() for r in rows[keep] / size[keep, None]], pa.binary())], ["vec_id", "v"])
+            lengths = np.array([len(v) for v in batch["v"].to_pylist()], dtype=np.int64)
+            for length in np.unique(lengths[lengths > 0]):
+                part = batch.take(pa.array(np.flatnonzero(lengths == length)))
+                rows = np.array(part["v"].to_pylist(), dtype="<f8")
+                rows = rows / np.where(abs(rows).max(1, keepdims=True) > 0, abs(rows).max(1, keepdims=True), 1)
+                size = np.linalg.norm(rows, axis=1)
+                keep = np.flatnonzero(size > 0)
+                yield pa.record_batch([part["vec_id"].take(pa.array(keep)), pa.array(np.full(len(keep), length, dtype=np.int32)), pa.array([r.tobytes() for r in rows[keep] / size[keep, None]], pa.binary())], ["vec_id", "length", "v"])
 
-    return valid.mapInArrow(work, "vec_id long, v binary")
+    return valid.mapInArrow(work, "vec_id long, length int, v binary")
 
 
 def build_shards(reps: DataFrame, clusters: Clusters) -> DataFrame:
@@ -315,8 +315,37 @@ def search_shards(reps: DataFrame, shards: DataFrame, clusters: Clusters, probes
     return materialize(routed.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(search, "vec_id long, n long, root long"), "found")
 
 
+def search_all(reps: DataFrame, total: int, limit: float) -> DataFrame:
+    """As ``search_shards``, but exact: every block of vectors against every other, each pair of blocks a task's group."""
+    blocks = -(-total // BLOCK_ROWS)
+
+    def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        columns = table["vec_id"].to_numpy().astype("<i8"), table["weight"].to_numpy().astype("<i8"), block(table["v"].combine_chunks())
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], ["block", "ids", "weights", "points"])
+
+    placed = reps.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks).cast("long")))
+    packed = materialize(placed.groupBy("block").applyInArrow(pack, "block long, ids binary, weights binary, points binary"), "blocks")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    asking, asked = packed.withColumn("other", every), packed.withColumnRenamed("block", "other").withColumn("block", every)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["vec_id", "n", "root"]
+        if not len(left) or not len(right):
+            return pa.table([pa.array([], pa.int64())] * 3, names)
+        (own, _, rows), (ids, weights, points) = ([np.frombuffer(t[c][0].as_py(), dtype=d) for c, d in (("ids", "<i8"), ("weights", "<i8"), ("points", "<f8"))] for t in (left, right))
+        hit = (rows.reshape(len(own), -1) @ points.reshape(len(ids), -1).T >= limit) & (own[:, None] != ids[None])
+        q, p = np.nonzero(hit)
+        roots, n = local_roots(own[q], ids[p]) if len(q) else {}, hit @ weights
+        met = np.flatnonzero(n)
+        return pa.table([pa.array(own[met]), pa.array(n[met]), pa.array([roots[i] for i in own[met].tolist()], pa.int64())], names)
+
+    keys = ["block", "other"]
+    return materialize(asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(compare, "vec_id long, n long, root long"), "found")
+
+
 def audit(reps: DataFrame, counts: DataFrame, total: int, limit: float) -> float:
-    """Share of the links of about AUDITED vectors, counted by brute force, that the search has found."""
+    """Mean share of its links that the search has found for a vector, of about AUDITED vectors whose links are
+    counted by brute force: the least of those means over vectors with at most FEW links and with more."""
     share = SAMPLE_SPACE if total <= AUDITED else max(1, AUDITED * SAMPLE_SPACE // total)
     picked = reps.filter(F.pmod(F.xxhash64(F.lit(37), "vec_id"), F.lit(SAMPLE_SPACE)) < share).orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * AUDITED).collect()
     ids, rows = np.array([r["vec_id"] for r in picked]), np.stack([np.frombuffer(bytes(r["v"]), dtype="<f8") for r in picked])
@@ -328,28 +357,15 @@ def audit(reps: DataFrame, counts: DataFrame, total: int, limit: float) -> float
                 yield pa.record_batch([pa.array(ids), pa.array(hit @ batch["weight"].to_numpy())], ["vec_id", "n"])
 
     true = reps.mapInArrow(work, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("true"))
-    got = true.join(counts.groupBy("vec_id").agg(F.sum("n").alias("n")), "vec_id", "left").agg(F.sum("true").alias("true"), F.sum(F.least("true", F.coalesce("n", F.lit(0)))).alias("got")).first()
-    return got["got"] / got["true"] if got["true"] else 1.0
+    share_found = F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / F.col("true"))
+    got = true.filter(F.col("true") > 0).join(counts.groupBy("vec_id").agg(F.sum("n").alias("n")), "vec_id", "left")
+    means = got.groupBy(F.col("true") <= FEW).agg(F.avg(share_found).alias("recall")).collect()
+    return min((r["recall"] for r in means), default=1.0)
 
 
-def link_vectors(vectors: DataFrame, limit: float = LIMIT, recall: float = RECALL) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of ``vectors(vec_id, embedding, ...)``.
-
-    Two vectors are linked if their cosine, in doubles, is ``limit`` or more; every link that the graph gives
-    is computed exactly. Null and zero vectors, those with a null or non-finite component, those of another
-    length than the most common one, and rows without a vec_id are linked with nothing and kept. Equal
-    vectors are one node of the graph, counted as often as they stand in the table; further columns are
-    ignored; an empty table gives an empty result. The search is audited against brute force over all rows
-    for a bounded sample, and repeated with more probes and a wider beam while it finds too few.
-    """
-    units = materialize(unit_rows(vectors), "units")
-    groups = units.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-    members = units.join(groups, "v").select("vec_id", "rep", "weight")
-    reps = materialize(groups.select(F.col("rep").alias("vec_id"), "v", "weight"), "reps")
-    total = reps.count()
-    out = vectors.select("vec_id")
-    if not total:
-        return out.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+def found_links(reps: DataFrame, total: int, limit: float, recall: float) -> DataFrame:
+    """vec_id, n, root of the links among vectors of one length: by the graph, and if that finds too few by the audit
+    even in its widest search, by comparing all with all."""
     clusters = fit_clusters(reps, total)
     sent = reps.sparkSession.sparkContext.broadcast(clusters)
 
@@ -364,11 +380,35 @@ def link_vectors(vectors: DataFrame, limit: float = LIMIT, recall: float = RECAL
     clusters = Clusters(clusters.centers, tuple(max(1, -(-n // SHARD_ROWS)) for n in sizes), tuple(max(1, -(-2 * n // CHUNK_QUERIES)) for n in sizes))
     shards = build_shards(reps, clusters)
     probes, beam = PROBES, BEAM
-    for attempt in range(3):
+    for _ in range(3):
         found = search_shards(reps, shards, clusters, min(probes, len(clusters.centers)), beam, limit)
-        if attempt == 2 or audit(reps, found, total, limit) >= recall:
-            break
+        if audit(reps, found, total, limit) >= recall:
+            return found
         probes, beam = 2 * probes, 2 * beam
+    return search_all(reps, total, limit)
+
+
+def link_vectors(vectors: DataFrame, limit: float = LIMIT, recall: float = RECALL) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row of ``vectors(vec_id, embedding, ...)``.
+
+    Two vectors are linked if their cosine, in doubles, is ``limit`` or more; every link that the graph gives
+    is computed exactly. Vectors of each length are linked among themselves. Null and
+    zero vectors, those with a null or non-finite component, and rows without a vec_id are linked with nothing and kept. Equal
+    vectors are one node of the graph, counted as often as they stand in the table; further columns are
+    ignored; an empty table gives an empty result. The search is audited against brute force over all rows
+    for a bounded sample, vector by vector, and repeated with more probes and a wider beam while it finds too
+    few; if the widest does as well, all vectors are compared with all.
+    """
+    units = materialize(unit_rows(vectors), "units")
+    groups = units.groupBy("length", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
+    members = units.join(groups, ["length", "v"]).select("vec_id", "rep", "weight")
+    reps = materialize(groups.select(F.col("rep").alias("vec_id"), "length", "v", "weight"), "reps")
+    sizes = {r["length"]: r["count"] for r in reps.groupBy("length").count().collect()}
+    out = vectors.select("vec_id")
+    if not sizes:
+        return out.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    parts = [found_links(reps.filter(F.col("length") == k).drop("length"), n, limit, recall) for k, n in sorted(sizes.items()) if n > 1]
+    found = reduce(DataFrame.union, parts) if parts else reps.select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("root")).limit(0)
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
     labels = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     facts = members.join(counts.withColumnRenamed("vec_id", "rep"), "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")

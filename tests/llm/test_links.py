@@ -320,3 +320,23 @@ def test_op10_links_in_a_crowd_of_large_background(spark):
     rows = near_dup.near_duplicates(docs).collect()
     assert sum(not r["kept"] for r in rows) == 40
     same_as_plain(rows, texts)
+
+
+def test_op3_links_each_length_and_finishes_what_the_graph_misses(spark, monkeypatch):
+    """A search that finds nothing for small groups fails the audit each time, and all are compared with all."""
+    rng = np.random.default_rng(31)
+    base = rng.normal(size=16)
+    near = [rng.normal(size=16) for _ in range(100)]
+    rows = [base + 0.02 * rng.normal(size=16) for _ in range(300)] + near + [r + 0.02 * rng.normal(size=16) for r in near]
+    rows = [(i, np.float32(r).tolist()) for i, r in enumerate(rows)]
+    search, tried = graph.search_shards, []
+
+    def blind(*args):
+        tried.append(args)
+        return search(*args).filter("vec_id < 300")
+
+    monkeypatch.setattr(graph, "search_shards", blind)
+    short = [(1000, [1.0, 0.0]), (1001, [2.0, 0.01]), (1002, [0.0, 1.0])]
+    found, true = as_dict(graph.link_vectors(vectors(spark, rows + short))), plain_links(rows)
+    assert len(tried) >= 4 and {i: found[i] for i in true} == true
+    assert [found[i] for i in (1000, 1001, 1002)] == [(1, 1000, True), (1, 1000, False), (0, 1002, True)]
