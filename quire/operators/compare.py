@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -23,17 +23,66 @@ def pair_line_counts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select("pair_id", F.col("l").alias("left_lines"), F.col("r").alias("right_lines"), (F.col("l") + F.col("r")).alias("total_lines"))
 
 
+def middle_snake(a: list[int], b: list[int], i1: int, i2: int, j1: int, j2: int) -> tuple[int, int, int, int]:
+    """(x, y, u, v): a run of matches from (x, y) to (u, v) in the middle of a shortest path through
+    a[i1:i2] and b[j1:j2], by Myers' search from both ends, in linear space."""
+    n, m = i2 - i1, j2 - j1
+    delta, most = n - m, (n + m + 1) // 2
+    ahead, back = {1: 0}, {1: 0}
+    for d in range(most + 1):
+        for k in range(-d, d + 1, 2):
+            x = ahead[k + 1] if k == -d or (k != d and ahead[k - 1] < ahead[k + 1]) else ahead[k - 1] + 1
+            y = x - k
+            x0, y0 = x, y
+            while x < n and 0 <= y < m and a[i1 + x] == b[j1 + y]:
+                x, y = x + 1, y + 1
+            ahead[k] = x
+            if delta % 2 and -d < delta - k < d and x + back[delta - k] >= n:
+                return i1 + x0, j1 + y0, i1 + x, j1 + y
+        for k in range(-d, d + 1, 2):
+            x = back[k + 1] if k == -d or (k != d and back[k - 1] < back[k + 1]) else back[k - 1] + 1
+            y = x - k
+            x0, y0 = x, y
+            while x < n and 0 <= y < m and a[i2 - 1 - x] == b[j2 - 1 - y]:
+                x, y = x + 1, y + 1
+            back[k] = x
+            if delta % 2 == 0 and -d <= delta - k <= d and x + ahead[delta - k] >= n:
+                return i2 - x, j2 - y, i2 - x0, j2 - y0
+    raise AssertionError("no path")
+
+
+def matched(a: list[int], b: list[int]) -> Iterator[tuple[int, int]]:
+    """Ascending pairs of positions of a longest common subsequence."""
+    work = [(0, len(a), 0, len(b))]
+    while work:
+        i1, i2, j1, j2 = work.pop()
+        while i1 < i2 and j1 < j2 and a[i1] == b[j1]:
+            yield i1, j1
+            i1, j1 = i1 + 1, j1 + 1
+        tail = 0
+        while i1 < i2 - tail and j1 < j2 - tail and a[i2 - 1 - tail] == b[j2 - 1 - tail]:
+            tail += 1
+        if tail:
+            work.append((i2 - tail, i2, j2 - tail, j2))
+            i2, j2 = i2 - tail, j2 - tail
+        if i1 < i2 and j1 < j2:
+            x, y, u, v = middle_snake(a, b, i1, i2, j1, j2)
+            work += [(u, i2, v, j2), (x, u, y, v), (i1, x, j1, y)]
+
+
 def shortest_edits(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
     """(kind, left, right) of a shortest edit script, by the table of longest common subsequences; of what is too
-    long for the table, by difflib's matching blocks."""
+    long for the table, by Myers' divide and conquer over the lines that both sides have. Shortest at every size."""
     n, m = len(a), len(b)
     out, i, j = [], 0, 0
     if n * m > MAX_CELLS:
-        for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-            if tag == "equal":
-                out += [("unchanged", i1 + k, j1 + k) for k in range(i2 - i1)]
-            else:
-                out += [("removed", k, -1) for k in range(i1, i2)] + [("added", -1, k) for k in range(j1, j2)]
+        codes = {x: k for k, x in enumerate(set(a) & set(b))}
+        left, right = ([k for k, x in enumerate(s) if x in codes] for s in (a, b))
+        for p, q in [*matched([codes[a[k]] for k in left], [codes[b[k]] for k in right]), (-1, -1)]:
+            p, q = (left[p], right[q]) if p >= 0 else (n, m)
+            out += [("removed", k, -1) for k in range(i, p)] + [("added", -1, k) for k in range(j, q)]
+            out += [("unchanged", p, q)] if p < n and q < m else []
+            i, j = p + 1, q + 1
         return out
     best = [[0] * (m + 1)]
     for x in reversed(a):

@@ -1,5 +1,7 @@
 """Small cases with results that the rules fix."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,3 +228,30 @@ def test_search_tiers(spark):
     items = spark.createDataFrame([(1, "Crop", "cut", ["x"], "c", "k"), (2, "crop image", "", [], "c", "k"), (3, "x crop", "", [], "c", "k"), (4, "y", "", ["crops"], "c", "k"), (5, "z", "a crop", [], "c", "k")], "pos int, name string, description string, tags array<string>, category string, kind string")
     assert [(r["pos"], r["tier"]) for r in names.search(items, " CROP ", 9).orderBy("rank").collect()] == [(1, 0), (2, 1), (3, 2), (4, 3), (5, 4)]
     assert names.search(items, "  ").collect() == []
+
+
+def test_edits_of_long_sides_are_the_fewest(monkeypatch):
+    rng = random.Random(4)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    def check(a, b):
+        edits = compare.shortest_edits(a, b)
+        assert [i for k, i, _ in edits if k != "added"] == list(range(len(a))) and [j for k, _, j in edits if k != "removed"] == list(range(len(b)))
+        assert all(a[i] == b[j] for k, i, j in edits if k == "unchanged")
+        assert sum(k != "unchanged" for k, _, _ in edits) == len(a) + len(b) - 2 * common(a, b)
+
+    a = [str(rng.randrange(400)) for _ in range(2100)]
+    b = [x for x in a if rng.random() > 0.2]
+    b += [str(rng.randrange(400)) for _ in range(2100 - len(b))]
+    assert len(a) * len(b) > compare.MAX_CELLS
+    check(a, b)
+    monkeypatch.setattr(compare, "MAX_CELLS", 0)
+    for _ in range(300):
+        check(*([rng.choice("abcd") for _ in range(rng.randrange(12))] for _ in range(2)))
