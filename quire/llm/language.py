@@ -10,10 +10,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.tables import bounded_sample, held_out, table
+from quire.llm.tables import SAMPLE_SPACE, held_out, table
+from quire.shared import materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -51,6 +52,16 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+def quota(counts: list[int], total: int) -> int:
+    """The largest number of which each count may use its own at most, so that all together use ``total`` at most."""
+    left, owners = total, len(counts)
+    for n in sorted(counts):
+        if n * owners > left:
+            return max(1, left // owners)
+        left, owners = left - n, owners - 1
+    return max(counts, default=0)
+
+
 def train(
     labelled: DataFrame,
     max_docs: int = 8_000,
@@ -59,39 +70,54 @@ def train(
     max_languages: int = 256,
     longest: int = 4,
 ) -> LanguageModel:
-    """Fit on ``labelled(doc_id, text, lang)``: at most about ``max_docs`` rows, of the ``max_languages``
-    most frequent languages, and the ``max_words`` most frequent words. So the model, and what goes to the
-    driver, has a fixed size whatever the table's."""
-    sample = bounded_sample(labelled.select("doc_id", "text", "lang"), "doc_id", max_docs)
+    """Fit on ``labelled(doc_id, text, lang)``: at most about ``max_docs`` rows, of the ``max_languages`` most
+    frequent languages, and about ``max_words`` words and ``max_grams`` n-grams of each size.
+
+    Every language has the same quota of each; what a language doesn't use goes to the others (``quota``).
+    n-grams are counted over all words of the sample, whatever the cap on words. So the model, and what goes
+    to the driver, has a fixed size whatever the table's, and a language's place in it doesn't depend on others'.
+    """
+    rows = labelled.select("doc_id", "text", "lang")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    each = quota(list(sizes.values()), max_docs)
+    shares = [(lang, SAMPLE_SPACE if n <= each else max(1, each * SAMPLE_SPACE // n)) for lang, n in sizes.items()]
+    shares = labelled.sparkSession.createDataFrame(shares, "lang string, share long")
+    sample = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(SAMPLE_SPACE)) < F.col("share"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             seen: dict[str, Counter] = defaultdict(Counter)
             for text, lang in zip(part["text"], part["lang"], strict=True):
                 seen[lang].update(words_of(text))
-            rows = [(lang, w, n) for lang, c in seen.items() for w, n in c.items() if len(w) <= 64]
-            yield pd.DataFrame(rows, columns=["lang", "word", "n"])
-
-    counts = sample.mapInPandas(count, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word", "lang").limit(max_words).collect()
-    by_lang = Counter()
-    for row in top:
-        by_lang[row["lang"]] += row["n"]
-    languages = tuple(sorted(sorted(by_lang, key=lambda x: (-by_lang[x], x))[:max_languages]))
+            found = [(lang, 0, w, n) for lang, c in seen.items() for w, n in c.items() if len(w) <= 64]
+            for lang, c in seen.items():
+                for size in range(1, longest + 1):
+                    grams: Counter = Counter()
+                    for w, n in c.items():
+                        for g in grams_of(w, size):
+                            grams[g] += n
+                    found += [(lang, size, g, n) for g, n in grams.items()]
+            yield pd.DataFrame(found, columns=["lang", "size", "item", "n"])
+
+    counts = materialize(sample.mapInPandas(count, "lang string, size int, item string, n long").groupBy("size", "item", "lang").agg(F.sum("n").alias("n")), "counts")
+    distinct: dict[int, list[int]] = defaultdict(list)
+    for r in counts.groupBy("size", "lang").count().collect():
+        distinct[r["size"]].append(r["count"])
+    caps = [(size, quota(n, max_grams if size else max_words)) for size, n in distinct.items()]
+    caps = labelled.sparkSession.createDataFrame(caps, "size int, cap long")
+    place = F.row_number().over(Window.partitionBy("size", "lang").orderBy(F.desc("n"), "item"))
+    kept = counts.withColumn("place", place).join(F.broadcast(caps), "size").filter("place <= cap").select("size", "item").distinct()
+    # All languages' counts of what any language keeps.
+    top = counts.join(kept, ["size", "item"], "left_semi").orderBy("size", "item", "lang").toPandas()
+    languages = tuple(sorted(set(top["lang"])))
     column = {lang: i for i, lang in enumerate(languages)}
     words: dict[str, np.ndarray] = {}
     grams: dict[int, dict[str, np.ndarray]] = {n: {} for n in range(1, longest + 1)}
-    for row in top:
-        if row["lang"] not in column:
-            continue
-        at, w, n = column[row["lang"]], row["word"], row["n"]
-        words.setdefault(w, np.zeros(len(languages)))[at] += n
-        for size, kept in grams.items():
-            for g in grams_of(w, size):
-                kept.setdefault(g, np.zeros(len(languages)))[at] += n
-    for size, kept in grams.items():
-        if len(kept) > max_grams:
-            grams[size] = dict(sorted(kept.items(), key=lambda x: (-x[1].sum(), x[0]))[:max_grams])
+    for lang, size, item, n in zip(top["lang"], top["size"], top["item"], top["n"], strict=True):
+        into = grams[size] if size else words
+        if item not in into:
+            into[item] = np.zeros(len(languages))
+        into[item][column[lang]] += n
     index, logs = log_table(words, len(languages))
     tables = {n: log_table(kept, len(languages)) for n, kept in grams.items()}
     return LanguageModel(languages, index, logs, {n: t[0] for n, t in tables.items()}, {n: t[1] for n, t in tables.items()})

@@ -340,3 +340,16 @@ def test_op3_links_each_length_and_finishes_what_the_graph_misses(spark, monkeyp
     found, true = as_dict(graph.link_vectors(vectors(spark, rows + short))), plain_links(rows)
     assert len(tried) >= 4 and {i: found[i] for i in true} == true
     assert [found[i] for i in (1000, 1001, 1002)] == [(1, 1000, True), (1, 1000, False), (0, 1002, True)]
+
+
+def test_op9_keeps_small_languages(spark):
+    """A language of a few rows stays, with its words and its unsegmented runs, beside one that fills every cap."""
+    rng = np.random.default_rng(3)
+    large = [(i, " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(40)), "aa") for i in range(400)]
+    small = [(1000 + i, " ".join("".join(rng.choice(list("бвгджз"), 6)) for _ in range(10)), "bb") for i in range(4)]
+    runs = [(2000 + i, "".join(rng.choice(list("你好世界天地"), 200)), "cc") for i in range(4)]
+    labelled = spark.createDataFrame(large + small + runs, "doc_id long, text string, lang string")
+    model = language.train(labelled, max_docs=60, max_words=100, max_grams=100)
+    assert model.languages == ("aa", "bb", "cc") and set(small[0][1].split()) <= set(model.words)
+    scorer = language.Scorer(model)
+    assert [scorer.predict(t)[0] for t in (large[0][1], "бвг джз", "好世天你" * 30)] == ["aa", "bb", "cc"]
