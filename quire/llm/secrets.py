@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -59,11 +60,17 @@ for _i, _c in enumerate(SIGNS):
 N_CLASSES = 8 + len(SIGNS)
 
 
+def windows(span: Span) -> list[Span]:
+    """Windows of INSIDE characters, each half over the next, that cover a candidate; a short one is its own."""
+    last = span.end - INSIDE
+    if last <= span.start:
+        return [span]
+    return [Span(span.kind, at, at + INSIDE) for at in [*range(span.start, last, INSIDE // 2), last]]
+
+
 def encode(text: str, span: Span) -> np.ndarray:
-    """Classes of the characters before, in (first and last halves of INSIDE) and after a candidate."""
+    """Classes of the characters before, in (at most INSIDE) and after a candidate's window."""
     run = text[span.start : span.end]
-    if len(run) > INSIDE:
-        run = run[: INSIDE // 2] + run[-INSIDE // 2 :]
     parts = text[max(0, span.start - BESIDE) : span.start].rjust(BESIDE, "\n"), run.ljust(INSIDE, "\n"), text[span.end : span.end + BESIDE].ljust(BESIDE, "\n")
     codes = np.frombuffer("".join(parts).encode("utf-32-le"), dtype=np.uint32)
     return np.where(codes < 128, CLASSES[np.minimum(codes, 127)], 2).astype(np.uint8)
@@ -155,7 +162,7 @@ def train_network(codes: np.ndarray, gold: np.ndarray, recall: float = 0.95, lea
 
 
 def labelled_candidates(docs: DataFrame, max_docs: int = 12_000, max_rows: int = 3_000) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates of about ``max_docs`` documents with the patterns' verdict: 1 if a finding overlaps it.
+    """Windows of candidates of about ``max_docs`` documents with the patterns' verdict: 1 if a finding overlaps it.
     At most ``max_rows`` rows of fixed width reach the driver."""
     sample = bounded_sample(docs.select("doc_id", "text").filter("text is not null"), "doc_id", max_docs)
 
@@ -165,8 +172,9 @@ def labelled_candidates(docs: DataFrame, max_docs: int = 12_000, max_rows: int =
             for text in part["text"].to_pylist():
                 base = base_spans(text)
                 for c in candidates(text):
-                    rows.append(encode(text, c).tobytes())
-                    gold.append(int(not apart([c], base)))
+                    for w in windows(c):
+                        rows.append(encode(text, w).tobytes())
+                        gold.append(int(not apart([w], base)))
             yield pa.record_batch([pa.array(rows, pa.binary()), pa.array(gold, pa.int32())], ["codes", "gold"])
 
     found = sample.mapInArrow(cut, "codes binary, gold int").distinct().orderBy(F.xxhash64("codes"), "codes", "gold").limit(max_rows).collect()
@@ -181,11 +189,13 @@ def network_finder(net: Network | None):
         if net is None:
             return out
         work = [(d, c) for d, text in enumerate(texts) for c in apart(candidates(text), base[d])]
-        if work:
-            likely = net.probability(np.stack([encode(texts[d], c) for d, c in work]))
-            for (d, c), p in zip(work, likely, strict=True):
-                if p >= net.threshold:
-                    out[d].append(c)
+        parts = ((k, encode(texts[d], w)) for k, (d, c) in enumerate(work) for w in windows(c))
+        best = np.zeros(len(work))
+        while some := list(islice(parts, 8192)):
+            np.maximum.at(best, [k for k, _ in some], net.probability(np.stack([codes for _, codes in some])))
+        for (d, c), p in zip(work, best, strict=True):
+            if p >= net.threshold:
+                out[d].append(c)
         return out
 
     return find
@@ -194,7 +204,7 @@ def network_finder(net: Network | None):
 def find_secrets(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of ``docs(doc_id, text, ...)``.
 
-    Whole texts; a null text is an empty one: no spans, and the digest of an empty string. Repeated rows
+    Whole texts: a long candidate counts by the likeliest of the windows that cover it. A null text is an empty one: no spans, and the digest of an empty string. Repeated rows
     are scanned each for itself; further columns are ignored; an empty table gives an empty result.
     Without a network (nothing to learn from) only the patterns count. One pass, no shuffle.
     """

@@ -168,3 +168,19 @@ def test_network_gradient_is_right():
         down = loss()
         getattr(net, k)[at] += step
         assert np.isclose(grads[k][at], (up - down) / (2 * step), rtol=1e-3, atol=1e-6), k
+
+
+def test_secret_in_the_middle_of_a_long_run_is_seen():
+    """The network gets every part of a run of 300 characters, and the likeliest part decides."""
+    seen = []
+
+    class Watch:
+        threshold = 0.5
+
+        def probability(self, codes):
+            seen.append(len(codes))
+            return (codes == secrets.CLASSES[ord("Z")]).sum(1) / 24
+
+    text = "see " + "path/" * 28 + "Z" * 24 + "/path" * 28 + "2 end"
+    [found] = secrets.network_finder(Watch())([text], [[]])
+    assert sum(seen) > 10 and [(f.start, f.end) for f in found] == [(4, len(text) - 4)]
