@@ -87,6 +87,8 @@ class Network:
     scale: float = 1.0
     shift: float = 0.0
     threshold: float = 0.5
+    precision: float | None = None
+    recall: float | None = None
 
     @classmethod
     def new(cls, seed: int, width: int = 5, size: int = 8, filters: int = 16) -> Network:
@@ -134,9 +136,9 @@ class Network:
         self.embed -= rate * grad_embed
 
 
-def train_network(codes: np.ndarray, gold: np.ndarray, recall: float = 0.95, least: float = 0.9, epochs: int = 30, seed: int = 5) -> Network | None:
+def train_network(codes: np.ndarray, gold: np.ndarray, recall: float = 0.95, epochs: int = 30, seed: int = 5) -> Network | None:
     """Fit on two thirds of the labelled candidates; on the rest, calibrate the probabilities (Platt) and set
-    the highest threshold, ``least`` at least, that still recalls ``recall`` of the secrets if one does.
+    the highest threshold that still recalls ``recall`` of the secrets, with the precision and recall there.
     None without both kinds of candidate."""
     if gold.sum() < 5 or (1 - gold).sum() < 5:
         return None
@@ -156,8 +158,12 @@ def train_network(codes: np.ndarray, gold: np.ndarray, recall: float = 0.95, lea
         scale -= 0.05 * float((err * logits).mean())
         shift -= 0.05 * float(err.mean())
     net.scale, net.shift = scale, shift
-    found = np.sort(net.probability(codes[rest])[gold[rest] == 1])
-    net.threshold = max(least, float(found[int((1 - recall) * len(found))])) if len(found) else least
+    likely = net.probability(codes[rest])
+    found = np.sort(likely[gold[rest] == 1])
+    if len(found):
+        net.threshold = float(found[len(found) - int(np.ceil(recall * len(found)))])
+        hit = likely >= net.threshold
+        net.precision, net.recall = float(gold[rest][hit].mean()), float((found >= net.threshold).mean())
     return net
 
 
