@@ -7,7 +7,8 @@ At most two candidates a document that the sketches support are confirmed on ful
 
 The trees only join most groups early. What they leave is found exactly: a prefix filter over every set, its
 shingles in one global order, rarest first, gives all pairs between different components that can still be
-linked, and these are confirmed as well.
+linked, and these are confirmed as well. Crowds that share a shingle are compared where they stand, by parity
+bitmaps that bound what two sets have in common, so that only pairs that can be links become rows.
 """
 
 from __future__ import annotations
@@ -37,9 +38,12 @@ SURE = 50  # what most links reach, and few other pairs
 PERCENT = 75
 BROADCAST_IDS = 200_000
 SAMPLE_DOCS, COMMON_SHINGLES, LEVELS = 10_000, 500_000, 1023
-SMALL_GROUP, CELLS = 32, 1_000_000
+SMALL_GROUP, CELLS = 32, 500_000
+NARROWEST, WIDEST = 512, 4096  # bits of parity bitmaps
+CROWD_BLOCK = 4096  # members of one shingle that meet in one group
+HOT_LEVEL = int(LEVELS * np.log(10) / np.log(2 * SAMPLE_DOCS))  # of shingles that a thousandth of the sample holds
 MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, minwise binary, sketch binary, prefix binary"
+SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, minwise binary, sketch binary, prefix binary, parity binary"
 
 
 def signatures(sets: Sets) -> np.ndarray:
@@ -85,8 +89,25 @@ def prefixes(sets: Sets, common: np.ndarray, level: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(keys.astype("<u8").tobytes())])
 
 
+def widths(sizes: np.ndarray) -> np.ndarray:
+    """Bits of the parity bitmaps of sets of these sizes: a power of two, four times the size or more where it can be."""
+    return np.clip(1 << np.ceil(np.log2(4 * np.maximum(sizes, 1))).astype(np.int64), NARROWEST, WIDEST)
+
+
+def parities(sets: Sets) -> pa.Array:
+    """A bitmap of each set: a bit is the parity of the number of shingles that fall on it. Two sets differ in as
+    many shingles at least as their bitmaps in bits. A half laid over the other gives the bitmap of half the bits."""
+    sizes = sets.sizes()
+    bits = widths(sizes)
+    starts = np.concatenate([[0], np.cumsum(bits)])
+    at = np.repeat(starts[:-1], sizes) + (mix(sets.values ^ np.uint64(0xB17B17)) & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64)
+    data = np.packbits((np.bincount(at, minlength=int(starts[-1])) & 1).astype(np.uint8), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((starts // 8).astype("<i4").tobytes()), pa.py_buffer(data.tobytes())])
+
+
 def sign(docs: DataFrame) -> DataFrame:
-    """The set size, a 128-bit hash of the set, the minwise tokens, a byte of each, and the prefix, for every row."""
+    """The set size, a 128-bit hash of the set, the minwise tokens, a byte of each, the prefix and the parity
+    bitmap, for every row."""
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,8 +119,8 @@ def sign(docs: DataFrame) -> DataFrame:
                 hashes = [reduced(np.add, mix(sets.values + np.uint64(s)), sets.bounds, 0).view(np.int64) for s in (0x51ED27, 0xA5A5A5A5)]
                 sketch = (tokens >> np.uint32(3)).astype(np.uint8)
                 yield pa.record_batch(
-                    [batch["doc_id"].slice(at, len(texts)), pa.array(sets.sizes()), *map(pa.array, hashes), binary(tokens.astype("<u4")), binary(sketch), prefixes(sets, *sent.value)],
-                    ["doc_id", "n_shingles", "h1", "h2", "minwise", "sketch", "prefix"],
+                    [batch["doc_id"].slice(at, len(texts)), pa.array(sets.sizes()), *map(pa.array, hashes), binary(tokens.astype("<u4")), binary(sketch), prefixes(sets, *sent.value), parities(sets)],
+                    ["doc_id", "n_shingles", "h1", "h2", "minwise", "sketch", "prefix", "parity"],
                 )
                 at += len(texts)
 
@@ -230,66 +251,170 @@ def by_groups(rows: DataFrame, key: str, answer: Callable[[pa.RecordBatch], pa.R
     return rows.repartition(key).sortWithinPartitions(key).mapInArrow(work, schema)
 
 
-def linkable(group: np.ndarray, ids: np.ndarray, sizes: np.ndarray, place: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (x, y) of all members of one group, of different components, that can still be linked: with the
-    group's shingle as the first in common, what follows it in the smaller rest must reach the overlap of a link."""
-    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, dtype=np.int64)
-    counts = np.diff(np.append(starts, len(group)))
-    # The smaller set of a link has its place within the first seventh; a group without such a member has no pair.
-    early = 2 * PERCENT * sizes <= (100 + PERCENT) * (sizes - place)
-    least, most = (f.reduceat(component, starts) if len(starts) else starts for f in (np.minimum, np.maximum))
-    good = (least < most) & (np.logical_or.reduceat(early, starts) if len(starts) else False)
-    found_x, found_y = [], []
-
-    def keep(x: np.ndarray, y: np.ndarray) -> None:
-        rest = np.minimum(sizes[x] - place[x], sizes[y] - place[y])
-        ok = ((100 + PERCENT) * rest >= PERCENT * (sizes[x] + sizes[y])) & (component[x] != component[y]) & alike(sizes[x], sizes[y])
-        found_x.append(x[ok])
-        found_y.append(y[ok])
-
-    small = np.repeat(good & (counts <= SMALL_GROUP), counts)
-    some = np.flatnonzero(small)
+def early(sizes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Can a shingle at this place be the first that the smaller set of a link has in common with the larger?"""
+    return 2 * PERCENT * sizes <= (100 + PERCENT) * (sizes - place)
+
+
+def can_link(rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of positions (x, y) in one group, those of different components that can still be linked: with the group's
+    shingle as the first in common, what follows it in the smaller rest must reach the overlap of a link."""
+    n, m = rows["n_shingles"][x], rows["n_shingles"][y]
+    rest = np.minimum(n - rows["place"][x], m - rows["place"][y])
+    return ((100 + PERCENT) * rest >= PERCENT * (n + m)) & (rows["component"][x] != rows["component"][y]) & alike(n, m)
+
+
+def in_pairs(rows: dict[str, np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (x, y) of the members of small groups, sorted by group, that can be linked."""
+    found = [(np.zeros(0, dtype=np.int64),) * 2]
     for step in range(1, SMALL_GROUP):
-        at = some[:-step][group[some[:-step]] == group[some[step:]]] if len(some) > step else some[:0]
+        at = np.flatnonzero(group[step:] == group[:-step]) if len(group) > step else np.zeros(0, dtype=np.int64)
         if not len(at):
             break
-        keep(at, at + step)
-    for g in np.flatnonzero(good & (counts > SMALL_GROUP)):
-        members = np.arange(starts[g], starts[g] + counts[g])
-        first = members[early[members]]
-        width = max(1, CELLS // len(members))
-        for i in range(0, len(first), width):
-            part = first[i : i + width]
-            x, y = np.repeat(part, len(members)), np.tile(members, len(part))
-            fresh = ~early[y] | (x < y)
-            keep(x[fresh], y[fresh])
-    return (np.concatenate(found_x), np.concatenate(found_y)) if found_x else (np.zeros(0, dtype=np.int64),) * 2
+        at = at[can_link(rows, at, at + step)]
+        found.append((at, at + step))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def remaining(reps: DataFrame, groups: DataFrame) -> DataFrame:
-    """a, b: all pairs of ``reps`` that can be linked and that ``groups(node, component)`` leaves apart. Exact."""
-    labelled = reps.select("doc_id", "n_shingles", "prefix").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "doc_id"))
+def in_crowd(rows: dict[str, np.ndarray], members: np.ndarray, bitmaps: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (x, y) of one crowd's members that can be linked and whose bitmaps allow the overlap of a link.
+
+    Members of one bitmap width are compared with each other and with those of twice that width, folded; others
+    are no match by size. Members of different blocks are compared only where the crowd joins two blocks.
+    """
+    sizes, block = rows["n_shingles"], rows["block"]
+    first = early(sizes, rows["place"])
+    bits = widths(sizes[members])
+    two = block[members].min() < block[members].max()
+    for width in np.unique(bits):
+        same, wide = members[bits == width], members[bits == 2 * width]
+        own = np.frombuffer(b"".join([bitmaps[i] for i in same]), dtype=np.uint64).reshape(len(same), -1)
+        other = np.frombuffer(b"".join([bitmaps[i] for i in wide]), dtype=np.uint64).reshape(len(wide), 2, own.shape[1])
+        facing, maps = np.concatenate([same, wide]), np.concatenate([own, other[:, 0] ^ other[:, 1]])
+        lead = np.flatnonzero(first[same])
+        for i in range(0, len(lead), step := max(1, CELLS // len(facing))):
+            part = lead[i : i + step]
+            p, q = np.repeat(part, len(facing)), np.tile(np.arange(len(facing)), len(part))
+            # Of two early members each is met from the other as well; the smaller set of a link has no wider bitmap.
+            fresh = (q >= len(same)) | ~first[facing[q]] | (p < q)
+            if two:
+                fresh &= block[same[p]] != block[facing[q]]
+            p, q = p[fresh], q[fresh]
+            ok = can_link(rows, same[p], facing[q])
+            p, q = p[ok], q[ok]
+            for j in range(0, len(p), 100_000):
+                u, v = p[j : j + 100_000], q[j : j + 100_000]
+                apart = np.bitwise_count(own[u] ^ maps[v]).sum(1, dtype=np.int64)
+                total = sizes[same[u]] + sizes[facing[v]]
+                hit = (100 + PERCENT) * (total - apart) >= 2 * PERCENT * total
+                yield same[u[hit]], facing[v[hit]]
+
+
+MEMBER = "doc_id long, n_shingles long, component long, place int"
+
+
+def spread(labelled: DataFrame, hot: bool) -> DataFrame:
+    """key and what ``in_pairs`` needs for each shingle of each prefix, of those that the sample shows as hot or of the others."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 rows = [np.frombuffer(p, dtype="<i8") for p in part["prefix"].to_pylist()]
                 lengths = np.array([len(r) for r in rows])
-                owner = np.repeat(np.arange(len(part)), lengths)
+                keys, owner = np.concatenate(rows), np.repeat(np.arange(len(part)), lengths)
                 place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                columns = (part[c].to_numpy()[owner] for c in ("doc_id", "n_shingles", "component"))
-                yield pa.record_batch([pa.array(np.concatenate(rows)), *map(pa.array, columns), pa.array(place.astype(np.int32))], ["key", "doc_id", "n_shingles", "component", "place"])
+                wanted = np.flatnonzero(((keys.view("<u8") >> np.uint64(VALUE_BITS)) >= HOT_LEVEL) == hot)
+                columns = (part[c].to_numpy()[owner[wanted]] for c in ("doc_id", "n_shingles", "component"))
+                yield pa.record_batch([pa.array(keys[wanted]), *map(pa.array, columns), pa.array(place[wanted].astype(np.int32))], ["key", "doc_id", "n_shingles", "component", "place"])
+
+    return labelled.select("doc_id", "n_shingles", "component", "prefix").mapInArrow(work, f"key long, {MEMBER}")
+
+
+def unique_pairs(ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (smaller, larger) of pairs of positions, once each."""
+    if not found:
+        return (np.zeros(0, dtype=np.int64),) * 2
+    x, y = (ids[np.concatenate(c)] for c in zip(*found, strict=True))
+    both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def columns_of(batch: pa.RecordBatch, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    return {c: batch[c].to_numpy() for c in names}
+
+
+def split_groups(rows: DataFrame) -> DataFrame:
+    """Of ``rows`` by key: a, b of the pairs of small groups that can be linked (key null), and the members of
+    larger groups (b null). Rows stream sorted by key; at most SMALL_GROUP members of a group are held back."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("key", "doc_id", "n_shingles", "component", "place")
+        kept, crowd = None, None
+
+        def answer(batch: pa.RecordBatch) -> pa.RecordBatch:
+            held = columns_of(batch, names)
+            counts = np.diff(np.append(starts := np.flatnonzero(np.append(True, held["key"][1:] != held["key"][:-1])), len(batch)))
+            large = np.repeat(counts > SMALL_GROUP, counts) | (held["key"] == crowd if crowd is not None else False)
+            few = {c: v[~large] for c, v in held.items()}
+            a, b = unique_pairs(few["doc_id"], [in_pairs(few, few["key"])])
+            none = np.ones(len(a), dtype=bool)
+            empty = np.concatenate([none, ~none[:0], np.zeros(int(large.sum()), dtype=bool)])
+            fill = lambda c: pa.array(np.concatenate([np.zeros(len(a), dtype=held[c].dtype), held[c][large]]), mask=empty)
+            second = pa.array(np.concatenate([b, np.zeros(int(large.sum()), dtype=np.int64)]), mask=~empty)
+            return pa.record_batch([fill("key"), pa.array(np.concatenate([a, held["doc_id"][large]])), second, *map(fill, names[2:])], ["key", "a", "b", *names[2:]])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            batch = pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0] if kept is not None else batch
+            keys = batch["key"].to_numpy()
+            last = int(np.searchsorted(keys, keys[-1]))
+            if len(keys) - last > SMALL_GROUP or keys[-1] == crowd:
+                last = len(keys)  # a crowd needs no other member to be known as one
+            yield answer(batch.slice(0, last))
+            if last == len(keys):
+                kept, crowd = None, keys[-1]
+            else:
+                kept, crowd = batch.slice(last), None
+        if kept is not None:
+            yield answer(kept)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(work, "key long, a long, b long, n_shingles long, component long, place int")
+
+
+def crowd_pairs(members: DataFrame, parity: DataFrame) -> DataFrame:
+    """a, b: pairs of ``members(key, doc_id, n_shingles, component, place)`` that share a key and can be linked.
+
+    Keys without two components or an early member give none. A key's members are dealt into blocks of about
+    CROWD_BLOCK, and every two blocks, and each with itself, meet in one group.
+    """
+    first = F.expr(f"{2 * PERCENT} * n_shingles <= {100 + PERCENT} * (n_shingles - place)")
+    crowds = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"), F.max(first).alias("early"))
+    crowds = crowds.filter("early AND least < most").select("key", F.ceil(F.col("n") / CROWD_BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(crowds, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    one = dealt.filter("blocks = 1").select(F.col("key").alias("meet"), "doc_id", "n_shingles", "component", "place", "block")
+    more = dealt.filter("blocks > 1").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    more = more.select(F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with")).alias("meet"), "doc_id", "n_shingles", "component", "place", "block")
 
     def pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
-        key, ids, sizes, component, place = (batch[c].to_numpy() for c in ("key", "doc_id", "n_shingles", "component", "place"))
-        x, y = linkable(key, ids, sizes, place, component)
-        both = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1), axis=0)
-        return pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+        rows = columns_of(batch, ("meet", "doc_id", "n_shingles", "component", "place", "block"))
+        bitmaps = batch["parity"].to_pylist()
+        starts = np.flatnonzero(np.append(True, rows["meet"][1:] != rows["meet"][:-1])) if len(batch) else []
+        found = [pair for x, y in zip(starts, np.append(starts, len(batch))[1:].astype(int), strict=True) for pair in in_crowd(rows, np.arange(x, y), bitmaps)]
+        return pa.record_batch([*map(pa.array, unique_pairs(rows["doc_id"], found))], ["a", "b"])
+
+    return by_groups(one.union(more).join(parity, "doc_id"), "meet", pairs, "a long, b long")
 
-    rows = labelled.mapInArrow(spread, "key long, doc_id long, n_shingles long, component long, place int")
-    return by_groups(rows, "key", pairs, "a long, b long").distinct()
+
+def remaining(reps: DataFrame, groups: DataFrame) -> DataFrame:
+    """a, b: all pairs of ``reps`` that can be linked and that ``groups(node, component)`` leaves apart. Exact."""
+    labelled = reps.select("doc_id", "n_shingles", "prefix").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    labelled = labelled.withColumn("component", F.coalesce("component", "doc_id"))
+    found = materialize(split_groups(spread(labelled, False)), "groups")
+    members = found.filter("b IS NULL").select("key", F.col("a").alias("doc_id"), "n_shingles", "component", "place").union(spread(labelled, True))
+    crowds = crowd_pairs(members, reps.select("doc_id", "parity"))
+    return found.filter("b IS NOT NULL").select("a", "b").union(crowds).distinct()
 
 
 @F.pandas_udf(T.IntegerType())
@@ -300,7 +425,7 @@ def agreement(mine: pd.Series, other: pd.Series) -> pd.Series:
 
 
 def grow(signed: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int = SMALL_NODE) -> tuple[DataFrame, DataFrame]:
-    """The trees: node, doc_id of all small nodes, and a, b, agree of large nodes' members with their leaders.
+    """The trees: node, doc_id of all small nodes, and a, b, agree of large nodes' members with the best of their leaders.
 
     Documents that share a rare token meet in a small node of the first level, so there are many trees of it; of its
     large nodes half, by a hash, branch on. What meets in no small node is left to ``remaining``.
@@ -319,10 +444,10 @@ def grow(signed: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int =
         large = many.drop(*LEADERS).join(signed.select("doc_id", "n_shingles", "sketch", "minwise"), "doc_id").join(leaders, "node")
         large = large.select("node", "doc_id", "n_shingles", "minwise", *LEADERS, *[f"n_{k}" for k in LEADERS], *[agreement("sketch", f"sketch_{k}").alias(f"agree_{k}") for k in LEADERS])
         large = materialize(large.withColumn("agree", F.greatest(*[f"agree_{k}" for k in LEADERS])), "large")
-        sides = F.array(*[F.struct(F.col(k).alias("leader"), F.col(f"n_{k}").alias("leader_n"), F.col(f"agree_{k}").alias("with_leader")) for k in LEADERS])
-        can = lambda s: (s["with_leader"] >= SUPPORT) & (F.col("doc_id") != s["leader"]) & (100 * F.least("n_shingles", s["leader_n"]) >= PERCENT * F.greatest("n_shingles", s["leader_n"]))
-        met = large.select("doc_id", F.explode(F.filter(sides, can)).alias("s")).select("doc_id", "s.*")
-        stars.append(met.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"), F.col("with_leader").alias("agree")))
+        can = lambda k: (F.col(f"agree_{k}") >= SUPPORT) & (F.col("doc_id") != F.col(k)) & (100 * F.least("n_shingles", f"n_{k}") >= PERCENT * F.greatest("n_shingles", f"n_{k}"))
+        best = F.greatest(*[F.when(can(k), F.struct(F.col(f"agree_{k}").alias("agree"), F.col(k).alias("leader"))) for k in LEADERS])
+        met = large.select("doc_id", best.alias("best")).filter("best IS NOT NULL")
+        stars.append(met.select(F.least("doc_id", "best.leader").alias("a"), F.greatest("doc_id", "best.leader").alias("b"), F.col("best.agree").alias("agree")))
         if level == depth or large.isEmpty():
             break
         rows = branches(large.filter(F.xxhash64("node") % 2 == 0) if level == 0 else large)

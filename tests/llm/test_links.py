@@ -353,3 +353,29 @@ def test_op9_keeps_small_languages(spark):
     assert model.languages == ("aa", "bb", "cc") and set(small[0][1].split()) <= set(model.words)
     scorer = language.Scorer(model)
     assert [scorer.predict(t)[0] for t in (large[0][1], "бвг джз", "好世天你" * 30)] == ["aa", "bb", "cc"]
+
+
+def test_op10_deals_crowds_into_blocks(spark, monkeypatch):
+    """Blocks of a crowd meet two by two, so they change no result; nor do copies of rows and long sets among short ones."""
+    monkeypatch.setattr(near_dup, "CROWD_BLOCK", 40)
+    texts = crowd_texts(300, 20)
+    texts |= {1000 + d: " ".join(t.split() + [f"z{i}" for i in range(60 * (d % 9))]) for d, t in list(texts.items())[:60]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    same_as_plain(near_dup.near_duplicates(docs).collect(), texts)
+
+
+def test_parity_bitmaps_bound_the_difference():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 400, n)) for n in (0, 3, 90, 120, 300, 310, 1500)]
+    texts += [t + " tail of it" for t in texts]
+    sets = shingles.shingle_sets(shingles.plain(pa.array(texts)))
+    maps = [np.unpackbits(np.frombuffer(m, dtype=np.uint8), bitorder="little") for m in near_dup.parities(sets).to_pylist()]
+    own = [set(sets.values[a:b].tolist()) for a, b in zip(sets.bounds, sets.bounds[1:], strict=False)]
+    assert [len(m) for m in maps] == near_dup.widths(sets.sizes()).tolist()
+    for x, a in zip(own, maps, strict=True):
+        for y, b in zip(own, maps, strict=True):
+            width = min(len(a), len(b))
+            folded = [m.reshape(-1, width).sum(0) % 2 for m in (a, b)]
+            assert int((folded[0] != folded[1]).sum()) <= len(x ^ y)
