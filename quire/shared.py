@@ -11,9 +11,11 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of this run where none is set."""
+    """The cluster's checkpoint folder; where none is set, a folder of this run, on one machine alone."""
     path = spark.conf.get(CHECKPOINT_DIR, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
         spark.conf.set(CHECKPOINT_DIR, path)
     return path.rstrip("/")
@@ -31,4 +33,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.quire_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote and that nothing will read again."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.quire_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
