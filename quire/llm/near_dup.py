@@ -26,10 +26,10 @@ from pyspark.sql import types as T
 from quire.llm.components import components
 from quire.llm.shingles import VALUE_BITS, Sets, mix, plain, reduced, shingle_sets, slices
 from quire.llm.tables import bounded_sample, table
-from quire.shared import materialize
+from quire.shared import discard, materialize
 
 FUNCTIONS = 64
-TREES = 24
+TREES = 12
 SMALL_NODE = 64
 DEPTH = 2
 SUPPORT = 40  # equal minwise tokens of FUNCTIONS that a tree's candidate needs; a link has 48 in the mean, 3.5 deviation
@@ -39,11 +39,11 @@ PERCENT = 75
 BROADCAST_IDS = 200_000
 SAMPLE_DOCS, COMMON_SHINGLES, LEVELS = 10_000, 500_000, 1023
 SMALL_GROUP, CELLS = 32, 500_000
-NARROWEST, WIDEST = 512, 4096  # bits of parity bitmaps
+NARROWEST, WIDEST = 256, 4096  # bits of parity bitmaps
 CROWD_BLOCK = 4096  # members of one shingle that meet in one group
 HOT_LEVEL = int(LEVELS * np.log(10) / np.log(2 * SAMPLE_DOCS))  # of shingles that a thousandth of the sample holds
 MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, minwise binary, sketch binary, prefix binary, parity binary"
+SIGNED = "row long, doc_id long, n_shingles long, h1 long, h2 long, minwise binary, sketch binary, prefix binary, parity binary"
 
 
 def signatures(sets: Sets) -> np.ndarray:
@@ -90,8 +90,8 @@ def prefixes(sets: Sets, common: np.ndarray, level: np.ndarray) -> pa.Array:
 
 
 def widths(sizes: np.ndarray) -> np.ndarray:
-    """Bits of the parity bitmaps of sets of these sizes: a power of two, four times the size or more where it can be."""
-    return np.clip(1 << np.ceil(np.log2(4 * np.maximum(sizes, 1))).astype(np.int64), NARROWEST, WIDEST)
+    """Bits of the parity bitmaps of sets of these sizes: a power of two, twice the size or more where it can be."""
+    return np.clip(1 << np.ceil(np.log2(2 * np.maximum(sizes, 1))).astype(np.int64), NARROWEST, WIDEST)
 
 
 def parities(sets: Sets) -> pa.Array:
@@ -105,9 +105,14 @@ def parities(sets: Sets) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((starts // 8).astype("<i4").tobytes()), pa.py_buffer(data.tobytes())])
 
 
+def set_hashes(sets: Sets) -> list[np.ndarray]:
+    """Two hashes of 64 bits of each set."""
+    return [reduced(np.add, mix(sets.values + np.uint64(s)), sets.bounds, 0).view(np.int64) for s in (0x51ED27, 0xA5A5A5A5)]
+
+
 def sign(docs: DataFrame) -> DataFrame:
-    """The set size, a 128-bit hash of the set, the minwise tokens, a byte of each, the prefix and the parity
-    bitmap, for every row."""
+    """A number, the set size, a 128-bit hash of the set, the minwise tokens, a byte of each, the prefix and the
+    parity bitmap, for every row."""
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,15 +121,15 @@ def sign(docs: DataFrame) -> DataFrame:
             for texts in slices(plain(batch["text"])):
                 sets = shingle_sets(texts)
                 tokens = signatures(sets)
-                hashes = [reduced(np.add, mix(sets.values + np.uint64(s)), sets.bounds, 0).view(np.int64) for s in (0x51ED27, 0xA5A5A5A5)]
                 sketch = (tokens >> np.uint32(3)).astype(np.uint8)
+                own = (batch[c].slice(at, len(texts)) for c in ("row", "doc_id"))
                 yield pa.record_batch(
-                    [batch["doc_id"].slice(at, len(texts)), pa.array(sets.sizes()), *map(pa.array, hashes), binary(tokens.astype("<u4")), binary(sketch), prefixes(sets, *sent.value), parities(sets)],
-                    ["doc_id", "n_shingles", "h1", "h2", "minwise", "sketch", "prefix", "parity"],
+                    [*own, pa.array(sets.sizes()), *map(pa.array, set_hashes(sets)), binary(tokens.astype("<u4")), binary(sketch), prefixes(sets, *sent.value), parities(sets)],
+                    ["row", "doc_id", "n_shingles", "h1", "h2", "minwise", "sketch", "prefix", "parity"],
                 )
                 at += len(texts)
 
-    return docs.select("doc_id", "text").mapInArrow(work, SIGNED)
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(work, SIGNED)
 
 
 def binary(rows: np.ndarray) -> pa.Array:
@@ -264,16 +269,16 @@ def can_link(rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.nd
     return ((100 + PERCENT) * rest >= PERCENT * (n + m)) & (rows["component"][x] != rows["component"][y]) & alike(n, m)
 
 
-def in_pairs(rows: dict[str, np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (x, y) of the members of small groups, sorted by group, that can be linked."""
-    found = [(np.zeros(0, dtype=np.int64),) * 2]
+def in_some_pair(rows: dict[str, np.ndarray]) -> np.ndarray:
+    """Which members of small groups, sorted by key, can be linked with another one of their group."""
+    hit = np.zeros(len(rows["key"]), dtype=bool)
     for step in range(1, SMALL_GROUP):
-        at = np.flatnonzero(group[step:] == group[:-step]) if len(group) > step else np.zeros(0, dtype=np.int64)
+        at = np.flatnonzero(rows["key"][step:] == rows["key"][:-step]) if len(hit) > step else np.zeros(0, dtype=np.int64)
         if not len(at):
             break
         at = at[can_link(rows, at, at + step)]
-        found.append((at, at + step))
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+        hit[at] = hit[at + step] = True
+    return hit
 
 
 def in_crowd(rows: dict[str, np.ndarray], members: np.ndarray, bitmaps: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -314,7 +319,7 @@ MEMBER = "doc_id long, n_shingles long, component long, place int"
 
 
 def spread(labelled: DataFrame, hot: bool) -> DataFrame:
-    """key and what ``in_pairs`` needs for each shingle of each prefix, of those that the sample shows as hot or of the others."""
+    """key and what ``can_link`` needs for each shingle of each prefix, of those that the sample shows as hot or of the others."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,25 +349,22 @@ def columns_of(batch: pa.RecordBatch, names: tuple[str, ...]) -> dict[str, np.nd
     return {c: batch[c].to_numpy() for c in names}
 
 
-def split_groups(rows: DataFrame) -> DataFrame:
-    """Of ``rows`` by key: a, b of the pairs of small groups that can be linked (key null), and the members of
-    larger groups (b null). Rows stream sorted by key; at most SMALL_GROUP members of a group are held back."""
+def met(rows: DataFrame) -> DataFrame:
+    """Those of ``rows`` that can be linked with another row of their key, and all of the larger groups.
+
+    Rows stream sorted by key; at most SMALL_GROUP members of a group are held back.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "doc_id", "n_shingles", "component", "place")
         kept, crowd = None, None
 
         def answer(batch: pa.RecordBatch) -> pa.RecordBatch:
-            held = columns_of(batch, names)
-            counts = np.diff(np.append(starts := np.flatnonzero(np.append(True, held["key"][1:] != held["key"][:-1])), len(batch)))
+            held = columns_of(batch, ("key", "n_shingles", "component", "place"))
+            counts = np.diff(np.append(np.flatnonzero(np.append(True, held["key"][1:] != held["key"][:-1])), len(batch)))
             large = np.repeat(counts > SMALL_GROUP, counts) | (held["key"] == crowd if crowd is not None else False)
-            few = {c: v[~large] for c, v in held.items()}
-            a, b = unique_pairs(few["doc_id"], [in_pairs(few, few["key"])])
-            none = np.ones(len(a), dtype=bool)
-            empty = np.concatenate([none, ~none[:0], np.zeros(int(large.sum()), dtype=bool)])
-            fill = lambda c: pa.array(np.concatenate([np.zeros(len(a), dtype=held[c].dtype), held[c][large]]), mask=empty)
-            second = pa.array(np.concatenate([b, np.zeros(int(large.sum()), dtype=np.int64)]), mask=~empty)
-            return pa.record_batch([fill("key"), pa.array(np.concatenate([a, held["doc_id"][large]])), second, *map(fill, names[2:])], ["key", "a", "b", *names[2:]])
+            some = np.flatnonzero(~large)
+            large[some] = in_some_pair({c: v[some] for c, v in held.items()})
+            return batch.filter(pa.array(large))
 
         for batch in batches:
             if not len(batch):
@@ -380,7 +382,7 @@ def split_groups(rows: DataFrame) -> DataFrame:
         if kept is not None:
             yield answer(kept)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(work, "key long, a long, b long, n_shingles long, component long, place int")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(work, f"key long, {MEMBER}")
 
 
 def crowd_pairs(members: DataFrame, parity: DataFrame) -> DataFrame:
@@ -411,10 +413,8 @@ def remaining(reps: DataFrame, groups: DataFrame) -> DataFrame:
     """a, b: all pairs of ``reps`` that can be linked and that ``groups(node, component)`` leaves apart. Exact."""
     labelled = reps.select("doc_id", "n_shingles", "prefix").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "doc_id"))
-    found = materialize(split_groups(spread(labelled, False)), "groups")
-    members = found.filter("b IS NULL").select("key", F.col("a").alias("doc_id"), "n_shingles", "component", "place").union(spread(labelled, True))
-    crowds = crowd_pairs(members, reps.select("doc_id", "parity"))
-    return found.filter("b IS NOT NULL").select("a", "b").union(crowds).distinct()
+    members = materialize(met(spread(labelled, False)).union(spread(labelled, True)), "members")
+    return crowd_pairs(members, reps.select("doc_id", "parity")).distinct()
 
 
 @F.pandas_udf(T.IntegerType())
@@ -424,18 +424,20 @@ def agreement(mine: pd.Series, other: pd.Series) -> pd.Series:
     return pd.Series((x == y).sum(1), dtype="int32")
 
 
-def grow(signed: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int = SMALL_NODE) -> tuple[DataFrame, DataFrame]:
-    """The trees: node, doc_id of all small nodes, and a, b, agree of large nodes' members with the best of their leaders.
+def grow(signed: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int = SMALL_NODE) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The trees: node, doc_id of all small nodes, a, b, agree of large nodes' members with the best of their leaders,
+    and the tables that the first reads.
 
-    Documents that share a rare token meet in a small node of the first level, so there are many trees of it; of its
-    large nodes half, by a hash, branch on. What meets in no small node is left to ``remaining``.
+    Documents that share a rare token meet in a small node of the first level, so there are many trees of it; large
+    nodes branch on. What meets in no small node is left to ``remaining``.
     """
-    leaves, stars, rows = [], [], roots(signed, trees)
+    leaves, stars, used, crowds, rows = [], [], [], [], roots(signed, trees)
     facts = signed.select("doc_id", "n_shingles", "sketch")
     order, other = (F.struct(F.xxhash64("doc_id", F.lit(seed)).alias("o"), "doc_id") for seed in (1, 2))
     for level in range(depth + 1):
         nodes = rows.groupBy("node").agg(F.count("*").alias("members"), F.min(order).alias("x"), F.max(order).alias("y"), F.min(other).alias("z")).filter("members > 1")
         active = materialize(rows.join(nodes.select("node", "members", *[F.col(f"{k}.doc_id").alias(k) for k in LEADERS]), "node"), "nodes")
+        used.append(active)
         many = active.filter(F.col("members") > small)
         leaves.append(active.filter(F.col("members") <= small).select("node", "doc_id"))
         leaders = many.select("node", *LEADERS).distinct()
@@ -444,14 +446,17 @@ def grow(signed: DataFrame, trees: int = TREES, depth: int = DEPTH, small: int =
         large = many.drop(*LEADERS).join(signed.select("doc_id", "n_shingles", "sketch", "minwise"), "doc_id").join(leaders, "node")
         large = large.select("node", "doc_id", "n_shingles", "minwise", *LEADERS, *[f"n_{k}" for k in LEADERS], *[agreement("sketch", f"sketch_{k}").alias(f"agree_{k}") for k in LEADERS])
         large = materialize(large.withColumn("agree", F.greatest(*[f"agree_{k}" for k in LEADERS])), "large")
+        crowds.append(large)
         can = lambda k: (F.col(f"agree_{k}") >= SUPPORT) & (F.col("doc_id") != F.col(k)) & (100 * F.least("n_shingles", f"n_{k}") >= PERCENT * F.greatest("n_shingles", f"n_{k}"))
         best = F.greatest(*[F.when(can(k), F.struct(F.col(f"agree_{k}").alias("agree"), F.col(k).alias("leader"))) for k in LEADERS])
         met = large.select("doc_id", best.alias("best")).filter("best IS NOT NULL")
         stars.append(met.select(F.least("doc_id", "best.leader").alias("a"), F.greatest("doc_id", "best.leader").alias("b"), F.col("best.agree").alias("agree")))
         if level == depth or large.isEmpty():
             break
-        rows = branches(large.filter(F.xxhash64("node") % 2 == 0) if level == 0 else large)
-    return reduce(DataFrame.union, leaves), materialize(reduce(DataFrame.union, stars).distinct(), "stars")
+        rows = branches(large)
+    stars = materialize(reduce(DataFrame.union, stars).distinct(), "stars")
+    discard(*crowds)
+    return reduce(DataFrame.union, leaves), stars, used
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -473,17 +478,31 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
 
 
-def texts_for(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts of the documents in some pairs; their ids are broadcast if they are few, by count."""
+def texts_for(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id (the set's number) and text of the sets in some pairs: rows of the document that the number stands for,
+    and of these the ones with that set. The ids are broadcast if they are few, by count."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return materialize(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
+    ids = materialize(ids.join(reps.select("doc_id", "source_id", "h1", "h2"), "doc_id"), "ids")
+    wanted = ids.select(F.col("source_id").alias("doc_id"), F.col("doc_id").alias("node"), "h1", "h2")
+    wanted = F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted
+
+    def same_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in slices(plain(batch["text"])):
+                part = batch.slice(at, len(texts))
+                own = set_hashes(shingle_sets(texts))
+                same = (own[0] == part["h1"].to_numpy()) & (own[1] == part["h2"].to_numpy())
+                yield pa.record_batch([part["node"], texts], ["doc_id", "text"]).filter(pa.array(same))
+                at += len(texts)
+
+    return materialize(docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(same_set, "doc_id long, text string"), "texts")
 
 
 def links_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Confirmed links that connect all that is linked: first at most two candidates of the trees for each
     document, then all pairs that can be linked and still lie between different components."""
-    leaves, stars = grow(reps)
+    leaves, stars, used = grow(reps)
     facts = reps.select("doc_id", "n_shingles", "sketch")
     near = compare_small(leaves.join(facts, "doc_id")).union(stars)
     both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
@@ -491,9 +510,12 @@ def links_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
     best = both.groupBy("a").agg(F.max(F.struct("agree", order, "b")).alias("x"), F.max(F.struct((F.col("agree") >= SURE).alias("sure"), order, "b")).alias("y"))
     two = best.select("a", F.explode(F.array("x.b", "y.b")).alias("b"))
     first = materialize(two.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")
-    linked = materialize(confirmed(first, texts_for(docs, first)), "linked")
+    discard(*used)
+    texts = texts_for(docs, reps, first)
+    linked = materialize(confirmed(first, texts), "linked")
+    discard(texts)
     rest = materialize(remaining(reps, components(linked)).join(first, ["a", "b"], "left_anti"), "rest")
-    return linked.union(materialize(confirmed(rest, texts_for(docs, rest)), "linked"))
+    return linked.union(materialize(confirmed(rest, texts_for(docs, reps, rest)), "linked"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -501,24 +523,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Whole texts. A null text or one without words has an empty set and is linked with nothing; fewer than
     five words make one shingle; equal sets are linked whatever their texts. Rows without a doc_id keep no
-    component and are kept. Repeated rows share their component, each has its row; further columns are
-    ignored; an empty table gives an empty result. Equal sets are grouped first, by a partial aggregate, so
-    groups of copies of any size cost one row each afterwards.
+    component and are kept. Each row is judged by its own text: repeated rows share their component, and of rows
+    that share a doc_id but no text each has the component of its own; further columns are ignored; an empty
+    table gives an empty result. Equal sets are grouped first, by a partial aggregate, so groups of copies of any
+    size cost one row each afterwards.
     """
     signed = materialize(sign(docs), "signed")
-    able = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    groups = able.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    copies = materialize(able.select("doc_id", "h1", "h2", "n_shingles").join(groups, ["h1", "h2", "n_shingles"]).select("doc_id", "rep").distinct(), "copies")
-    reps = able.join(copies.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    found = components(links_of(docs, materialize(reps, "reps")))
-    labels = copies.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    labels = labels.groupBy("doc_id").agg(F.min("component").alias("component"))
-    return (
-        signed.select("doc_id", "n_shingles")
-        .join(labels, "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    rows = materialize(signed.select("row", "doc_id", "n_shingles", "h1", "h2"), "rows")
+    own = ["h1", "h2", "n_shingles"]
+    sets = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*own).agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    sets = materialize(sets.select(*own, F.col("first.doc_id").alias("rep"), F.col("first.row").alias("node")), "sets")
+    reps = signed.join(sets.select(F.col("node").alias("row")), "row", "left_semi")
+    reps = materialize(reps.withColumnRenamed("doc_id", "source_id").withColumnRenamed("row", "doc_id"), "reps")
+    discard(signed)
+    found = sets.join(components(links_of(docs, reps)), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = found.groupBy("component").agg(F.min("rep").alias("component_id"))
+    labels = found.join(least, "component").select(*own, "component_id")
+    out = rows.join(labels, own, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
