@@ -1,19 +1,22 @@
-"""Personal data: fixed patterns, and a linear-chain conditional random field over word shapes."""
+"""Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
+
+The field learns from a small labelled table of its own (``examples``), with forms that the patterns don't know:
+addresses spelled out, national phone numbers, numbers of cards in other groups, defanged and longer hosts.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from quire.llm.examples import carriers, personal_table
 from quire.llm.spans import Span, apart, scan
-from quire.llm.tables import bounded_sample, table
+from quire.llm.tables import table
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the contract, with runs made possessive or anchored at a run's
@@ -26,7 +29,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
-TRIGGER = re.compile(r"[0-9@]+")
+TRIGGER = re.compile(r"[0-9@]+|\b(?:dot|punkt|point|punto)\b|[(\[]at[)\]]", re.I)
+#: Words that the shapes keep as they are.
+CUES = frozenset("at dot punkt point punto tel telefon phone call fax mobile mail email card visa carte karte tarjeta ip host server version page seite isbn iso room meet".split())
+SURE = 0.7  # least marginal probability of an added span's labels
+STRETCH, LAP = 400, 60  # tokens of long windows decoded at once, and how many stand beyond those that count
+BATCH_TOKENS, BUFFER_TOKENS = 16_384, 65_536
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
 
@@ -80,37 +88,48 @@ def by_kind(span: Span) -> tuple:
 
 @dataclass(frozen=True)
 class Tokens:
+    """Tokens in a row; entities count that begin with one of those from ``first`` to before ``stop``."""
+
     starts: list[int]
     ends: list[int]
     shapes: list[str]
+    first: int
+    stop: int
 
 
 @lru_cache(maxsize=50_000)
 def shape(token: str) -> str:
-    """Letters by case and length (to 6), digits by length (to 20); other characters stand for themselves."""
+    """Letters by case and length (to 6) or as a cue, digits by length (to 20); other characters stand for themselves."""
     if token.isdigit():
         return f"d{min(len(token), 20)}"
     if token.isalpha():
+        if token.lower() in CUES:
+            return f"={token.lower()}"
         case = "l" if token.islower() else "u" if token.isupper() else "c" if token[:1].isupper() else "m"
         return f"{case}{min(len(token), 6)}"
     return token if ord(token[0]) < 128 else "?"
 
 
-def tokens_of(text: str, start: int, end: int) -> Tokens:
-    """The tokens that lie from ``start`` to ``end``; a shape tells if white space stands before."""
-    starts, ends, shapes = [], [], []
+def stretches(text: str, start: int, end: int) -> Iterator[Tokens]:
+    """The tokens from ``start`` to ``end``, STRETCH at a time, each stretch lapping over the next; a shape tells
+    if white space stands before. Of a long window no more than a stretch is held."""
+    starts, ends, shapes, first = [], [], [], 0
     for m in TOKEN.finditer(text, start, end):
+        if len(starts) == STRETCH:
+            yield Tokens(starts, ends, shapes, first, STRETCH - LAP)
+            starts, ends, shapes, first = starts[-2 * LAP :], ends[-2 * LAP :], shapes[-2 * LAP :], LAP
         a, b = m.span()
         shapes.append(("_" if a == 0 or text[a - 1].isspace() else "") + shape(m[0]))
         starts.append(a)
         ends.append(b)
-    return Tokens(starts, ends, shapes)
+    if starts:
+        yield Tokens(starts, ends, shapes, first, len(starts))
 
 
 def windows(text: str, around: int = 40) -> list[tuple[int, int]]:
-    """Stretches around every digit or @, from white space to white space, merged where they meet.
+    """Stretches around every digit, @, spelled-out dot or bracketed at, from white space to white space, merged where they meet.
 
-    Every kind that the field knows holds such a character, so it need not look elsewhere.
+    Every form of the labelled table holds one of these, so the field need not look elsewhere.
     """
     out: list[tuple[int, int]] = []
     for m in TRIGGER.finditer(text):
@@ -128,25 +147,36 @@ def windows(text: str, around: int = 40) -> list[tuple[int, int]]:
     return out
 
 
+@lru_cache(maxsize=50_000)
+def coarse(word_shape: str) -> str:
+    """Without the lengths of letters; digits by whether they are 1 to 3, 4, or more."""
+    space, rest = ("_", word_shape[1:]) if len(word_shape) > 1 and word_shape[0] == "_" else ("", word_shape)
+    if rest[:1] == "d" and rest[1:].isdigit():
+        return space + ("d" if int(rest[1:]) < 4 else "d4" if rest == "d4" else "D")
+    return space + (rest[0] if rest[:1].isalpha() else rest)
+
+
 def features(shapes: list[str]) -> list[tuple[str, ...]]:
     padded = ["<", "<", *shapes, ">", ">"]
+    rough = [coarse(s) for s in padded]
     return [
-        (f"0{b}", f"-{a}", f"+{c}", f"-2{aa}", f"+2{cc}", f"l{a}|{b}", f"r{b}|{c}", f"w{a}|{b}|{c}")
-        for aa, a, b, c, cc in zip(padded, padded[1:], padded[2:], padded[3:], padded[4:], strict=False)
+        (f"0{b}", f"-{a}", f"+{c}", f"-2{aa}", f"+2{cc}", f"l{a}|{b}", f"r{b}|{c}", f"w{a}|{b}|{c}", f"L{d[0]}|{d[1]}|{d[2]}", f"R{d[2]}|{d[3]}|{d[4]}", f"V{'|'.join(d)}")
+        for aa, a, b, c, cc, d in zip(padded, padded[1:], padded[2:], padded[3:], padded[4:], zip(rough, rough[1:], rough[2:], rough[3:], rough[4:], strict=False), strict=False)
     ]
 
 
 @dataclass(frozen=True)
 class Field:
-    """Weights: ``emit[feature, label]`` and ``move[label before, label]``. ``index`` has a row for each feature."""
+    """Weights: ``emit[feature, label]`` and ``move[label before, label]``. ``index`` has a row for each feature;
+    the last row is zero and stands for all others."""
 
     index: dict[str, int]
     emit: np.ndarray
     move: np.ndarray
 
     def scores(self, shapes: list[str]) -> np.ndarray:
-        index = self.index
-        return np.array([self.emit[[index[f] for f in fs if f in index]].sum(0) for fs in features(shapes)]).reshape(-1, len(LABELS))
+        get = self.index.get
+        return self.emit[[[get(f, -1) for f in fs] for fs in features(shapes)]].sum(1)
 
 
 def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -197,43 +227,50 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, mask
 
 
-def train_field(labelled: list[tuple[str, list[Span]]], epochs: int = 80, rate: float = 0.15, decay: float = 1e-3, longest: int = 120) -> Field | None:
-    """Maximum likelihood by Adam over the labelled windows; None if there are none."""
+def golden(tokens: Tokens, spans: list[Span]) -> np.ndarray:
+    gold = np.zeros(len(tokens.starts), dtype=np.int64)
+    for s in spans:
+        inside = [i for i, (a, b) in enumerate(zip(tokens.starts, tokens.ends, strict=True)) if s.start <= a and b <= s.end]
+        if inside:
+            gold[inside] = LABELS.index(f"I-{s.kind}")
+            gold[inside[0]] = LABELS.index(f"B-{s.kind}")
+    return gold
+
+
+def train_field(labelled: list[tuple[str, list[Span]]], epochs: int = 10, batch: int = 48, rate: float = 0.05, decay: float = 2e-5, longest: int = 120, seed: int = 4) -> Field | None:
+    """Maximum likelihood by Adam over batches of labelled texts of like lengths; None if there are none."""
     ids, golds, index = [], [], {}
     for text, spans in labelled:
-        found = tokens_of(text, 0, len(text))
-        if not found.starts or len(found.starts) > longest:
+        found = next(stretches(text, 0, len(text)), None)
+        if found is None or len(found.starts) > longest:
             continue
-        gold = np.zeros(len(found.starts), dtype=np.int64)
-        for s in spans:
-            inside = [i for i, (a, b) in enumerate(zip(found.starts, found.ends, strict=True)) if s.start <= a and b <= s.end]
-            if inside:
-                gold[inside] = LABELS.index(f"I-{s.kind}")
-                gold[inside[0]] = LABELS.index(f"B-{s.kind}")
+        golds.append(golden(found, spans))
         ids.append(np.array([[index.setdefault(f, len(index)) for f in fs] for fs in features(found.shapes)]))
-        golds.append(gold)
     if not ids:
         return None
-    feats, mask = padded(ids)
-    gold, _ = padded(golds)
-    k, flat = len(LABELS), feats[mask].ravel()
-    width = feats.shape[2]
-    emit, move = np.zeros((len(index), k)), np.zeros((k, k))
-    hot = np.eye(k)[gold] * mask[:, :, None]
-    gold_moves = np.einsum("ntk,ntl->kl", hot[:, :-1], hot[:, 1:])
+    k, width = len(LABELS), ids[0].shape[1]
+    order = sorted(range(len(ids)), key=lambda i: len(ids[i]))
+    batches = [(*padded([ids[i] for i in part]), padded([golds[i] for i in part])[0]) for part in (order[i : i + batch] for i in range(0, len(order), batch))]
+    emit, move = np.zeros((len(index) + 1, k)), np.zeros((k, k))
     moments = [np.zeros_like(emit), np.zeros_like(emit), np.zeros_like(move), np.zeros_like(move)]
-    for step in range(1, epochs + 1):
-        scores = emit[feats].sum(2)
-        marginal, moves, _ = forward_backward(scores, move, mask)
-        wrong = np.repeat((marginal - hot)[mask], width, axis=0)
-        grad_emit = np.stack([np.bincount(flat, wrong[:, j], len(index)) for j in range(k)], 1) / len(ids) + decay * emit
-        grad_move = (moves - gold_moves) / len(ids) + decay * move
-        for w, g, m, v in ((emit, grad_emit, moments[0], moments[1]), (move, grad_move, moments[2], moments[3])):
-            m *= 0.9
-            m += 0.1 * g
-            v *= 0.99
-            v += 0.01 * g * g
-            w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    rng, step = np.random.default_rng(seed), 0
+    for epoch in range(epochs):
+        for at in rng.permutation(len(batches)):
+            feats, mask, gold = batches[at]
+            step += 1
+            hot = np.eye(k)[gold] * mask[:, :, None]
+            marginal, moves, _ = forward_backward(emit[feats].sum(2), move, mask)
+            flat, wrong = feats[mask].ravel(), np.repeat((marginal - hot)[mask], width, axis=0)
+            grads = (
+                np.stack([np.bincount(flat, wrong[:, j], len(emit)) for j in range(k)], 1) / len(feats) + decay * emit,
+                (moves - np.einsum("ntk,ntl->kl", hot[:, :-1], hot[:, 1:])) / len(feats) + decay * move,
+            )
+            for w, g, m, v in zip((emit, move), grads, moments[::2], moments[1::2], strict=True):
+                m *= 0.9
+                m += 0.1 * g
+                v *= 0.99
+                v += 0.01 * g * g
+                w -= rate / (1 + epoch / 3) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
     return Field(index, emit, move)
 
 
@@ -250,60 +287,80 @@ def spans_of_path(path: np.ndarray, tokens: Tokens) -> list[tuple[str, int, int]
     return out
 
 
-def field_finder(field: Field | None, sure: float, batch: int = 256):
-    """Finds, in texts, the entities that the field adds to the base spans: those whose labels all have
-    a marginal probability of ``sure`` or more and that overlap no base span."""
+def decode(field: Field, part: list[Tokens], sure: float) -> Iterator[tuple[int, str, int, int]]:
+    """(number of the tokens' row, kind, start, end) of each entity whose labels all have a marginal probability of
+    ``sure`` or more and that holds a digit, an @ or a cue."""
+    emit, mask = padded([field.scores(t.shapes) for t in part])
+    paths = viterbi(emit, field.move, mask)
+    hit = np.flatnonzero((paths * mask).any(1))
+    if not len(hit):
+        return
+    marginal, _, _ = forward_backward(emit[hit], field.move, mask[hit])
+    for row, p in zip(marginal, hit, strict=True):
+        tokens = part[p]
+        for kind, first, last in spans_of_path(paths[p], tokens):
+            labels = paths[p][first : last + 1]
+            if tokens.first <= first < tokens.stop and row[np.arange(first, last + 1), labels].min() >= sure and any(s.strip("_")[:1] in ("d", "@", "=") for s in tokens.shapes[first : last + 1]):
+                yield p, f"crf_{kind}", tokens.starts[first], tokens.ends[last]
+
+
+def batches_of(rows: Iterator[tuple[int, Tokens]]) -> Iterator[list[tuple[int, Tokens]]]:
+    """Rows of like lengths, of BATCH_TOKENS padded tokens at most, from a buffer of BUFFER_TOKENS or so."""
+
+    def dealt(held: list[tuple[int, Tokens]]) -> Iterator[list[tuple[int, Tokens]]]:
+        held.sort(key=lambda x: len(x[1].starts), reverse=True)
+        at = 0
+        while at < len(held):
+            n = max(1, BATCH_TOKENS // len(held[at][1].starts))
+            yield held[at : at + n]
+            at += n
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1].starts)
+        if size >= BUFFER_TOKENS:
+            yield from dealt(held)
+            held, size = [], 0
+    yield from dealt(held)
+
+
+def disjoint(spans: list[Span]) -> list[Span]:
+    out: list[Span] = []
+    for s in sorted(spans, key=lambda s: (s.start, s.end)):
+        if not out or s.start >= out[-1].end:
+            out.append(s)
+    return out
+
+
+def field_finder(field: Field | None, sure: float) -> Callable[[list[str], list[list[Span]]], list[list[Span]]]:
+    """Finds, in texts, the entities that the field adds to the base spans: those that overlap none of them, and
+    of each other the first."""
 
     def find(texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
         out: list[list[Span]] = [[] for _ in texts]
         if field is None:
             return out
-        work = []
-        for d, text in enumerate(texts):
-            for a, b in windows(text):
-                tokens = tokens_of(text, a, b)
-                if tokens.starts:
-                    work.append((d, tokens))
-        work.sort(key=lambda x: len(x[1].starts))
-        for i in range(0, len(work), batch):
-            part = work[i : i + batch]
-            emit, mask = padded([field.scores(t.shapes) for _, t in part])
-            paths = viterbi(emit, field.move, mask)
-            hit = np.flatnonzero((paths * mask).any(1))
-            if not len(hit):
-                continue
-            marginal, _, _ = forward_backward(emit[hit], field.move, mask[hit])
-            for row, p in zip(marginal, hit, strict=True):
-                d, tokens = part[p]
-                new = []
-                for kind, first, last in spans_of_path(paths[p], tokens):
-                    labels = paths[p][first : last + 1]
-                    if row[np.arange(first, last + 1), labels].min() >= sure and any(s.strip("_")[0] in "d@" for s in tokens.shapes[first : last + 1]):
-                        new.append(Span(f"crf_{kind}", tokens.starts[first], tokens.ends[last]))
-                out[d] += apart(new, base[d])
-        return out
+        rows = ((d, tokens) for d, text in enumerate(texts) for a, b in windows(text) for tokens in stretches(text, a, b))
+        for part in batches_of(rows):
+            for p, kind, start, end in decode(field, [t for _, t in part], sure):
+                out[part[p][0]].append(Span(kind, start, end))
+        return [apart(disjoint(new), own) for new, own in zip(out, base, strict=True)]
 
     return find
 
 
-def labelled_windows(docs: DataFrame, max_docs: int = 6_000, max_windows: int = 1_500) -> list[tuple[str, list[Span]]]:
-    """The small labelled table: windows of about ``max_docs`` documents, with the spans that the fixed
-    patterns find there. At most ``max_windows`` rows, of bounded length, reach the driver."""
-    sample = bounded_sample(docs.select("doc_id", "text").filter("text is not null"), "doc_id", max_docs)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            rows = [text[a:b] for text in part["text"].to_pylist() for a, b in windows(text) if b - a <= 400]
-            yield pa.record_batch([pa.array(rows, pa.string())], ["text"])
-
-    found = sample.mapInArrow(cut, "text string").distinct().orderBy(F.xxhash64("text"), "text").limit(max_windows).collect()
-    return [(r["text"], base_spans(r["text"])) for r in found]
+def labelled_windows(docs: DataFrame) -> list[tuple[str, list[Span]]]:
+    """The small labelled table: forms of personal data and harmless ones, set into words of ``docs``; bounded
+    by ``carriers`` and ``personal_table``."""
+    return personal_table(carriers(docs))
 
 
-def find_pii(docs: DataFrame, field: Field | None, sure: float = 0.95) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row of ``docs(doc_id, text, ...)``.
+def find_pii(docs: DataFrame, field: Field | None, sure: float = SURE) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans of every row of ``docs(doc_id, text, ...)``.
 
-    Whole texts; a null text is an empty one: no spans, and the digest of an empty string. Repeated rows
+    Whole texts; the field sees shapes, so numbers grouped like cards' count for it whatever their check digit, and
+    a long window is decoded by overlapping stretches, so memory doesn't grow with it. A null text is an empty one: no spans, and the digest of an empty string. Repeated rows
     are scanned each for itself; further columns are ignored; an empty table gives an empty result.
     Without a field (nothing to learn from) only the patterns count. One pass, no shuffle.
     """

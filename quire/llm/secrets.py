@@ -1,19 +1,21 @@
-"""Secrets: fixed patterns, and a character convolutional network over every further candidate."""
+"""Secrets: fixed patterns, and a character convolutional network over every further candidate.
+
+The network learns from labelled findings of its own (``examples``): keys of many makers' formats, and hashes,
+paths, names, numbers and encoded images that look like them.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from quire.llm.examples import carriers, secret_table
 from quire.llm.spans import Span, apart, scan
-from quire.llm.tables import bounded_sample, table
+from quire.llm.tables import table
 
 KINDS = ("assign", "access", "hex")
 # The patterns of the contract.
@@ -22,9 +24,9 @@ WORDS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=@-]{12,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=@-]{8,}")
 LONG_WORD = 20
-DIGIT = re.compile("[0-9]")
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 BESIDE, INSIDE = 24, 48
 SIGNS = "+/_=-.:,;\"'()<>@#$%&*![]{}|\\?~^`"
 
@@ -45,8 +47,14 @@ def by_start(span: Span) -> tuple:
 
 
 def candidates(text: str) -> list[Span]:
-    """Every run of 12 or more characters of keys, addresses and numbers that holds a digit, or is LONG_WORD long."""
-    return [Span("cnn", *m.span()) for m in CANDIDATE.finditer(text) if m.end() - m.start() >= LONG_WORD or DIGIT.search(m[0])]
+    """Every run of letters, digits and ``+/_.=@-`` that holds a digit, of 8 or more characters if it holds a letter
+    too and of 12 or more if not, or that is LONG_WORD long. Shorter runs and short runs without a digit are none."""
+    out = []
+    for m in CANDIDATE.finditer(text):
+        run = m[0]
+        if len(run) >= LONG_WORD or DIGIT.search(run) and (len(run) >= 12 or LETTER.search(run)):
+            out.append(Span("cnn", *m.span()))
+    return out
 
 
 # Character classes: 1 white space, 2 other, 3.. digits, letters by case, then signs one by one.
@@ -136,7 +144,7 @@ class Network:
         self.embed -= rate * grad_embed
 
 
-def train_network(codes: np.ndarray, gold: np.ndarray, recall: float = 0.95, epochs: int = 30, seed: int = 5) -> Network | None:
+def train_network(codes: np.ndarray, gold: np.ndarray, recall: float = 0.95, epochs: int = 24, seed: int = 5) -> Network | None:
     """Fit on two thirds of the labelled candidates; on the rest, calibrate the probabilities (Platt) and set
     the highest threshold that still recalls ``recall`` of the secrets, with the precision and recall there.
     None without both kinds of candidate."""
@@ -167,26 +175,22 @@ def train_network(codes: np.ndarray, gold: np.ndarray, recall: float = 0.95, epo
     return net
 
 
-def labelled_candidates(docs: DataFrame, max_docs: int = 12_000, max_rows: int = 3_000) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of candidates of about ``max_docs`` documents with the patterns' verdict: 1 if a finding overlaps it.
-    At most ``max_rows`` rows of fixed width reach the driver."""
-    sample = bounded_sample(docs.select("doc_id", "text").filter("text is not null"), "doc_id", max_docs)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            rows, gold = [], []
-            for text in part["text"].to_pylist():
-                base = base_spans(text)
-                for c in candidates(text):
-                    for w in windows(c):
-                        rows.append(encode(text, w).tobytes())
-                        gold.append(int(not apart([w], base)))
-            yield pa.record_batch([pa.array(rows, pa.binary()), pa.array(gold, pa.int32())], ["codes", "gold"])
-
-    found = sample.mapInArrow(cut, "codes binary, gold int").distinct().orderBy(F.xxhash64("codes"), "codes", "gold").limit(max_rows).collect()
-    width = 2 * BESIDE + INSIDE
-    codes = np.frombuffer(b"".join(bytes(r["codes"]) for r in found), dtype=np.uint8).reshape(-1, width)
-    return codes, np.array([r["gold"] for r in found], dtype=np.float64)
+def labelled_candidates(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of candidates of the labelled table, set into words of ``docs``, and 1 for those of secrets. Of a
+    long secret only the first window is labelled, as later ones may look like any encoded text; of other long
+    candidates about five. Bounded by ``carriers`` and ``secret_table``."""
+    rows, gold = [], []
+    for text, [made] in secret_table(carriers(docs)):
+        for c in candidates(text):
+            inside = c.start < made.end and made.start < c.end
+            secret = inside and made.kind == "cnn"
+            some = windows(c)
+            for w in some[:1] if secret else some[:: max(1, len(some) // 5)]:
+                rows.append(encode(text, w))
+                gold.append(float(secret))
+    codes = np.stack(rows) if rows else np.zeros((0, 2 * BESIDE + INSIDE), dtype=np.uint8)
+    _, once = np.unique(codes, axis=0, return_index=True)
+    return codes[np.sort(once)], np.array(gold)[np.sort(once)]
 
 
 def network_finder(net: Network | None):
@@ -208,10 +212,11 @@ def network_finder(net: Network | None):
 
 
 def find_secrets(docs: DataFrame, net: Network | None) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of ``docs(doc_id, text, ...)``.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_spans of every row of ``docs(doc_id, text, ...)``.
 
-    Whole texts: a long candidate counts by the likeliest of the windows that cover it. A null text is an empty one: no spans, and the digest of an empty string. Repeated rows
-    are scanned each for itself; further columns are ignored; an empty table gives an empty result.
+    Whole texts: every candidate (``candidates``) that no pattern meets is scored, a long one by the likeliest of
+    the windows that cover it. A null text is an empty one: no spans, and the digest of an empty string. Repeated
+    rows are scanned each for itself; further columns are ignored; an empty table gives an empty result.
     Without a network (nothing to learn from) only the patterns count. One pass, no shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(net)

@@ -37,7 +37,7 @@ def apart(found: list[Span], others: list[Span]) -> list[Span]:
 
 
 def scan(docs: DataFrame, kinds: tuple[str, ...], base: Callable[[str], list[Span]], add: Callable[[], Callable[[list[str], list[list[Span]]], list[list[Span]]]], order: Callable[[Span], tuple]) -> DataFrame:
-    """doc_id, a count by kind, base_sha256 and spans of every row of ``docs``.
+    """doc_id, a count by kind, base_sha256, spans and n_spans (all of them) of every row of ``docs``.
 
     ``base`` finds the spans that always stay, ``add()`` makes, once a task, the model's finder for a batch.
     """
@@ -51,7 +51,7 @@ def scan(docs: DataFrame, kinds: tuple[str, ...], base: Callable[[str], list[Spa
             both = [sorted(x + y, key=order) for x, y in zip(own, more(texts, own), strict=True)]
             counts = [pa.array([sum(s.kind == k for s in x) for x in own], pa.int64()) for k in kinds]
             digests = [sha256(joined(sorted(x, key=order)).encode()).hexdigest() for x in own]
-            yield pa.record_batch([part["doc_id"], *counts, pa.array(digests, pa.string()), pa.array(map(joined, both), pa.string())], ["doc_id", *names, "base_sha256", "spans"])
+            yield pa.record_batch([part["doc_id"], *counts, pa.array(digests, pa.string()), pa.array(map(joined, both), pa.string()), pa.array(map(len, both), pa.int64())], ["doc_id", *names, "base_sha256", "spans", "n_spans"])
 
-    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_sha256 string, spans string"
+    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_sha256 string, spans string, n_spans long"
     return docs.select("doc_id", "text").mapInArrow(find, schema)

@@ -4,12 +4,14 @@ import re
 from hashlib import sha256
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.llm import pii, secrets
+from quire.llm import examples, pii, secrets
 from quire.llm.pii import op2_pii
 from quire.llm.secrets import op6_secrets
+from quire.llm.spans import apart
 
 from .conftest import AWKWARD
 
@@ -101,22 +103,48 @@ def test_awkward_and_empty_tables(awkward, no_documents):
     assert pii.train_field([]) is None
 
 
-def windows_of(spark):
-    return pii.labelled_windows(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
-
-
-def test_field_learns_the_labels(spark):
-    """Trained on half of the labelled windows, the field finds nine tenths of the other half's spans; of card
-    numbers no such share is asked, as shapes don't tell which pass Luhn's test."""
-    rows = windows_of(spark)
-    half = len(rows) // 2
-    field = pii.train_field(rows[:half])
-    find = pii.field_finder(field, 0.5)
-    texts = [t for t, _ in rows[half:]]
-    found = find(texts, [[] for _ in texts])
-    gold = sum(s.kind != "card" for _, spans in rows[half:] for s in spans)
-    hit = sum((s.start, s.end) in {(f.start, f.end) for f in f_} for (_, spans), f_ in zip(rows[half:], found, strict=True) for s in spans if s.kind != "card")
-    assert gold > 50 and hit >= 0.9 * gold
+@pytest.fixture(scope="module")
+def words(spark):
+    """Carriers of one part of the table to learn from, and of another to be tested on."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    return examples.carriers(docs.filter("doc_id % 2 = 0")), examples.carriers(docs.filter("doc_id % 2 = 1"))
+
+
+def found_of(gold, found):
+    """Recall of the labelled spans, and precision of those found."""
+    true = {(i, s.kind.removeprefix("crf_"), s.start, s.end) for i, spans in enumerate(gold) for s in spans}
+    got = {(i, s.kind.removeprefix("crf_"), s.start, s.end) for i, spans in enumerate(found) for s in spans}
+    return len(true & got) / len(true), len(true & got) / len(got)
+
+
+def test_field_finds_what_the_patterns_miss(words):
+    """Trained on one half's words, the field finds nine tenths of the spans beyond the patterns in the other's."""
+    field = pii.train_field(examples.personal_table(words[0]))
+    held = examples.personal_table(words[1], 900, seed=71)
+    texts = [t for t, _ in held]
+    base = [pii.base_spans(t) for t in texts]
+    beyond = [[s for s in gold if s in apart(gold, own)] for (_, gold), own in zip(held, base, strict=True)]
+    recall, precision = found_of(beyond, pii.field_finder(field, pii.SURE)(texts, base))
+    print(f"spans beyond the patterns: {sum(map(len, beyond))}, recall {recall:.3f}, precision {precision:.3f}")
+    assert recall >= 0.9 and precision >= 0.9
+    clean = words[1]
+    assert sum(map(len, pii.field_finder(field, pii.SURE)(clean, [[] for _ in clean]))) == 0
+
+
+def test_long_windows_are_decoded_by_stretches(words):
+    """A window far longer than a stretch gives each entity once, wherever it lies; 5 MB of digits stay within bounds."""
+    import tracemalloc
+
+    field = pii.train_field(examples.personal_table(words[0], 1200))
+    find = pii.field_finder(field, pii.SURE)
+    one = "12 by 7 write to anna at erwhen dot com, then 3 of 9 in 2011 "
+    [found] = find([one * 300], [[]])
+    mail = [s for s in found if s.kind == "crf_email"]
+    assert len({s.start for s in mail}) == len(mail) == 300
+    tracemalloc.start()
+    find(["12 345 6 " * 550_000], [[]])
+    assert tracemalloc.get_traced_memory()[1] < 1e9
+    tracemalloc.stop()
 
 
 def test_viterbi_equals_search_of_all_paths():
@@ -136,14 +164,18 @@ def test_viterbi_equals_search_of_all_paths():
         assert np.allclose(marginal[i, 0], first)
 
 
-def test_network_separates_held_out_candidates(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    codes, gold = secrets.labelled_candidates(docs)
-    half = len(codes) // 2
-    net = secrets.train_network(codes[:half], gold[:half])
-    likely = net.probability(codes[half:])
-    hit = (likely >= net.threshold) == (gold[half:] == 1)
-    assert hit.mean() >= 0.95
+def test_network_finds_what_the_patterns_miss(words, monkeypatch):
+    monkeypatch.setattr(secrets, "carriers", lambda docs: docs)
+    net = secrets.train_network(*secrets.labelled_candidates(words[0]))
+    held = examples.secret_table(words[1], 1000, seed=72)
+    texts = [t for t, _ in held]
+    base = [secrets.base_spans(t) for t in texts]
+    found = secrets.network_finder(net)(texts, base)
+    beyond = [(gold.kind == "cnn", not apart([gold], new)) for (_, [gold]), own, new in zip(held, base, found, strict=True) if apart([gold], own)]
+    hit, real = sum(a and b for a, b in beyond), sum(a for a, _ in beyond)
+    recall, precision = hit / real, hit / sum(b for _, b in beyond)
+    print(f"secrets beyond the patterns: {real}, recall {recall:.3f}, precision {precision:.3f}; held out: {net.recall:.3f}, {net.precision:.3f}")
+    assert recall >= 0.9 and precision >= 0.9 and net.recall >= 0.95
 
 
 def test_network_gradient_is_right():
