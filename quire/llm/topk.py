@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.tables import SAMPLE_SPACE, table
 from quire.llm.vectors import block, packed, usable
+from quire.shared import materialize
 
 K, EVERY = 5, 50
-BLOCK_ROWS, GROUP_ROWS, CHUNK_QUERIES = 2048, 256, 4096
+BLOCK_ROWS, CHUNK_QUERIES = 2048, 16_384
 DATA_LEAF, QUERY_LEAF, FAN_OUT = 256, 64, 8
 SAMPLE_ROWS, MAX_NODES = 4096, 256
 
@@ -110,13 +113,19 @@ class Top:
     centers: dict[int, np.ndarray]
     sample: dict[int, tuple[np.ndarray, np.ndarray]]
 
-    def nodes(self, rows: list[np.ndarray]) -> list[int]:
-        return [int(np.linalg.norm(self.centers[len(r)] - r, axis=1).argmin()) if len(r) in self.centers else 0 for r in rows]
+    def nodes(self, rows: np.ndarray) -> np.ndarray:
+        centers = self.centers.get(rows.shape[1])
+        if centers is None:
+            return np.zeros(len(rows), dtype=np.int64)
+        return ((centers**2).sum(1)[None] - 2 * rows @ centers.T).argmin(1)
 
-    def floor(self, vec_id: int, row: np.ndarray, k: int) -> float:
-        ids, rows = self.sample.get(len(row), (np.zeros(0), np.zeros((0, len(row)))))
-        scores = (rows @ row)[ids != vec_id]
-        return float(-np.partition(-scores, k - 1)[k - 1]) if len(scores) >= k else -np.inf
+    def floors(self, ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+        """The kth best score of each row among the sample rows of other ids."""
+        known, sample = self.sample.get(rows.shape[1], (np.zeros(0, dtype=np.int64), np.zeros((0, rows.shape[1]))))
+        if len(known) < k:
+            return np.full(len(rows), -np.inf)
+        scores = np.where(ids[:, None] == known[None], -np.inf, rows @ sample.T)
+        return -np.partition(-scores, k - 1, axis=1)[:, k - 1]
 
 
 def fit_top(valid: DataFrame, total: int) -> Top:
@@ -135,82 +144,109 @@ def fit_top(valid: DataFrame, total: int) -> Top:
     return Top(centers, sample)
 
 
+def assign(valid: DataFrame, top: Top, k: int, every: int) -> DataFrame:
+    """length, node, vec_id, v (packed doubles) and, for queries, the floor of the kth best score."""
+    sent = valid.sparkSession.sparkContext.broadcast(top)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch["v"].value_lengths().to_numpy()
+            for length in np.unique(lengths):
+                part = batch.take(pa.array(np.flatnonzero(lengths == length)))
+                ids, rows = part["vec_id"].to_numpy(), part["v"].flatten().to_numpy().reshape(len(part), length)
+                floors, asks = np.full(len(ids), -np.inf), np.flatnonzero(ids % every == 0)
+                floors[asks] = sent.value.floors(ids[asks], rows[asks], k)
+                yield pa.record_batch([pa.array(np.full(len(ids), length, dtype=np.int32)), pa.array(sent.value.nodes(rows).astype(np.int32)), part["vec_id"], packed(rows), pa.array(floors)], ["length", "node", "vec_id", "v", "floor"])
+
+    return valid.mapInArrow(work, "length int, node int, vec_id long, v binary, floor double")
+
+
+def blocks_of(assigned: DataFrame) -> DataFrame:
+    """One row for each block: the ids and vectors of about BLOCK_ROWS rows of one top node, by a hash."""
+
+    def pack(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        columns = rows["vec_id"].to_numpy().astype("<i8"), block(rows["v"].combine_chunks())
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], ["length", "ids", "points"])
+
+    # One row for each length and top node: bounded by MAX_NODES a length.
+    sizes = assigned.groupBy("length", "node").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    placed = assigned.join(F.broadcast(sizes), ["length", "node"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "blocks"))
+    return materialize(placed.select("length", "node", "part", "vec_id", "v").groupBy("length", "node", "part").applyInArrow(pack, "length int, ids binary, points binary"), "blocks")
+
+
+@dataclass(frozen=True)
+class Queries:
+    """Queries of one length, numbered, with their tree."""
+
+    numbers: np.ndarray
+    own: np.ndarray
+    floors: np.ndarray
+    points: np.ndarray
+    tree: Node
+
+
+def queries_of(rows: pa.Table) -> dict[int, Queries]:
+    out = {}
+    for length in rows["length"].unique().to_pylist():
+        part = rows.filter(pc.equal(rows["length"], length))
+        points = block(part["v"].combine_chunks())
+        tree = cover_tree(points, np.arange(len(points)), QUERY_LEAF)
+        out[length] = Queries(part["number"].to_numpy(), part["vec_id"].to_numpy(), part["floor"].to_numpy(), points, tree)
+    return out
+
+
+def answers(blocks: DataFrame, asked: pa.Table, k: int) -> DataFrame:
+    """number, query_id, vec_id, score: for each task's blocks the best of each of the ``asked`` queries, which are
+    broadcast: CHUNK_QUERIES of them or so. The kth best so far rules out nodes of all later blocks of a task."""
+    sent = blocks.sparkSession.sparkContext.broadcast(asked)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = queries_of(sent.value)
+        best = {length: Best(q.own, q.floors, k) for length, q in queries.items()}
+        for batch in batches:
+            for row in batch.to_pylist():
+                q = queries.get(row["length"])
+                if q is not None:
+                    ids, points = np.frombuffer(row["ids"], dtype="<i8"), np.frombuffer(row["points"], dtype="<f8").reshape(-1, row["length"])
+                    dual_search(q.tree, cover_tree(points, np.arange(len(points)), DATA_LEAF), q.points, points, ids, best[row["length"]])
+        for length, q in queries.items():
+            rows, columns = np.nonzero(np.isfinite(best[length].scores))
+            found = q.numbers[rows], q.own[rows], best[length].ids[rows, columns], best[length].scores[rows, columns].astype(np.int64)
+            yield pa.record_batch([*map(pa.array, found)], ["number", "query_id", "vec_id", "score"])
+
+    return blocks.mapInArrow(search, "number long, query_id long, vec_id long, score long")
+
+
 def top_products(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows with the largest inner product with each query.
 
     ``vectors(vec_id, embedding, ...)``: components x count as floor(256 * x). Queries are the rows whose
     vec_id is divisible by ``every``; candidates are all rows with another vec_id and as many components;
     equal scores go to the smaller vec_id. Rows without a vec_id, and vectors that are null, empty or hold a
-    null or non-finite component, take no part; repeated rows count as often as they stand there; further
-    columns are ignored; an empty table, or one without queries, gives no row. Scores are exact as long as
-    the sum of the products' sizes stays below 2**53.
-
-    Rows go to the nearest top node, then to blocks of about BLOCK_ROWS by a hash, so no node is one task.
-    Queries travel in groups to the blocks of the nodes that the groups can't rule out; only packed groups
-    and blocks are shuffled, and each task gets one block and at most about CHUNK_QUERIES queries.
+    null or non-finite component, take no part; repeated rows count as candidates as often as they stand there, and
+    ask once; different vectors of one query id are ranked each for itself; further columns are ignored; an empty
+    table, or one without queries, gives no row. Scores are exact as long as the sum of the products' sizes stays
+    below 2**53.
+
+    Rows go to the nearest top node, then to blocks of about BLOCK_ROWS by a hash, so no node is one task: one
+    shuffle, in proportion to the rows. The queries, CHUNK_QUERIES at a time, are sent to all tasks and searched
+    against all blocks, tree against tree; only the best of each task are shuffled.
     """
     spark = vectors.sparkSession
     valid = vectors.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     valid = valid.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("v"))
     total = valid.count()
-    top = spark.sparkContext.broadcast(fit_top(valid, total))
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, rows = batch["vec_id"].to_pylist(), [np.asarray(r, dtype="<f8") for r in batch["v"].to_pylist()]
-            nodes = top.value.nodes(rows)
-            gaps = [float(np.linalg.norm(top.value.centers[len(r)][n] - r)) if len(r) in top.value.centers else np.inf for r, n in zip(rows, nodes, strict=True)]
-            floors = [top.value.floor(i, r, k) if i % every == 0 else 0.0 for i, r in zip(ids, rows, strict=True)]
-            yield pa.record_batch([batch["vec_id"], pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(map(len, rows), pa.int32()), pa.array(nodes, pa.int32()), pa.array(gaps, pa.float64()), pa.array(floors, pa.float64())], ["vec_id", "v", "length", "node", "gap", "floor"])
-
-    assigned = valid.mapInArrow(assign, "vec_id long, v binary, length int, node int, gap double, floor double")
-    # One row for each length and top node: bounded by MAX_NODES a length.
-    facts = {(r["length"], r["node"]): (r["n"], r["gap"]) for r in assigned.groupBy("length", "node").agg(F.count("*").alias("n"), F.max("gap").alias("gap")).collect()}
-    blocks_of = {key: -(-n // BLOCK_ROWS) for key, (n, _) in facts.items()}
-    sizes = spark.createDataFrame([(*key, n) for key, n in blocks_of.items()] or [(0, 0, 0)], "length int, node int, blocks int")
-    chunks = max(1, -(-total // every // CHUNK_QUERIES))
-    data = assigned.join(F.broadcast(sizes), ["length", "node"]).select("length", "node", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("part"), "vec_id", "v")
-    data = data.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-
-    queries = assigned.filter(F.col("vec_id") % every == 0)
-    groups = queries.select("length", "node", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, total // every // GROUP_ROWS))).cast("int").alias("part"), "vec_id", "v", "floor")
-    sent = spark.sparkContext.broadcast((facts, blocks_of))
-
-    def route(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        """The queries of one group, once for each block that may hold some of their best."""
-        length, node, part = (x.as_py() for x in key)
-        all_facts, all_blocks = sent.value
-        points, floors = block(group["v"].combine_chunks()), group["floor"].to_numpy()
-        ball = cover_tree(points, np.arange(len(points)), len(points))
-        ids, rows = pa.array(group["vec_id"].to_numpy().astype("<i8")), packed(points)
-        out = []
-        for (other_length, other), (_, gap) in all_facts.items():
-            if other_length != length:
-                continue
-            far = Node(np.zeros(0), top.value.centers[length][other], gap) if length in top.value.centers and np.isfinite(gap) else None
-            if far is not None and bound(ball, far) < floors.min():
-                continue
-            for b in range(all_blocks[length, other]):
-                n = len(points)
-                out.append(pa.table([pa.array([length] * n, pa.int32()), pa.array([other] * n, pa.int32()), pa.array([b] * n, pa.int32()), pa.array([part % chunks] * n, pa.int32()), ids, rows, pa.array(floors)], ["length", "node", "part", "chunk", "vec_id", "v", "floor"]))
-        return pa.concat_tables(out)
-
-    routed = groups.groupBy("length", "node", "part").applyInArrow(route, "length int, node int, part int, chunk int, vec_id long, v binary, floor double")
-
-    def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
-        if not len(asked) or not len(held):
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int64())], ["query_id", "vec_id", "score"])
-        own, ids = asked["vec_id"].to_numpy(), held["vec_id"].to_numpy()
-        q, d = block(asked["v"].combine_chunks()), block(held["v"].combine_chunks())
-        best = Best(own, asked["floor"].to_numpy(), k)
-        dual_search(cover_tree(q, np.arange(len(q)), QUERY_LEAF), cover_tree(d, np.arange(len(d)), DATA_LEAF), q, d, ids, best)
-        rows, columns = np.nonzero(np.isfinite(best.scores))
-        return pa.table([pa.array(own[rows]), pa.array(best.ids[rows, columns]), pa.array(best.scores[rows, columns].astype(np.int64))], ["query_id", "vec_id", "score"])
-
-    keys = ["length", "node", "part", "chunk"]
-    scored = routed.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score long")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    assigned = materialize(assign(valid, fit_top(valid, total), k, every), "assigned")
+    blocks = blocks_of(assigned)
+    queries = assigned.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).withColumn("number", F.monotonically_increasing_id())
+    queries = materialize(queries.select("number", "vec_id", "length", "v", "floor"), "queries")
+    chunks = -(-queries.count() // CHUNK_QUERIES)
+    place, parts = F.pmod(F.xxhash64("number"), F.lit(max(1, chunks))), []
+    for c in range(chunks):
+        found = answers(blocks, queries.filter(place == c).toArrow(), k)
+        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")))
+        parts.append(materialize(ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "ranked"))
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
