@@ -39,7 +39,7 @@ PERCENT = 75
 BROADCAST_IDS = 200_000
 SAMPLE_DOCS, COMMON_SHINGLES, LEVELS = 10_000, 500_000, 1023
 SMALL_GROUP, CELLS = 32, 500_000
-NARROWEST, WIDEST = 256, 4096  # bits of parity bitmaps
+NARROWEST, WIDEST = 512, 4096  # bits of parity bitmaps
 CROWD_BLOCK = 4096  # members of one shingle that meet in one group
 HOT_LEVEL = int(LEVELS * np.log(10) / np.log(2 * SAMPLE_DOCS))  # of shingles that a thousandth of the sample holds
 MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,8 +90,8 @@ def prefixes(sets: Sets, common: np.ndarray, level: np.ndarray) -> pa.Array:
 
 
 def widths(sizes: np.ndarray) -> np.ndarray:
-    """Bits of the parity bitmaps of sets of these sizes: a power of two, twice the size or more where it can be."""
-    return np.clip(1 << np.ceil(np.log2(2 * np.maximum(sizes, 1))).astype(np.int64), NARROWEST, WIDEST)
+    """Bits of the parity bitmaps of sets of these sizes: a power of two, four times the size or more where it can be."""
+    return np.clip(1 << np.ceil(np.log2(4 * np.maximum(sizes, 1))).astype(np.int64), NARROWEST, WIDEST)
 
 
 def parities(sets: Sets) -> pa.Array:
@@ -281,8 +281,9 @@ def in_some_pair(rows: dict[str, np.ndarray]) -> np.ndarray:
     return hit
 
 
-def in_crowd(rows: dict[str, np.ndarray], members: np.ndarray, bitmaps: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (x, y) of one crowd's members that can be linked and whose bitmaps allow the overlap of a link.
+def in_crowd(rows: dict[str, np.ndarray], members: np.ndarray, bitmaps: list[bytes], nearest_alone: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (x, y) of one crowd's members that can be linked and whose bitmaps allow the overlap of a link:
+    all of them, or for each x the one whose bitmaps agree best.
 
     Members of one bitmap width are compared with each other and with those of twice that width, folded; others
     are no match by size. Members of different blocks are compared only where the crowd joins two blocks.
@@ -307,12 +308,13 @@ def in_crowd(rows: dict[str, np.ndarray], members: np.ndarray, bitmaps: list[byt
             p, q = p[fresh], q[fresh]
             ok = can_link(rows, same[p], facing[q])
             p, q = p[ok], q[ok]
-            for j in range(0, len(p), 100_000):
-                u, v = p[j : j + 100_000], q[j : j + 100_000]
-                apart = np.bitwise_count(own[u] ^ maps[v]).sum(1, dtype=np.int64)
-                total = sizes[same[u]] + sizes[facing[v]]
-                hit = (100 + PERCENT) * (total - apart) >= 2 * PERCENT * total
-                yield same[u[hit]], facing[v[hit]]
+            total = sizes[same[p]] + sizes[facing[q]]
+            apart = np.concatenate([np.zeros(0, dtype=np.int64), *(np.bitwise_count(own[p[j : j + 100_000]] ^ maps[q[j : j + 100_000]]).sum(1, dtype=np.int64) for j in range(0, len(p), 100_000))])
+            hit = np.flatnonzero((100 + PERCENT) * (total - apart) >= 2 * PERCENT * total)
+            if nearest_alone:
+                hit = hit[np.lexsort((apart[hit] / total[hit], p[hit]))]
+                hit = hit[np.append(True, p[hit][1:] != p[hit][:-1])[: len(hit)]]
+            yield same[p[hit]], facing[q[hit]]
 
 
 MEMBER = "doc_id long, n_shingles long, component long, place int"
@@ -385,8 +387,9 @@ def met(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(work, f"key long, {MEMBER}")
 
 
-def crowd_pairs(members: DataFrame, parity: DataFrame) -> DataFrame:
-    """a, b: pairs of ``members(key, doc_id, n_shingles, component, place)`` that share a key and can be linked.
+def crowd_pairs(members: DataFrame, parity: DataFrame, nearest_alone: bool) -> DataFrame:
+    """a, b: pairs of ``members(key, doc_id, n_shingles, component, place)`` that share a key and can be linked; all,
+    or the nearest of each member in each group.
 
     Keys without two components or an early member give none. A key's members are dealt into blocks of about
     CROWD_BLOCK, and every two blocks, and each with itself, meet in one group.
@@ -403,18 +406,22 @@ def crowd_pairs(members: DataFrame, parity: DataFrame) -> DataFrame:
         rows = columns_of(batch, ("meet", "doc_id", "n_shingles", "component", "place", "block"))
         bitmaps = batch["parity"].to_pylist()
         starts = np.flatnonzero(np.append(True, rows["meet"][1:] != rows["meet"][:-1])) if len(batch) else []
-        found = [pair for x, y in zip(starts, np.append(starts, len(batch))[1:].astype(int), strict=True) for pair in in_crowd(rows, np.arange(x, y), bitmaps)]
+        found = [pair for x, y in zip(starts, np.append(starts, len(batch))[1:].astype(int), strict=True) for pair in in_crowd(rows, np.arange(x, y), bitmaps, nearest_alone)]
         return pa.record_batch([*map(pa.array, unique_pairs(rows["doc_id"], found))], ["a", "b"])
 
     return by_groups(one.union(more).join(parity, "doc_id"), "meet", pairs, "a long, b long")
 
 
-def remaining(reps: DataFrame, groups: DataFrame) -> DataFrame:
-    """a, b: all pairs of ``reps`` that can be linked and that ``groups(node, component)`` leaves apart. Exact."""
-    labelled = reps.select("doc_id", "n_shingles", "prefix").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "doc_id"))
-    members = materialize(met(spread(labelled, False)).union(spread(labelled, True)), "members")
-    return crowd_pairs(members, reps.select("doc_id", "parity")).distinct()
+def with_component(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows(doc_id, ...)`` with their component by ``groups(node, component)``; alone, it is their own."""
+    return rows.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def prefix_members(reps: DataFrame, groups: DataFrame) -> DataFrame:
+    """key, doc_id, n_shingles, component, place of the prefixes' shingles at which two sets of different components
+    meet that can be linked."""
+    labelled = with_component(reps.select("doc_id", "n_shingles", "prefix"), groups)
+    return materialize(met(spread(labelled, False)).union(spread(labelled, True)), "members")
 
 
 @F.pandas_udf(T.IntegerType())
@@ -499,9 +506,17 @@ def texts_for(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(same_set, "doc_id long, text string"), "texts")
 
 
+def confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    texts = texts_for(docs, reps, pairs)
+    linked = materialize(confirmed(pairs, texts), "linked")
+    discard(texts)
+    return linked
+
+
 def links_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Confirmed links that connect all that is linked: first at most two candidates of the trees for each
-    document, then all pairs that can be linked and still lie between different components."""
+    """Confirmed links that connect all that is linked: at most two candidates of the trees for each document, then
+    the nearest pairs that a prefix's shingles bring together, then all pairs that can be linked and still lie
+    between different components."""
     leaves, stars, used = grow(reps)
     facts = reps.select("doc_id", "n_shingles", "sketch")
     near = compare_small(leaves.join(facts, "doc_id")).union(stars)
@@ -511,11 +526,15 @@ def links_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
     two = best.select("a", F.explode(F.array("x.b", "y.b")).alias("b"))
     first = materialize(two.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")
     discard(*used)
-    texts = texts_for(docs, reps, first)
-    linked = materialize(confirmed(first, texts), "linked")
-    discard(texts)
-    rest = materialize(remaining(reps, components(linked)).join(first, ["a", "b"], "left_anti"), "rest")
-    return linked.union(materialize(confirmed(rest, texts_for(docs, reps, rest)), "linked"))
+    linked, tried = confirm(docs, reps, first), first
+    members = prefix_members(reps, components(linked))
+    # What is alike in a crowd is joined by its nearest pairs, so that few pairs are left between components.
+    for nearest_alone in (True, False):
+        rows = with_component(members.drop("component"), components(linked)) if not nearest_alone else members
+        pairs = crowd_pairs(rows, reps.select("doc_id", "parity"), nearest_alone).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        linked, tried = linked.union(confirm(docs, reps, pairs)), tried.union(pairs)
+    return linked
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
