@@ -18,7 +18,7 @@ from quire.shared import materialize
 
 LIMIT = 0.9
 CLUSTER_ROWS, SHARD_ROWS, CHUNK_QUERIES = 1024, 1536, 4096
-MAX_CLUSTERS, SAMPLE_ROWS = 1024, 20_000
+MAX_CLUSTERS, SAMPLE_ROWS = 4096, 40_000
 OVERLAP, PROBES = 2, 3
 DEGREE, NEAREST, FAR, ALPHA = 24, 48, 16, 1.2
 STARTS, BEAM, SLACK = 48, 32, 0.1
@@ -262,7 +262,8 @@ def build_shards(reps: DataFrame, clusters: Clusters) -> DataFrame:
 
 
 def search_shards(reps: DataFrame, shards: DataFrame, clusters: Clusters, probes: int, beam: int, limit: float) -> DataFrame:
-    """vec_id, n (weight of the vectors found linked), root (smallest vector of its links in one shard).
+    """vec_id, n (weight of the vectors that it found linked), back (of those that found it), root (smallest vector
+    of its links in one shard).
 
     Every vector asks all shards of its ``probes`` nearest clusters. A found vector counts where the first of
     its homes that the query asks is the shard's cluster, so no pair counts twice and none need be listed.
@@ -283,16 +284,16 @@ def search_shards(reps: DataFrame, shards: DataFrame, clusters: Clusters, probes
                 for s in range(int(shards_of.max())):
                     rows = pa.array(np.flatnonzero(shards_of > s))
                     n = len(rows)
-                    yield pa.record_batch([pa.array(k, pa.int32()).take(rows), pa.array([s] * n, pa.int32()), pa.array(part.astype(np.int32)).take(rows), batch["vec_id"].take(rows), batch["v"].take(rows), asked.take(rows)], ["cluster", "shard", "part", "vec_id", "v", "asked"])
+                    yield pa.record_batch([pa.array(k, pa.int32()).take(rows), pa.array([s] * n, pa.int32()), pa.array(part.astype(np.int32)).take(rows), batch["vec_id"].take(rows), batch["weight"].take(rows), batch["v"].take(rows), asked.take(rows)], ["cluster", "shard", "part", "vec_id", "weight", "v", "asked"])
 
-    routed = reps.select("vec_id", "v").mapInArrow(route, "cluster int, shard int, part int, vec_id long, v binary, asked array<int>")
+    routed = reps.select("vec_id", "weight", "v").mapInArrow(route, "cluster int, shard int, part int, vec_id long, weight long, v binary, asked array<int>")
     parts = spark.createDataFrame(list(enumerate(clusters.parts)), "cluster int, parts int")
     held = shards.join(F.broadcast(parts), "cluster").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def search(key: tuple[pa.Scalar, ...], asked: pa.Table, shard: pa.Table) -> pa.Table:
-        names = ["vec_id", "n", "root"]
+        names = ["vec_id", "n", "back", "root"]
         if not len(asked) or not len(shard):
-            return pa.table([pa.array([], pa.int64())] * 3, names)
+            return pa.table([pa.array([], pa.int64())] * 4, names)
         ids = np.frombuffer(shard["ids"][0].as_py(), dtype="<i8")
         weights, homes = np.frombuffer(shard["weights"][0].as_py(), dtype="<i8"), np.frombuffer(shard["homes"][0].as_py(), dtype="<i4").reshape(-1, OVERLAP)
         points, edges = (np.frombuffer(shard[c][0].as_py(), dtype=t).reshape(len(ids), -1) for c, t in (("points", "<f8"), ("edges", "<i4")))
@@ -304,15 +305,16 @@ def search_shards(reps: DataFrame, shards: DataFrame, clusters: Clusters, probes
         second = (homes[p][:, :1] == order[q]).any(1)  # the query asks the first home as well
         here = key[0].as_py()
         counted = (homes[p][:, 0] == here) | ((homes[p][:, 1] == here) & ~second)
-        n = np.bincount(q[counted], weights[p[counted]], len(own)).astype(np.int64)
+        q_met, p_met = q[counted], p[counted]
+        met, at = np.unique(np.concatenate([own[q], ids[p]]), return_inverse=True)
+        q_at, p_at = at[: len(q)][counted], at[len(q) :][counted]
+        n = np.bincount(q_at, weights[p_met], len(met)).astype(np.int64)
+        back = np.bincount(p_at, asked["weight"].to_numpy()[q_met], len(met)).astype(np.int64)
         roots = local_roots(own[q], ids[p]) if len(q) else {}
-        total = dict.fromkeys(roots, 0)
-        for i in np.flatnonzero(n):
-            total[int(own[i])] = total.get(int(own[i]), 0) + int(n[i])
-        return pa.table([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64()), pa.array([roots.get(i, i) for i in total], pa.int64())], names)
+        return pa.table([pa.array(met), pa.array(n), pa.array(back), pa.array([roots[i] for i in met.tolist()], pa.int64())], names)
 
     keys = ["cluster", "shard", "part"]
-    return materialize(routed.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(search, "vec_id long, n long, root long"), "found")
+    return materialize(routed.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(search, "vec_id long, n long, back long, root long"), "found")
 
 
 def search_all(reps: DataFrame, total: int, limit: float) -> DataFrame:
@@ -329,18 +331,24 @@ def search_all(reps: DataFrame, total: int, limit: float) -> DataFrame:
     asking, asked = packed.withColumn("other", every), packed.withColumnRenamed("block", "other").withColumn("block", every)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["vec_id", "n", "root"]
+        names = ["vec_id", "n", "back", "root"]
         if not len(left) or not len(right):
-            return pa.table([pa.array([], pa.int64())] * 3, names)
+            return pa.table([pa.array([], pa.int64())] * 4, names)
         (own, _, rows), (ids, weights, points) = ([np.frombuffer(t[c][0].as_py(), dtype=d) for c, d in (("ids", "<i8"), ("weights", "<i8"), ("points", "<f8"))] for t in (left, right))
         hit = (rows.reshape(len(own), -1) @ points.reshape(len(ids), -1).T >= limit) & (own[:, None] != ids[None])
         q, p = np.nonzero(hit)
         roots, n = local_roots(own[q], ids[p]) if len(q) else {}, hit @ weights
         met = np.flatnonzero(n)
-        return pa.table([pa.array(own[met]), pa.array(n[met]), pa.array([roots[i] for i in own[met].tolist()], pa.int64())], names)
+        return pa.table([pa.array(own[met]), pa.array(n[met]), pa.array(n[met]), pa.array([roots[i] for i in own[met].tolist()], pa.int64())], names)
 
     keys = ["block", "other"]
-    return materialize(asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(compare, "vec_id long, n long, root long"), "found")
+    return materialize(asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(compare, "vec_id long, n long, back long, root long"), "found")
+
+
+def link_counts(found: DataFrame) -> DataFrame:
+    """vec_id, n: the links that a vector found, or by which it was found, whichever are more: both are links, and a
+    link that one side alone has met is not lost to the other."""
+    return found.groupBy("vec_id").agg(F.greatest(F.sum("n"), F.sum("back")).alias("n"))
 
 
 def audit(reps: DataFrame, counts: DataFrame, total: int, limit: float) -> float:
@@ -358,13 +366,13 @@ def audit(reps: DataFrame, counts: DataFrame, total: int, limit: float) -> float
 
     true = reps.mapInArrow(work, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("true"))
     share_found = F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / F.col("true"))
-    got = true.filter(F.col("true") > 0).join(counts.groupBy("vec_id").agg(F.sum("n").alias("n")), "vec_id", "left")
+    got = true.filter(F.col("true") > 0).join(link_counts(counts), "vec_id", "left")
     means = got.groupBy(F.col("true") <= FEW).agg(F.avg(share_found).alias("recall")).collect()
     return min((r["recall"] for r in means), default=1.0)
 
 
 def found_links(reps: DataFrame, total: int, limit: float, recall: float) -> DataFrame:
-    """vec_id, n, root of the links among vectors of one length: by the graph, and if that finds too few by the audit
+    """vec_id, n, back, root of the links among vectors of one length: by the graph, and if that finds too few by the audit
     even in its widest search, by comparing all with all."""
     clusters = fit_clusters(reps, total)
     sent = reps.sparkSession.sparkContext.broadcast(clusters)
@@ -408,8 +416,8 @@ def link_vectors(vectors: DataFrame, limit: float = LIMIT, recall: float = RECAL
     if not sizes:
         return out.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     parts = [found_links(reps.filter(F.col("length") == k).drop("length"), n, limit, recall) for k, n in sorted(sizes.items()) if n > 1]
-    found = reduce(DataFrame.union, parts) if parts else reps.select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("root")).limit(0)
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
+    found = reduce(DataFrame.union, parts) if parts else reps.select("vec_id", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("back"), F.col("vec_id").alias("root")).limit(0)
+    counts = link_counts(found)
     labels = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     facts = members.join(counts.withColumnRenamed("vec_id", "rep"), "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     facts = facts.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
