@@ -69,12 +69,14 @@ def train(
     max_grams: int = 50_000,
     max_languages: int = 256,
     longest: int = 4,
+    longest_word: int = 64,
 ) -> LanguageModel:
     """Fit on ``labelled(doc_id, text, lang)``: at most about ``max_docs`` rows, of the ``max_languages`` most
     frequent languages, and about ``max_words`` words and ``max_grams`` n-grams of each size.
 
     Every language has the same quota of each; what a language doesn't use goes to the others (``quota``).
-    n-grams are counted over all words of the sample, whatever the cap on words. So the model, and what goes
+    n-grams are counted over all words of the sample, whatever the cap on words; words of more than ``longest_word``
+    characters, which are runs of unsegmented scripts, are told by their n-grams alone. So the model, and what goes
     to the driver, has a fixed size whatever the table's, and a language's place in it doesn't depend on others'.
     """
     rows = labelled.select("doc_id", "text", "lang")
@@ -89,7 +91,7 @@ def train(
             seen: dict[str, Counter] = defaultdict(Counter)
             for text, lang in zip(part["text"], part["lang"], strict=True):
                 seen[lang].update(words_of(text))
-            found = [(lang, 0, w, n) for lang, c in seen.items() for w, n in c.items() if len(w) <= 64]
+            found = [(lang, 0, w, n) for lang, c in seen.items() for w, n in c.items() if len(w) <= longest_word]
             for lang, c in seen.items():
                 for size in range(1, longest + 1):
                     grams: Counter = Counter()
