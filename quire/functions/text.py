@@ -49,19 +49,21 @@ def character(code_point: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(code_point), 8, "0")), "UTF-32")
 
 
+def numeric_reference(body: Column) -> Column:
+    """The character of ``#...`` or ``#x...``: U+FFFD for a number that is none, nothing for control characters."""
+    digits = F.regexp_replace(body, "^#[xX]?0*", "")
+    short = F.when(body.rlike("^#[xX]"), F.when(F.length(digits) <= 6, F.conv(digits, 16, 10))).when(F.length(digits) <= 7, digits)
+    code = F.coalesce(short.try_cast("long"), F.when(digits == "", 0).otherwise(1 << 40))
+    bad = lambda c: (c <= 0) | (c > 0x10FFFF) | c.between(0xD800, 0xDFFF)
+    shown = lambda c: F.when(bad(c), "�").when((c < 32) & ~c.isin(9, 10, 13), "").otherwise(character(F.when(bad(c), 65).otherwise(c)))
+    return F.transform(F.array(code), shown)[0]
+
+
 def decode_reference(token: Column) -> Column:
-    """One character reference, ``&...;``: numeric ones by number (invalid: U+FFFD, control characters:
-    nothing), known names by the table, others as they stand."""
-    body = F.substring(token, 2, 1_000_000)
-    body = F.substring(body, F.lit(1), F.length(body) - 1)
-    hexadecimal = F.regexp_extract(body, "^#[xX]0*([0-9a-fA-F]+)$", 1)
-    decimal = F.regexp_extract(body, "^#0*([0-9]+)$", 1)
-    code = F.when(F.length(hexadecimal) > 0, F.when(F.length(hexadecimal) <= 6, F.conv(hexadecimal, 16, 10).cast("long")).otherwise(F.lit(1 << 40)))
-    code = code.when(F.length(decimal) > 0, F.when(F.length(decimal) <= 7, decimal.try_cast("long")).otherwise(F.lit(1 << 40)))
-    bad = (code <= 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
-    numeric = F.when(bad, "�").when((code < 32) & ~code.isin(9, 10, 13), "").otherwise(character(F.when(bad, 65).otherwise(code)))
+    """One character reference, ``&...;``: numeric ones by number, known names by the table, others as they stand."""
+    body = F.substring(token, F.lit(2), F.length(token) - 2)
     names = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES.items() for x in pair])
-    return F.when(code.isNotNull(), numeric).otherwise(F.coalesce(F.try_element_at(names, F.lower(body)), token))
+    return F.when(F.substring(token, 2, 1) == "#", numeric_reference(body)).otherwise(F.coalesce(F.try_element_at(names, F.lower(body)), token))
 
 
 def decode_entities(text: Column) -> Column:

@@ -15,12 +15,16 @@ DIFF = "pair_id long, ord long, kind string, left_line long, right_line long, te
 MAX_CELLS = 4_000_000
 
 
-def pair_line_counts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pair_id, left_lines, right_lines, total_lines of ``pairs(pair_id, left_id, right_id)``."""
+def pair_line_counts(pairs: DataFrame, docs: DataFrame, max_side: int | None = None, max_total: int | None = None) -> DataFrame:
+    """pair_id, left_lines, right_lines, total_lines, error_code of ``pairs(pair_id, left_id, right_id)``: a code where
+    a side, or both together, have more lines than a limit that is given."""
     counts = logical_lines(docs).groupBy("doc_id").agg(F.count("*").alias("n"))
     left, right = counts.select(F.col("doc_id").alias("left_id"), F.col("n").alias("l")), counts.select(F.col("doc_id").alias("right_id"), F.col("n").alias("r"))
     out = pairs.join(left, "left_id", "left").join(right, "right_id", "left").na.fill(0, ["l", "r"])
-    return out.select("pair_id", F.col("l").alias("left_lines"), F.col("r").alias("right_lines"), (F.col("l") + F.col("r")).alias("total_lines"))
+    out = out.select("pair_id", F.col("l").alias("left_lines"), F.col("r").alias("right_lines"), (F.col("l") + F.col("r")).alias("total_lines"))
+    side = F.lit(max_side is not None) & (F.greatest("left_lines", "right_lines") > (max_side or 0))
+    both = F.lit(max_total is not None) & (F.col("total_lines") > (max_total or 0))
+    return out.withColumn("error_code", F.when(side, "comparison-line-limit").when(both, "comparison-total-line-limit"))
 
 
 def middle_snake(a: list[int], b: list[int], i1: int, i2: int, j1: int, j2: int) -> tuple[int, int, int, int]:

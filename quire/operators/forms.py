@@ -17,8 +17,9 @@ def parse_form_values(rows: DataFrame) -> DataFrame:
     given = rows.filter(F.length("values") > 0).select("doc_id", F.try_parse_json("values").alias("v"))
     is_object = F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False))
     wrong = given.filter(F.col("v").isNull() | ~is_object).select("doc_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("value_json"), F.lit("invalid-form-values").alias("error_code"))
-    given.filter(F.col("v").isNotNull() & is_object).createOrReplaceTempView("quire_form_values")
-    keys = given.sparkSession.sql("SELECT f.doc_id, e.key AS name, schema_of_variant(e.value) AS type, to_json(e.value) AS value_json FROM quire_form_values f, LATERAL variant_explode(f.v) e")
+    objects = given.filter(F.col("v").isNotNull() & is_object)
+    entries = objects.lateralJoin(given.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    keys = entries.select("doc_id", F.col("key").alias("name"), F.schema_of_variant("value").alias("type"), F.to_json("value").alias("value_json"))
     kind = F.when(F.col("type") == "STRING", "text").when(F.col("type") == "BOOLEAN", "boolean").when(F.col("type").isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.col("value_json").rlike(r"^\[null|,null"), "list").when(F.col("type") == "VOID", "null")
     code = F.when(F.col("name") == "", "empty-field-name").when(kind.isNull(), "unsupported-form-value")
     return keys.select("doc_id", "name", kind.alias("kind"), "value_json", code.alias("error_code")).unionByName(wrong)
@@ -110,8 +111,10 @@ def clamp_regions(regions: DataFrame) -> DataFrame:
 
 def mask_regions(cells: DataFrame, regions: DataFrame, fill: int = 0) -> DataFrame:
     """``cells(doc_id, page, x, y, value)`` (x and y in percent) with value ``fill`` and masked where a region of the
-    page covers them. Regions meet cells by page first; a cell that several cover counts once."""
-    r = regions.filter("error_code IS NULL").select(F.col("doc_id").alias("d"), F.col("page").alias("p"), F.col("x").alias("rx"), F.col("y").alias("ry"), "width", "height")
-    covers = (F.col("doc_id") == F.col("d")) & (F.col("page") == F.col("p")) & (F.col("x") >= F.col("rx")) & (F.col("x") < F.col("rx") + F.col("width")) & (F.col("y") >= F.col("ry")) & (F.col("y") < F.col("ry") + F.col("height"))
-    inside = cells.join(r, covers, "left_semi").withColumn("value", F.lit(fill).cast(cells.schema["value"].dataType)).withColumn("masked", F.lit(True))
-    return inside.unionByName(cells.join(r, covers, "left_anti").withColumn("masked", F.lit(False)))
+    page covers them. A page's regions meet its cells as one list, so a cell that several cover counts once."""
+    areas = regions.filter("error_code IS NULL").groupBy("doc_id", "page").agg(F.collect_list(F.struct("x", "y", "width", "height")).alias("areas"))
+    x, y = F.col("x"), F.col("y")
+    covers = F.exists("areas", lambda r: (x >= r["x"]) & (x < r["x"] + r["width"]) & (y >= r["y"]) & (y < r["y"] + r["height"]))
+    met = cells.join(areas, ["doc_id", "page"], "left").withColumn("masked", F.coalesce(covers, F.lit(False)))
+    value = F.when(F.col("masked"), F.lit(fill).cast(cells.schema["value"].dataType)).otherwise(F.col("value"))
+    return met.select(*[value.alias(c) if c == "value" else F.col(c) for c in cells.columns], "masked")

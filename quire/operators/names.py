@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,9 +35,11 @@ def composed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield names.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
 
-def nfc(name: Column) -> Column:
-    """Composed; names of ASCII never leave the JVM's own functions' result."""
-    return F.when(name.rlike(r"[^\x00-\x7f]"), composed(name)).otherwise(name)
+def compose_names(df: DataFrame, name: str = "name") -> DataFrame:
+    """``df`` with ``name`` in Unicode's composed form. Rows are split, so that ASCII names never leave the JVM
+    (a Python function inside a condition would be evaluated for all)."""
+    wide = F.coalesce(F.col(name).rlike(r"[^\x00-\x7f]"), F.lit(False))
+    return df.filter(~wide).unionByName(df.filter(wide).withColumn(name, composed(name)))
 
 
 def bounded(name: Column, most: Column | int = MAX_BYTES) -> Column:
@@ -48,11 +51,10 @@ def bounded(name: Column, most: Column | int = MAX_BYTES) -> Column:
     return F.regexp_replace(F.when(utf8_size(name) <= most, name).otherwise(cut), rf"(?:[.-]|{WS})+$", "")
 
 
-def clean_stem(name: Column, fallback: str = "result", compose: bool = True) -> Column:
-    """A file stem: composed, without control and direction characters, path characters as dashes, blanks single,
+def clean_stem(name: Column, fallback: str = "result") -> Column:
+    """A file stem of a composed name (``compose_names``): without control and direction characters, path characters as dashes, blanks single,
     ends bare, reserved device names prefixed, at most MAX_BYTES bytes."""
     text = F.coalesce(name, F.lit(""))
-    text = nfc(text) if compose else text
     text = F.regexp_replace(text, r"[\u0000-\u001f\u007f-\u009f\u200e\u200f\u202a-\u202e\u2066-\u2069]", "")
     text = F.regexp_replace(F.regexp_replace(text, r'[<>:"/\\|?*]+', "-"), f"{WS}+", " ")
     text = F.regexp_replace(text, rf"^(?:[.-]|{WS})+|(?:[.-]|{WS})+$", "")
@@ -69,23 +71,45 @@ def safe_name(name: Column, fallback: str = "result") -> Column:
 
 def check_names(df: DataFrame) -> DataFrame:
     """``df(id, name)`` with clean (empty for an empty name) and error_code."""
+    df = compose_names(df.select("id", "name").withColumn("given", F.col("name")))
     name = trimmed(F.coalesce("name", F.lit("")))
     stem = clean_stem(F.regexp_replace(name, KNOWN_EXTENSION, ""), fallback="")
-    code = F.when((F.length(name) > MAX_CHARACTERS) | (utf8_size(name) > MAX_BYTES), "output-name-too-long").when((name != "") & (stem == ""), "invalid-output-name")
-    return df.select("id", "name", F.when(code.isNull(), stem).alias("clean"), code.alias("error_code"))
+    given = trimmed(F.coalesce("given", F.lit("")))
+    code = F.when((F.length(given) > MAX_CHARACTERS) | (utf8_size(given) > MAX_BYTES), "output-name-too-long").when((name != "") & (stem == ""), "invalid-output-name")
+    return df.select("id", F.col("given").alias("name"), F.when(code.isNull(), stem).alias("clean"), code.alias("error_code"))
+
+
+def source_names(jobs: DataFrame, files: DataFrame) -> DataFrame:
+    """``jobs(job_id, slug, mode)`` with n_files and the stem of the first of their ``files(job_id, seq, name)``."""
+    first = files.groupBy("job_id").agg(F.count("*").alias("n_files"), F.min(F.struct("seq", "name")).alias("f")).select("job_id", "n_files", F.col("f.name").alias("name"))
+    mode = F.col("mode") if "mode" in jobs.columns else F.lit(None).cast("string")
+    both = jobs.select("job_id", "slug", mode.alias("mode")).join(first, "job_id", "left")
+    source = F.coalesce(F.col("name"), F.when(F.col("slug").startswith("html-"), "html-document").otherwise("document"))
+    return compose_names(both.withColumn("name", source)).withColumn("stem", clean_stem(F.regexp_replace("name", KNOWN_EXTENSION, ""))).drop("name")
 
 
 def suggest_names(jobs: DataFrame, files: DataFrame) -> DataFrame:
     """job_id, suggestion of ``jobs(job_id, slug)`` from their ``files(job_id, seq, name)``: the first one's stem,
-    how many more there are, and the operation, unless the stem ends with it."""
-    first = files.groupBy("job_id").agg(F.count("*").alias("n"), F.min(F.struct("seq", "name")).alias("f")).select("job_id", "n", F.col("f.name").alias("name"))
-    both = jobs.select("job_id", "slug").join(first, "job_id", "left")
-    source = F.coalesce(F.col("name"), F.when(F.col("slug").startswith("html-"), "html-document").otherwise("document"))
-    named = both.withColumn("stem", clean_stem(F.regexp_replace(source, KNOWN_EXTENSION, "")))
-    word = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in OPERATIONS.items() for x in pair]), F.col("slug")), F.lit(""))
-    more = F.when(F.col("n") > 1, F.concat(F.lit("-and-"), (F.col("n") - 1).cast("string"), F.lit("-more"))).otherwise("")
-    suffix = F.concat(more, F.when((word == "") | F.lower("stem").endswith(F.concat(F.lit("-"), word)), "").otherwise(F.concat(F.lit("-"), word)))
-    return named.select("job_id", F.concat(bounded(F.col("stem"), MAX_BYTES - utf8_size(suffix)), suffix).alias("suggestion"))
+    how many more there are, and the operation, unless the stem ends with it. ``jobs`` may have a ``mode``: a merge
+    by ``interleave`` is called so, and its stem loses what names it the front pages."""
+    return suggested(source_names(jobs, files)).select("job_id", "suggestion")
+
+
+def suggested(named: DataFrame) -> DataFrame:
+    """``source_names`` with the suggestion."""
+    interleaved = F.coalesce((F.col("slug") == "merge-pdf") & (F.col("mode") == "interleave"), F.lit(False))
+    bare = F.regexp_replace("stem", r"(?i)[-_ ](?:fronts?|odd)(?:[-_ ]pages)?$", "")
+    stem = F.when(interleaved & (bare != ""), bare).otherwise(F.col("stem"))
+    word = F.when(interleaved, "interleaved").otherwise(F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in OPERATIONS.items() for x in pair]), F.col("slug")), F.lit("")))
+    rows = named.withColumn("short", stem).withColumn("word", word)
+    more = F.when(F.col("n_files") > 1, F.concat(F.lit("-and-"), (F.col("n_files") - 1).cast("string"), F.lit("-more"))).otherwise("")
+    suffix = F.concat(more, F.when((F.col("word") == "") | F.lower("short").endswith(F.concat(F.lit("-"), F.col("word"))), "").otherwise(F.concat(F.lit("-"), F.col("word"))))
+    return rows.withColumn("suggestion", with_label(F.col("short"), suffix)).drop("short", "word")
+
+
+def with_label(stem: Column, label: Column) -> Column:
+    """A stem with a label behind it, together at most MAX_BYTES bytes."""
+    return F.concat(bounded(stem, MAX_BYTES - utf8_size(label)), label)
 
 
 def name_parts(name: Column) -> tuple[Column, Column]:
@@ -98,49 +122,80 @@ def name_parts(name: Column) -> tuple[Column, Column]:
 def unique_names(results: DataFrame) -> DataFrame:
     """job_id, seq, name: no two names of a job alike, whatever their case; later ones get the next free number.
 
-    Names that nothing in their job could meet are passed on as they are: those whose stem, without numbers at its
-    end, is single there. Only the others go through one Python call for each (job, stem), which no other
-    name can touch, so a large job is no single task.
+    Names can meet only where their stems agree without the numbers at their ends (the root). Where all stems of a
+    root are one, a name's number is its place, by a window; only roots with stems that are numbered already are
+    gone through in order by Python, streamed sorted, with what is used in one root as its state.
     """
     stem, extension = name_parts(F.coalesce("name", F.lit("result")))
     label = F.regexp_extract(stem, PAGE_LABEL, 0)
     plain = F.regexp_replace(stem, PAGE_LABEL, "")
-    safe = F.concat(bounded(clean_stem(plain), MAX_BYTES - utf8_size(label)), label)
-    rows = results.select("job_id", "seq", safe.alias("stem"), F.when(extension == "", "").otherwise(F.concat(F.lit("."), extension)).alias("ext"))
+    rows = compose_names(results.select("job_id", "seq", "name")).select("job_id", "seq", with_label(clean_stem(plain), label).alias("stem"), F.when(extension == "", "").otherwise(F.concat(F.lit("."), extension)).alias("ext"))
     root = F.concat(F.regexp_replace(F.lower("stem"), r"(?:-[0-9]+)+$", ""), F.lit("\n"), F.col("ext"))
-    rows = rows.withColumn("root", root)
-    counts = rows.groupBy("job_id", "root").agg(F.count("*").alias("n"))
-    counted = rows.join(counts, ["job_id", "root"])
-    alone = counted.filter("n = 1").select("job_id", "seq", F.concat("stem", "ext").alias("name"))
-
-    def number(part: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        next_of: dict[str, int] = {}
-        names = []
-        part = part.sort_values("seq")
-        for stem, ext in zip(part["stem"], part["ext"], strict=True):
-            name, n = f"{stem}{ext}", next_of.get(stem.lower(), 2)
-            while name.lower() in used:
-                name, n = f"{stem}-{n}{ext}", n + 1
-            next_of[stem.lower()] = n if name != f"{stem}{ext}" else 2
-            used.add(name.lower())
-            names.append(name)
-        return pd.DataFrame({"job_id": part["job_id"], "seq": part["seq"], "name": names})
-
-    met = counted.filter("n > 1").groupBy("job_id", "root").applyInPandas(number, "job_id long, seq long, name string")
-    return alone.select(F.col("job_id").cast("long").alias("job_id"), F.col("seq").cast("long").alias("seq"), "name").unionByName(met)
+    group = Window.partitionBy("job_id", "root")
+    rows = rows.withColumn("root", root).withColumn("low", F.lower("stem"))
+    rows = rows.withColumn("one", F.min("low").over(group) == F.max("low").over(group)).withColumn("nth", F.row_number().over(group.orderBy("seq")))
+    numbered = F.concat("stem", F.when(F.col("nth") > 1, F.concat(F.lit("-"), F.col("nth").cast("string"))).otherwise(""), "ext")
+    alone = rows.filter("one").select(F.col("job_id").cast("long").alias("job_id"), F.col("seq").cast("long").alias("seq"), numbered.alias("name"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, used, next_of = None, set(), {}
+        for batch in batches:
+            names = []
+            for job, root, stem, ext in zip(*(batch[c].to_pylist() for c in ("job_id", "root", "stem", "ext")), strict=True):
+                if (job, root) != key:
+                    key, used, next_of = (job, root), set(), {}
+                name, n = f"{stem}{ext}", next_of.get(stem.lower(), 2)
+                while name.lower() in used:
+                    name, n = f"{stem}-{n}{ext}", n + 1
+                next_of[stem.lower()] = n if name != f"{stem}{ext}" else 2
+                used.add(name.lower())
+                names.append(name)
+            yield pa.record_batch([batch["job_id"], batch["seq"], pa.array(names, pa.string())], ["job_id", "seq", "name"])
+
+    met = rows.filter("NOT one").select(F.col("job_id").cast("long").alias("job_id"), F.col("seq").cast("long").alias("seq"), "root", "stem", "ext")
+    met = met.repartition("job_id", "root").sortWithinPartitions("job_id", "root", "seq").mapInArrow(number, "job_id long, seq long, name string")
+    return alone.unionByName(met)
 
 
 def number_names(results: DataFrame, custom: str) -> DataFrame:
     """job_id, seq, name: a custom name, the page label where there is one, else a number as wide as the batch
     needs (none in a batch of one)."""
+    rows = numbered_results(results)
+    label = F.when(F.col("label") != "", F.col("label")).when(F.col("n") > 1, F.concat(F.lit("-"), F.col("place"))).otherwise("")
+    custom = unicodedata.normalize("NFC", custom)
+    return rows.select("job_id", "seq", F.concat(with_label(clean_stem(F.lit(custom)), label), F.col("ext")).alias("name"))
+
+
+def numbered_results(results: DataFrame) -> DataFrame:
+    """Label, extension, place (as wide as the batch's count) and count of each of ``results(job_id, seq, name)``."""
     stem, extension = name_parts(F.coalesce("name", F.lit("result")))
     n = F.count("*").over(Window.partitionBy("job_id"))
     place = F.row_number().over(Window.partitionBy("job_id").orderBy("seq")).cast("string")
-    width = F.length(n.cast("string"))
-    rows = results.select("job_id", "seq", F.regexp_extract(stem, PAGE_LABEL, 0).alias("label"), F.when(extension == "", "").otherwise(F.concat(F.lit("."), extension)).alias("ext"), n.alias("n"), F.lpad(place, width, F.lit("0")).alias("place"))
-    label = F.when(F.col("label") != "", F.col("label")).when(F.col("n") > 1, F.concat(F.lit("-"), F.col("place"))).otherwise("")
-    return rows.select("job_id", "seq", F.concat(bounded(clean_stem(F.lit(custom)), MAX_BYTES - utf8_size(label)), label, F.col("ext")).alias("name"))
+    ext = F.when(extension == "", "").otherwise(F.concat(F.lit("."), extension))
+    return results.select("job_id", "seq", "name", F.regexp_extract(stem, PAGE_LABEL, 0).alias("label"), ext.alias("ext"), n.alias("n"), F.lpad(place, F.length(n.cast("string")), F.lit("0")).alias("place"))
+
+
+# Operations whose single result keeps its page label.
+LABELLED = ("split-pdf", "extract-pages", "extract-pdf-pages")
+
+
+def name_results(jobs: DataFrame, files: DataFrame, results: DataFrame, archive_entries: bool = False) -> DataFrame:
+    """job_id, seq, name: how a job's ``results(job_id, seq, name)`` are called, unique within the job.
+
+    ``jobs(job_id, slug, custom)``: with a custom name, all have it, with a number if there are several (entries of
+    an archive keep a page label instead). Without one, a single result outside an archive has the suggested name,
+    or, of a split or an extraction, the first file's name with the page label; all others keep their own.
+    """
+    named = suggested(source_names(jobs, files))
+    custom = compose_names(jobs.select("job_id", F.coalesce("custom", F.lit("")).alias("custom")), "custom")
+    custom = custom.select("job_id", F.when(trimmed(F.col("custom")) != "", clean_stem(F.regexp_replace(trimmed(F.col("custom")), KNOWN_EXTENSION, ""))).alias("custom"))
+    rows = numbered_results(results).join(named, "job_id", "left").join(custom, "job_id", "left")
+    page = F.col("label") if archive_entries else F.lit("")
+    label = F.when(page != "", page).when(F.col("n") > 1, F.concat(F.lit("-"), F.col("place"))).otherwise("")
+    single = F.when((F.col("label") != "") & F.col("slug").isin(*LABELLED), with_label(F.col("stem"), F.col("label"))).otherwise(F.col("suggestion"))
+    name = F.when(F.col("custom").isNotNull(), F.concat(with_label(F.col("custom"), label), "ext"))
+    name = name if archive_entries else name.when((F.col("n") == 1) & single.isNotNull(), F.concat(single, "ext"))
+    return unique_names(rows.select("job_id", "seq", name.otherwise(F.col("name")).alias("name")))
 
 
 def search(items: DataFrame, query: str, k: int = 4) -> DataFrame:

@@ -18,23 +18,41 @@ def lenient_number(text: Column) -> Column:
     return F.regexp_extract(text, r"^\s*([+-]?[0-9]{1,9})", 1).try_cast("int")
 
 
-def select_pages(docs: DataFrame, keep_duplicates: bool = False) -> DataFrame:
-    """doc_id, pos (from 1), page of ``docs(doc_id, pages, expr)``: ranges may run backwards, ends are clamped,
-    what can't be read is passed over; an empty expression or ``all`` is every page."""
+def lenient_parts(docs: DataFrame, max_characters: int, max_entries: int) -> DataFrame:
+    """doc_id, pages, error_code, runs (array of first and last page) of ``docs(doc_id, pages, expr)``: nothing is
+    expanded here, so an expression of any size costs its own length."""
     n, raw = F.col("pages"), F.lower(trimmed(F.coalesce("expr", F.lit(""))))
 
-    def pages_of(part: Column) -> Column:
+    def run(part: Column) -> Column:
         ends = F.split(part, "-", -1)
         low, high = lenient_number(ends[0]), lenient_number(F.try_element_at(ends, F.lit(2)))
-        start = F.least(n, F.greatest(F.lit(1), F.when(low != 0, low).otherwise(1)))
-        end = F.greatest(F.lit(1), F.least(n, F.coalesce(F.when(high != 0, high), n)))
+        start = F.least(n, F.greatest(F.lit(1), F.coalesce(F.nullif(low, F.lit(0)), F.lit(1))))
+        end = F.greatest(F.lit(1), F.least(n, F.coalesce(F.nullif(high, F.lit(0)), n)))
         one = lenient_number(part)
-        return F.when(part.contains("-"), F.sequence(F.coalesce(start, F.lit(1)), end)).when(one.between(1, n), F.array(one)).otherwise(F.array().cast("array<int>"))
+        return F.when(part.contains("-"), F.struct(start.cast("int").alias("a"), end.cast("int").alias("b"))).when(one.between(1, n), F.struct(one.alias("a"), one.alias("b")))
 
     parts = F.filter(F.transform(F.split(raw, ",", -1), trimmed), lambda p: p != "")
-    chosen = F.when((raw == "") | (raw == "all"), F.sequence(F.lit(1), n)).otherwise(F.flatten(F.transform(parts, pages_of)))
+    every = F.array(F.struct(F.lit(1).alias("a"), n.cast("int").alias("b")))
+    runs = F.when(F.length(raw) > max_characters, F.lit(None)).when((raw == "") | (raw == "all"), every).otherwise(F.filter(F.transform(parts, run), lambda r: r.isNotNull()))
+    rows = docs.filter(n > 0).select("doc_id", "pages", runs.alias("runs"), ((raw == "") | (raw == "all")).alias("every"))
+    entries = F.aggregate("runs", F.lit(0).cast("long"), lambda total, r: total + F.abs(r["b"] - r["a"]) + 1)
+    code = F.when(F.col("runs").isNull(), "page-selection-too-long").when(~F.col("every") & (entries > max_entries), "page-selection-too-large")
+    return rows.select("doc_id", "pages", code.alias("error_code"), "runs")
+
+
+def select_pages(docs: DataFrame, keep_duplicates: bool = False, max_characters: int = MAX_EXPRESSION, max_entries: int = MAX_ENTRIES) -> DataFrame:
+    """doc_id, pos (from 1), page of ``docs(doc_id, pages, expr)``: ranges may run backwards, ends are clamped,
+    what can't be read is passed over; an empty expression or ``all`` is every page. Expressions beyond a limit
+    select nothing (``selection_errors`` has their codes)."""
+    parts = lenient_parts(docs, max_characters, max_entries).filter("error_code IS NULL")
+    chosen = F.flatten(F.transform("runs", lambda r: F.sequence(r["a"], r["b"])))
     chosen = chosen if keep_duplicates else F.array_distinct(chosen)
-    return docs.filter(n > 0).select("doc_id", F.posexplode(chosen).alias("pos", "page")).withColumn("pos", F.col("pos") + 1)
+    return parts.select("doc_id", F.posexplode(chosen).alias("pos", "page")).withColumn("pos", F.col("pos") + 1)
+
+
+def selection_errors(docs: DataFrame, max_characters: int = MAX_EXPRESSION, max_entries: int = MAX_ENTRIES) -> DataFrame:
+    """doc_id, error_code of ``docs(doc_id, pages, expr)`` whose expression is too long, or stands for too many pages."""
+    return lenient_parts(docs, max_characters, max_entries).filter("error_code IS NOT NULL").select("doc_id", "error_code")
 
 
 def strict_parts(docs: DataFrame) -> DataFrame:

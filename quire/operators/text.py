@@ -5,6 +5,9 @@ All are plans of built-in functions; rows of one document meet only in that docu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ HTML_TOKEN = (
     rf"|<{BODY}{END}|[^<]++"
 )
 TAG = r"(?is)^<\s*(/?)\s*(?:[a-z][a-z0-9-]*:)*([a-z][a-z0-9-]*).*>$"
+# What a tag becomes; all others become nothing.
+SHOWN_TAGS = {"br": "\n", "/br": "\n", "hr": "\n\n", "/hr": "\n\n", "li": "\n- ", "/td": "\t", "/th": "\t", "/tr": "\n"} | {f"/{p}": "\n\n" for p in PARAGRAPH.split("|")}
 
 
 def logical_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -42,32 +47,24 @@ def logical_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.filter(F.length(text) > 0).select("doc_id", F.posexplode(lines).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
-def html_text(html: Column) -> Column:
-    """Readable text of markup: one pass over its tags, comments, ignored containers and texts."""
-    tokens = F.regexp_extract_all(html, F.lit(HTML_TOKEN), F.lit(0))
-
-    def parsed(token: Column) -> Column:
-        is_tag = token.startswith("<") & ~token.startswith("<!--")
-        name = F.when(is_tag, F.lower(F.regexp_extract(token, TAG, 2))).otherwise("")
-        closing = is_tag & (F.regexp_extract(token, TAG, 1) == "/")
-        text = F.when(token.startswith("<"), "").otherwise(F.regexp_replace(decode_entities(token), f"{WS}+", " "))
-        out = (
-            F.when(name == "br", "\n").when(name == "hr", "\n\n").when((name == "li") & ~closing, "\n- ").when(name.isin("td", "th") & closing, "\t")
-            .when((name == "tr") & closing, "\n").when(closing & name.rlike(f"^(?:{PARAGRAPH})$"), "\n\n").otherwise(text)
-        )
-        return F.struct(F.when(name == "body", F.when(closing, "close").otherwise("open")).otherwise("").alias("body"), out.alias("out"))
-
-    parts = F.transform(tokens, parsed)
-    opened = F.array_position(F.transform(parts, lambda p: p["body"]), F.lit("open")).cast("int")
-    rest = F.when(opened > 0, F.slice(parts, opened + 1, F.size(parts))).otherwise(parts)
-    closed = F.array_position(F.transform(rest, lambda p: p["body"]), F.lit("close")).cast("int")
-    body = F.when(closed > 0, F.slice(rest, F.lit(1), closed - 1)).otherwise(rest)
-    return normalized(F.array_join(F.transform(body, lambda p: p["out"]), ""))
-
-
 def html_to_text(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with ``text``; null markup is empty."""
-    return pages.withColumn("text", html_text(F.coalesce(html, F.lit(""))))
+    """``pages`` with ``text``, the readable text of markup; null markup is empty.
+
+    One pass over its tags, comments, ignored containers and texts, in steps that each work on the fields of the
+    step before: tokens; a tag's name (with a slash if it closes); what each token shows; what lies in the body.
+    """
+    shown = F.create_map(*[F.lit(x) for pair in SHOWN_TAGS.items() for x in pair])
+    other = F.lit("other")
+    tag = lambda t: F.when(~t.startswith("<"), F.lit(None)).when(t.startswith("<!--"), other).otherwise(F.lower(F.regexp_replace(t, TAG, "$1$2")))
+    text = lambda t: F.regexp_replace(decode_entities(t), f"{WS}+", " ")
+    tokens = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(HTML_TOKEN), F.lit(0))
+    named = pages.withColumn("_tokens", F.transform(tokens, lambda t: F.struct(t.alias("token"), tag(t).alias("tag"))))
+    opened = F.array_position(F.transform("_tokens", lambda p: p["tag"]), "body").cast("int")
+    inner = named.withColumn("_from", opened + 1)
+    closed = F.array_position(F.transform(F.slice("_tokens", "_from", F.size("_tokens")), lambda p: p["tag"]), "/body").cast("int")
+    body = inner.withColumn("_to", F.when(closed > 0, closed - 1).otherwise(F.size("_tokens")))
+    out = F.transform(F.slice("_tokens", "_from", "_to"), lambda p: F.when(p["tag"].isNull(), text(p["token"])).otherwise(F.try_element_at(shown, p["tag"])))
+    return body.withColumn("text", normalized(F.array_join(out, ""))).drop("_tokens", "_from", "_to")
 
 
 def text_stats(docs: DataFrame, preview: int = 1600, text: str = "text") -> DataFrame:
@@ -90,12 +87,8 @@ def page_text_stats(pages: DataFrame, preview: int = 1600) -> DataFrame:
     """Of ``pages(doc_id, page, text)``: a row a page, and one a document (page null) with its totals."""
     text = F.coalesce("text", F.lit(""))
     facts = pages.select("doc_id", "page", F.length(text).alias("c"), n_words(text).alias("w"), (F.length(trimmed(text)) > 0).alias("has"), F.left(text, F.lit(preview)).alias("p"), (F.length(text) > preview).alias("cut"))
-    facts.createOrReplaceTempView("quire_page_facts")
-    return facts.sparkSession.sql(
-        """SELECT doc_id, page, sum(c) AS characters, sum(w) AS words, count(*) AS pages, count_if(has) AS pages_with_text,
-                  count_if(NOT has) AS empty_pages, CASE WHEN grouping(page) = 0 THEN max(p) END AS preview, bool_or(cut) AS truncated
-           FROM quire_page_facts GROUP BY GROUPING SETS ((doc_id, page), (doc_id))"""
-    )
+    sums = [F.sum("c").alias("characters"), F.sum("w").alias("words"), F.count("*").alias("pages"), F.count_if("has").alias("pages_with_text"), F.count_if(~F.col("has")).alias("empty_pages")]
+    return facts.groupingSets([["doc_id", "page"], ["doc_id"]], "doc_id", "page").agg(*sums, F.when(F.grouping("page") == 0, F.max("p")).alias("preview"), F.bool_or("cut").alias("truncated"))
 
 
 def stitch_lines(items: DataFrame, gap: float = 4.0) -> DataFrame:
@@ -195,19 +188,23 @@ def apply_glossary(docs: DataFrame, language: str) -> DataFrame:
 def summarize(docs: DataFrame, sentences: int = 5, prose: bool = False) -> DataFrame:
     """doc_id, summary, n_sentences: the sentences with the most frequent words, in the text's order.
 
-    Sentences that differ in case alone count once. Word counts come from a shuffle by (document, word), so a
-    long document is no single task. Documents without a sentence have no row.
+    Sentences that differ in case alone count once. Texts are dealt by document once; the counts of a document's
+    words, its sentences' scores and their ranks need no further shuffle. Documents without a sentence have no row.
     """
     lines = F.split(unix_lines(F.col("text")), r"\n+", -1)
     found = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(trimmed(x), F.lit(r"[^.!?]+[.!?]+|[^.!?]+\z"), F.lit(0))))
     found = F.filter(F.transform(found, lambda s: trimmed(F.regexp_replace(s, f"{WS}+", " "))), lambda s: s != "")
-    rows = docs.select("doc_id", F.posexplode(found).alias("at", "sentence"))
-    unique = rows.groupBy("doc_id", F.lower("sentence").alias("key")).agg(F.min(F.struct("at", "sentence")).alias("s")).select("doc_id", "s.at", "s.sentence")
-    word = F.lit(r"[a-z][a-z'-]{3,}")
-    counts = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), word, F.lit(0))).alias("word")).filter(~F.col("word").isin(STOP_WORDS)).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    used = unique.select("doc_id", "at", F.explode(F.regexp_extract_all(F.lower("sentence"), word, F.lit(0))).alias("word")).join(counts, ["doc_id", "word"]).groupBy("doc_id", "at").agg(F.sum("n").alias("n"))
+    stop = F.create_map(*[F.lit(x) for w in STOP_WORDS for x in (w, True)])
+    words = F.filter(F.regexp_extract_all(F.col("key"), F.lit(r"[a-z][a-z'-]{3,}"), F.lit(0)), lambda w: F.try_element_at(stop, w).isNull())
+    rows = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(found).alias("at", "sentence"))
+    rows = rows.withColumn("key", F.lower("sentence")).withColumn("words", words)
+    # One row for each different sentence: where it stands first, and how often.
+    unique = rows.groupBy("doc_id", "key").agg(F.min(F.struct("at", "sentence")).alias("s"), F.count("*").alias("times"), F.first("words").alias("words"))
+    used = unique.select("doc_id", "s.at", "times", F.explode("words").alias("word")).withColumn("n", F.sum("times").over(Window.partitionBy("doc_id", "word")))
+    scores = used.groupBy("doc_id", "at").agg(F.sum("n").alias("n"))
+    unique = unique.select("doc_id", "s.at", "s.sentence").join(scores, ["doc_id", "at"], "left")
     score = F.coalesce("n", F.lit(0)) / F.greatest(F.lit(8.0), F.sqrt(F.length("sentence")))
-    ranked = unique.join(used, ["doc_id", "at"], "left").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(score.desc(), "at"))).filter(F.col("rank") <= sentences)
+    ranked = unique.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(score.desc(), "at"))).filter(F.col("rank") <= sentences)
     line = F.col("sentence") if prose else F.concat(F.lit("• "), F.col("sentence"))
     return ranked.groupBy("doc_id").agg(joined(F.collect_list(F.struct("at", line.alias("s"))), "s", " " if prose else "\n").alias("summary"), F.count("*").alias("n_sentences"))
 
@@ -222,18 +219,35 @@ def paginate_lines(lines: DataFrame, size: str = "a4", orientation: str = "portr
     return lines.select("doc_id", "line", F.ceil(F.col("line") / per_page).alias("page"), ((F.col("line") - 1) % per_page + 1).alias("line_on_page"), "text")
 
 
+def filled(words: list[str], width: int) -> Iterator[str]:
+    """Lines of at most ``width`` characters, filled greedily; longer words are broken."""
+    line = ""
+    for word in words:
+        for at in range(0, len(word), width):
+            piece = word[at : at + width]
+            if line and len(line) + 1 + len(piece) > width:
+                yield line
+                line = piece
+            else:
+                line = f"{line} {piece}" if line else piece
+    if line:
+        yield line
+
+
 def reflow(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, line, text: words filled greedily into lines of at most ``width`` characters; longer words are broken."""
+    """doc_id, line, text: words filled greedily into lines of at most ``width`` characters; longer words are broken.
+
+    Where a line ends depends on all before it, so each text's words, split by Spark, are gone through once."""
     words = F.filter(F.split(trimmed(F.coalesce("text", F.lit(""))), f"{WS}+", -1), lambda w: w != "")
-    pieces = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / width).cast("int")), lambda i: F.substring(w, i * width + 1, F.lit(width)))))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
 
-    def step(state: Column, piece: Column) -> Column:
-        fits = F.length(state["line"]) + 1 + F.length(piece) <= width
-        return F.when(state["line"] == "", F.struct(state["done"].alias("done"), piece.alias("line"))).when(fits, F.struct(state["done"].alias("done"), F.concat(state["line"], F.lit(" "), piece).alias("line"))).otherwise(F.struct(F.array_append(state["done"], state["line"]).alias("done"), piece.alias("line")))
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, own in zip(batch["doc_id"], batch["words"].to_pylist(), strict=True):
+                lines = list(filled(own, width))
+                yield pa.record_batch([pa.repeat(doc, len(lines)), pa.array(range(1, len(lines) + 1), pa.int64()), pa.array(lines, pa.string())], ["doc_id", "line", "text"])
 
-    lines = F.aggregate(pieces, start, step, lambda s: F.when(s["line"] == "", s["done"]).otherwise(F.array_append(s["done"], s["line"])))
-    return docs.select("doc_id", F.posexplode(lines).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", words.alias("words")).mapInArrow(fill, f"doc_id {kind}, line long, text string")
 
 
 def escape_html(text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +50,7 @@ def admit_files(files: DataFrame, suffixes: list[str] | None = None, max_files:
     """``files(job_id, seq, name, size)`` with error_code, accepted and the running bytes after each file.
 
     Rules that need one file alone are columns. Without ``max_total`` the count is a window; with it, whether a
-    file fits depends on which before it did, so each job's sizes are folded in order.
+    file fits depends on which before it did: jobs' files stream in order, with a count and a sum as their state.
     """
     coded = files.select("job_id", "seq", "name", "size", stateless_code(suffixes, max_file).alias("code"))
     order = Window.partitionBy("job_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -56,19 +59,25 @@ def admit_files(files: DataFrame, suffixes: list[str] | None = None, max_files:
         code = F.col("code") if max_files is None else F.coalesce("code", F.when(nth > max_files, "too-many-files"))
         coded = coded.withColumn("error_code", code)
         return coded.select("job_id", "seq", "name", "size", "error_code", F.col("error_code").isNull().alias("accepted"), F.sum(F.when(F.col("error_code").isNull(), F.col("size")).otherwise(0.0)).over(order).alias("running_bytes"))
-    rows = F.array_sort(F.collect_list(F.struct("seq", "name", F.coalesce("size", F.lit(float("nan"))).alias("size"), "code")))
-    row_type = "array<struct<seq:int,name:string,size:double,error_code:string,running_bytes:double>>"
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("bytes"), F.array().cast(row_type).alias("out"))
-
-    def step(state: Column, row: Column) -> Column:
-        many = F.lit(False) if max_files is None else state["n"] >= max_files
-        code = F.when(row["code"].isNotNull(), row["code"]).when(many, "too-many-files").when(state["bytes"] + row["size"] > max_total, "total-too-large")
-        total = F.when(code.isNull(), state["bytes"] + row["size"]).otherwise(state["bytes"])
-        out = F.struct(row["seq"].cast("int").alias("seq"), row["name"].alias("name"), row["size"].alias("size"), code.alias("error_code"), total.alias("running_bytes"))
-        return F.struct((state["n"] + F.when(code.isNull(), 1).otherwise(0)).alias("n"), total.alias("bytes"), F.array_append(state["out"], out).alias("out"))
-
-    done = coded.groupBy("job_id").agg(F.aggregate(rows, start, step, lambda s: s["out"]).alias("rows")).select("job_id", F.inline("rows"))
-    return done.select("job_id", "seq", "name", "size", "error_code", F.col("error_code").isNull().alias("accepted"), "running_bytes")
+
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, n, total = None, 0, 0.0
+        for batch in batches:
+            codes, totals = [], []
+            for key, size, code in zip(*(batch[c].to_pylist() for c in ("job_id", "size", "code")), strict=True):
+                if key != job:
+                    job, n, total = key, 0, 0.0
+                if code is None:
+                    code = "too-many-files" if max_files is not None and n >= max_files else "total-too-large" if total + size > max_total else None
+                    n, total = (n + 1, total + size) if code is None else (n, total)
+                codes.append(code)
+                totals.append(total)
+            yield pa.record_batch([*(batch[c] for c in ("job_id", "seq", "name", "size")), pa.array(codes, pa.string()), pa.array([c is None for c in codes]), pa.array(totals, pa.float64())], [*names, "error_code", "accepted", "running_bytes"])
+
+    names = ["job_id", "seq", "name", "size"]
+    sizes = coded.withColumn("size", F.col("size").cast("double"))
+    kinds = ", ".join(f"{c} {sizes.schema[c].dataType.simpleString()}" for c in names)
+    return sizes.repartition("job_id").sortWithinPartitions("job_id", "seq").mapInArrow(greedy, f"{kinds}, error_code string, accepted boolean, running_bytes double")
 
 
 def rejection_summary(admitted: DataFrame) -> DataFrame:

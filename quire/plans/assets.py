@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from quire.functions import text as fn
 from quire.operators import images, names
 from quire.plans import fixtures as fx
+from quire.plans.checks import GREEDY
 from quire.plans.registry import Query
+from quire.plans.text import HTML, WORDS_SQL
 from quire.shared import materialize, new_path
 from quire.sources import files
 from quire.streaming import jobs
@@ -70,8 +72,45 @@ def suggestions(spark, sf):
     return names.suggest_names(job_files.select("job_id").distinct().select("job_id", slug.alias("slug")), job_files)
 
 
+def interleaved(spark, sf):
+    """Merges by interleaving; the first file of each is called after its front pages."""
+    fronts = "CASE job_id % 4 WHEN 0 THEN '_fronts' WHEN 1 THEN '-odd-pages' WHEN 2 THEN ' Front' ELSE '-ODD' END"
+    job_files = fx.jobs_files(spark, sf).withColumn("name", F.expr(rf"regexp_replace(name, r'(?i)\.(pdf|png|docx)$', '') || {fronts} || '.pdf'"))
+    jobs_of = job_files.select("job_id").distinct().withColumn("slug", F.lit("merge-pdf")).withColumn("mode", F.lit("interleave"))
+    return names.suggest_names(jobs_of, job_files)
+
+
+RESULT_NAME = "CASE WHEN seq % 9 = 4 THEN upper(name) WHEN seq % 10 = 3 THEN 'x-2.pdf' WHEN seq % 10 = 5 THEN 'x.pdf' WHEN seq % 10 = 7 THEN 'X.pdf' ELSE name END"
+#: One result of each job a step, with the names so far.
+UNIQUE_SQL = r"""u1 AS (SELECT job_id, seq, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS k, regexp_replace(name, '\.[A-Za-z0-9]{1,8}$', '') AS stem, lower(regexp_extract(name, '\.[A-Za-z0-9]{1,8}$')) AS ext FROM given),
+u2 AS (SELECT job_id, seq, k, stem || ext AS name, [lower(stem || ext)] AS used FROM u1 WHERE k = 1
+  UNION ALL SELECT job_id, seq, k, name, list_append(used, lower(name)) FROM (
+    SELECT u1.job_id, u1.seq, u1.k, u2.used, list_filter(list_transform(generate_series(1, u1.k), lambda i: u1.stem || CASE WHEN i = 1 THEN '' ELSE '-' || i END || u1.ext), lambda c: NOT list_contains(u2.used, lower(c)))[1] AS name
+    FROM u2 JOIN u1 ON u1.job_id = u2.job_id AND u1.k = u2.k + 1))
+--
+SELECT job_id, seq, name FROM u2"""
+
+
 def results(spark, sf):
-    return fx.jobs_files(spark, sf).select("job_id", "seq", F.expr("CASE WHEN seq % 9 = 4 THEN upper(name) WHEN seq % 10 = 3 THEN 'x-2.pdf' WHEN seq % 10 = 5 THEN 'x.pdf' WHEN seq % 10 = 7 THEN 'X.pdf' ELSE name END").alias("name"))
+    return fx.jobs_files(spark, sf).select("job_id", "seq", F.expr(RESULT_NAME).alias("name"))
+
+
+def called(spark, sf):
+    """Results of jobs with a custom name (a third), of splits with one result (every fifth), and of others."""
+    job_files = fx.jobs_files(spark, sf)
+    jobs_of = job_files.select("job_id").distinct().selectExpr("job_id", "CASE job_id % 2 WHEN 0 THEN 'split-pdf' ELSE 'compress-pdf' END AS slug", "CASE job_id % 3 WHEN 0 THEN ' My batch.pdf ' WHEN 1 THEN '' END AS custom")
+    made = results(spark, sf).filter("job_id % 5 <> 0 OR seq = 1").withColumn("name", F.expr("CASE WHEN job_id % 4 = 0 AND seq = 1 THEN 'part-page-3.pdf' ELSE name END"))
+    return names.name_results(jobs_of, job_files, made)
+
+
+CALLED = f"""WITH RECURSIVE {fx.JOB_FILES},
+firsts AS (SELECT job_id, count(*) AS files, regexp_replace(arg_min(name, seq), '(?i)\\.(pdf|png|docx)$', '') AS stem FROM jobs_files GROUP BY 1),
+made AS (SELECT job_id, seq, CASE WHEN job_id % 4 = 0 AND seq = 1 THEN 'part-page-3.pdf' ELSE {RESULT_NAME} END AS name FROM jobs_files WHERE job_id % 5 <> 0 OR seq = 1),
+facts AS (SELECT *, count(*) OVER (PARTITION BY job_id) AS n, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS place, lower(regexp_extract(name, '\\.[A-Za-z0-9]{{1,8}}$')) AS ext FROM made JOIN firsts USING (job_id)),
+given AS (SELECT job_id, seq, CASE WHEN job_id % 3 = 0 THEN 'My batch' || CASE WHEN n > 1 THEN '-' || lpad(CAST(place AS VARCHAR), CAST(length(CAST(n AS VARCHAR)) AS INTEGER), '0') ELSE '' END || ext
+  WHEN n = 1 AND job_id % 2 = 0 AND name = 'part-page-3.pdf' THEN stem || '-page-3' || ext
+  WHEN n = 1 THEN stem || CASE WHEN files > 1 THEN '-and-' || (files - 1) || '-more' ELSE '' END || CASE job_id % 2 WHEN 0 THEN '-split' ELSE '-compressed' END || ext ELSE name END AS name FROM facts),
+""" + UNIQUE_SQL
 
 
 def uniqueness(spark, sf):
@@ -85,6 +124,16 @@ def items(spark, sf):
     return part.select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.array("p_type", "p_brand").alias("tags"), F.lit("parts").alias("category"), F.col("p_brand").alias("kind"))
 
 
+SEARCH_NAME = "CASE WHEN p_partkey % 97 = 1 THEN 'Small' WHEN p_partkey % 13 = 2 THEN 'very ' || p_name ELSE p_name END"
+SEARCH_TEXT = "CASE WHEN p_partkey % 11 = 5 THEN 'made for small hands' ELSE 'a part' END"
+
+
+def search_items(spark, sf):
+    """Parts of which some are called, begin with, hold, are tagged with or are described by one word."""
+    part = fx.table(spark, sf, "part")
+    return part.select(F.col("p_partkey").alias("pos"), F.expr(SEARCH_NAME).alias("name"), F.expr(SEARCH_TEXT).alias("description"), F.array("p_type", "p_brand").alias("tags"), F.lit("parts").alias("category"))
+
+
 def history(spark, sf):
     return names.latest_jobs(fx.table(spark, sf, "events").select("user_id", F.col("event_id").alias("job_id"), F.col("ts").alias("at")))
 
@@ -156,6 +205,7 @@ def extracted_stream(spark, sf):
     return run_stream(spark, jobs.extract_stream(stream), "extracted")
 
 
+EXTRACTED = "WITH pt AS (" + HTML + ")\n--\nSELECT page_id AS doc_id, length(text) AS characters, " + WORDS_SQL.format(t="text") + r" AS words, len([x for x in regexp_split_to_array(text, '\n{2,}') if regexp_matches(x, '\S')]) AS paragraphs, left(text, 1600) AS preview FROM pt"
 META_ONLY = f"WITH {fx.IMAGE_META}\n--\n"
 QUERIES = {
     "i1_corner_stats": Query("image_id:l red:d green:d blue:d spread:l", lambda s, d: images.corner_stats(fx.pixels(s, d)), f"WITH {CORNERS}\n--\nSELECT image_id, red, green, blue, spread FROM corners"),
@@ -189,7 +239,7 @@ SELECT image_id, l AS x, 0 AS y, r - l AS width, b AS height, 'detected' AS mode
         outcomes,
         "WITH f AS (SELECT p_brand AS job_id, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS formats FROM part GROUP BY 1)\n--\nSELECT p_brand AS job_id, count(*) AS n, count(*) FILTER (WHERE p_partkey % 3 = 0) AS reduced, count(*) FILTER (WHERE p_partkey % 3 = 1) AS increased, count(*) FILTER (WHERE p_partkey % 3 = 2) AS unchanged, count(*) FILTER (WHERE p_size % 3 = 0) AS enlarged, count(*) FILTER (WHERE p_size % 3 = 1) AS shrunk, count(*) FILTER (WHERE p_size % 3 = 2) AS same, min(p_retailprice) AS least_percent, max(p_retailprice) AS most_percent, sum(p_size * 1000) AS pixels, max(formats) AS formats FROM part JOIN f ON f.job_id = p_brand GROUP BY 1",
     ),
-    "e1_clean_stem": Query("id:l name:s clean:s", lambda s, d: raw_names(s, d).withColumn("clean", names.clean_stem(F.col("name"))), f"WITH raw AS (SELECT p_partkey, {RAW_NAME} AS name FROM part), " + CLEAN_SQL.format(n="name") + "\n--\nSELECT id, name, CASE WHEN t = '' THEN 'result' ELSE t END AS clean FROM c3"),
+    "e1_clean_stem": Query("id:l name:s clean:s", lambda s, d: names.compose_names(raw_names(s, d)).withColumn("clean", names.clean_stem(F.col("name"))), f"WITH raw AS (SELECT p_partkey, {RAW_NAME} AS name FROM part), " + CLEAN_SQL.format(n="name") + "\n--\nSELECT id, name, CASE WHEN t = '' THEN 'result' ELSE t END AS clean FROM c3"),
     "e1_safe_name": Query("id:l safe:s", lambda s, d: raw_names(s, d).withColumn("safe", names.safe_name(F.col("name"))), f"WITH raw AS (SELECT p_partkey AS id, regexp_replace(regexp_replace(trim({RAW_NAME}), '[^a-zA-Z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS t FROM part)\n--\nSELECT id, CASE WHEN t = '' THEN 'result' ELSE t END AS safe FROM raw"),
     "e2_check_names": Query("id:l clean:s error_code:s", lambda s, d: names.check_names(raw_names(s, d)), f"WITH raw AS (SELECT p_partkey, {RAW_NAME} AS name FROM part), " + CLEAN_SQL.format(n=EXTENSION_SQL) + "\n--\nSELECT id, CASE WHEN length(trim(name)) > 100 OR t = '' THEN NULL ELSE t END AS clean, CASE WHEN length(trim(name)) > 100 THEN 'output-name-too-long' WHEN t = '' THEN 'invalid-output-name' END AS error_code FROM c3"),
     "e3_suggest_names": Query(
@@ -200,13 +250,25 @@ f AS (SELECT job_id, count(*) AS n, regexp_replace(arg_min(name, seq), '(?i)\\.(
 --
 SELECT job_id, stem || CASE WHEN n > 1 THEN '-and-' || (n - 1) || '-more' ELSE '' END || CASE WHEN op = '' OR ends_with(lower(stem), op) THEN '' ELSE op END AS suggestion FROM w""",
     ),
-    "e4_unique_names": Query("job_id:l seq:l name:s", lambda s, d: names.unique_names(results(s, d))),
+    "e3_interleave_names": Query(
+        "job_id:l suggestion:s",
+        interleaved,
+        f"WITH {fx.JOB_FILES}," + """
+f AS (SELECT job_id, count(*) AS n, regexp_replace(arg_min(name, seq), '(?i)\\.(pdf|png|docx)$', '') || CASE job_id % 4 WHEN 0 THEN '_fronts' WHEN 1 THEN '-odd-pages' WHEN 2 THEN ' Front' ELSE '-ODD' END AS stem FROM jobs_files GROUP BY 1)
+--
+SELECT job_id, regexp_replace(stem, '(?i)[-_ ](fronts?|odd)([-_ ]pages)?$', '') || CASE WHEN n > 1 THEN '-and-' || (n - 1) || '-more' ELSE '' END || '-interleaved' AS suggestion FROM f""",
+    ),
+    "e4_unique_names": Query("job_id:l seq:l name:s", lambda s, d: names.unique_names(results(s, d)), f"WITH RECURSIVE {fx.JOB_FILES}, given AS (SELECT job_id, seq, {RESULT_NAME} AS name FROM jobs_files),\n" + UNIQUE_SQL),
+    "e5_name_results": Query("job_id:l seq:l name:s", called, CALLED),
     "e4_uniqueness": Query("job_id:l n:l different:l", uniqueness, "SELECT user_id AS job_id, count(*) AS n, count(*) AS different FROM events GROUP BY 1"),
     "e5_number_names": Query("job_id:l seq:l name:s", lambda s, d: names.number_names(results(s, d), "my batch"), f"WITH {fx.JOB_FILES}," + """
 n AS (SELECT job_id, seq, CASE WHEN seq % 9 = 4 THEN upper(name) WHEN seq % 10 = 3 THEN 'x-2.pdf' WHEN seq % 10 IN (5, 7) THEN 'x.pdf' ELSE name END AS name, count(*) OVER (PARTITION BY job_id) AS n FROM jobs_files)
 --
 SELECT job_id, seq, 'my batch' || CASE WHEN n > 1 THEN '-' || lpad(CAST(seq AS VARCHAR), CAST(length(CAST(n AS VARCHAR)) AS INTEGER), '0') ELSE '' END || lower(regexp_extract(name, '\\.[A-Za-z0-9]{1,8}$')) AS name FROM n"""),
-    "e6_search": Query("rank:l pos:l name:s tier:l", lambda s, d: names.search(items(s, d), " Part 1", 10), "WITH t AS (SELECT p_partkey AS pos, p_name AS name, CASE WHEN lower(p_name) = 'part 1' THEN 0 WHEN starts_with(lower(p_name), 'part 1') THEN 1 WHEN contains(lower(p_name), 'part 1') THEN 2 WHEN starts_with(lower(p_type), 'part 1') OR starts_with(lower(p_brand), 'part 1') THEN 3 ELSE 4 END AS tier FROM part WHERE contains(lower(p_name || ' ' || p_type || ' ' || p_type || ' ' || p_brand || ' parts'), 'part 1'))\n--\nSELECT row_number() OVER (ORDER BY tier, pos) AS rank, pos, name, tier FROM t ORDER BY tier, pos LIMIT 10"),
+    "e6_search": Query("rank:l pos:l name:s tier:l", lambda s, d: names.search(search_items(s, d), " Small ", 1000), f"""WITH t AS (SELECT p_partkey AS pos, {SEARCH_NAME} AS name, {SEARCH_TEXT} AS description, p_type, p_brand FROM part),
+u AS (SELECT pos, name, CASE WHEN lower(name) = 'small' THEN 0 WHEN starts_with(lower(name), 'small') THEN 1 WHEN contains(lower(name), 'small') THEN 2 WHEN starts_with(lower(p_type), 'small') OR starts_with(lower(p_brand), 'small') THEN 3 ELSE 4 END AS tier FROM t WHERE contains(lower(name || ' ' || description || ' ' || p_type || ' ' || p_brand || ' parts'), 'small'))
+--
+SELECT row_number() OVER (ORDER BY tier, pos) AS rank, pos, name, tier FROM u ORDER BY tier, pos LIMIT 1000"""),
     "e7_facets": Query("kind:s category:s n:l", lambda s, d: names.facets(items(s, d).withColumn("category", F.col("description"))), "SELECT p_brand AS kind, p_type AS category, count(*) AS n FROM part GROUP BY CUBE (p_brand, p_type)"),
     "e8_latest_jobs": Query("user_id:l job_id:l rank:l", history, "SELECT user_id, event_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events QUALIFY rank <= 8"),
     "e9_scalars": Query("id:l label:s size:s limit_text:s signed:s extension:s", scalars, SCALARS),
@@ -215,6 +277,6 @@ SELECT job_id, seq, 'my batch' || CASE WHEN n > 1 THEN '-' || lpad(CAST(seq AS V
     "a3_sniff_media": Query("id:l format:s width:l height:l", media, "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'png' WHEN 1 THEN 'gif' WHEN 2 THEN 'jpeg' WHEN 3 THEN 'webp' END AS format, CASE WHEN p_partkey % 5 IN (0, 1, 3) THEN p_size * 7 END AS width, CASE WHEN p_partkey % 5 IN (0, 1, 3) THEN CAST(trunc(p_retailprice) AS BIGINT) END AS height FROM part"),
     "a5_dataset_manifest": Query("path:s sha256:s revision:s", manifest, "WITH f AS (SELECT '/d/' || doc_id || '.txt' AS path, min(sha256(text)) AS h FROM documents GROUP BY 1), b AS (SELECT left(sha256(path), 3) AS k, sha256(string_agg(path || ' ' || h, chr(10) ORDER BY path)) AS h FROM f GROUP BY 1), r AS (SELECT left(sha256(string_agg(h, chr(10) ORDER BY k)), 16) AS revision FROM b)\n--\nSELECT path, h AS sha256, revision FROM f, r"),
     "a6_verify_checksums": Query("name:s status:s", checksums, "SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'unexpected' WHEN doc_id % 11 = 0 THEN 'mismatched' ELSE 'ok' END AS status FROM documents WHERE doc_id % 35 <> 0"),
-    "s1_admit_stream": Query("job_id:l seq:l name:s error_code:s accepted:b running_bytes:d", admitted_stream),
-    "s2_extract_stream": Query("doc_id:l characters:l words:l paragraphs:l preview:s", extracted_stream),
+    "s1_admit_stream": Query("job_id:l seq:l name:s error_code:s accepted:b running_bytes:d", admitted_stream, GREEDY),
+    "s2_extract_stream": Query("doc_id:l characters:l words:l paragraphs:l preview:s", extracted_stream, EXTRACTED),
 }

@@ -20,6 +20,18 @@ def admitted(spark, sf):
     return validate.admit_files(fx.jobs_files(spark, sf), SUFFIXES, 20, 9000)
 
 
+#: One file of each job a step, with the count and bytes so far.
+GREEDY = f"""WITH RECURSIVE {fx.JOB_FILES},
+g1 AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS k, {STATELESS} AS code FROM jobs_files),
+g2 AS (SELECT DISTINCT job_id, CAST(NULL AS BIGINT) AS seq, '' AS name, CAST(0 AS BIGINT) AS k, 0 AS n, CAST(0 AS DOUBLE) AS total, '' AS error_code FROM g1
+  UNION ALL SELECT g1.job_id, g1.seq, g1.name, g1.k, g2.n + CASE WHEN code IS NULL AND g2.n < 50 AND g2.total + g1.size <= 20000 THEN 1 ELSE 0 END,
+    g2.total + CASE WHEN code IS NULL AND g2.n < 50 AND g2.total + g1.size <= 20000 THEN g1.size ELSE 0 END,
+    coalesce(code, CASE WHEN g2.n >= 50 THEN 'too-many-files' WHEN g2.total + g1.size > 20000 THEN 'total-too-large' END)
+  FROM g2 JOIN g1 ON g1.job_id = g2.job_id AND g1.k = g2.k + 1)
+--
+SELECT job_id, seq, name, error_code, error_code IS NULL AS accepted, total AS running_bytes FROM g2 WHERE k > 0"""
+
+
 def greedy(spark, sf):
     return validate.admit_files(fx.jobs_files(spark, sf), SUFFIXES, 50, 9000, 20_000)
 
@@ -84,6 +96,15 @@ def odd_characters(spark, sf):
     return validate.unsupported_chars(text.apply_glossary(fx.docs(spark, sf), "hi").select("doc_id", F.col("body").alias("text")))
 
 
+ODD_CHARACTERS = r"""WITH o1 AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+')) AS w, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), 1) AS k FROM documents),
+o2 AS (SELECT doc_id, string_agg(coalesce(CASE lower(w) """ + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.GLOSSARIES["hi"].items()) + r""" END, w), '' ORDER BY k) AS body FROM o1 GROUP BY 1),
+o3 AS (SELECT doc_id, unnest(regexp_extract_all(body, '(?s).')) AS c, generate_subscripts(regexp_extract_all(body, '(?s).'), 1) AS pos FROM o2),
+o4 AS (SELECT doc_id, c, min(pos) AS pos FROM o3 WHERE NOT (unicode(c) IN (9, 10, 13) OR unicode(c) BETWEEN 32 AND 126 OR unicode(c) BETWEEN 160 AND 255) AND NOT contains('""" + validate.WIN_ANSI_EXTRA + r"""', c) GROUP BY 1, 2),
+o5 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS ord FROM o4)
+--
+SELECT doc_id, ord, c AS character, 'U+' || printf('%04X', unicode(c)) AS code FROM o5 WHERE ord <= 5"""
+
+
 def with_credentials(spark, sf):
     """Documents with a line of each credential's form; built from pieces, so that no such text is kept here."""
     made = [("private-key", ["-----BEGIN ", "RSA PRIVATE KEY-----"]), ("github", ["ghp", "_", "Ab1" * 8]), ("npm", ["npm", "_", "Ab1" * 11]), ("aws", ["AK", "IA", "Q9" * 8]), ("slack", ["xox", "b-", "1a2b3c4d5e6f"]), ("url-password", ["http:/", "/user:pass", "word@host"])]
@@ -134,6 +155,10 @@ def diff(spark, sf):
     return compare.diff_lines(*fx.diff_inputs(spark, sf))
 
 
+def numbered_diff(spark, sf):
+    return compare.diff_lines(*fx.numbered_diff_inputs(spark, sf))
+
+
 def identical_diff(spark, sf):
     pairs, docs = fx.diff_inputs(spark, sf)
     return compare.diff_lines(pairs.filter("left_id = right_id"), docs)
@@ -208,7 +233,7 @@ def masked(spark, sf):
 
 QUERIES = {
     "b1_admit_files": Query("job_id:l seq:l name:s error_code:s accepted:b running_bytes:d", admitted, f"WITH {ADMITTED}\n--\nSELECT job_id, seq, name, error_code, error_code IS NULL AS accepted, sum(CASE WHEN error_code IS NULL THEN size ELSE 0 END) OVER (PARTITION BY job_id ORDER BY seq) AS running_bytes FROM admitted"),
-    "b1_admit_greedy": Query("job_id:l seq:l name:s error_code:s accepted:b running_bytes:d", greedy),
+    "b1_admit_greedy": Query("job_id:l seq:l name:s error_code:s accepted:b running_bytes:d", greedy, GREEDY),
     "b2_rejection_summary": Query(
         "job_id:l accepted:l rejected:l message:s",
         lambda s, d: validate.rejection_summary(admitted(s, d)),
@@ -243,7 +268,7 @@ SELECT job_id, seq, k = 0 AS retained, CASE WHEN k = 1 AND code IS NOT NULL THEN
     "b8_screen_archives": Query("file_id:l n_entries:l expanded:d error_code:s", archives, ARCHIVES),
     "b9_check_settings": Query("job_id:l key:s value:s error_code:s", settings, "WITH r AS (SELECT p_type AS key FROM part GROUP BY 1 HAVING min(p_partkey) % 3 <> 0)\n--\nSELECT p_partkey AS job_id, p_type AS key, CASE WHEN p_partkey % 19 = 0 THEN 'many' ELSE CAST(p_size AS VARCHAR) END AS value, CASE WHEN r.key IS NULL THEN NULL WHEN p_partkey % 19 = 0 THEN 'invalid-number' WHEN p_size < 10 THEN 'below-minimum' WHEN p_size > 40 THEN 'above-maximum' END AS error_code FROM part LEFT JOIN r ON r.key = p_type"),
     "b10_check_text_lengths": Query("job_id:l seq:l characters:l running:l error_code:s", lambda s, d: validate.check_text_lengths(texts_of_turns(s, d), 400, 1200), "SELECT job_id, seq, c AS characters, r AS running, CASE WHEN c > 400 THEN 'text-setting-too-long' WHEN r > 1200 THEN 'extracted-text-limit' END AS error_code FROM (SELECT conv_id AS job_id, turn AS seq, length(text) AS c, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations)"),
-    "b11_unsupported_chars": Query("doc_id:l ord:l character:s code:s", odd_characters),
+    "b11_unsupported_chars": Query("doc_id:l ord:l character:s code:s", odd_characters, ODD_CHARACTERS),
     "b12_duplicate_keys": Query(
         "item:l n:l problem:s",
         lambda s, d: validate.duplicate_keys(fx.table(s, d, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").cast("string").alias("key")), "grp", "key").select(F.col("grp").alias("item"), "n", "problem"),
@@ -263,6 +288,18 @@ SELECT DISTINCT page_id AS doc_id, path FROM p WHERE starts_with(t, '/') AND pat
     "b17_sanitize_report": Query("page_id:l removed_elements:l removed_attributes:l removed_resources:l kept_images:l", lambda s, d: validate.sanitize_report(fx.table(s, d, "pages")), SANITIZE),
     "r1_diff_lines": Query(DIFF_COLUMNS, diff),
     "r1_diff_identical": Query(DIFF_COLUMNS, identical_diff, f"WITH {fx.LINES}\n--\nSELECT doc_id * 2 AS pair_id, line AS ord, 'unchanged' AS kind, line AS left_line, line AS right_line, text FROM lines"),
+    "r1_diff_numbered": Query(DIFF_COLUMNS, numbered_diff, f"WITH {fx.NUMBERED}\n--\nSELECT pair_id, ord, kind, left_line, right_line, text FROM numbered"),
+    "r2_numbered_stats": Query(
+        "pair_id:l added:l removed:l unchanged:l changed:l changed_blocks:l identical:b",
+        lambda s, d: compare.diff_stats(numbered_diff(s, d)),
+        f"WITH {fx.NUMBERED}, runs AS (SELECT *, kind <> 'unchanged' AND kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY pair_id ORDER BY ord) AS starts FROM numbered)\n--\n"
+        "SELECT pair_id, count(*) FILTER (WHERE kind = 'added') AS added, count(*) FILTER (WHERE kind = 'removed') AS removed, count(*) FILTER (WHERE kind = 'unchanged') AS unchanged, count(*) FILTER (WHERE kind <> 'unchanged') AS changed, count(*) FILTER (WHERE starts) AS changed_blocks, count(*) FILTER (WHERE starts) = 0 AS identical FROM runs GROUP BY 1",
+    ),
+    "r3_line_limits": Query(
+        "pair_id:l error_code:s",
+        lambda s, d: compare.pair_line_counts(*fx.diff_inputs(s, d), 20, 24).select("pair_id", "error_code"),
+        f"WITH {fx.LINES}, k AS (SELECT doc_id, count(l.line) AS n, count(l.line) FILTER (WHERE l.line % 11 <> 0) AS m FROM documents LEFT JOIN lines l USING (doc_id) GROUP BY 1), c AS (SELECT doc_id * 2 AS pair_id, n, n AS m FROM k UNION ALL SELECT doc_id * 2 + 1, n, m FROM k)\n--\nSELECT pair_id, CASE WHEN greatest(n, m) > 20 THEN 'comparison-line-limit' WHEN n + m > 24 THEN 'comparison-total-line-limit' END AS error_code FROM c",
+    ),
     "r2_diff_stats": Query("pair_id:l added:l removed:l unchanged:l changed:l changed_blocks:l identical:b", lambda s, d: compare.diff_stats(diff(s, d))),
     "r3_pair_line_counts": Query(
         "pair_id:l left_lines:l right_lines:l total_lines:l",

@@ -53,6 +53,14 @@ def rows_of_diff(spark, sf):
 LABEL = "CASE WHEN mode IN ('odd','even') THEN mode || '-pages' WHEN n = 1 THEN 'page-' || a ELSE 'pages-' || a || '-' || b END"
 QUERIES = {
     "p1_select_pages": Query("doc_id:l pos:l page:l", fx.selection, f"WITH {fx.SELECTION}\n--\nSELECT doc_id, pos, page FROM selection"),
+    "p1_selection_errors": Query(
+        "doc_id:l error_code:s",
+        lambda s, d: pages.selection_errors(fx.doc_counts(s, d), 10, 4),
+        f"WITH {fx.SELECTION},\n" + """sized AS (SELECT doc_id, sum(CASE WHEN part = '' THEN 0 WHEN contains(part, '-') THEN abs(b - a) + 1 WHEN one BETWEEN 1 AND pages THEN 1 ELSE 0 END) AS n FROM ranges GROUP BY 1),
+coded AS (SELECT doc_id, CASE WHEN length(trim(expr)) > 10 THEN 'page-selection-too-long' WHEN lower(trim(expr)) NOT IN ('', 'all') AND n > 4 THEN 'page-selection-too-large' END AS error_code FROM doc_counts LEFT JOIN sized USING (doc_id))
+--
+SELECT doc_id, error_code FROM coded WHERE error_code IS NOT NULL""",
+    ),
     "p2_select_pages_strict": Query(
         "doc_id:l pos:l page:l error_code:s",
         lambda s, d: pages.select_pages_strict(fx.doc_counts(s, d)),
@@ -129,4 +137,9 @@ g AS (SELECT *, ceil(av * pages + 4096 + pages * 1200) AS projected, CASE WHEN s
 SELECT doc_id, pages, sampled, projected, greatest(1, floor(projected * (1 - doubt))) AS lower, ceil(projected * (1 + doubt)) AS upper FROM g""",
     ),
     "p14_page_rows": Query("pair_id:l ord:l kind:s view_page:l", rows_of_diff),
+    "p14_numbered_rows": Query(
+        "pair_id:l ord:l kind:s view_page:l",
+        lambda s, d: pages.page_rows(compare.diff_lines(*fx.numbered_diff_inputs(s, d)), 5, True),
+        f"WITH {fx.NUMBERED}\n--\nSELECT pair_id, ord, kind, (row_number() OVER (PARTITION BY pair_id ORDER BY ord) + 4) // 5 AS view_page FROM numbered WHERE kind <> 'unchanged'",
+    ),
 }

@@ -136,9 +136,28 @@ def words(spark, sf):
     return packages.word_text(body.select("doc_id", F.concat(F.lit("<w:document><w:body>"), "b", F.lit("<w:p/></w:body></w:document>")).alias("xml")))
 
 
+REPORT = f"WITH {fx.NUMBERED}\n--\n" + r"""SELECT pair_id, string_agg('<div class="diff-row ' || kind || '"><span class="marker">' || CASE kind WHEN 'added' THEN '+' WHEN 'removed' THEN '−' ELSE '' END || '</span><span class="line">' || coalesce(CAST(left_line AS VARCHAR), '') || '</span><span class="line">' || coalesce(CAST(right_line AS VARCHAR), '') || '</span><pre>'
+  || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#039;') || '</pre></div>', '' ORDER BY ord) AS html FROM numbered GROUP BY 1"""
+#: Each text's pieces folded into one: on the same line while it stays within the width.
+REFLOW = r"""WITH w1 AS (SELECT doc_id, unnest(string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) AS w, generate_subscripts(string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), 1) AS k FROM documents WHERE regexp_matches(text, '\S')),
+w2 AS (SELECT doc_id, k, i, substring(w, CAST(i * 60 + 1 AS BIGINT), 60) AS p FROM (SELECT doc_id, k, w, unnest(generate_series(0, (length(w) - 1) // 60)) AS i FROM w1)),
+w3 AS (SELECT doc_id, list({'t': p, 'n': length(p)} ORDER BY k, i) AS ps FROM w2 GROUP BY 1),
+w4 AS (SELECT doc_id, list_reduce(ps, lambda a, b: CASE WHEN a.n + 1 + b.n <= 60 THEN {'t': a.t || ' ' || b.t, 'n': a.n + 1 + b.n} ELSE {'t': a.t || chr(10) || b.t, 'n': b.n} END).t AS t FROM w3)
+--
+SELECT doc_id, generate_subscripts(string_split(t, chr(10)), 1) AS line, unnest(string_split(t, chr(10))) AS text FROM w4"""
+#: For pages whose tags are closed and quoted as usual, as the given ones are.
+HTML_STEPS = [("<!--.*?-->", ""), ("|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in text.IGNORED.split("|")), ""), (r"^.*?<body\b[^>]*>", ""), (r"</body\b.*$", ""), (r"\s+", " "), (r"</?br\b[^>]*>", "\n"), (r"</?hr\b[^>]*>", "\n\n"), (r"<li\b[^>]*>", "\n- "), (r"</(?:td|th)\b[^>]*>", "\t"), (r"</tr\b[^>]*>", "\n"), (rf"</(?:{text.PARAGRAPH})\b[^>]*>", "\n\n"), (r"<[^>]*>", "")]
+HTML = "html"
+for _pattern, _to in HTML_STEPS:
+    HTML = f"regexp_replace({HTML}, '{_pattern}', '{_to}', 'gis')"
+for _name, _sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("nbsp", " "), ("amp", "&")):
+    HTML = f"replace({HTML}, '&{_name};', '{_sign}')"
+HTML = rf"SELECT page_id, regexp_replace({NORMAL}, '^\s+|\s+$', '', 'g') AS text FROM (SELECT page_id, {HTML} AS t FROM pages)"
+
+
 QUERIES = {
     "c1_logical_lines": Query("doc_id:l line:l text:s", fx.lines, f"WITH {fx.LINES}\n--\nSELECT doc_id, line, text FROM lines"),
-    "c2_html_to_text": Query("page_id:l text:s", html_pages),
+    "c2_html_to_text": Query("page_id:l text:s", html_pages, HTML),
     "c3_decode_entities": Query("page_id:l text:s", entities, "SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&copy;', '©'), '&nbsp;', ' '), '&amp;', '&') AS text FROM pages"),
     "c4_normalize_text": Query("doc_id:l text:s", loose_text, "SELECT doc_id, regexp_replace(" + NORMAL + r", '^\s+|\s+$', '', 'g') AS text FROM (SELECT doc_id, replace(replace(text, '.', '.  ' || repeat(chr(10), 3) || ' ' || chr(10)), ',', ',' || chr(9) || chr(9) || chr(13) || chr(10) || '  ') AS t FROM documents)"),
     "c5_stitch_lines": Query("doc_id:l line:l text:s", lambda s, d: text.stitch_lines(items(s, d)), f"WITH {ITEMS}\n--\nSELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS line, text FROM i4 WHERE text <> ''"),
@@ -223,6 +242,7 @@ SELECT doc_id, string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) O
     ),
     "c22_summarize": Query("doc_id:l summary:s n_sentences:l", summary, SUMMARY),
     "c23_paginate_lines": Query("doc_id:l line:l page:l line_on_page:l", lambda s, d: text.paginate_lines(fx.lines(s, d)), f"WITH {fx.LINES}\n--\nSELECT doc_id, line, (line + 45) // 46 AS page, (line - 1) % 46 + 1 AS line_on_page FROM lines"),
-    "c24_reflow": Query("doc_id:l line:l text:s", lambda s, d: text.reflow(fx.docs(s, d), 60)),
+    "c24_reflow": Query("doc_id:l line:l text:s", lambda s, d: text.reflow(fx.docs(s, d), 60), REFLOW),
+    "c25_numbered_report": Query("pair_id:l html:s", lambda s, d: compare.diff_report_html(compare.diff_lines(*fx.numbered_diff_inputs(s, d))), REPORT),
     "c25_diff_report": Query("pair_id:l html:s", lambda s, d: compare.diff_report_html(compare.diff_lines(*fx.diff_inputs(s, d)))),
 }

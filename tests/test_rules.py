@@ -35,7 +35,8 @@ def one(spark, column, value, kind="string"):
     ],
 )
 def test_html_text(spark, markup, expected):
-    assert one(spark, text.html_text, markup) == expected
+    pages = spark.createDataFrame([(1, markup)], "page_id long, html string")
+    assert text.html_to_text(pages).first()["text"] == expected
 
 
 def test_entities(spark):
@@ -113,12 +114,47 @@ def test_names(spark):
     rows = [(1, i, n) for i, n in enumerate(["x.pdf", "x-2.pdf", "X.pdf", "x.png", "x.pdf", None])]
     found = names.unique_names(spark.createDataFrame(rows, "job_id long, seq long, name string")).orderBy("seq").collect()
     assert [r["name"] for r in found] == ["x.pdf", "x-2.pdf", "X-3.pdf", "x.png", "x-4.pdf", "result"]
-    clean = lambda v: one(spark, names.clean_stem, v)
+    clean = lambda v: names.compose_names(spark.createDataFrame([(v,)], "name string")).select(names.clean_stem(F.col("name"))).first()[0]
     assert clean("été") == "été" and clean("..a‮b/c..") == "ab-c" and clean("CON.txt") == "file-CON.txt" and clean(None) == "result"
     assert len(clean("界" * 100).encode()) <= 180
     assert one(spark, names.safe_name, "  résumé (1) ") == "r-sum-1"
 
 
+def test_ascii_names_stay_in_the_jvm(spark):
+    """Only rows that hold another character are sent to Python."""
+    rows = spark.createDataFrame([("abc",), ("e\u0301",), (None,)], "name string")
+    assert sorted(str(r["name"]) for r in names.compose_names(rows).collect()) == ["None", "abc", "é"]
+    plan = names.compose_names(rows.filter("name = 'abc'"))._jdf.queryExecution().executedPlan().toString()
+    ascii_side = plan.split("Union")[1].split("ArrowEvalPython")[0]
+    assert "NOT coalesce(RLIKE" in ascii_side and plan.count("ArrowEvalPython") == 1
+
+
+def test_suggestions_and_names_of_results(spark):
+    jobs = spark.createDataFrame([(1, "merge-pdf", "interleave", None), (2, "split-pdf", None, None), (3, "merge-pdf", None, " My result.PDF "), (4, "merge-pdf", None, None)], "job_id long, slug string, mode string, custom string")
+    files = spark.createDataFrame([(1, 1, "scan_fronts.pdf"), (1, 2, "scan-backs.pdf"), (2, 1, "book.pdf"), (3, 1, "a.pdf"), (4, 1, "odd.pdf"), (4, 2, "x-merged.pdf")], "job_id long, seq int, name string")
+    found = {r["job_id"]: r["suggestion"] for r in names.suggest_names(jobs, files).collect()}
+    assert found == {1: "scan-and-1-more-interleaved", 2: "book-split", 3: "a-merged", 4: "odd-and-1-more-merged"}
+    results = spark.createDataFrame([(1, 1, "out.pdf"), (2, 1, "tmp-page-7.pdf"), (3, 1, "r-page-1.png"), (3, 2, "r.png"), (4, 1, "a.pdf"), (4, 2, "A.pdf")], "job_id long, seq int, name string")
+    called = lambda archive: {(r["job_id"], r["seq"]): r["name"] for r in names.name_results(jobs, files, results, archive).collect()}
+    assert called(False) == {(1, 1): "scan-and-1-more-interleaved.pdf", (2, 1): "book-page-7.pdf", (3, 1): "My result-1.png", (3, 2): "My result-2.png", (4, 1): "a.pdf", (4, 2): "A-2.pdf"}
+    assert called(True) == {(1, 1): "out.pdf", (2, 1): "tmp-page-7.pdf", (3, 1): "My result-page-1.png", (3, 2): "My result-2.png", (4, 1): "a.pdf", (4, 2): "A-2.pdf"}
+
+
+def test_selections_have_limits(spark):
+    docs = spark.createDataFrame([(1, 1_000_000_000, "1-"), (2, 9, "1-3," * 6_000), (3, 9, "1-9,2"), (4, 9, "")], "doc_id long, pages int, expr string")
+    assert {r["doc_id"]: r["error_code"] for r in pages.selection_errors(docs).collect()} == {1: "page-selection-too-large", 2: "page-selection-too-long"}
+    assert {r["doc_id"]: r["n"] for r in pages.select_pages(docs).groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {3: 9, 4: 9}
+    assert [r["doc_id"] for r in pages.selection_errors(docs, 10, 8).orderBy("doc_id").collect()] == [1, 2, 3]
+
+
+def test_long_jobs_are_admitted_in_one_pass(spark):
+    """A job of many files costs its own length; nothing of it is held but a count and a sum."""
+    files = spark.range(200_000).selectExpr("id % 2 AS job_id", "id AS seq", "'a.pdf' AS name", "double(id % 7) + 1 AS size")
+    found = validate.admit_files(files, max_total=1000.0)
+    assert found.filter("accepted").groupBy("job_id").agg(F.sum("size").alias("s")).filter("s > 1000").count() == 0
+    assert found.count() == 200_000 and found.filter("error_code = 'total-too-large'").count() > 199_000
+
+
 def test_diff_and_report(spark):
     docs = spark.createDataFrame([(1, "h\nold\nsame"), (2, "h\nnew\nsame\nmore"), (3, "h\nold\nsame\n")], "doc_id long, text string")
     pairs = spark.createDataFrame([(1, 1, 2), (2, 1, 3), (3, 1, None)], "pair_id long, left_id long, right_id long")
