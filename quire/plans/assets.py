@@ -162,6 +162,13 @@ def media(spark, sf):
     return files.sniff_media(fx.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.unhex(F.expr(head)).alias("content"))).select("id", "format", "width", "height")
 
 
+def bucketed_texts(spark, sf):
+    """The pages, written in buckets and read back."""
+    path = new_path(spark, "buckets")
+    files.write_result_buckets(fx.table(spark, sf, "pages").select(F.concat(F.lit("page "), F.col("page_id").cast("string"), F.lit("+%.html")).alias("name"), F.col("html").alias("text")), path, 16)
+    return files.read_result_buckets(spark, path, 16)
+
+
 def stored_texts(spark, sf):
     """Pages' markup written as named results, and read back."""
     path = new_path(spark, "results")
@@ -272,6 +279,7 @@ SELECT row_number() OVER (ORDER BY tier, pos) AS rank, pos, name, tier FROM u OR
     "e7_facets": Query("kind:s category:s n:l", lambda s, d: names.facets(items(s, d).withColumn("category", F.col("description"))), "SELECT p_brand AS kind, p_type AS category, count(*) AS n FROM part GROUP BY CUBE (p_brand, p_type)"),
     "e8_latest_jobs": Query("user_id:l job_id:l rank:l", history, "SELECT user_id, event_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events QUALIFY rank <= 8"),
     "e9_scalars": Query("id:l label:s size:s limit_text:s signed:s extension:s", scalars, SCALARS),
+    "a4_result_buckets": Query("name:s text:s", bucketed_texts, "SELECT 'page ' || page_id || '+%.html' AS name, html AS text FROM pages"),
     "a1_text_results": Query("name:s text:s", lambda s, d: files.read_text_results(s, stored_texts(s, d)), "SELECT 'page ' || page_id || '+%.html' AS name, html AS text FROM pages"),
     "a2_file_inventory": Query("page_id:l size:l extension:s", inventory, "SELECT page_id, strlen(html) + 1 AS size, 'txt' AS extension FROM pages"),
     "a3_sniff_media": Query("id:l format:s width:l height:l", media, "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'png' WHEN 1 THEN 'gif' WHEN 2 THEN 'jpeg' WHEN 3 THEN 'webp' END AS format, CASE WHEN p_partkey % 5 IN (0, 1, 3) THEN p_size * 7 END AS width, CASE WHEN p_partkey % 5 IN (0, 1, 3) THEN CAST(trunc(p_retailprice) AS BIGINT) END AS height FROM part"),

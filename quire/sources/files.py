@@ -44,10 +44,26 @@ def sniff_media(df: DataFrame, content: str = "content") -> DataFrame:
 
 
 def write_text_results(df: DataFrame, path: str) -> None:
-    """One folder for each name of ``df(name, text)``, written by Spark; names must be unique already."""
+    """One folder for each name of ``df(name, text)``, written by Spark; names must be unique already. For as many
+    results as a file system should hold folders; ``write_result_buckets`` takes any number."""
     df.select("name", "text").write.partitionBy("name").text(path)
 
 
+def write_result_buckets(df: DataFrame, path: str, buckets: int) -> None:
+    """``df(name, text)`` in ``buckets`` folders by a hash of the name, sorted by name, so that the files' own
+    statistics find a name. A bucket is written by as many tasks as its size asks for."""
+    bucket = F.pmod(F.xxhash64("name"), F.lit(buckets)).cast("int")
+    df.select("name", "text", bucket.alias("bucket")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "name").write.partitionBy("bucket").parquet(path)
+
+
+def read_result_buckets(spark: SparkSession, path: str, buckets: int, name: str | None = None) -> DataFrame:
+    """name, text of what write_result_buckets wrote; of one ``name``, only its bucket is read."""
+    found = spark.read.schema("name string, text string, bucket int").parquet(path)
+    if name is not None:
+        found = found.filter((F.col("bucket") == F.pmod(F.xxhash64(F.lit(name)), F.lit(buckets)).cast("int")) & (F.col("name") == name))
+    return found.select("name", "text")
+
+
 def read_text_results(spark: SparkSession, path: str) -> DataFrame:
     """name, text of what write_text_results wrote."""
     def decoded(x: Column) -> Column:

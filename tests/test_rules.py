@@ -291,3 +291,11 @@ def test_edits_of_long_sides_are_the_fewest(monkeypatch):
     monkeypatch.setattr(compare, "MAX_CELLS", 0)
     for _ in range(300):
         check(*([rng.choice("abcd") for _ in range(rng.randrange(12))] for _ in range(2)))
+
+
+def test_one_result_is_read_from_its_bucket(spark, tmp_path):
+    rows = spark.range(500).selectExpr("'n' || id AS name", "'text ' || id AS text")
+    files.write_result_buckets(rows, str(tmp_path / "out"), 8)
+    found = files.read_result_buckets(spark, str(tmp_path / "out"), 8, "n77")
+    assert [tuple(r) for r in found.collect()] == [("n77", "text 77")]
+    assert "PartitionFilters: [isnotnull(bucket" in found._jdf.queryExecution().executedPlan().toString() and len(found.inputFiles()) >= 1
