@@ -50,6 +50,14 @@ def test_stages_one_by_one(spark, sf_dir):
     check_packing(packed.withColumn("ids_crc32", F.crc32("ids")).collect(), lambda d: ids.encode(kept[d], add_special_tokens=False).ids + [packing.END_ID], dict.fromkeys(kept, 1))
 
 
+def test_texts_of_no_known_language_go(spark, sf_dir):
+    """Words of which the model has no n-gram leave all languages alike, under LEAST_SCORE."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = spark.createDataFrame([(-1, "ωψω ψωψ ξξξ ωωω", None, "s", 15), (-2, "123 456", "en", "s", 7)], docs.schema)
+    kept = corpus_pipeline.identify_language(spark, docs.unionByName(odd), sf_dir)
+    assert kept.filter("doc_id < 0").count() == 0 and kept.count() == docs.count()
+
+
 def test_run_equals_the_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ids = lambda frame: Counter({r["doc_id"]: r["n"] for r in frame.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()})
