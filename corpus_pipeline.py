@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quire.llm import language, near_dup, packing, secrets
 from quire.llm.spans import joined
 from quire.llm.tables import table
-from quire.shared import materialize
+from quire.shared import discard, materialize
 
 LEAST_SCORE = 0.3
 MASK = "[secret]"
@@ -105,7 +105,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; what a stage kept is removed once the next one has written its own."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
