@@ -12,7 +12,6 @@ from quire.functions.text import joined
 from quire.operators.text import escape_html, logical_lines
 
 DIFF = "pair_id long, ord long, kind string, left_line long, right_line long, text string"
-MAX_CELLS = 4_000_000
 
 
 def pair_line_counts(pairs: DataFrame, docs: DataFrame, max_side: int | None = None, max_total: int | None = None) -> DataFrame:
@@ -75,36 +74,15 @@ def matched(a: list[int], b: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def shortest_edits(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
-    """(kind, left, right) of a shortest edit script, by the table of longest common subsequences; of what is too
-    long for the table, by Myers' divide and conquer over the lines that both sides have. Shortest at every size."""
-    n, m = len(a), len(b)
+    """(kind, left, right) of a shortest edit script, by Myers' divide and conquer over the lines that both sides have."""
+    codes = {x: k for k, x in enumerate(set(a) & set(b))}
+    left, right = ([k for k, x in enumerate(s) if x in codes] for s in (a, b))
     out, i, j = [], 0, 0
-    if n * m > MAX_CELLS:
-        codes = {x: k for k, x in enumerate(set(a) & set(b))}
-        left, right = ([k for k, x in enumerate(s) if x in codes] for s in (a, b))
-        for p, q in [*matched([codes[a[k]] for k in left], [codes[b[k]] for k in right]), (-1, -1)]:
-            p, q = (left[p], right[q]) if p >= 0 else (n, m)
-            out += [("removed", k, -1) for k in range(i, p)] + [("added", -1, k) for k in range(j, q)]
-            out += [("unchanged", p, q)] if p < n and q < m else []
-            i, j = p + 1, q + 1
-        return out
-    best = [[0] * (m + 1)]
-    for x in reversed(a):
-        below, row = best[-1], [0] * (m + 1)
-        for k in range(m - 1, -1, -1):
-            row[k] = below[k + 1] + 1 if x == b[k] else max(below[k], row[k + 1])
-        best.append(row)
-    best.reverse()
-    while i < n or j < m:
-        if i < n and j < m and a[i] == b[j]:
-            out.append(("unchanged", i, j))
-            i, j = i + 1, j + 1
-        elif i < n and (j == m or best[i + 1][j] >= best[i][j + 1]):
-            out.append(("removed", i, -1))
-            i += 1
-        else:
-            out.append(("added", -1, j))
-            j += 1
+    for p, q in [*matched([codes[a[k]] for k in left], [codes[b[k]] for k in right]), (-1, -1)]:
+        p, q = (left[p], right[q]) if p >= 0 else (len(a), len(b))
+        out += [("removed", k, -1) for k in range(i, p)] + [("added", -1, k) for k in range(j, q)]
+        out += [("unchanged", p, q)] if p < len(a) and q < len(b) else []
+        i, j = p + 1, q + 1
     return out
 
 
@@ -171,6 +149,19 @@ def diff_stats(diff: DataFrame) -> DataFrame:
     return out.withColumn("changed", F.col("added") + F.col("removed")).withColumn("identical", F.col("changed_blocks") == 0)
 
 
+def view_limits(diff: DataFrame, max_characters: int, max_lines: int) -> DataFrame:
+    """pair_id, error_code: whether a comparison has more text (lines with their ends) or more rows than a view may
+    show; the limit that is passed first counts, and within a block of one kind the text's."""
+    order = Window.partitionBy("pair_id").orderBy("ord")
+    starts = ~F.col("kind").eqNullSafe(F.lag("kind").over(order))
+    rows = diff.withColumn("starts", starts.cast("int")).withColumn("block", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(order))
+    blocks = rows.groupBy("pair_id", "block").agg(F.sum(F.length("text") + 1).alias("c"), F.max("n").alias("n"))
+    blocks = blocks.withColumn("c", F.sum("c").over(Window.partitionBy("pair_id").orderBy("block")))
+    facts = blocks.groupBy("pair_id").agg(F.min(F.when(F.col("c") > max_characters, F.col("block"))).alias("t"), F.min(F.when(F.col("n") > max_lines, F.col("block"))).alias("l"))
+    text = F.col("t").isNotNull() & (F.col("l").isNull() | (F.col("t") <= F.col("l")))
+    return facts.select("pair_id", F.when(text, "comparison-view-text-limit").when(F.col("l").isNotNull(), "comparison-view-line-limit").alias("error_code"))
+
+
 def diff_report_html(diff: DataFrame) -> DataFrame:
     """pair_id, html: the rows of a comparison as escaped markup."""
     marker = F.when(F.col("kind") == "added", "+").when(F.col("kind") == "removed", "−").otherwise("")

@@ -295,6 +295,13 @@ SELECT DISTINCT page_id AS doc_id, path FROM p WHERE starts_with(t, '/') AND pat
         f"WITH {fx.NUMBERED}, runs AS (SELECT *, kind <> 'unchanged' AND kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY pair_id ORDER BY ord) AS starts FROM numbered)\n--\n"
         "SELECT pair_id, count(*) FILTER (WHERE kind = 'added') AS added, count(*) FILTER (WHERE kind = 'removed') AS removed, count(*) FILTER (WHERE kind = 'unchanged') AS unchanged, count(*) FILTER (WHERE kind <> 'unchanged') AS changed, count(*) FILTER (WHERE starts) AS changed_blocks, count(*) FILTER (WHERE starts) = 0 AS identical FROM runs GROUP BY 1",
     ),
+    "r2_view_limits": Query(
+        "pair_id:l error_code:s",
+        lambda s, d: compare.view_limits(numbered_diff(s, d), 900, 12),
+        f"WITH {fx.NUMBERED}, v1 AS (SELECT *, CASE WHEN kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY pair_id ORDER BY ord) THEN 1 ELSE 0 END AS s FROM numbered), v2 AS (SELECT *, sum(s) OVER (PARTITION BY pair_id ORDER BY ord) AS block FROM v1),\n"
+        "v3 AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY pair_id ORDER BY block) AS c FROM v2), v4 AS (SELECT pair_id, min(block) FILTER (WHERE c > 900) AS t, min(block) FILTER (WHERE ord > 12) AS l FROM v3 GROUP BY 1)\n--\n"
+        "SELECT pair_id, CASE WHEN t <= l OR (t IS NOT NULL AND l IS NULL) THEN 'comparison-view-text-limit' WHEN l IS NOT NULL THEN 'comparison-view-line-limit' END AS error_code FROM v4",
+    ),
     "r3_line_limits": Query(
         "pair_id:l error_code:s",
         lambda s, d: compare.pair_line_counts(*fx.diff_inputs(s, d), 20, 24).select("pair_id", "error_code"),
