@@ -38,7 +38,7 @@ SURE = 50  # what most links reach, and few other pairs
 PERCENT = 75
 BROADCAST_IDS = 200_000
 SAMPLE_DOCS, COMMON_SHINGLES, LEVELS = 10_000, 500_000, 1023
-SMALL_GROUP, CELLS = 32, 500_000
+SMALL_GROUP, CELLS, PAIRS = 32, 131_072, 16_384
 NARROWEST, WIDEST = 512, 4096  # bits of parity bitmaps
 CROWD_BLOCK = 4096  # members of one shingle that meet in one group
 HOT_LEVEL = int(LEVELS * np.log(10) / np.log(2 * SAMPLE_DOCS))  # of shingles that a thousandth of the sample holds
@@ -309,7 +309,7 @@ def in_crowd(rows: dict[str, np.ndarray], members: np.ndarray, bitmaps: list[byt
             ok = can_link(rows, same[p], facing[q])
             p, q = p[ok], q[ok]
             total = sizes[same[p]] + sizes[facing[q]]
-            apart = np.concatenate([np.zeros(0, dtype=np.int64), *(np.bitwise_count(own[p[j : j + 100_000]] ^ maps[q[j : j + 100_000]]).sum(1, dtype=np.int64) for j in range(0, len(p), 100_000))])
+            apart = np.concatenate([np.zeros(0, dtype=np.int64), *(np.bitwise_count(own[p[j : j + PAIRS]] ^ maps[q[j : j + PAIRS]]).sum(1, dtype=np.int64) for j in range(0, len(p), PAIRS))])
             hit = np.flatnonzero((100 + PERCENT) * (total - apart) >= 2 * PERCENT * total)
             if nearest_alone:
                 hit = hit[np.lexsort((apart[hit] / total[hit], p[hit]))]
