@@ -18,7 +18,7 @@ from quire.shared import materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 
 
 @dataclass(frozen=True)
