@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import language, near_dup, packing, secrets
 from quire.llm.spans import joined
-from quire.llm.tables import table
+from quire.llm.tables import small_batches, table
 from quire.shared import discard, materialize
 
 LEAST_SCORE = 0.3
@@ -31,6 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The model learns from the labelled documents of the table itself. Each row is judged by its own text, so
     repeated doc_ids and null ones need no rule. Null texts go; empty tables stay empty.
     """
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(language.train(language.learnable(docs)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,6 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are told apart by a key of the stage, so rows of one doc_id, or without one, are grouped by their texts
     like all others: of copies one stays, and different texts of one doc_id stay each.
     """
+    small_batches(spark)
     keyed = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
     found = near_dup.near_duplicates(keyed.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
@@ -60,6 +62,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Each row is masked by the spans of its own text, whatever its doc_id.
     """
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(secrets.train_network(*secrets.labelled_candidates(docs)))
 
     def hide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,6 +96,7 @@ def mask(text: str | None, spans: str) -> str | None:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of packed sequences, ids included."""
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path(packing.VOCABULARY))
 
 
