@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 WORDS = 5
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 CHUNK_DOCS = 1023
 VALUE_BITS = 54
 _rng = np.random.default_rng(42)
@@ -81,7 +81,7 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> Sets:
     ends = ends - ends[0]
     if not len(data):
         return Sets(np.zeros(0, dtype=np.uint64), np.zeros(n_docs + 1, dtype=np.int64))
-    up, down = powers(1 << max(21, int(len(data)).bit_length()))
+    up, down = powers(1 << max(19, int(len(data)).bit_length()))
     blank = BLANK[data]
     first = ~blank
     first[1:] &= blank[:-1]
