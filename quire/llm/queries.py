@@ -14,6 +14,7 @@ from quire.llm.near_dup import op10_near_dup
 from quire.llm.packing import op1_packing
 from quire.llm.pii import op2_pii
 from quire.llm.planes import op7_planes
+from quire.llm.ranked import op13_ranked, op13_sql
 from quire.llm.runs import op12_runs, op12_sql
 from quire.llm.secrets import op6_secrets
 from quire.llm.topk import op4_sql, op4_topk
@@ -31,10 +32,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_near_dup": op10_near_dup,
     "op12_runs": op12_runs,
+    "op13_ranked": op13_ranked,
     "pipeline": corpus_pipeline.run,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op4_topk": op4_sql(), "op8_url_filter": op8_sql(), "op12_runs": op12_sql()}
+    found = {"op4_topk": op4_sql(), "op8_url_filter": op8_sql(), "op12_runs": op12_sql(), "op13_ranked": op13_sql()}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
