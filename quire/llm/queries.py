@@ -14,6 +14,7 @@ from quire.llm.near_dup import op10_near_dup
 from quire.llm.packing import op1_packing
 from quire.llm.pii import op2_pii
 from quire.llm.planes import op7_planes
+from quire.llm.quality import op11_quality
 from quire.llm.ranked import op13_ranked, op13_sql
 from quire.llm.runs import op12_runs, op12_sql
 from quire.llm.secrets import op6_secrets
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_near_dup": op10_near_dup,
+    "op11_quality": op11_quality,
     "op12_runs": op12_runs,
     "op13_ranked": op13_ranked,
     "pipeline": corpus_pipeline.run,
