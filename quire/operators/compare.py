@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import joined
-from quire.operators.text import escape_html, logical_lines
+from quire.operators.text import escape_html, logical_lines, split_lines
 
-DIFF = "pair_id long, ord long, kind string, left_line long, right_line long, text string"
+#: Pairs of lines that a comparison may weigh against each other.
+MAX_CELLS = 60_000_000_000
 
 
 def pair_line_counts(pairs: DataFrame, docs: DataFrame, max_side: int | None = None, max_total: int | None = None) -> DataFrame:
@@ -26,126 +29,169 @@ def pair_line_counts(pairs: DataFrame, docs: DataFrame, max_side: int | None = N
     return out.withColumn("error_code", F.when(side, "comparison-line-limit").when(both, "comparison-total-line-limit"))
 
 
-def middle_snake(a: list[int], b: list[int], i1: int, i2: int, j1: int, j2: int) -> tuple[int, int, int, int]:
-    """(x, y, u, v): a run of matches from (x, y) to (u, v) in the middle of a shortest path through
-    a[i1:i2] and b[j1:j2], by Myers' search from both ends, in linear space."""
-    n, m = i2 - i1, j2 - j1
-    delta, most = n - m, (n + m + 1) // 2
-    ahead, back = {1: 0}, {1: 0}
-    for d in range(most + 1):
-        for k in range(-d, d + 1, 2):
-            x = ahead[k + 1] if k == -d or (k != d and ahead[k - 1] < ahead[k + 1]) else ahead[k - 1] + 1
-            y = x - k
-            x0, y0 = x, y
-            while x < n and 0 <= y < m and a[i1 + x] == b[j1 + y]:
-                x, y = x + 1, y + 1
-            ahead[k] = x
-            if delta % 2 and -d < delta - k < d and x + back[delta - k] >= n:
-                return i1 + x0, j1 + y0, i1 + x, j1 + y
-        for k in range(-d, d + 1, 2):
-            x = back[k + 1] if k == -d or (k != d and back[k - 1] < back[k + 1]) else back[k - 1] + 1
-            y = x - k
-            x0, y0 = x, y
-            while x < n and 0 <= y < m and a[i2 - 1 - x] == b[j2 - 1 - y]:
-                x, y = x + 1, y + 1
-            back[k] = x
-            if delta % 2 == 0 and -d <= delta - k <= d and x + ahead[delta - k] >= n:
-                return i2 - x, j2 - y, i2 - x0, j2 - y0
-    raise AssertionError("no path")
+class SuffixTable:
+    """The table of common subsequences' lengths of all suffixes of ``a`` and ``b``, a bit for each pair of places.
+
+    Row i has a bit for each place j of b: set if the suffixes from (i, j) have a longer common subsequence than those
+    from (i, j + 1). A row follows from the one below it by one addition over whole rows (Crochemore, Iliopoulos,
+    Pinzon and Reid, 2001). One row in about sqrt(len(a)) is kept; the rows between are made again when asked for.
+    """
+
+    def __init__(self, a: list[int], b: list[int], cached_bytes: int = 32 << 20) -> None:
+        self.a, self.width = a, len(b)
+        self.full = (1 << self.width) - 1
+        self.places: dict[int, list[int]] = {}
+        for j, x in enumerate(b):
+            self.places.setdefault(x, []).append(self.width - 1 - j)
+        self.masks: dict[int, int] = {}
+        self.spare = cached_bytes
+        self.every = isqrt(len(a)) + 1
+        self.kept = {}
+        row = self.full
+        for i in range(len(a) - 1, -1, -1):
+            if (i + 1) % self.every == 0:
+                self.kept[i + 1] = row
+            row = self.above(row, a[i])
+        self.block: dict[int, bytes] = {}
+
+    def mask(self, x: int) -> int:
+        """Bits of the places that hold ``x``."""
+        if (found := self.masks.get(x)) is not None:
+            return found
+        places = self.places[x]
+        if len(places) < 8:
+            out = 0
+            for p in places:
+                out |= 1 << p
+        else:
+            bits = np.zeros(self.width, np.uint8)
+            bits[places] = 1
+            out = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        if self.spare > self.width // 8:
+            self.spare -= self.width // 8 + 64
+            self.masks[x] = out
+        return out
+
+    def above(self, row: int, x: int) -> int:
+        """The row of a suffix that is longer by ``x``; unset bits mark where lengths grow."""
+        same = row & self.mask(x)
+        return (row + same | row - same) & self.full
+
+    def row(self, i: int) -> bytes:
+        """Row i, bit by bit from the end of b; asked for in ascending order."""
+        if i not in self.block:
+            top = (i // self.every + 1) * self.every
+            row, last = (self.kept[top], top) if top in self.kept else (self.full, len(self.a))
+            self.block = {}
+            for k in range(last - 1, i - 1, -1):
+                row = self.above(row, self.a[k])
+                self.block[k] = row.to_bytes(self.width // 8 + 1, "little")
+        return self.block[i]
+
+    def grows(self, i: int, j: int) -> bool:
+        place = self.width - 1 - j
+        return not self.row(i)[place >> 3] >> (place & 7) & 1
 
 
 def matched(a: list[int], b: list[int]) -> Iterator[tuple[int, int]]:
-    """Ascending pairs of positions of a longest common subsequence."""
-    work = [(0, len(a), 0, len(b))]
-    while work:
-        i1, i2, j1, j2 = work.pop()
-        while i1 < i2 and j1 < j2 and a[i1] == b[j1]:
-            yield i1, j1
-            i1, j1 = i1 + 1, j1 + 1
-        tail = 0
-        while i1 < i2 - tail and j1 < j2 - tail and a[i2 - 1 - tail] == b[j2 - 1 - tail]:
-            tail += 1
-        if tail:
-            work.append((i2 - tail, i2, j2 - tail, j2))
-            i2, j2 = i2 - tail, j2 - tail
-        if i1 < i2 and j1 < j2:
-            x, y, u, v = middle_snake(a, b, i1, i2, j1, j2)
-            work += [(u, i2, v, j2), (x, u, y, v), (i1, x, j1, y)]
-
-
-def shortest_edits(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
-    """(kind, left, right) of a shortest edit script, by Myers' divide and conquer over the lines that both sides have."""
-    codes = {x: k for k, x in enumerate(set(a) & set(b))}
-    left, right = ([k for k, x in enumerate(s) if x in codes] for s in (a, b))
+    """Ascending pairs of places of one longest common subsequence: from the start on, equal places match; where they
+    differ, the right one is passed over if that shortens nothing, else the left one."""
+    table = SuffixTable(a, b)
+    i = j = 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            yield i, j
+            i, j = i + 1, j + 1
+        elif table.grows(i, j):
+            i += 1
+        else:
+            j += 1
+
+
+def shortest_edits(a: list[str], b: list[str], max_cells: int | None = None) -> list[tuple[int, int, int, int]] | None:
+    """Runs (kind, left, right, n) of a shortest edit script, kind an index of KINDS, in each block of changes what is
+    removed before what is added. None if more than ``max_cells`` pairs of lines would have to be compared.
+
+    One rule picks among equally short scripts: lines that agree from the start match; of the rest those that agree
+    to the end; of the rest, lines that the other side lacks are set aside, and ``matched`` tells what remains.
+    """
+    head, most = 0, min(len(a), len(b))
+    while head < most and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < most - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    n, m = len(a) - tail, len(b) - tail
+    codes = {x: k for k, x in enumerate(set(a[head:n]) & set(b[head:m]))}
+    left, right = [k for k in range(head, n) if a[k] in codes], [k for k in range(head, m) if b[k] in codes]
+    if max_cells is not None and len(left) * len(right) > max_cells:
+        return None
+    pairs = matched([codes[a[k]] for k in left], [codes[b[k]] for k in right])
     out, i, j = [], 0, 0
-    for p, q in [*matched([codes[a[k]] for k in left], [codes[b[k]] for k in right]), (-1, -1)]:
-        p, q = (left[p], right[q]) if p >= 0 else (len(a), len(b))
-        out += [("removed", k, -1) for k in range(i, p)] + [("added", -1, k) for k in range(j, q)]
-        out += [("unchanged", p, q)] if p < len(a) and q < len(b) else []
-        i, j = p + 1, q + 1
+    stretches = [(0, 0, head), *((left[p], right[q], 1) for p, q in pairs), (n, m, tail)]
+    for p, q, size in stretches:
+        out += [(1, i, -1, p - i)] * (p > i) + [(2, -1, j, q - j)] * (q > j)
+        if size and out and out[-1][0] == 0:
+            out[-1] = (0, out[-1][1], out[-1][2], out[-1][3] + size)
+        elif size:
+            out.append((0, p, q, size))
+        i, j = p + size, q + size
     return out
 
 
-def removed_first(edits: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Within a block of changes, what is removed stands before what is added."""
-    out, block = [], []
-    for e in [*edits, ("unchanged", -1, -1)]:
-        if e[0] == "unchanged":
-            out += [x for x in block if x[0] == "removed"] + [x for x in block if x[0] == "added"]
-            block = []
-            out.append(e)
-        else:
-            block.append(e)
-    return out[:-1]
+KINDS = "unchanged", "removed", "added"
 
 
-def diff_lines(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pair_id, ord, kind, left_line, right_line, text of ``pairs(pair_id, left_id, right_id)``, null documents as empty.
+def diff_lines(pairs: DataFrame, docs: DataFrame, max_cells: int | None = MAX_CELLS) -> DataFrame:
+    """pair_id, ord, kind, left_line, right_line, text, error_code of ``pairs(pair_id, left_id, right_id)``, null or
+    missing documents as empty; the shortest edit script that ``shortest_edits`` defines.
 
-    Equal texts are told by the join alone. Of the others, lines that agree from the start or to the end are
-    matched by window functions; only the middles go to one Python call for each pair, through a cogroup.
+    A pair's lines meet in one row; equal ones never leave the JVM. Of the others one Python call a pair returns the
+    runs of the script, which built-in functions expand. A pair of more than ``max_cells`` pairs of lines (about half
+    a minute's work) has one row with the code ``comparison-complexity-limit``, and no part of a script.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = pairs.join(texts.select(F.col("doc_id").alias("left_id"), F.col("text").alias("l")), "left_id", "left").join(texts.select(F.col("doc_id").alias("right_id"), F.col("text").alias("r")), "right_id", "left")
-    both = both.select("pair_id", F.coalesce("l", F.lit("")).alias("l"), F.coalesce("r", F.lit("")).alias("r"))
-    equal = logical_lines(both.filter("l = r").select(F.col("pair_id").alias("doc_id"), F.col("l").alias("text")))
-    equal = equal.select(F.col("doc_id").alias("pair_id"), F.col("line").alias("ord"), F.lit("unchanged").alias("kind"), F.col("line").alias("left_line"), F.col("line").alias("right_line"), "text")
-    changed = both.filter("l <> r")
-    left = logical_lines(changed.select(F.col("pair_id").alias("doc_id"), F.col("l").alias("text"))).select(F.col("doc_id").alias("pair_id"), "line", F.col("text").alias("a"))
-    right = logical_lines(changed.select(F.col("pair_id").alias("doc_id"), F.col("r").alias("text"))).select(F.col("doc_id").alias("pair_id"), "line", F.col("text").alias("b"))
-    zipped = left.join(right, ["pair_id", "line"], "full")
-    facts = zipped.groupBy("pair_id").agg(F.coalesce(F.min(F.when(~F.col("a").eqNullSafe(F.col("b")), F.col("line"))) - 1, F.max("line")).alias("head"), F.count("a").alias("n"), F.count("b").alias("m"))
-    from_end = lambda side, count, text: side.join(facts.select("pair_id", F.col(count).alias("k")), "pair_id").select("pair_id", (F.col("k") - F.col("line")).alias("back"), text)
-    ends = from_end(left, "n", "a").join(from_end(right, "m", "b"), ["pair_id", "back"])
-    tails = ends.groupBy("pair_id").agg(F.coalesce(F.min(F.when(F.col("a") != F.col("b"), F.col("back"))), F.max("back") + 1).alias("t"))
-    room = F.least(F.col("n") - F.col("head"), F.col("m") - F.col("head"))
-    facts = facts.join(tails, "pair_id", "left").select("pair_id", "head", "n", "m", F.greatest(F.lit(0), F.least(F.coalesce("t", F.lit(0)), room)).alias("tail"))
-    known_left = left.join(facts, "pair_id")
-    head = known_left.filter("line <= head").select("pair_id", F.col("line").alias("l"), F.col("line").alias("r"), F.lit("unchanged").alias("kind"), F.col("a").alias("text"))
-    tail = known_left.filter("line > n - tail").select("pair_id", F.col("line").alias("l"), (F.col("line") - F.col("n") + F.col("m")).alias("r"), F.lit("unchanged").alias("kind"), F.col("a").alias("text"))
-    middle_left = known_left.filter("line > head AND line <= n - tail").select("pair_id", "line", "a", "head")
-    middle_right = right.join(facts, "pair_id").filter("line > head AND line <= m - tail").select("pair_id", "line", "b", (F.col("head") + 0).alias("head"))
-
-    def middle(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        x, y = x.sort_values("line"), y.sort_values("line")
-        side = x if len(x) else y
-        pair, at = int(side["pair_id"].iloc[0]), int(side["head"].iloc[0])
-        a, b = x["a"].tolist(), y["b"].tolist()
-        rows = [(pair, at + i + 1 if i >= 0 else None, at + j + 1 if j >= 0 else None, k, a[i] if i >= 0 else b[j], o) for o, (k, i, j) in enumerate(removed_first(shortest_edits(a, b)))]
-        return pd.DataFrame(rows, columns=["pair_id", "l", "r", "kind", "text", "o"]).astype({"l": "Int64", "r": "Int64"})
-
-    mid = middle_left.groupBy("pair_id").cogroup(middle_right.groupBy("pair_id")).applyInPandas(middle, "pair_id long, l long, r long, kind string, text string, o long")
-    rows = head.withColumn("part", F.lit(0)).withColumn("o", F.col("l").cast("long")).unionByName(mid.withColumn("part", F.lit(1))).unionByName(tail.withColumn("part", F.lit(2)).withColumn("o", F.col("l").cast("long")))
-    ordered = rows.select("pair_id", F.row_number().over(Window.partitionBy("pair_id").orderBy("part", "o")).cast("long").alias("ord"), "kind", F.col("l").cast("long").alias("left_line"), F.col("r").cast("long").alias("right_line"), "text")
-    return ordered.unionByName(equal.select("pair_id", F.col("ord").cast("long").alias("ord"), "kind", F.col("left_line").cast("long").alias("left_line"), F.col("right_line").cast("long").alias("right_line"), "text"))
+
+    @F.arrow_udf("array<struct<kind:int,left:int,right:int,n:int>>")
+    def edits(left: pa.Array, right: pa.Array) -> pa.Array:
+        found = [None if a is None else shortest_edits(a, b, max_cells) for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)]
+        rows = [None if f is None else [dict(zip(("kind", "left", "right", "n"), r, strict=True)) for r in f] for f in found]
+        return pa.array(rows, pa.list_(pa.struct([(c, pa.int32()) for c in ("kind", "left", "right", "n")])))
+
+    none = F.array().cast("array<string>")
+    lines = docs.select("doc_id", F.when(F.length("text") > 0, split_lines(F.col("text"))).otherwise(none).alias("lines"))
+    side = lambda key, name: lines.select(F.col("doc_id").alias(key), F.col("lines").alias(name))
+    both = pairs.join(side("left_id", "l"), "left_id", "left").join(side("right_id", "r"), "right_id", "left")
+    both = both.select("pair_id", F.coalesce("l", none).alias("l"), F.coalesce("r", none).alias("r"))
+    same = F.col("l") == F.col("r")
+    run = both.withColumn("runs", edits(F.when(~same, F.col("l")), F.when(~same, F.col("r"))))
+    whole = F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).alias("left"), F.lit(0).alias("right"), F.size("l").alias("n")))
+    # What comes before each run, then its rows: once a pair, so that no row drags the pair's lines along.
+    runs = F.filter(F.when(same, whole).otherwise(F.col("runs")), lambda r: r["n"] > 0)
+    before = F.aggregate(runs, F.array(F.lit(0)), lambda sums, r: F.concat(sums, F.array(F.element_at(sums, -1) + r["n"])))
+    placed = run.select("pair_id", "l", "r", runs.alias("runs"), before.alias("before"))
+    kind = lambda r: F.when(r["kind"] == 0, KINDS[0]).when(r["kind"] == 1, KINDS[1]).otherwise(KINDS[2])
+    number = lambda start, k: F.when(start >= 0, (start + k + 1).cast("long"))
+
+    def rows(r: Column, at: Column) -> Column:
+        one = lambda k: F.struct(
+            (F.get("before", at) + k + 1).cast("long").alias("ord"), kind(r).alias("kind"), number(r["left"], k).alias("left_line"), number(r["right"], k).alias("right_line"),
+            F.when(r["left"] >= 0, F.get("l", r["left"] + k)).otherwise(F.get("r", r["right"] + k)).alias("text"), F.lit(None).cast("string").alias("error_code"),
+        )
+        return F.transform(F.sequence(F.lit(0), r["n"] - 1), one)
+
+    null = lambda t, name: F.lit(None).cast(t).alias(name)
+    failed = F.array(F.struct(null("long", "ord"), null("string", "kind"), null("long", "left_line"), null("long", "right_line"), null("string", "text"), F.lit("comparison-complexity-limit").alias("error_code")))
+    return placed.select("pair_id", F.inline(F.when(F.col("runs").isNull(), failed).otherwise(F.flatten(F.transform("runs", rows)))))
 
 
 def diff_stats(diff: DataFrame) -> DataFrame:
-    """pair_id, added, removed, unchanged, changed, changed_blocks, identical; a block is a run of one kind."""
+    """pair_id, added, removed, unchanged, changed, changed_blocks, identical; a block is a run of one kind. Of a pair
+    that wasn't compared all are null."""
     order = Window.partitionBy("pair_id").orderBy("ord")
     marked = diff.withColumn("starts", (F.col("kind") != "unchanged") & ~F.col("kind").eqNullSafe(F.lag("kind").over(order)))
     kinds = [F.count_if(F.col("kind") == k).alias(k) for k in ("added", "removed", "unchanged")]
-    out = marked.groupBy("pair_id").agg(*kinds, F.count_if("starts").alias("changed_blocks"))
+    out = marked.groupBy("pair_id").agg(*kinds, F.count_if("starts").alias("changed_blocks"), F.count("kind").alias("n"))
+    out = out.select("pair_id", *[F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("added", "removed", "unchanged", "changed_blocks")])
     return out.withColumn("changed", F.col("added") + F.col("removed")).withColumn("identical", F.col("changed_blocks") == 0)
 
 
@@ -163,8 +209,9 @@ def view_limits(diff: DataFrame, max_characters: int, max_lines: int) -> DataFra
 
 
 def diff_report_html(diff: DataFrame) -> DataFrame:
-    """pair_id, html: the rows of a comparison as escaped markup."""
+    """pair_id, html: the rows of a comparison as escaped markup; null for a pair that wasn't compared."""
     marker = F.when(F.col("kind") == "added", "+").when(F.col("kind") == "removed", "−").otherwise("")
     number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     row = F.concat(F.lit('<div class="diff-row '), F.col("kind"), F.lit('"><span class="marker">'), marker, F.lit('</span><span class="line">'), number("left_line"), F.lit('</span><span class="line">'), number("right_line"), F.lit("</span><pre>"), escape_html(F.col("text")), F.lit("</pre></div>"))
-    return diff.groupBy("pair_id").agg(joined(F.collect_list(F.struct("ord", row.alias("s"))), "s", "").alias("html"))
+    html = joined(F.collect_list(F.struct("ord", row.alias("s"))), "s", "")
+    return diff.groupBy("pair_id").agg(F.when(F.count("kind") > 0, html).alias("html"))

@@ -41,9 +41,14 @@ TAG = r"(?is)^<\s*(/?)\s*(?:[a-z][a-z0-9-]*:)*([a-z][a-z0-9-]*).*>$"
 SHOWN_TAGS = {"br": "\n", "/br": "\n", "hr": "\n\n", "/hr": "\n\n", "li": "\n- ", "/td": "\t", "/th": "\t", "/tr": "\n"} | {f"/{p}": "\n\n" for p in PARAGRAPH.split("|")}
 
 
+def split_lines(text: Column) -> Column:
+    """The lines of a text that isn't empty; a final line end adds none."""
+    return F.split(F.regexp_replace(unix_lines(text), r"\n\z", ""), "\n", -1)
+
+
 def logical_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, line (from 1), text. A final line end adds no line; an empty or null text has none."""
-    lines = F.split(F.regexp_replace(unix_lines(F.col(text)), r"\n\z", ""), "\n", -1)
+    lines = split_lines(F.col(text))
     return docs.filter(F.length(text) > 0).select("doc_id", F.posexplode(lines).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 

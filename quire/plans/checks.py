@@ -231,6 +231,11 @@ def masked(spark, sf):
     return forms.mask_regions(cells, regions(spark, sf))
 
 
+STATS = """WITH {source},
+runs AS (SELECT *, kind <> 'unchanged' AND kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY pair_id ORDER BY ord) AS starts FROM {rows})
+--
+SELECT pair_id, count(*) FILTER (WHERE kind = 'added') AS added, count(*) FILTER (WHERE kind = 'removed') AS removed, count(*) FILTER (WHERE kind = 'unchanged') AS unchanged,
+  count(*) FILTER (WHERE kind <> 'unchanged') AS changed, count(*) FILTER (WHERE starts) AS changed_blocks, count(*) FILTER (WHERE starts) = 0 AS identical FROM runs GROUP BY 1"""
 QUERIES = {
     "b1_admit_files": Query("job_id:l seq:l name:s error_code:s accepted:b running_bytes:d", admitted, f"WITH {ADMITTED}\n--\nSELECT job_id, seq, name, error_code, error_code IS NULL AS accepted, sum(CASE WHEN error_code IS NULL THEN size ELSE 0 END) OVER (PARTITION BY job_id ORDER BY seq) AS running_bytes FROM admitted"),
     "b1_admit_greedy": Query("job_id:l seq:l name:s error_code:s accepted:b running_bytes:d", greedy, GREEDY),
@@ -286,14 +291,13 @@ SELECT job_id, seq, k = 0 AS retained, CASE WHEN k = 1 AND code IS NOT NULL THEN
 SELECT DISTINCT page_id AS doc_id, path FROM p WHERE starts_with(t, '/') AND path <> '' AND path NOT IN (SELECT path FROM p WHERE page_id % 2 = 0)"""),
     "b16_check_placements": Query("doc_id:l ord:l error_code:s", placements, PLACEMENTS),
     "b17_sanitize_report": Query("page_id:l removed_elements:l removed_attributes:l removed_resources:l kept_images:l", lambda s, d: validate.sanitize_report(fx.table(s, d, "pages")), SANITIZE),
-    "r1_diff_lines": Query(DIFF_COLUMNS, diff),
+    "r1_diff_lines": Query(DIFF_COLUMNS, diff, f"WITH {fx.SCRIPT}\n--\nSELECT pair_id, ord, kind, left_line, right_line, text FROM script"),
     "r1_diff_identical": Query(DIFF_COLUMNS, identical_diff, f"WITH {fx.LINES}\n--\nSELECT doc_id * 2 AS pair_id, line AS ord, 'unchanged' AS kind, line AS left_line, line AS right_line, text FROM lines"),
     "r1_diff_numbered": Query(DIFF_COLUMNS, numbered_diff, f"WITH {fx.NUMBERED}\n--\nSELECT pair_id, ord, kind, left_line, right_line, text FROM numbered"),
     "r2_numbered_stats": Query(
         "pair_id:l added:l removed:l unchanged:l changed:l changed_blocks:l identical:b",
         lambda s, d: compare.diff_stats(numbered_diff(s, d)),
-        f"WITH {fx.NUMBERED}, runs AS (SELECT *, kind <> 'unchanged' AND kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY pair_id ORDER BY ord) AS starts FROM numbered)\n--\n"
-        "SELECT pair_id, count(*) FILTER (WHERE kind = 'added') AS added, count(*) FILTER (WHERE kind = 'removed') AS removed, count(*) FILTER (WHERE kind = 'unchanged') AS unchanged, count(*) FILTER (WHERE kind <> 'unchanged') AS changed, count(*) FILTER (WHERE starts) AS changed_blocks, count(*) FILTER (WHERE starts) = 0 AS identical FROM runs GROUP BY 1",
+        STATS.format(source=fx.NUMBERED, rows="numbered"),
     ),
     "r2_view_limits": Query(
         "pair_id:l error_code:s",
@@ -307,7 +311,7 @@ SELECT DISTINCT page_id AS doc_id, path FROM p WHERE starts_with(t, '/') AND pat
         lambda s, d: compare.pair_line_counts(*fx.diff_inputs(s, d), 20, 24).select("pair_id", "error_code"),
         f"WITH {fx.LINES}, k AS (SELECT doc_id, count(l.line) AS n, count(l.line) FILTER (WHERE l.line % 11 <> 0) AS m FROM documents LEFT JOIN lines l USING (doc_id) GROUP BY 1), c AS (SELECT doc_id * 2 AS pair_id, n, n AS m FROM k UNION ALL SELECT doc_id * 2 + 1, n, m FROM k)\n--\nSELECT pair_id, CASE WHEN greatest(n, m) > 20 THEN 'comparison-line-limit' WHEN n + m > 24 THEN 'comparison-total-line-limit' END AS error_code FROM c",
     ),
-    "r2_diff_stats": Query("pair_id:l added:l removed:l unchanged:l changed:l changed_blocks:l identical:b", lambda s, d: compare.diff_stats(diff(s, d))),
+    "r2_diff_stats": Query("pair_id:l added:l removed:l unchanged:l changed:l changed_blocks:l identical:b", lambda s, d: compare.diff_stats(diff(s, d)), STATS.format(source=fx.SCRIPT, rows="script")),
     "r3_pair_line_counts": Query(
         "pair_id:l left_lines:l right_lines:l total_lines:l",
         lambda s, d: compare.pair_line_counts(*fx.diff_inputs(s, d)),

@@ -103,6 +103,42 @@ def pixels(spark, sf):
 PAIRS = r"""changed AS (SELECT doc_id, string_agg(CASE WHEN line % 7 = 0 THEN 'changed ' || text ELSE text END, chr(10) ORDER BY line) AS text FROM lines WHERE line % 11 <> 0 GROUP BY 1)"""
 
 
+SPLIT = r"CASE WHEN length({0}) > 0 THEN string_split(regexp_replace(replace(replace({0}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n$', ''), chr(10)) ELSE [] END"
+#: The edit scripts of ``diff_inputs`` by the rule of ``compare.shortest_edits``: the table of suffixes row by row, then the path through it.
+SCRIPT = (
+    "RECURSIVE "
+    + LINES
+    + ",\n"
+    + PAIRS
+    + f""",
+sides AS (SELECT doc_id * 2 AS pair_id, {SPLIT.format("text")} AS a, {SPLIT.format("text")} AS b FROM documents
+  UNION ALL SELECT d.doc_id * 2 + 1, {SPLIT.format("d.text")}, {SPLIT.format("coalesce(c.text, '')")} FROM documents d LEFT JOIN changed c USING (doc_id)),
+heads AS (SELECT *, coalesce(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])[1] - 1, least(len(a), len(b))) AS h FROM sides),
+tails AS (SELECT *, coalesce(list_filter(range(0, least(len(a), len(b)) - h), lambda i: a[len(a) - i] <> b[len(b) - i])[1], least(len(a), len(b)) - h) AS t FROM heads),
+left_lines AS (SELECT pair_id, unnest(range(1, len(a) + 1)) AS line, unnest(a) AS text, h, len(a) - t AS last FROM tails),
+right_lines AS (SELECT pair_id, unnest(range(1, len(b) + 1)) AS line, unnest(b) AS text, h, len(b) - t AS last FROM tails),
+la AS (SELECT l.pair_id, row_number() OVER (PARTITION BY l.pair_id ORDER BY line) AS i, line, text FROM left_lines l WHERE line > h AND line <= last AND EXISTS (SELECT 1 FROM right_lines r WHERE r.pair_id = l.pair_id AND r.text = l.text AND r.line > r.h AND r.line <= r.last)),
+rb AS (SELECT r.pair_id, row_number() OVER (PARTITION BY r.pair_id ORDER BY line) AS j, line, text FROM right_lines r WHERE line > h AND line <= last AND EXISTS (SELECT 1 FROM left_lines l WHERE l.pair_id = r.pair_id AND l.text = r.text AND l.line > l.h AND l.line <= l.last)),
+sizes AS (SELECT pair_id, n, m FROM (SELECT pair_id, max(i) AS n FROM la GROUP BY 1) JOIN (SELECT pair_id, max(j) AS m FROM rb GROUP BY 1) USING (pair_id)),
+table_rows(pair_id, i, j, v) AS (SELECT pair_id, n + 1, unnest(range(1, m + 2)), 0::BIGINT FROM sizes
+  UNION ALL SELECT pair_id, i - 1, j, max(c) OVER (PARTITION BY pair_id ORDER BY j DESC) FROM (
+    SELECT t.pair_id, t.i, t.j, CASE WHEN la.text = rb.text THEN t.w + 1 ELSE t.v END AS c FROM (SELECT *, lead(v) OVER (PARTITION BY pair_id ORDER BY j) AS w FROM table_rows) t
+    JOIN la ON la.pair_id = t.pair_id AND la.i = t.i - 1 LEFT JOIN rb ON rb.pair_id = t.pair_id AND rb.j = t.j)),
+steps AS (SELECT t.pair_id, t.i, t.j, la.line AS left_line, rb.line AS right_line, CASE WHEN la.text = rb.text THEN 0 WHEN t.v = u.v THEN 1 ELSE 2 END AS move
+  FROM table_rows t JOIN la ON la.pair_id = t.pair_id AND la.i = t.i JOIN rb ON rb.pair_id = t.pair_id AND rb.j = t.j JOIN table_rows u ON u.pair_id = t.pair_id AND u.i = t.i AND u.j = t.j + 1),
+path(pair_id, i, j, left_line, right_line, move) AS (SELECT * FROM steps WHERE i = 1 AND j = 1
+  UNION ALL SELECT s.pair_id, s.i, s.j, s.left_line, s.right_line, s.move FROM path p JOIN steps s ON s.pair_id = p.pair_id AND s.i = p.i + CASE WHEN p.move = 1 THEN 0 ELSE 1 END AND s.j = p.j + CASE WHEN p.move = 2 THEN 0 ELSE 1 END),
+matches AS (SELECT pair_id, left_line, right_line, row_number() OVER (PARTITION BY pair_id ORDER BY left_line) AS block FROM (SELECT pair_id, left_line, right_line FROM path WHERE move = 0
+  UNION ALL SELECT pair_id, unnest(range(1, h + 1)), unnest(range(1, h + 1)) FROM tails UNION ALL SELECT pair_id, unnest(range(len(a) - t + 1, len(a) + 1)), unnest(range(len(b) - t + 1, len(b) + 1)) FROM tails)),
+placed_left AS (SELECT l.pair_id, l.line, l.text, m.right_line, m.left_line IS NOT NULL AS kept, coalesce(max(m.block) OVER (PARTITION BY l.pair_id ORDER BY l.line), 0) AS block FROM left_lines l LEFT JOIN matches m ON m.pair_id = l.pair_id AND m.left_line = l.line),
+placed_right AS (SELECT r.pair_id, r.line, r.text, m.right_line IS NOT NULL AS kept, coalesce(max(m.block) OVER (PARTITION BY r.pair_id ORDER BY r.line), 0) AS block FROM right_lines r LEFT JOIN matches m ON m.pair_id = r.pair_id AND m.right_line = r.line),
+script AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY block, k, line) AS ord, kind, left_line, right_line, text FROM (
+  SELECT pair_id, block, 0 AS k, line, 'unchanged' AS kind, line AS left_line, right_line, text FROM placed_left WHERE kept
+  UNION ALL SELECT pair_id, block, 1, line, 'removed', line, NULL, text FROM placed_left WHERE NOT kept
+  UNION ALL SELECT pair_id, block, 2, line, 'added', NULL, line, text FROM placed_right WHERE NOT kept))"""
+)
+
+
 def diff_inputs(spark, sf):
     """Each document with itself, and with a copy of which every 7th line is changed and every 11th dropped."""
     own = docs(spark, sf)

@@ -136,7 +136,7 @@ g AS (SELECT *, ceil(av * pages + 4096 + pages * 1200) AS projected, CASE WHEN s
 --
 SELECT doc_id, pages, sampled, projected, greatest(1, floor(projected * (1 - doubt))) AS lower, ceil(projected * (1 + doubt)) AS upper FROM g""",
     ),
-    "p14_page_rows": Query("pair_id:l ord:l kind:s view_page:l", rows_of_diff),
+    "p14_page_rows": Query("pair_id:l ord:l kind:s view_page:l", rows_of_diff, f"WITH {fx.SCRIPT}\n--\nSELECT pair_id, ord, kind, (row_number() OVER (PARTITION BY pair_id ORDER BY ord) + 79) // 80 AS view_page FROM script WHERE kind <> 'unchanged'"),
     "p14_numbered_rows": Query(
         "pair_id:l ord:l kind:s view_page:l",
         lambda s, d: pages.page_rows(compare.diff_lines(*fx.numbered_diff_inputs(s, d)), 5, True),

@@ -1,6 +1,7 @@
 """Small cases with results that the rules fix."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -278,10 +279,10 @@ def test_edits_of_long_sides_are_the_fewest():
         return row[-1]
 
     def check(a, b):
-        edits = compare.shortest_edits(a, b)
-        assert [i for k, i, _ in edits if k != "added"] == list(range(len(a))) and [j for k, _, j in edits if k != "removed"] == list(range(len(b)))
-        assert all(a[i] == b[j] for k, i, j in edits if k == "unchanged")
-        assert sum(k != "unchanged" for k, _, _ in edits) == len(a) + len(b) - 2 * common(a, b)
+        edits = [(k, i + n if i >= 0 else -1, j + n if j >= 0 else -1) for k, i, j, size in compare.shortest_edits(a, b) for n in range(size)]
+        assert [i for k, i, _ in edits if k != 2] == list(range(len(a))) and [j for k, _, j in edits if k != 1] == list(range(len(b)))
+        assert all(a[i] == b[j] for k, i, j in edits if k == 0)
+        assert sum(k != 0 for k, _, _ in edits) == len(a) + len(b) - 2 * common(a, b)
 
     a = [str(rng.randrange(400)) for _ in range(2100)]
     b = [x for x in a if rng.random() > 0.2]
@@ -292,6 +293,37 @@ def test_edits_of_long_sides_are_the_fewest():
         check(*([rng.choice("abcd") for _ in range(rng.randrange(12))] for _ in range(2)))
 
 
+def test_unlike_texts_of_many_lines_are_compared_at_once():
+    """8,000 lines against 8,000 others, few of them alike; rows made again from the kept ones say the same."""
+    rng = random.Random(8)
+    a, b = ([str(rng.randrange(8000)) for _ in range(8000)] for _ in range(2))
+    began = time.process_time()
+    edits = compare.shortest_edits(a, b)
+    assert time.process_time() - began < 5
+    assert sum(n for k, *_, n in edits if k != 1) == sum(n for k, *_, n in edits if k != 2) == 8000
+    codes = [[int(x) for x in side] for side in (a[:300], b[:300])]
+    table = compare.SuffixTable(*([x for x in side if x in other] for side, other in (codes, codes[::-1])), cached_bytes=0)
+    rows = {len(table.a): table.full}
+    for i in range(len(table.a) - 1, -1, -1):
+        rows[i] = table.above(rows[i + 1], table.a[i])
+    assert all(int.from_bytes(table.row(i), "little") == rows[i] for i in range(len(table.a)))
+
+
+def test_a_comparison_beyond_its_budget_has_a_code(spark):
+    docs = spark.createDataFrame([(1, "a\nb\nc"), (2, "c\nb\na"), (3, "a\nb\nc\nd"), (4, None)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, 1, 2), (2, 1, 3), (3, 1, 1), (4, 4, 1), (5, 4, 9)], "pair_id long, left_id long, right_id long")
+    found = compare.diff_lines(pairs, docs, max_cells=8).orderBy("pair_id", "ord")
+    rows = [tuple(r) for r in found.collect()]
+    assert rows[0] == (1, None, None, None, None, None, "comparison-complexity-limit") and all(r[6] is None for r in rows[1:])
+    assert [r[1:6] for r in rows if r[0] == 2] == [(k, "unchanged", k, k, "abc"[k - 1]) for k in (1, 2, 3)] + [(4, "added", None, 4, "d")]
+    assert [r[1:6] for r in rows if r[0] == 4] == [(k, "added", None, k, "abc"[k - 1]) for k in (1, 2, 3)] and {r[0] for r in rows} == {1, 2, 3, 4}
+    stats = {r["pair_id"]: r for r in compare.diff_stats(found).collect()}
+    assert stats[1]["identical"] is None and stats[1]["added"] is None and stats[3]["identical"] and stats[2]["added"] == 1
+    assert {r["pair_id"]: r["html"] is None for r in compare.diff_report_html(found).collect()}[1]
+    whole = [tuple(r) for r in compare.diff_lines(pairs, docs).filter("pair_id = 1").orderBy("ord").collect()]
+    assert [r[2:6] for r in whole] == [("added", None, 1, "c"), ("added", None, 2, "b"), ("unchanged", 1, 3, "a"), ("removed", 2, None, "b"), ("removed", 3, None, "c")]
+
+
 def test_one_result_is_read_from_its_bucket(spark, tmp_path):
     rows = spark.range(500).selectExpr("'n' || id AS name", "'text ' || id AS text")
     files.write_result_buckets(rows, str(tmp_path / "out"), 8)
