@@ -1,43 +1,114 @@
-"""Streaming forms: admission with state across batches, and incremental text extraction."""
+"""Streaming forms: admission with state across batches, incremental text extraction, and a sink of named files."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quire.operators.text import html_to_text, text_stats
 from quire.operators.validate import stateless_code
+from quire.sources.named import located, write_named_results
 
 ADMITTED = "job_id long, seq long, name string, size double, error_code string, accepted boolean, running_bytes double"
+PROVIDER, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+TAKEN = pa.schema([("job_id", pa.int64()), ("seq", pa.int64()), ("name", pa.large_string()), ("size", pa.float64()), ("code", pa.large_string())])
+ROWS_OUT = 10_000
 
 
-def admit_stream(files: DataFrame, suffixes: list[str] | None = None, max_files: int | None = None, max_file: float | None = None, max_total: float | None = None) -> DataFrame:
+class Admission(StatefulProcessor):
+    """A job's state: how many files it has admitted, and their bytes."""
+
+    def __init__(self, max_files: int | None, max_total: float | None, expire_ms: int | None) -> None:
+        self.max_files, self.max_total, self.expire_ms = max_files, max_total, expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.totals = handle.getValueState("totals", "n long, total double", self.expire_ms)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.totals.update((int(initialState["n"].iloc[0]), float(initialState["total"].iloc[0])))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, total = self.totals.get() if self.totals.exists() else (0, 0.0)
+        # A batch's files of one job stand in columns, about 50 bytes a file; decisions follow seq, and leave in parts.
+        files = pa.concat_tables([pa.Table.from_pandas(part, TAKEN, preserve_index=False) for part in rows])
+        order = np.argsort(files["seq"].to_numpy(), kind="stable")
+        for at in range(0, len(order), ROWS_OUT):
+            some = files.take(pa.array(order[at : at + ROWS_OUT]))
+            codes, totals = [], []
+            for size, code in zip(some["size"].to_pylist(), some["code"].to_pylist(), strict=True):
+                if code is None:
+                    code = "too-many-files" if self.max_files is not None and n >= self.max_files else "total-too-large" if self.max_total is not None and total + size > self.max_total else None
+                    n, total = (n + 1, total + size) if code is None else (n, total)
+                codes.append(code)
+                totals.append(total)
+            yield some.drop_columns(["code"]).to_pandas().assign(error_code=codes, accepted=[c is None for c in codes], running_bytes=totals)
+        self.totals.update((n, total))
+
+    def close(self) -> None:
+        pass
+
+
+def admit_stream(
+    files: DataFrame,
+    suffixes: list[str] | None = None,
+    max_files: int | None = None,
+    max_file: float | None = None,
+    max_total: float | None = None,
+    initial: DataFrame | None = None,
+    expire_ms: int | None = None,
+) -> DataFrame:
     """admit_files over a stream of ``files(job_id, seq, name, size)``: a job's count and bytes are kept from batch to
-    batch. Within a batch a job's files are taken by seq; earlier batches came first."""
-    coded = files.select("job_id", "seq", "name", "size", stateless_code(suffixes, max_file).alias("code"))
-
-    def admit(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(parts)).sort_values("seq")
-        codes, totals = [], []
-        for size, code in zip(rows["size"], rows["code"], strict=True):
-            if code is None or pd.isna(code):
-                code = "too-many-files" if max_files is not None and n >= max_files else "total-too-large" if max_total is not None and total + size > max_total else None
-            if code is None:
-                n, total = n + 1, total + float(size)
-            codes.append(code)
-            totals.append(total)
-        state.update((n, total))
-        yield pd.DataFrame({"job_id": rows["job_id"], "seq": rows["seq"], "name": rows["name"], "size": rows["size"], "error_code": codes, "accepted": [c is None for c in codes], "running_bytes": totals})
-
-    return coded.groupBy("job_id").applyInPandasWithState(admit, ADMITTED, "n long, total double", "append", GroupStateTimeout.NoTimeout)
+    batch, in RocksDB. Within a batch a job's files are taken by seq; earlier batches came first.
+
+    ``initial(job_id, n, total)`` is what jobs have admitted before the stream's first batch, a row a job. A job of
+    which nothing comes for ``expire_ms`` is forgotten; such a stream looks for what has expired without end, so it
+    must be stopped, also with ``availableNow``. The state needs RocksDB, so this session's later streams
+    with state use it too; streams that were started before keep what their checkpoint names.
+    """
+    spark = files.sparkSession
+    if "RocksDB" not in spark.conf.get(PROVIDER):
+        spark.conf.set(PROVIDER, ROCKSDB)
+    coded = files.select(F.col("job_id").cast("long"), F.col("seq").cast("long"), "name", F.col("size").cast("double"), stateless_code(suffixes, max_file).alias("code"))
+    before = None if initial is None else initial.select(F.col("job_id").cast("long"), F.col("n").cast("long"), F.col("total").cast("double")).groupBy("job_id")
+    mode = "none" if expire_ms is None else "processingTime"
+    return coded.groupBy("job_id").transformWithStateInPandas(Admission(max_files, max_total, expire_ms), ADMITTED, "append", mode, before)
 
 
 def extract_stream(pages: DataFrame) -> DataFrame:
     """doc_id and the text statistics and preview of a stream (or table) of ``pages(page_id, html)``."""
     texts = html_to_text(pages.select(F.col("page_id").alias("doc_id"), "html"))
     return text_stats(texts.select("doc_id", "text")).select("doc_id", "characters", "words", "paragraphs", "preview")
+
+
+def extract_results(pages: DataFrame) -> DataFrame:
+    """name, text: the readable text of a stream (or table) of ``pages(page_id, html)`` as results ``page-<id>.txt``."""
+    return html_to_text(pages).select(F.format_string("page-%d.txt", F.col("page_id")).alias("name"), "text")
+
+
+def write_results_stream(results: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Every row of the stream ``results(name, text)`` as the file ``path/name``, each batch whole and once.
+
+    A batch's files appear together, then a mark of its number. A batch that is run again after a failure is passed
+    over if it has its mark, and else writes the same names again. A later batch's result replaces an earlier one of
+    its name. The marks belong to ``checkpoint``: another checkpoint's batches are others.
+    """
+    system, root = located(checkpoint)
+    marks = f"{root}/quire-written"
+
+    def write(batch: DataFrame, number: int) -> None:
+        mark = f"{marks}/{number}"
+        if system.get_file_info(mark).type == fs.FileType.NotFound:
+            write_named_results(batch, path, replace=True)
+            system.create_dir(marks, recursive=True)
+            system.open_output_stream(mark).close()
+
+    stream = results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (stream.trigger(availableNow=True) if available_now else stream).start()
