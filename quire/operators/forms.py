@@ -109,12 +109,30 @@ def clamp_regions(regions: DataFrame) -> DataFrame:
     return regions.select("doc_id", "ord", page.alias("page"), place("x", "width").alias("x"), place("y", "height").alias("y"), two_places(size("width")).alias("width"), two_places(size("height")).alias("height"))
 
 
+#: Pages are cut into tiles of so many hundredths of their width and height.
+TILE = 5.0
+
+
+def tile(x: Column) -> Column:
+    """The tile of a place in percent; all places outside the page on one side share one."""
+    return F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(100.0 / TILE), x / TILE))).cast("int")
+
+
 def mask_regions(cells: DataFrame, regions: DataFrame, fill: int = 0) -> DataFrame:
     """``cells(doc_id, page, x, y, value)`` (x and y in percent) with value ``fill`` and masked where a region of the
-    page covers them. A page's regions meet its cells as one list, so a cell that several cover counts once."""
-    areas = regions.filter("error_code IS NULL").groupBy("doc_id", "page").agg(F.collect_list(F.struct("x", "y", "width", "height")).alias("areas"))
+    page covers them.
+
+    Regions and cells meet by page and tile: a tile that a region covers whole masks its cells at once, and only
+    regions that cover part of it are compared with them. A cell joins one row, its tile's, so it counts once.
+    """
+    across, down = (F.sequence(tile(F.col(at)), tile(F.col(at) + F.col(size))) for at, size in (("x", "width"), ("y", "height")))
+    tiles = regions.filter("error_code IS NULL AND width > 0 AND height > 0").select("doc_id", "page", "x", "y", "width", "height", F.explode(across).alias("tx"))
+    tiles = tiles.select("*", F.explode(down).alias("ty"))
+    inside = lambda t, at, size: (F.col(t) >= 0) & (F.col(t) < 100 / TILE) & (F.col(at) <= F.col(t) * TILE) & (F.col(at) + F.col(size) >= (F.col(t) + 1) * TILE)
+    whole = inside("tx", "x", "width") & inside("ty", "y", "height")
+    areas = tiles.groupBy("doc_id", "page", "tx", "ty").agg(F.bool_or(whole).alias("whole"), F.collect_set(F.when(~whole, F.struct("x", "y", "width", "height"))).alias("areas"))
     x, y = F.col("x"), F.col("y")
-    covers = F.exists("areas", lambda r: (x >= r["x"]) & (x < r["x"] + r["width"]) & (y >= r["y"]) & (y < r["y"] + r["height"]))
-    met = cells.join(areas, ["doc_id", "page"], "left").withColumn("masked", F.coalesce(covers, F.lit(False)))
+    covers = F.col("whole") | F.exists("areas", lambda r: (x >= r["x"]) & (x < r["x"] + r["width"]) & (y >= r["y"]) & (y < r["y"] + r["height"]))
+    met = cells.withColumns({"tx": tile(x), "ty": tile(y)}).join(areas, ["doc_id", "page", "tx", "ty"], "left").withColumn("masked", F.coalesce(covers, F.lit(False)))
     value = F.when(F.col("masked"), F.lit(fill).cast(cells.schema["value"].dataType)).otherwise(F.col("value"))
     return met.select(*[value.alias(c) if c == "value" else F.col(c) for c in cells.columns], "masked")

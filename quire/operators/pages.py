@@ -55,29 +55,58 @@ def selection_errors(docs: DataFrame, max_characters: int = MAX_EXPRESSION, max_
     return lenient_parts(docs, max_characters, max_entries).filter("error_code IS NOT NULL").select("doc_id", "error_code")
 
 
-def strict_parts(docs: DataFrame) -> DataFrame:
-    """doc_id, pages, error_code, chosen (array of pages or null) of ``docs(doc_id, pages, expr)``: the first
-    entry that is wrong decides the code."""
-    n, raw = F.col("pages"), F.lower(trimmed(F.coalesce("expr", F.lit(""))))
+def numbers(df: DataFrame, last: Column, name: str, block: int = 1 << 16) -> DataFrame:
+    """A row of ``df`` for each number from 1 to ``last``, whatever its size: a row becomes blocks, which are dealt out,
+    and a block its numbers, so that a task holds the numbers of one block at a time."""
+    blocks = df.withColumn("_last", last.cast("long")).filter("_last >= 1").select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_last") - 1) / block))).alias("_block"))
+    blocks = blocks.repartition(df.sparkSession.sparkContext.defaultParallelism, *df.columns, "_block")
+    inner = F.sequence(F.col("_block") * block + 1, F.least(F.col("_last"), (F.col("_block") + 1) * block))
+    return blocks.select("*", F.explode(inner).alias(name)).drop("_last", "_block")
+
+
+def strict_parts(docs: DataFrame, max_characters: int, max_entries: int) -> DataFrame:
+    """doc_id, pages, error_code, every, chosen (array of pages) of ``docs(doc_id, pages, expr)``.
+
+    The entries are gone through in order, with the pages chosen so far as state; the first that is wrong decides the
+    code. A range counts by its ends and is expanded up to one page beyond ``max_entries``, which is too many
+    whatever came before: state is bounded by the limit, not by the ranges.
+    """
+    n, raw = F.col("pages").cast("decimal(38,0)"), F.lower(trimmed(F.coalesce("expr", F.lit(""))))
+    whole = lambda x: F.lit(x).cast("decimal(38,0)")
+    none = F.array().cast("array<bigint>")
 
     def entry(part: Column) -> Column:
         low = F.regexp_extract(part, r"^([0-9]+)(?:\s*-\s*([0-9]+))?$", 1)
         high = F.regexp_extract(part, r"^([0-9]+)(?:\s*-\s*([0-9]+))?$", 2)
-        a, b = low.try_cast("decimal(38,0)"), F.coalesce(F.when(high == "", low).otherwise(high).try_cast("decimal(38,0)"))
-        unsafe = a.isNull() | b.isNull() | (F.greatest(a, b) > 2**53 - 1)
-        code = F.when((low == "") | unsafe, "invalid-page-selection").when((F.least(a, b) < 1) | (F.greatest(a, b) > n), "page-out-of-range")
-        return F.struct(code.alias("code"), F.when(code.isNull(), F.sequence(a.try_cast("int"), b.try_cast("int"))).alias("pages"))
-
+        a, b = low.try_cast("decimal(38,0)"), F.when(high == "", low).otherwise(high).try_cast("decimal(38,0)")
+        bad = (low == "") | a.isNull() | b.isNull() | (F.greatest(a, b) > whole(2**53 - 1))
+        start_out = (a < whole(1)) | (a > n)
+        stop = F.greatest(F.greatest(whole(1), a - whole(max_entries)), F.least(F.least(n, a + whole(max_entries)), b))
+        code = F.when(bad, "invalid-page-selection").when(start_out, "page-out-of-range")
+        return F.struct(code.alias("code"), F.when(code.isNull(), a).cast("long").alias("a"), F.when(code.isNull(), stop).cast("long").alias("b"), ((b < whole(1)) | (b > n)).alias("leaves"))
+
+    def step(state: Column, e: Column) -> Column:
+        pages = F.array_distinct(F.concat(state["pages"], F.coalesce(F.sequence(e["a"], e["b"]), none)))
+        code = F.when(e["code"].isNotNull(), e["code"]).when(F.size(pages) > max_entries, "page-selection-too-large").when(e["leaves"], "page-out-of-range")
+        after = F.struct(code.alias("code"), F.when(code.isNull(), pages).otherwise(none).alias("pages"))
+        return F.when(state["code"].isNotNull(), state).otherwise(after)
+
+    start = F.struct(F.lit(None).cast("string").alias("code"), none.alias("pages"))
     entries = F.transform(F.split(raw, ",", -1), lambda p: entry(trimmed(p)))
-    first = F.try_element_at(F.filter(F.transform(entries, lambda e: e["code"]), lambda c: c.isNotNull()), F.lit(1))
-    code = F.when(F.length(raw) > MAX_EXPRESSION, "page-selection-too-long").when(raw == "all", F.lit(None)).when(raw == "", "missing-page-selection").otherwise(first)
-    chosen = F.when(raw == "all", F.sequence(F.lit(1), n)).otherwise(F.array_distinct(F.flatten(F.transform(entries, lambda e: e["pages"]))))
-    return docs.filter(n > 0).select("doc_id", "pages", code.alias("error_code"), F.when(code.isNull(), chosen).alias("chosen"))
+    early = F.when(F.length(raw) > max_characters, "page-selection-too-long").when(raw == "", "missing-page-selection")
+    every = raw == "all"
+    rows = docs.filter("pages > 0").select("doc_id", "pages", early.alias("early"), every.alias("every"), F.when(early.isNull() & ~every, entries).alias("entries"))
+    rows = rows.select("doc_id", "pages", "early", "every", F.aggregate("entries", start, step).alias("found"))
+    return rows.select("doc_id", "pages", F.coalesce("early", "found.code").alias("error_code"), "every", F.when(F.coalesce("early", "found.code").isNull(), F.col("found.pages")).alias("chosen"))
 
 
-def select_pages_strict(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, page, error_code: one row with the code for a document whose expression is wrong."""
-    return strict_parts(docs).select("doc_id", "error_code", F.posexplode_outer("chosen").alias("pos", "page")).select("doc_id", (F.col("pos") + 1).alias("pos"), "page", "error_code")
+def select_pages_strict(docs: DataFrame, max_characters: int = MAX_EXPRESSION, max_entries: int = MAX_ENTRIES) -> DataFrame:
+    """doc_id, pos, page, error_code: one row with the code for a document whose expression is wrong, or stands for
+    more than ``max_entries`` different pages; ``all`` is every page of a document of any size."""
+    parts = strict_parts(docs, max_characters, max_entries)
+    every = numbers(parts.filter("every AND error_code IS NULL").select("doc_id", "pages", "error_code"), F.col("pages"), "pos")
+    chosen = parts.filter("NOT every OR error_code IS NOT NULL").select("doc_id", "error_code", F.posexplode_outer("chosen").alias("pos", "page"))
+    return chosen.select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), "page", "error_code").unionByName(every.select("doc_id", "pos", F.col("pos").alias("page"), "error_code"))
 
 
 def format_selection(selection: DataFrame) -> DataFrame:
@@ -97,13 +126,16 @@ def extract_pages(pages: DataFrame, selection: DataFrame, combine: bool = True)
 
 def remove_pages(pages: DataFrame, selection: DataFrame) -> DataFrame:
     """doc_id, page, output_page, text, error_code: the pages that aren't selected; a document of which none or
-    all are selected has one row with a code."""
-    counts = pages.groupBy("doc_id").agg(F.count("*").alias("n"))
-    hit = pages.select("doc_id", "page").join(selection.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("k"))
-    wrong = counts.join(hit, "doc_id", "left").select("doc_id", F.when(F.coalesce("k", F.lit(0)) == 0, "missing-page-selection").when(F.col("k") >= F.col("n"), "empty-pdf-result").alias("error_code")).filter("error_code IS NOT NULL")
-    kept = pages.select("doc_id", "page", "text").join(selection.select("doc_id", "page"), ["doc_id", "page"], "left_anti").join(wrong, "doc_id", "left_anti")
-    kept = kept.select("doc_id", "page", F.row_number().over(Window.partitionBy("doc_id").orderBy("page")).alias("output_page"), "text", F.lit(None).cast("string").alias("error_code"))
-    return kept.unionByName(wrong, allowMissingColumns=True)
+    all are selected has one row with a code. The pages are read once and dealt by document once more."""
+    hits = selection.select("doc_id", "page", F.lit(1).alias("hit")).distinct()
+    doc, order = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("page")
+    marked = pages.select("doc_id", "page", "text").join(hits, ["doc_id", "page"], "left")
+    code = F.when(F.col("k") == 0, "missing-page-selection").when(F.col("k") == F.col("n"), "empty-pdf-result")
+    marked = marked.withColumns({"k": F.count("hit").over(doc), "n": F.count(F.lit(1)).over(doc), "nth": F.row_number().over(order)})
+    marked = marked.withColumns({"error_code": code, "output_page": F.col("nth") - F.count("hit").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    kept = F.col("error_code").isNull()
+    shown = lambda c: F.when(kept, F.col(c)).alias(c)
+    return marked.filter((kept & F.col("hit").isNull()) | (~kept & (F.col("nth") == 1))).select("doc_id", shown("page"), shown("output_page"), shown("text"), "error_code")
 
 
 def organize_pages(docs: DataFrame) -> DataFrame:
@@ -112,47 +144,71 @@ def organize_pages(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "pages").join(order, "doc_id").select("doc_id", "outputs", (F.col("outputs") - F.col("different")).alias("copied"), (F.col("pages") - F.col("different")).alias("omitted"))
 
 
-def between(low: int, high: int | None):
-    """Is a page above ``low`` and, if there is one, not above ``high``?"""
-    return lambda page: page > low if high is None else (page > low) & (page <= high)
-
-
-def split_pages(docs: DataFrame, mode: str, argument: str = "") -> DataFrame:
+def custom_groups(n: Column, argument: str, max_characters: int, max_entries: int) -> tuple[Column, Column]:
+    """The code and the groups (first, last, n) of a custom split: ``argument`` is a list of pages to split after.
+    The first entry that is wrong decides the code; where an entry is too high depends on the document."""
+    raw = argument.strip()
+    too_long = len(raw) > max_characters
+    entries = [e.strip() for e in raw.split(",")] if raw and not too_long else []
+    error: tuple[int, str] | None = None
+    seen: set[int] = set()
+    rising: list[tuple[int, int]] = []  # entries higher than all before them
+    for i, e in enumerate(entries):
+        if not (e.isascii() and e.isdigit()):
+            error = i, "invalid-split-point"
+        elif not 1 <= int(e) < 2**53:
+            error = i, "split-point-out-of-range"
+        else:
+            rising += [(i, int(e))] if not rising or int(e) > rising[-1][1] else []
+            seen.add(int(e))
+            error = (i, "page-selection-too-large") if len(seen) >= max_entries else None
+        if error:
+            break
+    # A document of n pages fails at the first entry of n or more, unless another error comes earlier.
+    high = [(i, v) for i, v in rising if not error or i < error[0] or error[1] == "page-selection-too-large" and i == error[0]]
+    beyond = F.lit(max((v for _, v in high), default=0)) >= n
+    code = F.when(beyond, "split-point-out-of-range").otherwise(F.lit("page-selection-too-long" if too_long else error[1] if error else None).cast("string"))
+    breaks = sorted(seen)
+    run = lambda a, b: F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"))
+    ends = F.array(*[run(a + 1, b) for a, b in zip([0, *breaks], breaks, strict=False)], F.struct(F.lit((breaks or [0])[-1] + 1).cast("long").alias("a"), n.alias("b")))
+    return code, F.transform(ends, lambda r: F.struct(r["a"].alias("first_page"), r["b"].alias("last_page"), (r["b"] - r["a"] + 1).alias("n_pages")))
+
+
+def split_pages(docs: DataFrame, mode: str, argument: str = "", max_characters: int = MAX_EXPRESSION, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """doc_id, group, label, first_page, last_page, n_pages, error_code of ``docs(doc_id, pages)`` split by ``mode``:
-    every, half, every2, odd, even, selected (argument: pages) or custom (argument: last pages of groups)."""
-    n, empty = F.col("pages"), F.lit(None).cast("string")
-    all_pages = F.sequence(F.lit(1), n)
-    docs = docs.filter(n > 0).select("doc_id", "pages")
+    every, half, every2, odd, even, selected (argument: pages) or custom (argument: last pages of groups).
+
+    A group is a run, told by its ends: no mode lists a group's pages, so a split costs its number of groups alone.
+    """
+    n = F.col("pages").cast("long")
+    docs = docs.filter("pages > 0").select("doc_id", "pages")
+    group = lambda a, b, k: F.struct(a.cast("long").alias("first_page"), b.cast("long").alias("last_page"), k.cast("long").alias("n_pages"))
+    none, code = F.lit(None).cast("string"), F.lit(None).cast("string")
     if mode == "selected":
-        parts = strict_parts(docs.withColumn("expr", F.lit(argument))).select("doc_id", "error_code", F.transform("chosen", lambda p: F.array(p)).alias("groups"))
+        found = select_pages_strict(docs.withColumn("expr", F.lit(argument)), max_characters, max_entries)
+        rows = found.select("doc_id", F.col("pos").alias("group"), F.col("page").alias("first_page"), F.col("page").alias("last_page"), F.when(F.col("error_code").isNull(), F.lit(1)).cast("long").alias("n_pages"), "error_code")
+    elif mode in ("every", "all", "every-page"):
+        rows = numbers(docs, n, "group").select("doc_id", "group", F.col("group").alias("first_page"), F.col("group").alias("last_page"), F.lit(1).cast("long").alias("n_pages"), none.alias("error_code"))
+    elif mode == "every2":
+        rows = numbers(docs, F.ceil(n / 2), "group").withColumns({"first_page": F.col("group") * 2 - 1, "last_page": F.least(F.col("group") * 2, n)})
+        rows = rows.select("doc_id", "group", "first_page", "last_page", (F.col("last_page") - F.col("first_page") + 1).alias("n_pages"), none.alias("error_code"))
     else:
-        code = empty
-        if mode in ("every", "all", "every-page"):
-            groups = F.transform(all_pages, lambda p: F.array(p))
-        elif mode in ("odd", "even"):
-            kept = F.filter(all_pages, lambda p: p % 2 == (1 if mode == "odd" else 0))
-            code = F.when(F.size(kept) == 0, "empty-pdf-result")
-            groups = F.array(kept)
-        elif mode == "every2":
-            groups = F.transform(F.filter(all_pages, lambda p: p % 2 == 1), lambda p: F.slice(all_pages, p, F.lit(2)))
+        if mode == "odd":
+            groups = F.array(group(F.lit(1), n - (n + 1) % 2, F.floor((n + 1) / 2)))
+        elif mode == "even":
+            groups, code = F.array(group(F.lit(2), n - n % 2, F.floor(n / 2))), F.when(n < 2, "empty-pdf-result")
         elif mode == "half":
-            middle = F.ceil(n / 2).cast("int")
-            groups = F.when(n == 1, F.array(all_pages)).otherwise(F.array(F.slice(all_pages, F.lit(1), middle), F.slice(all_pages, middle + 1, n)))
+            middle = F.ceil(n / 2)
+            groups = F.when(n == 1, F.array(group(n, n, n))).otherwise(F.array(group(F.lit(1), middle, middle), group(middle + 1, n, n - middle)))
         elif mode == "custom":
-            entries = [e.strip() for e in argument.split(",")] if argument.strip() else []
-            bad = any(not e.isascii() or not e.isdigit() for e in entries)
-            breaks = [] if bad else sorted({int(e) for e in entries})
-            highest, lowest = (breaks[-1], breaks[0]) if breaks else (0, 1)
-            code = F.lit("invalid-split-point") if bad else F.when((F.lit(highest) >= n) | (F.lit(lowest) < 1), "split-point-out-of-range")
-            pairs = list(zip([0, *breaks], [*breaks, None], strict=True))
-            groups = F.array(*[F.filter(all_pages, between(a, b)) for a, b in pairs])
+            code, groups = custom_groups(n, argument, max_characters, max_entries)
         else:
             raise ValueError(f"unknown split mode {mode!r}")
         parts = docs.select("doc_id", code.alias("error_code"), F.when(code.isNull(), groups).alias("groups"))
-    rows = parts.select("doc_id", "error_code", F.posexplode_outer("groups").alias("g", "p"))
-    first, last = F.element_at("p", 1), F.element_at("p", -1)
-    label = F.lit(f"{mode}-pages") if mode in ("odd", "even") else F.when(F.size("p") == 1, F.concat(F.lit("page-"), first.cast("string"))).otherwise(F.concat_ws("-", F.lit("pages"), first.cast("string"), last.cast("string")))
-    return rows.select("doc_id", (F.col("g") + 1).alias("group"), F.when(F.col("error_code").isNull(), label).alias("label"), first.alias("first_page"), last.alias("last_page"), F.when(F.col("error_code").isNull(), F.size("p")).alias("n_pages"), "error_code")
+        rows = parts.select("doc_id", "error_code", F.posexplode_outer("groups").alias("g", "r")).select("doc_id", (F.col("g") + 1).cast("long").alias("group"), "r.first_page", "r.last_page", "r.n_pages", "error_code")
+    first, last = F.col("first_page").cast("string"), F.col("last_page").cast("string")
+    label = F.lit(f"{mode}-pages") if mode in ("odd", "even") else F.when(F.col("n_pages") == 1, F.concat(F.lit("page-"), first)).otherwise(F.concat_ws("-", F.lit("pages"), first, last))
+    return rows.select("doc_id", "group", F.when(F.col("error_code").isNull(), label).alias("label"), "first_page", "last_page", "n_pages", "error_code")
 
 
 def merge_docs(files: DataFrame) -> DataFrame:

@@ -41,16 +41,31 @@ def workbook_stats(cells: DataFrame) -> DataFrame:
     return out.filter("g = 0").drop("g")
 
 
-def workbook_text(cells: DataFrame) -> DataFrame:
-    """doc_id, text: sheets in order, each its name and its rows from the first used one, cells from the first
-    used column, those that are missing empty."""
+#: Fixed value: the used ranges of one workbook may cover so many cells.
+MAX_SLOTS = 10_000_000
+BETWEEN = "  |  "
+
+
+def workbook_text(cells: DataFrame, max_slots: int = MAX_SLOTS) -> DataFrame:
+    """doc_id, text, error_code: sheets in order, each its name and its rows from the first used one, cells from the
+    first used column, those that are missing empty.
+
+    A gap is as many separators as it is wide, so that work and rows follow the cells there are, however far they
+    stand apart. A workbook whose used ranges cover more than ``max_slots`` cells has a code and no text.
+    """
     text = F.replace(F.coalesce("value", F.lit("")), F.lit("\0"), F.lit(""))
-    bounds = cells.groupBy("doc_id", "sheet_no", "sheet").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"))
-    values = cells.withColumn("value", text).groupBy("doc_id", "sheet_no", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("by_col"), F.max("col").alias("last"))
-    grid = bounds.select("doc_id", "sheet_no", "sheet", "c0", F.explode(F.sequence("r0", "r1")).alias("row")).join(values, ["doc_id", "sheet_no", "row"], "left")
-    line = F.when(F.col("last").isNull(), "").otherwise(F.array_join(F.transform(F.sequence("c0", F.coalesce("last", "c0")), lambda c: F.coalesce(F.try_element_at("by_col", c), F.lit(""))), "  |  "))
-    sheets = grid.groupBy("doc_id", "sheet_no", "sheet").agg(joined(F.collect_list(F.struct("row", line.alias("s"))), "s", "\n").alias("body"))
-    return sheets.groupBy("doc_id").agg(joined(F.collect_list(F.struct("sheet_no", F.concat_ws("\n", "sheet", "body").alias("s"))), "s", "\n\n").alias("text"))
+    sheet, row = Window.partitionBy("doc_id", "sheet_no", "sheet"), Window.partitionBy("doc_id", "sheet_no", "sheet", "row")
+    span = lambda c: F.max(c).over(sheet) - F.min(c).over(sheet) + 1
+    placed = cells.select("doc_id", "sheet_no", "sheet", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), text.alias("value"))
+    placed = placed.withColumn("slots", span("row") * span("col")).withColumn("gap", F.col("col") - F.coalesce(F.lag("col").over(row.orderBy("col")), F.min("col").over(sheet)))
+    fits = F.col("slots") <= max_slots
+    gap = lambda sign, n: F.repeat(F.lit(sign), F.when(fits, n).otherwise(0).cast("int"))
+    lines = placed.groupBy("doc_id", "sheet_no", "sheet", "slots", "row").agg(joined(F.collect_list(F.struct("col", F.concat(gap(BETWEEN, F.col("gap")), "value").alias("s"))), "s", "").alias("line"))
+    above = F.col("row") - F.coalesce(F.lag("row").over(sheet.orderBy("row")), F.col("row"))
+    lines = lines.withColumn("line", F.concat(gap("\n", above), "line"))
+    sheets = lines.groupBy("doc_id", "sheet_no", "sheet", "slots").agg(joined(F.collect_list(F.struct("row", F.col("line").alias("s"))), "s", "").alias("body"))
+    books = sheets.groupBy("doc_id").agg(F.sum("slots").alias("slots"), joined(F.collect_list(F.struct("sheet_no", F.concat_ws("\n", "sheet", "body").alias("s"))), "s", "\n\n").alias("text"))
+    return books.select("doc_id", F.when(fits, F.col("text")).alias("text"), F.when(~fits, "spreadsheet-cell-limit").alias("error_code"))
 
 
 def cell_preview(cells: DataFrame, rows: int = 8, columns: int = 6, characters: int = 96) -> DataFrame:

@@ -5,7 +5,10 @@ All are plans of built-in functions; rows of one document meet only in that docu
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from math import sqrt
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +31,11 @@ GLOSSARIES = {
     "hi": {"document": "दस्तावेज़", "page": "पृष्ठ", "private": "निजी", "local": "स्थानीय", "file": "फ़ाइल", "image": "छवि", "text": "पाठ", "with": "के साथ", "and": "और", "the": "यह"},
 }
 
+SUMMARY_WORD, SUMMARY_STOP = re.compile(r"[a-z][a-z'-]{3,}"), frozenset(STOP_WORDS)
+ASCII_WORD, GAP = re.compile(r"[A-Za-z0-9_]+"), re.compile(f"{WS}+")
+#: Bytes of a glossary that is broadcast.
+MAX_GLOSSARY = 16 << 20
+
 # Possessive tag bodies: a long tag costs no stack.
 BODY = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 END = r"""(?:>|["'].*\z|\z)"""
@@ -179,39 +187,108 @@ def chunk_text(docs: DataFrame, size: int = 3500) -> DataFrame:
     return docs.filter(F.length("text") > 0).select("doc_id", "text", F.explode(starts).alias("c")).select("doc_id", (F.col("c") + 1).alias("chunk"), F.substring("text", F.col("c") * size + 1, F.lit(size)).alias("text"))
 
 
-def apply_glossary(docs: DataFrame, language: str) -> DataFrame:
+def apply_glossary(docs: DataFrame, language: str, glossary: DataFrame | None = None, max_bytes: int = MAX_GLOSSARY) -> DataFrame:
     """doc_id, replacements, body: whole ASCII words of the glossary replaced, in any case; ``es`` where the
-    language is unknown. A word ends where no ASCII letter, digit or underscore follows."""
-    glossary = GLOSSARIES.get(language.lower(), GLOSSARIES["es"])
-    table = F.create_map(*[F.lit(x) for pair in glossary.items() for x in pair])
-    tokens = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z0-9_]++|[^A-Za-z0-9_]++"), F.lit(0))
-    known = F.filter(tokens, lambda t: F.lower(t).isin(*glossary))
-    body = F.array_join(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, F.lower(t)), t)), "")
-    return docs.select("doc_id", F.size(known).alias("replacements"), body.alias("body"))
+    language is unknown. A word ends where no ASCII letter, digit or underscore follows.
+
+    ``glossary(language, term, replacement)`` takes the place of the built-in words. A term may be several words,
+    which match with any white space between them; the longest term that begins at a word wins, and matches don't
+    overlap. Of terms that are alike but for case the smallest replacement counts; rows with nulls, terms without a
+    word and terms with signs between words don't. The terms of the language are broadcast if they have ``max_bytes``
+    at most; else each document meets, by a join on their words, the terms whose first word it has.
+    """
+    if glossary is None:
+        words = GLOSSARIES.get(language.lower(), GLOSSARIES["es"])
+        table = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+        tokens = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z0-9_]++|[^A-Za-z0-9_]++"), F.lit(0))
+        known = F.filter(tokens, lambda t: F.lower(t).isin(*words))
+        body = F.array_join(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, F.lower(t)), t)), "")
+        return docs.select("doc_id", F.size(known).alias("replacements"), body.alias("body"))
+    term = F.lower(F.regexp_replace(trimmed(F.col("term")), f"{WS}+", " "))
+    rows = glossary.select(F.lower("language").alias("language"), term.alias("term"), "replacement").filter(F.col("term").rlike("^[a-z0-9_]+(?: [a-z0-9_]+)*$") & F.col("replacement").isNotNull())
+    own = rows.filter(F.col("language") == language.lower())
+    own = own if own.limit(1).count() else rows.filter("language = 'es'")
+    terms = own.groupBy("term").agg(F.min("replacement").alias("replacement"))
+    size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + F.octet_length("replacement")), F.lit(0))).first()[0]
+    kind, result = docs.schema["doc_id"].dataType.simpleString(), "replacements int, body string"
+    if size <= max_bytes:
+        sent = docs.sparkSession.sparkContext.broadcast(term_tree([(r["term"], r["replacement"]) for r in terms.collect()]))
+
+        def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [replaced(t or "", sent.value) for t in batch["text"].to_pylist()]
+                yield pa.record_batch([batch["doc_id"], pa.array([n for n, _ in found], pa.int32()), pa.array([t for _, t in found], pa.string())], ["doc_id", "replacements", "body"])
+
+        return docs.select("doc_id", "text").mapInArrow(replace, f"doc_id {kind}, {result}")
+    # Rows are told apart by their text as well, so that a repeated doc_id keeps its texts.
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
+    first = keyed.select("digest", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("first")).distinct()
+    met = first.join(terms.withColumn("first", F.substring_index("term", " ", 1)), "first").groupBy("digest").agg(F.collect_list(F.struct("term", "replacement")).alias("terms"))
+
+    def replace_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [replaced(t, term_tree([(r["term"], r["replacement"]) for r in own or []])) for t, own in zip(batch["text"].to_pylist(), batch["terms"].to_pylist(), strict=True)]
+            yield pa.record_batch([batch["doc_id"], pa.array([n for n, _ in found], pa.int32()), pa.array([t for _, t in found], pa.string())], ["doc_id", "replacements", "body"])
+
+    return keyed.join(met, "digest", "left").select("doc_id", "text", "terms").mapInArrow(replace_own, f"doc_id {kind}, {result}")
+
+
+def term_tree(terms: list[tuple[str, str]]) -> dict:
+    """Terms word by word; what replaces a term stands under None."""
+    tree: dict = {}
+    for term, replacement in terms:
+        node = tree
+        for word in term.split(" "):
+            node = node.setdefault(word, {})
+        node[None] = replacement
+    return tree
+
+
+def replaced(text: str, tree: dict) -> tuple[int, str]:
+    """How many terms of ``tree`` were replaced, and the text with them replaced."""
+    words = [(m.start(), m.end(), m[0].lower()) for m in ASCII_WORD.finditer(text)]
+    out, done, count, i = [], 0, 0, 0
+    while i < len(words):
+        node, k, best = tree.get(words[i][2]), i, None
+        while node is not None:
+            best = (k, node[None]) if None in node else best
+            k += 1
+            node = node.get(words[k][2]) if k < len(words) and GAP.fullmatch(text, words[k - 1][1], words[k][0]) else None
+        if best:
+            out += text[done : words[i][0]], best[1]
+            i, done, count = best[0], words[best[0]][1], count + 1
+        i += 1
+    return count, "".join([*out, text[done:]])
+
+
+def best_sentences(keys: list[str], lengths: list[int], most: int) -> list[int]:
+    """Places of the ``most`` sentences with the most frequent words, ascending; of equal ``keys`` the first."""
+    words = [[w for w in SUMMARY_WORD.findall(k) if w not in SUMMARY_STOP] for k in keys]
+    counts = Counter(w for own in words for w in own)
+    first = {k: i for i, k in reversed(list(enumerate(keys)))}
+    score = lambda i: sum(counts[w] for w in words[i]) / max(8.0, sqrt(lengths[i]))
+    return sorted(sorted(first.values(), key=lambda i: (-score(i), i))[:most])
 
 
 def summarize(docs: DataFrame, sentences: int = 5, prose: bool = False) -> DataFrame:
     """doc_id, summary, n_sentences: the sentences with the most frequent words, in the text's order.
 
-    Sentences that differ in case alone count once. Texts are dealt by document once; the counts of a document's
-    words, its sentences' scores and their ranks need no further shuffle. Documents without a sentence have no row.
+    Sentences that differ in case alone count once. All that a summary needs stands in its row, so no text is
+    shuffled: built-in functions split it, one Python call counts its words and names the best sentences, built-in
+    functions join them. Documents without a sentence have no row.
     """
-    lines = F.split(unix_lines(F.col("text")), r"\n+", -1)
+
+    @F.arrow_udf("array<int>")
+    def chosen(keys: pa.Array, lengths: pa.Array) -> pa.Array:
+        return pa.array([best_sentences(k, n, sentences) for k, n in zip(keys.to_pylist(), lengths.to_pylist(), strict=True)], pa.list_(pa.int32()))
+
+    lines = F.split(unix_lines(F.coalesce("text", F.lit(""))), r"\n+", -1)
     found = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(trimmed(x), F.lit(r"[^.!?]+[.!?]+|[^.!?]+\z"), F.lit(0))))
     found = F.filter(F.transform(found, lambda s: trimmed(F.regexp_replace(s, f"{WS}+", " "))), lambda s: s != "")
-    stop = F.create_map(*[F.lit(x) for w in STOP_WORDS for x in (w, True)])
-    words = F.filter(F.regexp_extract_all(F.col("key"), F.lit(r"[a-z][a-z'-]{3,}"), F.lit(0)), lambda w: F.try_element_at(stop, w).isNull())
-    rows = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(found).alias("at", "sentence"))
-    rows = rows.withColumn("key", F.lower("sentence")).withColumn("words", words)
-    # One row for each different sentence: where it stands first, and how often.
-    unique = rows.groupBy("doc_id", "key").agg(F.min(F.struct("at", "sentence")).alias("s"), F.count("*").alias("times"), F.first("words").alias("words"))
-    used = unique.select("doc_id", "s.at", "times", F.explode("words").alias("word")).withColumn("n", F.sum("times").over(Window.partitionBy("doc_id", "word")))
-    scores = used.groupBy("doc_id", "at").agg(F.sum("n").alias("n"))
-    unique = unique.select("doc_id", "s.at", "s.sentence").join(scores, ["doc_id", "at"], "left")
-    score = F.coalesce("n", F.lit(0)) / F.greatest(F.lit(8.0), F.sqrt(F.length("sentence")))
-    ranked = unique.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(score.desc(), "at"))).filter(F.col("rank") <= sentences)
-    line = F.col("sentence") if prose else F.concat(F.lit("• "), F.col("sentence"))
-    return ranked.groupBy("doc_id").agg(joined(F.collect_list(F.struct("at", line.alias("s"))), "s", " " if prose else "\n").alias("summary"), F.count("*").alias("n_sentences"))
+    rows = docs.select("doc_id", found.alias("sentences"))
+    rows = rows.withColumn("chosen", chosen(F.transform("sentences", F.lower), F.transform("sentences", F.length))).filter(F.size("chosen") > 0)
+    line = lambda i: F.get("sentences", i) if prose else F.concat(F.lit("• "), F.get("sentences", i))
+    return rows.select("doc_id", F.array_join(F.transform("chosen", line), " " if prose else "\n").alias("summary"), F.size("chosen").cast("long").alias("n_sentences"))
 
 
 # Points of a page's height.

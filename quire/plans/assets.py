@@ -11,7 +11,7 @@ from quire.plans.checks import GREEDY
 from quire.plans.registry import Query
 from quire.plans.text import HTML, WORDS_SQL
 from quire.shared import materialize, new_path
-from quire.sources import files
+from quire.sources import files, named
 from quire.streaming import jobs
 
 CORNERS = fx.PIXELS + """,
@@ -212,6 +212,27 @@ def extracted_stream(spark, sf):
     return run_stream(spark, jobs.extract_stream(stream), "extracted")
 
 
+PAGE_NAMES = ("index.html", "about us.html", "é+%.html")
+
+
+def named_files(spark, sf):
+    """The pages as files of three names, made unique, written one file each and read back."""
+    given = fx.table(spark, sf, "pages").select(F.lit(0).cast("long").alias("job_id"), F.col("page_id").alias("seq"), F.get(F.array(*map(F.lit, PAGE_NAMES)), F.col("page_id").cast("int") % 3).alias("name"), F.col("html").alias("text"))
+    unique = names.unique_names(given).select("seq", "name").join(given.select("seq", "text"), "seq")
+    path = new_path(spark, "named")
+    named.write_named_results(unique, path)
+    return named.read_named_results(spark, path)
+
+
+def extracted_files(spark, sf):
+    """The pages' texts, written by a stream as files, and read back."""
+    source = materialize(fx.table(spark, sf, "pages").select("page_id", "html"), "pages")
+    stream = spark.readStream.schema(source.schema).parquet(source.quire_path)
+    path = new_path(spark, "results")
+    jobs.write_results_stream(jobs.extract_results(stream), f"{path}/files", f"{path}/state").awaitTermination()
+    return named.read_named_results(spark, f"{path}/files")
+
+
 EXTRACTED = "WITH pt AS (" + HTML + ")\n--\nSELECT page_id AS doc_id, length(text) AS characters, " + WORDS_SQL.format(t="text") + r" AS words, len([x for x in regexp_split_to_array(text, '\n{2,}') if regexp_matches(x, '\S')]) AS paragraphs, left(text, 1600) AS preview FROM pt"
 META_ONLY = f"WITH {fx.IMAGE_META}\n--\n"
 QUERIES = {
@@ -286,5 +307,13 @@ SELECT row_number() OVER (ORDER BY tier, pos) AS rank, pos, name, tier FROM u OR
     "a5_dataset_manifest": Query("path:s sha256:s revision:s", manifest, "WITH f AS (SELECT '/d/' || doc_id || '.txt' AS path, min(sha256(text)) AS h FROM documents GROUP BY 1), b AS (SELECT left(sha256(path), 3) AS k, sha256(string_agg(path || ' ' || h, chr(10) ORDER BY path)) AS h FROM f GROUP BY 1), r AS (SELECT left(sha256(string_agg(h, chr(10) ORDER BY k)), 16) AS revision FROM b)\n--\nSELECT path, h AS sha256, revision FROM f, r"),
     "a6_verify_checksums": Query("name:s status:s", checksums, "SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'unexpected' WHEN doc_id % 11 = 0 THEN 'mismatched' ELSE 'ok' END AS status FROM documents WHERE doc_id % 35 <> 0"),
     "s1_admit_stream": Query("job_id:l seq:l name:s error_code:s accepted:b running_bytes:d", admitted_stream, GREEDY),
+    "a4_named_files": Query(
+        "name:s text:s",
+        named_files,
+        """WITH n AS (SELECT html, page_id % 3 AS k, row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id) AS i FROM pages)
+--
+SELECT ['index', 'about us', 'é+%'][k + 1] || CASE WHEN i > 1 THEN '-' || i ELSE '' END || '.html' AS name, html AS text FROM n""",
+    ),
+    "s2_extract_files": Query("name:s text:s", extracted_files, "WITH pt AS (" + HTML + ")\n--\nSELECT 'page-' || page_id || '.txt' AS name, text FROM pt"),
     "s2_extract_stream": Query("doc_id:l characters:l words:l paragraphs:l preview:s", extracted_stream, EXTRACTED),
 }

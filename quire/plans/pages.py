@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from quire.operators import compare, pages
@@ -38,6 +40,25 @@ def split_custom(spark, sf):
     return pages.split_pages(counts, "custom", "2, 4").withColumn("mode", F.lit("custom")).unionByName(pages.split_pages(counts, "selected", "1,2").withColumn("mode", F.lit("selected")))
 
 
+STRICT_EXPR = "CASE doc_id % 4 WHEN 0 THEN '1-3' WHEN 1 THEN '3-1,2' WHEN 2 THEN '1,1,1,1,1,1' ELSE '1-99999,x' END"
+
+
+def limited_counts(spark, sf):
+    return fx.doc_counts(spark, sf).withColumn("expr", F.expr(STRICT_EXPR))
+
+
+def split_limits(spark, sf):
+    """Custom splits beyond a limit, with two errors, and halves of documents of 10^9 pages."""
+    counts = fx.doc_counts(spark, sf)
+    parts = {
+        "long": pages.split_pages(counts, "custom", "1,1,1,1,1,1", max_characters=10),
+        "large": pages.split_pages(counts, "custom", "2,1,3,x", max_entries=3),
+        "first": pages.split_pages(counts, "custom", "1,2,,9"),
+        "far": pages.split_pages(counts.withColumn("pages", F.lit(10**9)), "half"),
+    }
+    return reduce(lambda a, b: a.unionByName(b), [p.withColumn("mode", F.lit(m)) for m, p in parts.items()])
+
+
 def page_meta(spark, sf):
     return fx.image_meta(spark, sf).select(F.col("image_id").alias("doc_id"), F.lit(1).alias("page"), (F.col("image_id") % 4 * 90).alias("rotation"), "width", "height")
 
@@ -75,6 +96,25 @@ ex AS (SELECT sc.doc_id, k, unnest(CASE WHEN raw = 'all' THEN generate_series(1,
 ef AS (SELECT doc_id, page, min(k * 100000 + j) AS o FROM ex GROUP BY 1, 2)
 --
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS pos, page, NULL AS error_code FROM ef UNION ALL SELECT doc_id, NULL, NULL, error_code FROM bad WHERE error_code IS NOT NULL""",
+    ),
+    "p2_strict_limits": Query(
+        "doc_id:l pos:l page:l error_code:s",
+        lambda s, d: pages.select_pages_strict(limited_counts(s, d), 9, 3),
+        f"WITH {fx.DOC_COUNTS},\n" + f"e AS (SELECT doc_id, pages, {STRICT_EXPR} AS expr FROM doc_counts)\n" + """--
+SELECT doc_id, p AS pos, p AS page, NULL AS error_code FROM (SELECT doc_id, unnest(generate_series(1, 3)) AS p FROM e WHERE expr IN ('1-3', '3-1,2') AND pages >= 3) WHERE doc_id % 4 = 0
+UNION ALL SELECT doc_id, p, 4 - p, NULL FROM (SELECT doc_id, unnest(generate_series(1, 3)) AS p FROM e WHERE expr = '3-1,2' AND pages >= 3) WHERE doc_id % 4 = 1
+UNION ALL SELECT doc_id, NULL, NULL, 'page-out-of-range' FROM e WHERE expr IN ('1-3', '3-1,2') AND pages < 3
+UNION ALL SELECT doc_id, NULL, NULL, 'page-selection-too-long' FROM e WHERE expr = '1,1,1,1,1,1'
+UNION ALL SELECT doc_id, NULL, NULL, CASE WHEN pages >= 4 THEN 'page-selection-too-large' ELSE 'page-out-of-range' END FROM e WHERE expr = '1-99999,x'""",
+    ),
+    "p7_split_limits": Query(
+        "mode:s doc_id:l group_no:l label:s first_page:l last_page:l n_pages:l error_code:s",
+        lambda s, d: split_limits(s, d).withColumnRenamed("group", "group_no"),
+        f"WITH {fx.DOC_COUNTS}\n" + """--
+SELECT 'long' AS mode, doc_id, NULL AS group_no, NULL AS label, NULL AS first_page, NULL AS last_page, NULL AS n_pages, 'page-selection-too-long' AS error_code FROM doc_counts
+UNION ALL SELECT 'large', doc_id, NULL, NULL, NULL, NULL, NULL, CASE WHEN pages <= 3 THEN 'split-point-out-of-range' ELSE 'page-selection-too-large' END FROM doc_counts
+UNION ALL SELECT 'first', doc_id, NULL, NULL, NULL, NULL, NULL, CASE WHEN pages <= 2 THEN 'split-point-out-of-range' ELSE 'invalid-split-point' END FROM doc_counts
+UNION ALL SELECT 'far', doc_id, g, CASE WHEN g = 1 THEN 'pages-1-' || 500000000 ELSE 'pages-' || 500000001 || '-' || 1000000000 END, CASE WHEN g = 1 THEN 1 ELSE 500000001 END, 500000000 * g, 500000000, NULL FROM doc_counts, (VALUES (1), (2)) AS v(g)""",
     ),
     "p3_format_selection": Query(
         "doc_id:l ranges:s",

@@ -71,6 +71,11 @@ mk AS (SELECT *, CASE WHEN trim(t) = '' THEN 'blank' WHEN line % 9 = 1 THEN 'hea
 mi AS (SELECT *, sum(CASE WHEN type IN ('heading', 'divider', 'blank') OR type IS DISTINCT FROM was THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS g FROM (SELECT *, lag(type) OVER (PARTITION BY doc_id ORDER BY line) AS was FROM mk))"""
 
 
+def own_glossary(spark, sf):
+    """The first word of each benchmark item, to be replaced by the item's number."""
+    return fx.table(spark, sf, "benchmark").select(F.lit("xx").alias("language"), F.regexp_extract("text", "[A-Za-z0-9_]+", 0).alias("term"), F.format_string("<%d>", "item_id").alias("replacement"))
+
+
 def glossary(spark, sf, language="de"):
     return text.apply_glossary(fx.docs(spark, sf), language)
 
@@ -201,6 +206,14 @@ UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, sum(r * c), sum(v), count
 s AS (SELECT doc_id, sheet_no, sheet || chr(10) || string_agg(CASE WHEN v3 IS NULL THEN v1 ELSE v1 || '  |    |  ' || v3 END, chr(10) ORDER BY row) AS t FROM g GROUP BY doc_id, sheet_no, sheet)
 --
 SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY sheet_no) AS text FROM s GROUP BY 1""",
+    ),
+    "c11_workbook_limit": Query(
+        "doc_id:l text:s error_code:s",
+        lambda s, d: sheets.workbook_text(fx.cells(s, d), 400),
+        f"WITH {fx.CELLS},\n" + """g AS (SELECT doc_id, sheet_no, sheet, row, max(value) FILTER (WHERE col = 1) AS v1, max(value) FILTER (WHERE col = 3) AS v3 FROM cell_rows GROUP BY 1, 2, 3, 4),
+s AS (SELECT doc_id, sheet_no, (max(row) - min(row) + 1) * CASE WHEN count(v3) > 0 THEN 3 ELSE 1 END AS slots, sheet || chr(10) || string_agg(CASE WHEN v3 IS NULL THEN v1 ELSE v1 || '  |    |  ' || v3 END, chr(10) ORDER BY row) AS t FROM g GROUP BY doc_id, sheet_no, sheet)
+--
+SELECT doc_id, CASE WHEN sum(slots) <= 400 THEN string_agg(t, chr(10) || chr(10) ORDER BY sheet_no) END AS text, CASE WHEN sum(slots) > 400 THEN 'spreadsheet-cell-limit' END AS error_code FROM s GROUP BY 1""",
     ),
     "c12_cell_preview": Query(
         "doc_id:l sheet_no:l row:l col:l value:s",
@@ -240,6 +253,14 @@ SELECT doc_id, string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) O
         glossary,
         r"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+')) AS w, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), 1) AS k FROM documents), r AS (SELECT doc_id, k, w, " + GLOSSARY_SQL + " AS x FROM t)\n--\nSELECT doc_id, count(x) AS replacements, string_agg(coalesce(x, w), '' ORDER BY k) AS body FROM r GROUP BY 1 UNION ALL SELECT doc_id, 0, '' FROM documents WHERE coalesce(text, '') = ''",
     ),
+    "c21_glossary_table": Query(
+        "doc_id:l replacements:l body:s",
+        lambda s, d: text.apply_glossary(fx.docs(s, d), "XX", own_glossary(s, d)),
+        r"""WITH g AS (SELECT lower(regexp_extract(text, '[A-Za-z0-9_]+')) AS term, min('<' || item_id || '>') AS x FROM benchmark WHERE regexp_matches(text, '[A-Za-z0-9_]') GROUP BY 1),
+t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+')) AS w, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), 1) AS k FROM documents)
+--
+SELECT doc_id, count(x) AS replacements, string_agg(coalesce(x, w), '' ORDER BY k) AS body FROM t LEFT JOIN g ON lower(w) = term GROUP BY 1 UNION ALL SELECT doc_id, 0, '' FROM documents WHERE coalesce(text, '') = ''""",
+    ),
     "c22_summarize": Query("doc_id:l summary:s n_sentences:l", summary, SUMMARY),
     "c23_paginate_lines": Query("doc_id:l line:l page:l line_on_page:l", lambda s, d: text.paginate_lines(fx.lines(s, d)), f"WITH {fx.LINES}\n--\nSELECT doc_id, line, (line + 45) // 46 AS page, (line - 1) % 46 + 1 AS line_on_page FROM lines"),
     "c24_reflow": Query("doc_id:l line:l text:s", lambda s, d: text.reflow(fx.docs(s, d), 60), REFLOW),

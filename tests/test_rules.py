@@ -90,6 +90,35 @@ def test_splits(spark):
         groups(spark, "none", 3)
 
 
+def test_splits_and_selections_of_endless_documents(spark):
+    """Groups are runs: 10^9 pages are split without being listed; the first pages of all are there at once."""
+    n = 10**9
+    assert groups(spark, "half", n) == [("pages-1-500000000", n // 2), ("pages-500000001-1000000000", n // 2)]
+    assert groups(spark, "odd", n) == [("odd-pages", n // 2)] and groups(spark, "custom", n, "7, 3") == [("pages-1-3", 3), ("pages-4-7", 4), ("pages-8-1000000000", n - 7)]
+    docs = spark.createDataFrame([(1, n, "all")], "doc_id long, pages int, expr string")
+    some = pages.split_pages(docs, "every2").limit(3).collect()
+    assert [r["last_page"] for r in some] == [2 * r["group"] for r in some]
+    some = pages.select_pages_strict(docs).limit(3).collect()
+    assert len(some) == 3 and all(r["pos"] == r["page"] for r in some)
+
+
+def test_limits_of_strict_selections(spark):
+    """A range is too large where its pages are too many, not by its text; what is wrong first decides."""
+    def code(expr, n, **limits):
+        docs = spark.createDataFrame([(1, n, expr)], "doc_id long, pages int, expr string")
+        return pages.select_pages_strict(docs, **limits).first()["error_code"]
+
+    n = 10**9
+    assert code("1-100000", n) is None and code("1-100001", n) == "page-selection-too-large" and code("100001-1,x", n) == "page-selection-too-large"
+    assert code("1-99999,1-100000,5-9", n) is None and code("1-99999,1-100000,100001", n) == "page-selection-too-large"
+    assert code("1-1000000000", 150_000) == "page-selection-too-large" and code("1-1000000000", 90_000) == "page-out-of-range"
+    assert code("1-4", 9, max_entries=3) == "page-selection-too-large" and code("1-3,2,1", 9, max_entries=3) is None
+    assert code("3-9007199254740993", 9) == "invalid-page-selection" and code("1" * 10_001, 9) == "page-selection-too-long"
+    rows = lambda argument, n, **limits: pages.split_pages(spark.createDataFrame([(1, n)], "doc_id long, pages int"), "custom", argument, **limits).first()["error_code"]
+    assert rows("1,2,3", 9, max_entries=3) == "page-selection-too-large" and rows("1,2,2", 9, max_entries=3) is None and rows("1,9,2,x", 9) == "split-point-out-of-range"
+    assert rows("1,x,9", 9) == "invalid-split-point" and rows("0", 9) == "split-point-out-of-range" and rows("1," * 5001 + "1", 9) == "page-selection-too-long"
+
+
 def test_interleave(spark):
     scans = spark.createDataFrame([(1, 1, 3), (1, 2, 3), (2, 1, 2), (2, 2, 3), (3, 1, 1)], "job_id long, seq int, pages int")
     rows = pages.interleave_docs(scans, True).collect()
@@ -190,6 +219,27 @@ def test_glossary(spark):
     assert found == {1: (5, "el privado documento y uncommon archivo."), 2: (2, "réel the_ the1 el")}
 
 
+def test_glossary_of_phrases(spark, monkeypatch):
+    """The longest term at a word wins, by either way; odd rows of the glossary don't count."""
+    rows = [("XX", "private", "P"), ("xx", "Private  document", "PD"), ("xx", "private document store", "PDS"), ("xx", "the", "z"), ("xx", "THE", "a"), ("es", "file", "F"), ("xx", None, "n"), ("xx", "file", None), ("xx", "a-b", "no"), ("xx", "", "no")]
+    table = spark.createDataFrame(rows, "language string, term string, replacement string")
+    docs = spark.createDataFrame([(1, "The private\n document, PRIVATE DOCUMENT STORED private document store"), (1, "private. Document file"), (2, None), (None, "xprivate private_ private")], "doc_id long, text string")
+    expected = [(1, 4, "a PD, PD STORED PDS"), (1, 1, "P. Document file"), (2, 0, ""), (None, 1, "xprivate private_ P")]
+    for limit in (text.MAX_GLOSSARY, 0):
+        found = text.apply_glossary(docs, "xX", table, max_bytes=limit)
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str) and found.columns == ["doc_id", "replacements", "body"]
+        assert {r["body"] for r in text.apply_glossary(docs.filter("doc_id = 1"), "??", table, max_bytes=limit).collect()} == {docs.first()["text"], "private. Document F"}
+    assert {r["replacements"] for r in text.apply_glossary(docs, "xx", table.limit(0)).collect()} == {0}
+
+
+def test_summary_in_its_row(spark):
+    """Ties by place, repeats by case once, no exchange of texts."""
+    docs = spark.createDataFrame([(1, "Alpha beta gamma. Short. ALPHA BETA GAMMA.\nOther words here! beta"), (2, None), (3, " \n"), (4, "no end")], "doc_id long, text string")
+    found = text.summarize(docs, 2, prose=True)
+    assert {r["doc_id"]: (r["summary"], r["n_sentences"]) for r in found.collect()} == {1: ("Alpha beta gamma. beta", 2), 4: ("no end", 1)}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_slides_and_words(spark):
     slide = "<p:sld xmlns:a='x'><a:t>  One\n two </a:t><a:t/><b:t>&lt;3</b:t></p:sld>"
     assert one(spark, packages.runs_text, slide) == "One two <3"
@@ -205,6 +255,27 @@ def test_workbook(spark):
     cells = [(1, 1, "Summary", 0, 0, "Quarter"), (1, 1, "Summary", 0, 1, "Revenue"), (1, 1, "Summary", 2, 0, "Q2"), (1, 2, "Notes", 3, 2, "x")]
     frame = spark.createDataFrame(cells, "doc_id long, sheet_no int, sheet string, row int, col int, value string")
     assert sheets.workbook_text(frame).first()["text"] == "Summary\nQuarter  |  Revenue\n\nQ2\n\nNotes\nx"
+    assert tuple(sheets.workbook_text(frame, 6).first())[1:] == (None, "spreadsheet-cell-limit") and sheets.workbook_text(frame, 7).first()["error_code"] is None
+
+
+def test_cells_far_apart_cost_what_they_are(spark):
+    """Two cells two million rows apart: a gap, not rows; beyond the ceiling a code and no text."""
+    cells = [(1, 1, "S", 0, 0, "a"), (1, 1, "S", 2_000_000, 0, "b"), (2, 1, "S", 5, 3, None), (2, 1, "S", 5, 6, "x"), (3, 1, "S", 0, 0, "a"), (3, 2, "T", 2_000_000, 0, "b"), (3, 2, "T", 0, 5, "c")]
+    frame = spark.createDataFrame(cells, "doc_id long, sheet_no int, sheet string, row int, col int, value string")
+    found = {r["doc_id"]: (r["text"], r["error_code"]) for r in sheets.workbook_text(frame).collect()}
+    assert found[1] == ("S\na" + "\n" * 2_000_000 + "b", None) and found[2] == ("S\n  |    |    |  x", None) and found[3] == (None, "spreadsheet-cell-limit")
+
+
+def test_regions_meet_cells_by_tiles(spark):
+    """As cell by cell, with regions and cells on tiles' edges, off the page, and thousands on one page."""
+    rng = random.Random(2)
+    some = lambda: rng.choice([0.0, 5.0, 12.5, 50.0, 99.99, 100.0, 130.0, rng.uniform(0, 100)])
+    areas = [(i % 3, 1, some(), some(), rng.choice([0.5, 5.0, 10.0, 60.0]), rng.choice([0.5, 5.0, 30.0])) for i in range(60)] + [(9, 1, rng.uniform(0, 99), rng.uniform(0, 99), 0.5, 0.5) for _ in range(3000)]
+    cells = [(i % 4, 1, rng.choice([-3.0, some()]), some(), i) for i in range(800)] + [(9, 1, rng.uniform(0, 100), rng.uniform(0, 100), i) for i in range(500)]
+    regions = spark.createDataFrame([(*a, None) for a in areas], "doc_id long, page int, x double, y double, width double, height double, error_code string")
+    found = forms.mask_regions(spark.createDataFrame(cells, "doc_id long, page int, x double, y double, value long"), regions, -1)
+    covered = lambda c: any(a[0] == c[0] and a[2] <= c[2] < a[2] + a[4] and a[3] <= c[3] < a[3] + a[5] for a in areas)
+    assert sorted(map(tuple, found.collect())) == sorted((*c[:4], -1 if covered(c) else c[4], covered(c)) for c in cells)
 
 
 def test_forms(spark):
