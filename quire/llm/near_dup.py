@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from quire.llm.components import components
 from quire.llm.shingles import VALUE_BITS, Sets, mix, plain, reduced, shingle_sets, slices
-from quire.llm.tables import bounded_sample, table
+from quire.llm.tables import bounded_sample, lean, table
 from quire.shared import discard, materialize
 
 FUNCTIONS = 64
@@ -65,7 +65,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.record_batch([pa.array(values.view(np.int64)), pa.array(counts)], ["value", "n"])
 
     sample = bounded_sample(docs.select("doc_id", "text"), "doc_id", SAMPLE_DOCS)
-    counts = sample.mapInArrow(work, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).filter("n > 1")
+    counts = sample.mapInArrow(lean(work), "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).filter("n > 1")
     found = counts.orderBy(F.desc("n"), "value").limit(COMMON_SHINGLES).toArrow()
     values, n = found["value"].to_numpy(), found["n"].to_numpy()
     order = np.argsort(values)
@@ -129,7 +129,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 )
                 at += len(texts)
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(work, SIGNED)
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(lean(work), SIGNED)
 
 
 def binary(rows: np.ndarray) -> pa.Array:
@@ -161,7 +161,7 @@ def roots(signed: DataFrame, trees: int) -> DataFrame:
                 n = np.full(len(batch), t)
                 yield pa.record_batch([pa.array(child(n.astype(np.int64), n, tokens[:, t])), batch["doc_id"]], ["node", "doc_id"])
 
-    return signed.select("doc_id", "minwise").mapInArrow(work, "node long, doc_id long")
+    return signed.select("doc_id", "minwise").mapInArrow(lean(work), "node long, doc_id long")
 
 
 def branches(large: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def branches(large: DataFrame) -> DataFrame:
                 kids = child(node[rows], function[rows], tokens[rows, function[rows]])
                 yield pa.record_batch([pa.array(kids), batch["doc_id"].take(pa.array(rows))], ["node", "doc_id"])
 
-    return large.select("node", "doc_id", "minwise", "agree").mapInArrow(work, "node long, doc_id long")
+    return large.select("node", "doc_id", "minwise", "agree").mapInArrow(lean(work), "node long, doc_id long")
 
 
 def alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -253,7 +253,7 @@ def by_groups(rows: DataFrame, key: str, answer: Callable[[pa.RecordBatch], pa.R
         if kept:
             yield answer(pa.Table.from_batches(kept).combine_chunks().to_batches()[0])
 
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(work, schema)
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(lean(work), schema)
 
 
 def early(sizes: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -335,7 +335,7 @@ def spread(labelled: DataFrame, hot: bool) -> DataFrame:
                 columns = (part[c].to_numpy()[owner[wanted]] for c in ("doc_id", "n_shingles", "component"))
                 yield pa.record_batch([pa.array(keys[wanted]), *map(pa.array, columns), pa.array(place[wanted].astype(np.int32))], ["key", "doc_id", "n_shingles", "component", "place"])
 
-    return labelled.select("doc_id", "n_shingles", "component", "prefix").mapInArrow(work, f"key long, {MEMBER}")
+    return labelled.select("doc_id", "n_shingles", "component", "prefix").mapInArrow(lean(work), f"key long, {MEMBER}")
 
 
 def unique_pairs(ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -384,7 +384,7 @@ def met(rows: DataFrame) -> DataFrame:
         if kept is not None:
             yield answer(kept)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(work, f"key long, {MEMBER}")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(work), f"key long, {MEMBER}")
 
 
 def crowd_pairs(members: DataFrame, parity: DataFrame, nearest_alone: bool) -> DataFrame:
@@ -482,7 +482,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
+    return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(lean(work), "a long, b long")
 
 
 def texts_for(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -503,7 +503,7 @@ def texts_for(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.record_batch([part["node"], texts], ["doc_id", "text"]).filter(pa.array(same))
                 at += len(texts)
 
-    return materialize(docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(same_set, "doc_id long, text string"), "texts")
+    return materialize(docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(lean(same_set), "doc_id long, text string"), "texts")
 
 
 def confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:

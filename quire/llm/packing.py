@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.pieces import encoder
-from quire.llm.tables import table
+from quire.llm.tables import lean, table
 
 TIERS = (128, 256, 512, 1024)
 END_ID = 0
@@ -140,7 +140,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = END_ID, tiers: tupl
         packer.finish()
         yield rows()
 
-    return docs.select("doc_id", "text").mapInArrow(pack, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lean(pack), SCHEMA)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
