@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import language, near_dup, packing, secrets
 from quire.llm.spans import joined
-from quire.llm.tables import small_batches, table
+from quire.llm.tables import lean, small_batches, table
 from quire.shared import discard, materialize
 
 LEAST_SCORE = 0.3
@@ -40,7 +40,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
             found = map(scorer.predict, part["text"].to_pylist())
             yield part.filter(pa.array([lang != language.UNDETERMINED and score >= LEAST_SCORE for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
             new = {"text": masked, "n_chars": sizes}
             yield pa.record_batch([pa.array(new[f.name], f.type) if f.name in new else part[f.name] for f in part.schema], part.schema)
 
-    return docs.mapInArrow(hide, docs.schema)
+    return docs.mapInArrow(lean(hide), docs.schema)
 
 
 def mask(text: str | None, spans: str) -> str | None:
