@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -107,6 +109,10 @@ def suggested(named: DataFrame) -> DataFrame:
     return rows.withColumn("suggestion", with_label(F.col("short"), suffix)).drop("short", "word")
 
 
+#: A number of 2 or more as ``unique_names`` writes it.
+NUMBERED_STEM = re.compile(r"(?s)(.*)-([2-9]|[1-9][0-9]+)\Z")
+
+
 def with_label(stem: Column, label: Column) -> Column:
     """A stem with a label behind it, together at most MAX_BYTES bytes."""
     return F.concat(bounded(stem, MAX_BYTES - utf8_size(label)), label)
@@ -119,12 +125,62 @@ def name_parts(name: Column) -> tuple[Column, Column]:
     return F.when(has, F.regexp_extract(name, pattern, 1)).otherwise(name), F.when(has, F.lower(F.regexp_extract(name, pattern, 2))).otherwise("")
 
 
+class Taken:
+    """Stems of one root that are in use. A stem with a number at its end is that number of the stem before it;
+    the numbers of a stem are kept as runs without gaps, ascending, by their first and last ones."""
+
+    def __init__(self) -> None:
+        self.bare: set[str] = set()
+        self.runs: dict[str, tuple[list[int], list[int]]] = {}
+
+    def place(self, stem: str) -> tuple[str, int]:
+        found = NUMBERED_STEM.match(stem)
+        return (found[1], int(found[2])) if found else (stem, 0)
+
+    def holds(self, stem: str) -> bool:
+        parent, n = self.place(stem)
+        if not n:
+            return stem in self.bare
+        firsts, lasts = self.runs.get(parent, ([], []))
+        at = bisect_right(firsts, n) - 1
+        return at >= 0 and n <= lasts[at]
+
+    def add(self, stem: str) -> None:
+        parent, n = self.place(stem)
+        if not n:
+            self.bare.add(stem)
+            return
+        firsts, lasts = self.runs.setdefault(parent, ([], []))
+        at = bisect_right(firsts, n)
+        after, before = at < len(firsts) and firsts[at] == n + 1, at > 0 and lasts[at - 1] == n - 1
+        if after and before:
+            lasts[at - 1] = lasts.pop(at)
+            firsts.pop(at)
+        elif before:
+            lasts[at - 1] = n
+        elif after:
+            firsts[at] = n
+        else:
+            firsts.insert(at, n)
+            lasts.insert(at, n)
+
+    def take(self, stem: str) -> str:
+        """What ``stem`` needs behind it to be free, which is then taken: nothing, or the smallest number from 2 on."""
+        ending = ""
+        if self.holds(stem):
+            firsts, lasts = self.runs.get(stem, ([], []))
+            ending = f"-{lasts[0] + 1 if firsts and firsts[0] == 2 else 2}"
+        self.add(stem + ending)
+        return ending
+
+
 def unique_names(results: DataFrame) -> DataFrame:
     """job_id, seq, name: no two names of a job alike, whatever their case; later ones get the next free number.
 
     Names can meet only where their stems agree without the numbers at their ends (the root). Where all stems of a
     root are one, a name's number is its place, by a window; only roots with stems that are numbered already are
-    gone through in order by Python, streamed sorted, with what is used in one root as its state.
+    gone through in order by Python, streamed sorted. What is used in a root is kept as runs of numbers a stem
+    (``Taken``), so a root of any number of names is told by its gaps.
     """
     stem, extension = name_parts(F.coalesce("name", F.lit("result")))
     label = F.regexp_extract(stem, PAGE_LABEL, 0)
@@ -138,18 +194,13 @@ def unique_names(results: DataFrame) -> DataFrame:
     alone = rows.filter("one").select(F.col("job_id").cast("long").alias("job_id"), F.col("seq").cast("long").alias("seq"), numbered.alias("name"))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, used, next_of = None, set(), {}
+        key, taken = None, Taken()
         for batch in batches:
             names = []
             for job, root, stem, ext in zip(*(batch[c].to_pylist() for c in ("job_id", "root", "stem", "ext")), strict=True):
                 if (job, root) != key:
-                    key, used, next_of = (job, root), set(), {}
-                name, n = f"{stem}{ext}", next_of.get(stem.lower(), 2)
-                while name.lower() in used:
-                    name, n = f"{stem}-{n}{ext}", n + 1
-                next_of[stem.lower()] = n if name != f"{stem}{ext}" else 2
-                used.add(name.lower())
-                names.append(name)
+                    key, taken = (job, root), Taken()
+                names.append(f"{stem}{taken.take(stem.lower())}{ext}")
             yield pa.record_batch([batch["job_id"], batch["seq"], pa.array(names, pa.string())], ["job_id", "seq", "name"])
 
     met = rows.filter("NOT one").select(F.col("job_id").cast("long").alias("job_id"), F.col("seq").cast("long").alias("seq"), "root", "stem", "ext")

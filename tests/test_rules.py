@@ -338,6 +338,24 @@ def test_search_tiers(spark):
     assert names.search(items, "  ").collect() == []
 
 
+def test_free_numbers_of_a_root():
+    """The smallest free number, as by trying each; numbers given in any order leave runs, not names, as state."""
+    rng = random.Random(6)
+    for _ in range(300):
+        taken, used = names.Taken(), set()
+        for _ in range(60):
+            stem = "x" + "".join(rng.choice(["", "", "-2", "-3", "-4", "-12", "-02", "-1", "-0"]) for _ in range(2))
+            n, name = 2, stem
+            while name in used:
+                name, n = f"{stem}-{n}", n + 1
+            used.add(name)
+            assert stem + taken.take(stem) == name
+    taken, numbers = names.Taken(), list(range(2, 100_002))
+    rng.shuffle(numbers)
+    assert all(taken.take(f"r-{n}") == "" for n in numbers)
+    assert taken.runs == {"r": ([2], [100_001])} and taken.take("r") == "" and taken.take("r") == "-100002" and taken.take("r-7") == "-2"
+
+
 def test_edits_of_long_sides_are_the_fewest():
     rng = random.Random(4)
 
