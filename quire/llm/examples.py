@@ -19,9 +19,9 @@ from quire.llm.tables import bounded_sample
 PLAIN_RUN = re.compile(r"[^\W\d_]+(?:[ ,.]{1,2}[^\W\d_]+){7,15}")
 
 # In a form, # stands for a digit, & for a letter a-z, % for a digit or a-f, {h} for a word.
-PHONES = ("(###) ###-####", "###-###-####", "###.###.####", "0## #######", "0#### ######", "0# ## ## ## ##", "00## ## #######", "0##/#######", "+## (0)## #######", "+## ## ### ## ##", "+1 (###) ###-####", "1-###-###-####", "(0##) ### ## ##", "+##-##-####-####")
+PHONES = ("(###) ###-####", "###-###-####", "###.###.####", "0## #######", "0#### ######", "0# ## ## ## ##", "00## ## #######", "0##/#######", "+## (0)## #######", "+## ## ### ## ##", "+1 (###) ###-####", "1-###-###-####", "(0##) ### ## ##", "+##-##-####-####", "0### ### ####", "(0##) #### ####", "(0###) ######", "0### #######")
 CARDS = ("#### #### #### ####", "####-####-####-####", "####.####.####.####", "####/####/####/####", "################", "3### ###### #####", "3###-######-#####", "#### #### #### #### ###")
-EMAILS = ("{h} at {h} dot {d}", "{h}.{h} at {h} dot {d}", "{h} [at] {h} [dot] {d}", "{h}(at){h}(dot){d}", "{h} AT {h} DOT {d}", "{h}## at {h} dot {d}", "{h} at {h} punkt {d}", "{h}_{h} (at) {h} . {d}", "{h} [at] {h}.{d}", "{h}.##@{h}#.{h}.{d}", "{h}@{h}.{d}", "{h} @ {h}.{d}")
+EMAILS = ("{h} at {h} dot {d}", "{h} dot {h} at {h} dot {d}", "{h}.{h} (at) {h} (dot) {d}", "{h} (at) {h}.{d}", "{h} dot {h} [at] {h} [dot] {d}", "{h}.{h} at {h} dot {d}", "{h} [at] {h} [dot] {d}", "{h}(at){h}(dot){d}", "{h} AT {h} DOT {d}", "{h}## at {h} dot {d}", "{h} at {h} punkt {d}", "{h}_{h} (at) {h} . {d}", "{h} [at] {h}.{d}", "{h}.##@{h}#.{h}.{d}", "{h}@{h}.{d}", "{h} @ {h}.{d}")
 ADDRESSES = ("{o}.{o}.{o}.{o}", "{o}[.]{o}[.]{o}[.]{o}", "{o}(.){o}(.){o}(.){o}", "{o} . {o} . {o} . {o}", "{o}.{o}.{o}[.]{o}", "2001:%%%%:%%%%::%%%%:%%%%", "fe80::%%%%:%%%%:%%%%:%%%%", "2a02:%%%:%%%%:%%::#")
 PERSONAL = {"phone": PHONES, "card": CARDS, "email": EMAILS, "ip": ADDRESSES}
 CUES = {
@@ -35,6 +35,7 @@ HARMLESS = (
     "####-0#-1#", "1#.0#.20##", "0#/1#/####", "1#:##", "1#:##:##", "$#,###.##", "#.###,## €", "version #.#", "Version #.##", "v#.#.#", "CC BY-NC #.#", "##.# percent", "19##", "in 20##", "## ###", "#000000", "978-#-##-######-#", "page ##", "chapter #", "Seite ###",
     "{hex}", "room ###", "#-#", "19##-20##", "%%%%%%%%-%%%%-4%%%-a%%%-%%%%%%%%%%%%", "@{h}", "meet at #", "at the dot", "on the dot at #", "dot by dot", "#####", "ORD-######", "# + # = #", "##.# kg", "#.#.#", "§ ##", "no. ####", "{h}##", "## {h}", "1e#", "0.####", "[##]", "(####)", "point by point", "{h} at {h}",
     "token = \"{hex}\"", "(c) 20##", "ISO ####", "B## {h}", "##°", "1st", "#th", "##x##", "{h} #:#", "#,#", "1,###,###", "un point {h}", "der Punkt {h}",
+    "DE## #### #### #### #### ##", "FR## #### #### #### #### #### ###", "GB##{H}##############", "parcel ############", "tracking #### #### ####", "JJD##################", "invoice 20##-#####", "{h} dot {h}", "{h} (at) {h}",
 )
 DOMAINS = ("com", "org", "net", "de", "fr", "es", "edu", "io", "co")
 TAILS = ("", "", ".", ",", ";", ")", "!")
@@ -80,6 +81,12 @@ class Maker:
         }
         return re.sub(r"\{\w+\}|[#&%]", lambda m: make[m[0]](), form)
 
+    def checked(self, number: str, valid: bool) -> str:
+        """``number`` with its last digit changed to the right check digit, or to a wrong one."""
+        total = sum(n - 9 * (n > 9) for i, d in enumerate(reversed(re.sub("[^0-9]", "", number)[:-1])) for n in [int(d) * (2 - i % 2)])
+        right = -total % 10
+        return number[:-1] + str(right if valid else (right + self.rng.randrange(1, 10)) % 10)
+
     def set_in(self, pieces: list[tuple[str, str, str | None]]) -> tuple[str, list[Span]]:
         """A carrier with (words before, piece, kind) put between its words, and the spans of pieces with a kind."""
         rng = self.rng
@@ -99,9 +106,12 @@ class Maker:
     def personal(self) -> tuple[str, list[Span]]:
         pieces = []
         for _ in range(self.rng.choice((1, 1, 2))):
-            if self.rng.random() < 0.55:
+            if self.rng.random() < 0.6:
                 kind = self.rng.choice(sorted(PERSONAL))
-                pieces.append((self.rng.choice(CUES[kind]) if self.rng.random() < 0.4 else "", self.fill(self.rng.choice(PERSONAL[kind])), kind))
+                cue, form = self.rng.choice(CUES[kind]) if self.rng.random() < 0.4 else "", self.rng.choice(PERSONAL[kind])
+                valid = kind != "card" or self.rng.random() < 0.7
+                # Of numbers in a card's form those with a wrong check digit are no cards.
+                pieces.append((cue, self.checked(self.fill(form), valid) if kind == "card" else self.fill(form), kind if valid else None))
             else:
                 pieces.append(("", self.fill(self.rng.choice(HARMLESS)), None))
         return self.set_in(pieces)

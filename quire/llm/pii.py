@@ -27,12 +27,16 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){15,}")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
+#: Digits with single signs between them, as one number; how many digits a card's and a phone's have.
+NUMBER = re.compile(r"[0-9](?:[ .,/()-]{0,2}[0-9])*")
+CARD_DIGITS, PHONE_DIGITS = range(13, 20), range(7, 16)
 
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
 TRIGGER = re.compile(r"[0-9@]+|\b(?:dot|punkt|point|punto)\b|[(\[]at[)\]]", re.I)
 #: Words that the shapes keep as they are.
 CUES = frozenset("at dot punkt point punto tel telefon phone call fax mobile mail email card visa carte karte tarjeta ip host server version page seite isbn iso room meet".split())
 SURE = 0.7  # least marginal probability of an added span's labels
+LONGEST_NUMBER = 64
 STRETCH, LAP = 400, 60  # tokens of long windows decoded at once, and how many stand beyond those that count
 BATCH_TOKENS, BUFFER_TOKENS = 16_384, 65_536
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -110,16 +114,46 @@ def shape(token: str) -> str:
     return token if ord(token[0]) < 128 else "?"
 
 
+def digits_of(piece: str) -> str:
+    return NOT_DIGIT.sub("", piece)
+
+
+def plausible(kind: str, piece: str) -> bool:
+    """Has what is called a card a card's digits and check digit, a phone number a phone number's digits, and an
+    address in decimals four of them, of 255 at most?"""
+    digits = digits_of(piece)
+    if kind == "ip" and ":" not in piece:
+        parts = re.findall("[0-9]+", piece)
+        return len(parts) == 4 and all(map(at_most_255, parts))
+    return len(digits) in CARD_DIGITS and luhn(digits) if kind == "card" else len(digits) in PHONE_DIGITS if kind == "phone" else True
+
+
+def number_mark(number: str) -> str:
+    """What a number's digits tell: ``c`` a card's count and check digit, ``w`` a card's count alone, ``p`` a phone number's count."""
+    digits = digits_of(number)
+    if len(digits) in CARD_DIGITS and (luhn(digits) or len(digits) not in PHONE_DIGITS):
+        return "c" if luhn(digits) else "w"
+    return "p" if len(digits) in PHONE_DIGITS else "w" if len(digits) > 15 else ""
+
+
 def stretches(text: str, start: int, end: int) -> Iterator[Tokens]:
     """The tokens from ``start`` to ``end``, STRETCH at a time, each stretch lapping over the next; a shape tells
-    if white space stands before. Of a long window no more than a stretch is held."""
+    if white space stands before, and of digits what the number that they belong to may be (``number_mark``). Of a
+    long window no more than a stretch is held."""
     starts, ends, shapes, first = [], [], [], 0
+    numbers, number = NUMBER.finditer(text, start, end), None
     for m in TOKEN.finditer(text, start, end):
         if len(starts) == STRETCH:
             yield Tokens(starts, ends, shapes, first, STRETCH - LAP)
             starts, ends, shapes, first = starts[-2 * LAP :], ends[-2 * LAP :], shapes[-2 * LAP :], LAP
         a, b = m.span()
-        shapes.append(("_" if a == 0 or text[a - 1].isspace() else "") + shape(m[0]))
+        own = shape(m[0])
+        if own[0] == "d":
+            while number is None or number[0] <= a:
+                found = next(numbers, None)
+                number = (found.end(), number_mark(found[0]) if found.end() - found.start() <= LONGEST_NUMBER else "w") if found else (end + 1, "")
+            own += number[1]
+        shapes.append(("_" if a == 0 or text[a - 1].isspace() else "") + own)
         starts.append(a)
         ends.append(b)
     if starts:
@@ -344,7 +378,8 @@ def field_finder(field: Field | None, sure: float) -> Callable[[list[str], list[
         rows = ((d, tokens) for d, text in enumerate(texts) for a, b in windows(text) for tokens in stretches(text, a, b))
         for part in batches_of(rows):
             for p, kind, start, end in decode(field, [t for _, t in part], sure):
-                out[part[p][0]].append(Span(kind, start, end))
+                if plausible(kind.removeprefix("crf_"), texts[part[p][0]][start:end]):
+                    out[part[p][0]].append(Span(kind, start, end))
         return [apart(disjoint(new), own) for new, own in zip(out, base, strict=True)]
 
     return find
@@ -359,8 +394,9 @@ def labelled_windows(docs: DataFrame) -> list[tuple[str, list[Span]]]:
 def find_pii(docs: DataFrame, field: Field | None, sure: float = SURE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans of every row of ``docs(doc_id, text, ...)``.
 
-    Whole texts; the field sees shapes, so numbers grouped like cards' count for it whatever their check digit, and
-    a long window is decoded by overlapping stretches, so memory doesn't grow with it. A null text is an empty one: no spans, and the digest of an empty string. Repeated rows
+    Whole texts; the field sees shapes, and of numbers how many digits they have and whether a check digit holds. What
+    it calls a card, phone number or address is dropped if its digits can't be one (``plausible``). A
+    long window is decoded by overlapping stretches, so memory doesn't grow with it. A null text is an empty one: no spans, and the digest of an empty string. Repeated rows
     are scanned each for itself; further columns are ignored; an empty table gives an empty result.
     Without a field (nothing to learn from) only the patterns count. One pass, no shuffle.
     """
