@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.shared import materialize
+from quire.shared import discard, materialize
 
 
 def smallest_above(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
     edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     for _ in range(limit):
-        edges = materialize(smallest_below(smallest_above(edges)), "stars")
+        old, edges = edges, materialize(smallest_below(smallest_above(edges)), "stars")
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
