@@ -118,21 +118,36 @@ def tile(x: Column) -> Column:
     return F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(100.0 / TILE), x / TILE))).cast("int")
 
 
+#: Pages of at most so many regions have their cells compared with each of them.
+FEW_REGIONS = 32
+
+
 def mask_regions(cells: DataFrame, regions: DataFrame, fill: int = 0) -> DataFrame:
     """``cells(doc_id, page, x, y, value)`` (x and y in percent) with value ``fill`` and masked where a region of the
     page covers them.
 
-    Regions and cells meet by page and tile: a tile that a region covers whole masks its cells at once, and only
-    regions that cover part of it are compared with them. A cell joins one row, its tile's, so it counts once.
+    A page of few regions has them in one row, which its cells join. Where a page has more, regions and cells meet by
+    page and tile: a tile that a region covers whole masks its cells at once, and only regions that cover part of it
+    are compared with them. A cell joins one row of each kind at most, so it counts once. Both joins are by merging:
+    rows of regions are much larger than their shuffle files let expect, so none of them is broadcast.
     """
+    x, y = F.col("x"), F.col("y")
+    covers = lambda areas: F.exists(areas, lambda r: (x >= r["x"]) & (x < r["x"] + r["width"]) & (y >= r["y"]) & (y < r["y"] + r["height"]))
+    good = regions.filter("error_code IS NULL AND width > 0 AND height > 0").select("doc_id", "page", "x", "y", "width", "height")
+    counted = good.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "page")))
+    few = F.collect_list(F.when(F.col("n") <= FEW_REGIONS, F.struct("x", "y", "width", "height")))
+    pages = counted.groupBy("doc_id", "page").agg(few.alias("areas"), F.max("n").alias("n"))
+    met = cells.join(pages.hint("merge"), ["doc_id", "page"], "left").select(*cells.columns, F.coalesce(covers("areas"), F.lit(False)).alias("masked"), F.coalesce(F.col("n") > FEW_REGIONS, F.lit(False)).alias("crowded"))
+
     across, down = (F.sequence(tile(F.col(at)), tile(F.col(at) + F.col(size))) for at, size in (("x", "width"), ("y", "height")))
-    tiles = regions.filter("error_code IS NULL AND width > 0 AND height > 0").select("doc_id", "page", "x", "y", "width", "height", F.explode(across).alias("tx"))
+    tiles = counted.filter(F.col("n") > FEW_REGIONS).drop("n").select("*", F.explode(across).alias("tx"))
     tiles = tiles.select("*", F.explode(down).alias("ty"))
     inside = lambda t, at, size: (F.col(t) >= 0) & (F.col(t) < 100 / TILE) & (F.col(at) <= F.col(t) * TILE) & (F.col(at) + F.col(size) >= (F.col(t) + 1) * TILE)
     whole = inside("tx", "x", "width") & inside("ty", "y", "height")
-    areas = tiles.groupBy("doc_id", "page", "tx", "ty").agg(F.bool_or(whole).alias("whole"), F.collect_set(F.when(~whole, F.struct("x", "y", "width", "height"))).alias("areas"))
-    x, y = F.col("x"), F.col("y")
-    covers = F.col("whole") | F.exists("areas", lambda r: (x >= r["x"]) & (x < r["x"] + r["width"]) & (y >= r["y"]) & (y < r["y"] + r["height"]))
-    met = cells.withColumns({"tx": tile(x), "ty": tile(y)}).join(areas, ["doc_id", "page", "tx", "ty"], "left").withColumn("masked", F.coalesce(covers, F.lit(False)))
+    tiles = tiles.groupBy("doc_id", "page", "tx", "ty").agg(F.bool_or(whole).alias("whole"), F.collect_set(F.when(~whole, F.struct("x", "y", "width", "height"))).alias("areas"))
+    crowded = met.filter("crowded").drop("masked").withColumns({"tx": tile(x), "ty": tile(y)}).join(tiles.hint("merge"), ["doc_id", "page", "tx", "ty"], "left")
+    crowded = crowded.select(*cells.columns, F.coalesce(F.col("whole") | covers("areas"), F.lit(False)).alias("masked"))
+
     value = F.when(F.col("masked"), F.lit(fill).cast(cells.schema["value"].dataType)).otherwise(F.col("value"))
-    return met.select(*[value.alias(c) if c == "value" else F.col(c) for c in cells.columns], "masked")
+    out = met.filter("NOT crowded").drop("crowded").unionByName(crowded)
+    return out.select(*[value.alias(c) if c == "value" else F.col(c) for c in cells.columns], "masked")

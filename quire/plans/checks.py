@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.operators import compare, forms, text, validate
 from quire.plans import fixtures as fx
 from quire.plans.registry import Query
+from quire.shared import materialize
 
 SUFFIXES = [".pdf", ".png"]
 STATELESS = "CASE WHEN isnan(size) OR size < 0 THEN 'invalid-size' WHEN size = 0 THEN 'empty-file' WHEN NOT (ends_with(lower(name), '.pdf') OR ends_with(lower(name), '.png')) THEN 'unsupported-type' WHEN size > 9000 THEN 'file-too-large' END"
@@ -228,7 +229,7 @@ def regions(spark, sf):
 def masked(spark, sf):
     """Order lines as cells of pages, under the orders' regions."""
     cells = fx.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 3 + 1).cast("int").alias("page"), (F.col("l_quantity") * 2).alias("x"), (F.col("l_discount") * 1000).alias("y"), F.col("l_partkey").alias("value"))
-    return forms.mask_regions(cells, regions(spark, sf))
+    return forms.mask_regions(cells, materialize(regions(spark, sf), "regions"))  # read more than once, parsed once
 
 
 STATS = """WITH {source},

@@ -278,6 +278,21 @@ def test_regions_meet_cells_by_tiles(spark):
     assert sorted(map(tuple, found.collect())) == sorted((*c[:4], -1 if covered(c) else c[4], covered(c)) for c in cells)
 
 
+def test_pages_of_few_and_many_regions(spark, monkeypatch):
+    """Pages with as many regions as are compared at once and with one more, and all by tiles; no side is broadcast."""
+    rng = random.Random(3)
+    some = lambda: rng.choice([0.0, 5.0, 12.5, 50.0, 99.99, 100.0, 130.0, rng.uniform(0, 100)])
+    areas = [(d, 1, some(), some(), rng.choice([0.5, 5.0, 60.0]), rng.choice([0.5, 5.0, 30.0])) for d, n in ((0, 32), (1, 33), (2, 1)) for _ in range(n)]
+    cells = [(i % 4, 1, rng.choice([-3.0, some()]), some(), i) for i in range(800)] + [(0, 1, None, 1.0, 1), (1, None, 1.0, 1.0, 2)]
+    regions = spark.createDataFrame([(*a, None) for a in areas], "doc_id long, page int, x double, y double, width double, height double, error_code string")
+    covered = lambda c: None not in c and any(a[0] == c[0] and a[2] <= c[2] < a[2] + a[4] and a[3] <= c[3] < a[3] + a[5] for a in areas)
+    for few in (forms.FEW_REGIONS, 0):
+        monkeypatch.setattr(forms, "FEW_REGIONS", few)
+        found = forms.mask_regions(spark.createDataFrame(cells, "doc_id long, page int, x double, y double, value long"), regions, -1)
+        assert sorted(map(str, map(tuple, found.collect()))) == sorted(str((*c[:4], -1 if covered(c) else c[4], covered(c))) for c in cells)
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_forms(spark):
     rows = spark.createDataFrame([(1, '{"t": "abcdef", "c": true}'), (2, '{"o": ["a", "z"]}'), (3, "[]"), (4, None), (5, '{"t": null}')], "doc_id long, values string")
     values = forms.parse_form_values(rows)
