@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions.text import WS, trimmed, utf8_size
+from quire.functions.text import WS, WS_SIGNS, once, trimmed, utf8_size
 
 MAX_BYTES, MAX_CHARACTERS = 180, 100
 # Extensions that a name may lose, and the word that each operation adds.
@@ -46,11 +46,18 @@ def compose_names(df: DataFrame, name: str = "name") -> DataFrame:
 
 def bounded(name: Column, most: Column | int = MAX_BYTES) -> Column:
     """The longest start of ``name`` with at most ``most`` UTF-8 bytes, without dots, blanks or dashes at its end."""
-    most = F.lit(most) if isinstance(most, int) else most
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("bytes"))
-    step = lambda s, c: F.struct(F.when(s["bytes"] + utf8_size(c) <= most, F.concat(s["text"], c)).otherwise(s["text"]).alias("text"), (s["bytes"] + utf8_size(c)).alias("bytes"))
-    cut = F.aggregate(F.split(name, ""), start, step, lambda s: s["text"])
-    return F.regexp_replace(F.when(utf8_size(name) <= most, name).otherwise(cut), rf"(?:[.-]|{WS})+$", "")
+    most = F.greatest(F.lit(most) if isinstance(most, int) else most, F.lit(0))
+
+    def cut(bytes_: Column) -> Column:
+        """A character's first byte is none of 80 to BF; the cut goes before the last one that starts in reach."""
+        starts = lambda back: ~F.hex(F.substring(bytes_, most + 1 - back, F.lit(1))).between("80", "BF")
+        back = F.when(most < 4, most).otherwise(3)
+        for k in (2, 1, 0):
+            back = F.when((most >= k) & starts(k), k).otherwise(back)
+        return F.substring(bytes_, F.lit(1), most - back).cast("string")
+
+    start = once(F.encode(name, "UTF-8"), lambda b: F.when(F.octet_length(b) <= most, b.cast("string")).otherwise(cut(b)))
+    return F.rtrim(start, F.lit(WS_SIGNS + ".-"))
 
 
 def clean_stem(name: Column, fallback: str = "result") -> Column:
@@ -59,10 +66,10 @@ def clean_stem(name: Column, fallback: str = "result") -> Column:
     text = F.coalesce(name, F.lit(""))
     text = F.regexp_replace(text, r"[\u0000-\u001f\u007f-\u009f\u200e\u200f\u202a-\u202e\u2066-\u2069]", "")
     text = F.regexp_replace(F.regexp_replace(text, r'[<>:"/\\|?*]+', "-"), f"{WS}+", " ")
-    text = F.regexp_replace(text, rf"^(?:[.-]|{WS})+|(?:[.-]|{WS})+$", "")
-    text = F.when(text.rlike(r"(?i)^(?:con|prn|aux|nul|com[1-9]|lpt[1-9])(?:\.|$)"), F.concat(F.lit("file-"), text)).otherwise(text)
-    out = bounded(text)
-    return F.when(out == "", fallback).otherwise(out)
+    text = F.btrim(text, F.lit(WS_SIGNS + ".-"))
+    reserved = r"(?i)^(?:con|prn|aux|nul|com[1-9]|lpt[1-9])(?:\.|$)"
+    out = bounded(once(text, lambda t: F.when(t.rlike(reserved), F.concat(F.lit("file-"), t)).otherwise(t)))
+    return once(out, lambda t: F.when(t == "", fallback).otherwise(t))
 
 
 def safe_name(name: Column, fallback: str = "result") -> Column:
@@ -73,12 +80,12 @@ def safe_name(name: Column, fallback: str = "result") -> Column:
 
 def check_names(df: DataFrame) -> DataFrame:
     """``df(id, name)`` with clean (empty for an empty name) and error_code."""
-    df = compose_names(df.select("id", "name").withColumn("given", F.col("name")))
-    name = trimmed(F.coalesce("name", F.lit("")))
-    stem = clean_stem(F.regexp_replace(name, KNOWN_EXTENSION, ""), fallback="")
-    given = trimmed(F.coalesce("given", F.lit("")))
-    code = F.when((F.length(given) > MAX_CHARACTERS) | (utf8_size(given) > MAX_BYTES), "output-name-too-long").when((name != "") & (stem == ""), "invalid-output-name")
-    return df.select("id", F.col("given").alias("name"), F.when(code.isNull(), stem).alias("clean"), code.alias("error_code"))
+    rows = compose_names(df.select("id", "name").withColumn("given", F.col("name")))
+    rows = rows.withColumns({"bare": trimmed(F.coalesce("given", F.lit(""))), "name": trimmed(F.coalesce("name", F.lit("")))})
+    rows = rows.withColumn("stem", clean_stem(F.regexp_replace("name", KNOWN_EXTENSION, ""), fallback=""))
+    code = F.when((F.length("bare") > MAX_CHARACTERS) | (utf8_size(F.col("bare")) > MAX_BYTES), "output-name-too-long").when((F.col("name") != "") & (F.col("stem") == ""), "invalid-output-name")
+    rows = rows.withColumn("error_code", code)
+    return rows.select("id", F.col("given").alias("name"), F.when(F.col("error_code").isNull(), F.col("stem")).alias("clean"), "error_code")
 
 
 def source_names(jobs: DataFrame, files: DataFrame) -> DataFrame:

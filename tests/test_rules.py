@@ -150,6 +150,17 @@ def test_names(spark):
     assert one(spark, names.safe_name, "  résumé (1) ") == "r-sum-1"
 
 
+def test_names_are_worked_out_once(spark):
+    """The plan names each step once, and what is cut has the most whole characters that fit."""
+    plan = names.check_names(spark.createDataFrame([(1, "a")], "id long, name string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<>:") == 2  # ASCII names and others
+    rng = random.Random(5)
+    given = ["", "界" * 60 + "x"] + ["".join(rng.choice("aé界𝒳") for _ in range(n)) for n in range(0, 200, 3)]
+    for most in (0, 1, 2, 3, 5, 180):
+        found = [r[0] for r in spark.createDataFrame([(g,) for g in given], "name string").select(names.bounded(F.col("name"), most)).collect()]
+        assert found == [next(g[:n] for n in range(len(g), -1, -1) if len(g[:n].encode()) <= most) for g in given]
+
+
 def test_ascii_names_stay_in_the_jvm(spark):
     """Only rows that hold another character are sent to Python."""
     rows = spark.createDataFrame([("abc",), ("e\u0301",), (None,)], "name string")
