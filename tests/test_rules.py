@@ -304,6 +304,12 @@ def test_pages_of_few_and_many_regions(spark, monkeypatch):
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_summary_splits_its_text_once(spark):
+    """Neither the sentences nor the call that picks them stand in the plan again for the filter."""
+    plan = text.summarize(spark.createDataFrame([(1, "One. Two.")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("flatten") == 1 and plan.count("ArrowEvalPython") == 1
+
+
 def test_labels_past_three_letters(spark):
     """As a spreadsheet goes on; of at most three letters the first goes on, as the query's SQL has it."""
     assert [one(spark, fn.column_label, i, "long") for i in (18277, 18278, 475253, 475254)] == ["ZZZ", "AAAA", "ZZZZ", "AAAAA"]
