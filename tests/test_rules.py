@@ -310,6 +310,17 @@ def test_a_summary_splits_its_text_once(spark):
     assert plan.count("flatten") == 1 and plan.count("ArrowEvalPython") == 1
 
 
+def test_reports_are_made_where_lines_meet(spark):
+    """As from the rows, without a shuffle of them; a pair that isn't compared has null, two empty texts no row."""
+    docs = spark.createDataFrame([(1, "a\n<b>\nc"), (2, "a\nc\nd"), (3, "c\na"), (4, ""), (5, None)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, 1, 2), (2, 1, 1), (3, 1, 4), (4, 4, 5), (5, 1, 3), (6, 9, 2)], "pair_id long, left_id long, right_id long")
+    for most in (None, 3):
+        rows = sorted(map(tuple, compare.pair_reports(pairs, docs, most).collect()))
+        assert rows == sorted(map(tuple, compare.diff_report_html(compare.diff_lines(pairs, docs, most)).collect()))
+        assert [r[0] for r in rows] == [1, 2, 3, 5, 6] and [r[0] for r in rows if r[1] is None] == ([] if most is None else [5])
+    assert "HashAggregate" not in compare.pair_reports(pairs, docs)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_labels_past_three_letters(spark):
     """As a spreadsheet goes on; of at most three letters the first goes on, as the query's SQL has it."""
     assert [one(spark, fn.column_label, i, "long") for i in (18277, 18278, 475253, 475254)] == ["ZZZ", "AAAA", "ZZZZ", "AAAAA"]
