@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from uuid import uuid4
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +40,11 @@ class Staged(WriterCommitMessage):
 class NamedFilesWriter(DataSourceArrowWriter):
     """A task writes into a folder of its attempt, so a failed or repeated attempt touches nothing else. ``commit``
     moves the files of the attempts that count, ``abort`` removes what was staged. The job's folder for them is there
-    before its tasks; a task that still runs when it has been removed can't make it anew, and fails."""
+    before its tasks; a task that still runs when it has been removed can't make it anew, and fails. With ``folders``
+    an attempt's folder is moved as a whole, so the driver's work grows with the tasks and not with the files."""
 
-    def __init__(self, path: str, staging: str, replace: bool) -> None:
-        self.path, self.staging, self.replace = path, staging, replace
+    def __init__(self, path: str, staging: str, replace: bool, folders: bool = False) -> None:
+        self.path, self.staging, self.replace, self.folders = path, staging, replace, folders
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         system, root = located(self.path)
@@ -56,6 +58,10 @@ class NamedFilesWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Staged | None]) -> None:
         system, root = located(self.path)
+        if self.folders:
+            for m in filter(None, messages):
+                system.move(m.folder, f"{root}/part-{m.folder.rsplit('/', 1)[1]}")
+            return
         staged = [f for m in messages if m for f in system.get_file_info(fs.FileSelector(m.folder))]
         if not self.replace:
             there = {f.base_name for f in system.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.File}
@@ -92,7 +98,7 @@ class NamedFiles(DataSource):
         return "name string, text string"
 
     def writer(self, schema, overwrite: bool) -> NamedFilesWriter:
-        return NamedFilesWriter(self.options["path"], self.options["staging"], self.options["replace"] == "true")
+        return NamedFilesWriter(self.options["path"], self.options["staging"], self.options["replace"] == "true", self.options.get("folders") == "true")
 
 
 def write_named_results(results: DataFrame, path: str, replace: bool = False) -> None:
@@ -107,18 +113,78 @@ def write_named_results(results: DataFrame, path: str, replace: bool = False) ->
     twice = results.groupBy("name").count().filter("count > 1").select("name").limit(5).collect()
     if twice:
         raise ValueError(f"names that occur twice: {', '.join(str(r['name']) for r in twice)}")
-    spark.dataSource.register(NamedFiles)
+    save(results, path, replace=str(replace).lower())
+
+
+def save(results: DataFrame, path: str, **options: str) -> None:
+    """A job of ``NamedFilesWriter``, its staging made before and removed after it."""
+    results.sparkSession.dataSource.register(NamedFiles)
     system, root = located(path)
     staging = f"{STAGING}-{uuid4().hex}"
     system.create_dir(f"{root}/{staging}", recursive=True)
     try:
-        results.select("name", "text").write.format(FORMAT).options(staging=staging, replace=str(replace).lower()).mode("append").save(path)
+        results.select("name", "text").write.format(FORMAT).options(staging=staging, **options).mode("append").save(path)
     finally:
         clean(path, staging)
 
 
+FILES, CONTENTS = "path string, size long, modified timestamp, folder boolean", "path string, text string"
+FILE_ROWS, READ_BYTES = 10_000, 16 << 20
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """path (as ``located`` takes it), size and modified of the files under ``path``, listed by tasks: the folder itself by
+    one, those in it by as many as there are. Names with a dot or underscore first are passed over, as readers do."""
+    system, root = located(path)
+    tasks = 4 * spark.sparkContext.defaultParallelism
+
+    def rows(found: list[fs.FileInfo]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(found), FILE_ROWS):
+            some = found[at : at + FILE_ROWS]
+            columns = [f.path for f in some], [f.size for f in some], pa.array([f.mtime for f in some], pa.timestamp("us", "UTC")), [f.type == fs.FileType.Directory for f in some]
+            yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), columns[2], pa.array(columns[3], pa.bool_())], ["path", "size", "modified", "folder"])
+
+    def shown(folder: str) -> list[fs.FileInfo]:
+        return [f for f in system.get_file_info(fs.FileSelector(folder)) if f.base_name[0] not in "._"]
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield from rows(shown(root))
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.compute.invert(batch["folder"]))
+            folders = batch["path"].filter(batch["folder"]).to_pylist()
+            while folders:
+                found = shown(folders.pop())
+                folders += [f.path for f in found if f.type == fs.FileType.Directory]
+                yield from rows([f for f in found if f.type == fs.FileType.File])
+
+    first = spark.range(0, 1, 1, 1).mapInArrow(top, FILES).repartition(tasks)
+    return first.mapInArrow(below, FILES).drop("folder")
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, text (UTF-8) of the files under ``path``, dealt to tasks one by one."""
+    system, _ = located(path)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, texts, size = [], [], 0
+            for at in batch["path"].to_pylist():
+                with system.open_input_stream(at) as file:
+                    texts.append(file.read().decode())
+                paths.append(at)
+                size += len(texts[-1])
+                if size > READ_BYTES:
+                    yield pa.record_batch([paths, texts], ["path", "text"])
+                    paths, texts, size = [], [], 0
+            if paths:
+                yield pa.record_batch([paths, texts], ["path", "text"])
+
+    return list_files(spark, path).select("path").repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(read, CONTENTS)
+
+
 def read_named_results(spark: SparkSession, path: str) -> DataFrame:
     """name, text of what ``write_named_results`` wrote."""
-    found = spark.read.text(path, wholetext=True)
-    last = F.regexp_extract(F.col("_metadata.file_path"), "[^/]*$", 0)
-    return found.select(F.url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))).alias("name"), F.col("value").alias("text"))
+    return read_files(spark, path).select(F.regexp_extract("path", "[^/]*\\z", 0).alias("name"), "text")

@@ -146,3 +146,16 @@ def test_results_of_a_stream_are_written_once(spark, tmp_path, monkeypatch):
     assert {r["name"]: r["text"] for r in named.read_named_results(spark, str(tmp_path / "out")).collect()} == {f"page-{i}.txt": t for i, t in plain.items()}
     run()
     assert len(calls) == 3
+
+
+def test_text_results_move_by_folders(spark, tmp_path, monkeypatch):
+    """A move a task and none a result; names that no file can have come back, and the inventory finds each."""
+    from quire.sources import files
+
+    rows = [("a/b", "x\n"), ("100%2F", ""), ("é+ %.html", "y\r\nz"), (".hidden", "h"), ("n\nm", "t")] + [(f"n{i}", str(i)) for i in range(200)]
+    files.write_text_results(spark.createDataFrame(rows, "name string, text string").repartition(3), str(tmp_path / "out"))
+    assert len(listed(tmp_path / "out")) == 3
+    assert sorted(map(tuple, files.read_text_results(spark, f"file://{tmp_path}/out").collect())) == sorted(rows)
+    found = files.file_inventory(spark, str(tmp_path)).collect()
+    assert sorted(r["size"] for r in found) == sorted(len(t.encode()) + 1 for _, t in rows) and {r["extension"] for r in found} == {"txt"}
+    assert all(r["path"].startswith(f"file:{tmp_path}/out/part-") for r in found)
