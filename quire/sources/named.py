@@ -1,4 +1,4 @@
-"""One file a result: a Spark data source that stages files by task and moves them to their names when all tasks are done."""
+"""One file a result: tasks stage files, and they are moved to their names when all tasks are done; a Spark data source does so by folders."""
 
 from __future__ import annotations
 
@@ -15,9 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from quire.shared import discard, materialize
+
 FORMAT = "quire_named_files"
 STAGING = "_staging"
 MOVERS = 16
+#: Of a task, where many move at once.
+TASK_MOVERS = 4
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
@@ -32,6 +36,22 @@ def checked(name: str | None) -> str:
     return name
 
 
+def staged(path: str, staging: str, batches: Iterator[pa.RecordBatch]) -> tuple[str, Iterator[pa.RecordBatch]]:
+    """A folder of this attempt, and the batches, whose files are in it once they are passed on."""
+    system, root = located(path)
+    folder = f"{root}/{staging}/{uuid4().hex}"
+    system.create_dir(folder, recursive=False)
+
+    def written() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch["name"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                with system.open_output_stream(f"{folder}/{checked(name)}") as out:
+                    out.write((text or "").encode())
+            yield batch
+
+    return folder, written()
+
+
 @dataclass
 class Staged(WriterCommitMessage):
     folder: str
@@ -47,13 +67,9 @@ class NamedFilesWriter(DataSourceArrowWriter):
         self.path, self.staging, self.replace, self.folders = path, staging, replace, folders
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
-        system, root = located(self.path)
-        folder = f"{root}/{self.staging}/{uuid4().hex}"
-        system.create_dir(folder, recursive=False)
-        for batch in iterator:
-            for name, text in zip(batch["name"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                with system.open_output_stream(f"{folder}/{checked(name)}") as out:
-                    out.write((text or "").encode())
+        folder, batches = staged(self.path, self.staging, iterator)
+        for _ in batches:
+            pass
         return Staged(folder)
 
     def commit(self, messages: list[Staged | None]) -> None:
@@ -104,16 +120,55 @@ class NamedFiles(DataSource):
 def write_named_results(results: DataFrame, path: str, replace: bool = False) -> None:
     """Every row of ``results(name, text, ...)`` as the file ``path/name`` (UTF-8; null text: empty).
 
-    All files or none appear: tasks stage theirs, and once all are done they are moved to their names, some at a
-    time. A name that occurs twice, or is no file name (empty, with a slash, with a dot or underscore first), fails
-    the job before or without any file; so does a name that is there already, unless ``replace``. ``path`` is a
-    local or shared folder, or a URI that pyarrow opens. For millions of results take ``write_result_buckets``.
+    All files or none appear: tasks stage theirs, and once all are done other tasks move them to their names, some at a
+    time. ``results`` is worked out once; names are checked in the table of what was staged. A name that occurs twice,
+    or is no file name (empty, with a slash, with a dot or underscore first), fails the job without any file; so does
+    a name that is there already, unless ``replace``. ``path`` is a local or shared folder, or a URI that pyarrow
+    opens. For millions of results take ``write_result_buckets``.
     """
     spark = results.sparkSession
-    twice = results.groupBy("name").count().filter("count > 1").select("name").limit(5).collect()
-    if twice:
-        raise ValueError(f"names that occur twice: {', '.join(str(r['name']) for r in twice)}")
-    save(results, path, replace=str(replace).lower())
+    system, root = located(path)
+    staging = f"{STAGING}-{uuid4().hex}"
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder, batches = staged(path, staging, batches)
+        for batch in batches:
+            yield pa.record_batch([pa.array([folder] * len(batch), pa.string()), batch["name"].cast(pa.string())], ["folder", "name"])
+
+    system.create_dir(f"{root}/{staging}", recursive=True)
+    try:
+        files = materialize(results.select("name", "text").mapInArrow(stage, "folder string, name string"), "staged")
+        try:
+            if twice := files.groupBy("name").count().filter("count > 1").select("name").limit(5).collect():
+                raise ValueError(f"names that occur twice: {', '.join(r['name'] for r in twice)}")
+            if not replace:
+                there = list_files(spark, path).select("path")
+                if taken := files.join(there, F.concat(F.lit(f"{root}/"), "name") == F.col("path"), "left_semi").orderBy("name").limit(5).collect():
+                    raise FileExistsError(f"there are files of these names: {', '.join(r['name'] for r in taken)}")
+            tasks = 4 * spark.sparkContext.defaultParallelism
+            files.repartition(tasks).mapInArrow(lambda batches: moved(path, batches), "n long").write.format("noop").mode("overwrite").save()
+        finally:
+            discard(files)
+    finally:
+        clean(path, staging)
+
+
+def moved(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many staged files (``folder``, ``name``) are at ``path/name`` now; what an earlier attempt moved stays."""
+    system, root = located(path)
+
+    def move(folder: str, name: str) -> None:
+        try:
+            system.move(f"{folder}/{name}", f"{root}/{name}")
+        except OSError:
+            here, to = system.get_file_info([f"{folder}/{name}", f"{root}/{name}"])
+            if here.type != fs.FileType.NotFound or to.type != fs.FileType.File:
+                raise
+
+    with ThreadPoolExecutor(TASK_MOVERS) as pool:
+        for batch in batches:
+            list(pool.map(move, batch["folder"].to_pylist(), batch["name"].to_pylist()))
+            yield pa.record_batch([pa.array([len(batch)], pa.int64())], ["n"])
 
 
 def save(results: DataFrame, path: str, **options: str) -> None:

@@ -148,6 +148,45 @@ def test_results_of_a_stream_are_written_once(spark, tmp_path, monkeypatch):
     assert len(calls) == 3
 
 
+def test_results_are_worked_out_once_and_moved_by_tasks(spark, tmp_path, monkeypatch):
+    """A stream's texts are made once a row, not again for the check of names; the driver lists and moves no result."""
+    spark.range(40).selectExpr("id AS page_id", "'t' || id AS html").coalesce(1).write.parquet(str(tmp_path / "in"))
+    made = spark.sparkContext.accumulator(0)
+
+    def text(html):
+        made.add(1)
+        return html
+
+    monkeypatch.setattr(named.NamedFilesWriter, "commit", lambda *_: pytest.fail("moved by the driver"))
+    stream = spark.readStream.schema("page_id long, html string").parquet(str(tmp_path / "in"))
+    jobs.write_results_stream(stream.select(F.format_string("n%d", "page_id").alias("name"), F.udf(text)("html").alias("text")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert made.value == 40 and listed(tmp_path / "out") == sorted(f"n{i}" for i in range(40))
+
+
+def test_a_repeated_move_changes_nothing(tmp_path):
+    import pyarrow as pa
+
+    (tmp_path / "_job").mkdir()
+    (tmp_path / "_job" / "a").write_text("1")
+    batch = pa.record_batch([[str(tmp_path / "_job")] * 1, ["a"]], ["folder", "name"])
+    for _ in range(2):
+        assert [b["n"].to_pylist() for b in named.moved(str(tmp_path), iter([batch]))] == [[1]]
+    assert (tmp_path / "a").read_text() == "1" and listed(tmp_path / "_job") == []
+    with pytest.raises(OSError):
+        list(named.moved(str(tmp_path), iter([pa.record_batch([[str(tmp_path / "_job")], ["b"]], ["folder", "name"])])))
+
+
+def test_pages_of_one_row_group_are_dealt_to_all_tasks(spark, tmp_path):
+    from quire.plans import assets
+
+    spark.range(64).selectExpr("id AS page_id", "'<p>' || id || '</p>' AS html").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    stream = assets.page_stream(spark, str(tmp_path))
+    seen = []
+    query = stream.writeStream.foreachBatch(lambda batch, _: seen.append(batch.select(F.input_file_name()).distinct().count())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert seen[0] >= spark.sparkContext.defaultParallelism
+
+
 def test_text_results_move_by_folders(spark, tmp_path, monkeypatch):
     """A move a task and none a result; names that no file can have come back, and the inventory finds each."""
     from quire.sources import files
