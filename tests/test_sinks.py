@@ -117,6 +117,46 @@ def test_a_job_of_many_files_in_one_batch(spark, tmp_path):
     assert len(found) == n and all(r[5] == (r[1] < 50_000) and r[6] == min(r[1] + 1, 50_000) for r in found)
 
 
+def test_jobs_of_a_bucket_are_told_apart(spark, tmp_path, monkeypatch):
+    """Jobs that share a call have their own state over batches: ids that no double holds, and files without a job."""
+    monkeypatch.setattr(jobs, "BUCKETS", 2)
+    ids = [*range(40), 2**60, 2**60 + 1, -1, None]
+    rows = [(j, s, "a.pdf" if s % 5 else "b.txt", float((s * 7 + k) % 9)) for s in range(12) for k, j in enumerate(ids)]
+    limits = {"suffixes": [".pdf"], "max_files": 6, "max_file": 7.0, "max_total": 20.0}
+    queue(spark, tmp_path / "in", rows[: 5 * len(ids)])
+    time.sleep(1.1)
+    queue(spark, tmp_path / "in", rows[5 * len(ids) :])
+    source = spark.readStream.schema(FILES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = jobs.admit_stream(source, **limits).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()), key=str)
+    assert found == sorted(map(tuple, admit_files(spark.createDataFrame(rows, FILES), **limits).collect()), key=str)
+
+
+def test_many_jobs_leave_in_few_frames():
+    """3,000 jobs of a bucket are one call that yields by rows, not by jobs; a job's decisions go on over its parts."""
+    import pandas as pd
+
+    class State(dict):
+        getValue, updateValue = dict.get, dict.__setitem__
+
+    class Handle:
+        def getMapState(self, *_):
+            return State()
+
+    admission = jobs.Admission(4, 12.0, None)
+    admission.init(Handle())
+    admission.handleInitialState((0,), pd.DataFrame({"job": ["7", "8"], "n": [3, 0], "total": [1.0, 11.5]}), None)
+    rows = pd.DataFrame([(0, str(j), s, "f", 1.0 + s, None) for s in reversed(range(5)) for j in range(3000)], columns=["bucket", "job", "seq", "name", "size", "code"])
+    frames = list(admission.handleInputRows((0,), iter([rows[:7000], rows[7000:]]), None))
+    assert len(frames) == 2
+    found = pd.concat(frames)
+    for job, n, total in (("5", 4, 10.0), ("7", 4, 2.0), ("8", 0, 11.5)):
+        its = found[found["job"] == job]
+        assert its["seq"].tolist() == list(range(5)) and its["running_bytes"].iloc[-1] == total and admission.totals[(job,)] == (n, total)
+    assert found["accepted"].sum() == 4 * 2998 + 1
+
+
 def test_results_of_a_stream_are_written_once(spark, tmp_path, monkeypatch):
     """A run that breaks between the files and their mark, or before the batch's end, ends the same after another."""
     pages = [(i, f"<p>page {i}</p>") for i in range(6)]
