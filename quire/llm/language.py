@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.tables import SAMPLE_SPACE, held_out, table
+from quire.llm.tables import SAMPLE_SPACE, held_out, lean, table
 from quire.shared import materialize
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -101,7 +101,7 @@ def train(
                     found += [(lang, size, g, n) for g, n in grams.items()]
             yield pd.DataFrame(found, columns=["lang", "size", "item", "n"])
 
-    counts = materialize(sample.mapInPandas(count, "lang string, size int, item string, n long").groupBy("size", "item", "lang").agg(F.sum("n").alias("n")), "counts")
+    counts = materialize(sample.mapInPandas(lean(count), "lang string, size int, item string, n long").groupBy("size", "item", "lang").agg(F.sum("n").alias("n")), "counts")
     distinct: dict[int, list[int]] = defaultdict(list)
     for r in counts.groupBy("size", "lang").count().collect():
         distinct[r["size"]].append(r["count"])

@@ -70,7 +70,7 @@ class Packer:
         for start in range(0, whole, longest):
             self.emit([(doc_id, start, ids[start : start + longest], len(ids))])
         if whole < len(ids):
-            self.hold((doc_id, whole, ids[whole:], len(ids)))
+            self.hold((doc_id, whole, ids[whole:].copy(), len(ids)))  # a view would keep the whole document
         if len(self.waiting) >= self.buffer:
             self.drain()
 
@@ -124,7 +124,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = END_ID, tiers: tupl
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << SEQUENCE_BITS)
-        encode, end = encoder(path), np.array([end_id])
+        encode, end = encoder(path), np.array([end_id], dtype="<u4")
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64()), ("ids", pa.binary())])
 
         def rows() -> pa.RecordBatch:
@@ -140,7 +140,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = END_ID, tiers: tupl
         packer.finish()
         yield rows()
 
-    return docs.select("doc_id", "text").mapInArrow(lean(pack), SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lean(pack, encodes=True), SCHEMA)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
